@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from veritab.llm import decontaminate, mix_sources, token_planes, warc_writer
+from veritab.llm import decontaminate, mix_sources, quality, token_planes, toxicity, warc_writer
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
     "op3_pivotal_mix": mix_sources.op3_pivotal_mix,
     "op4_warc_dictionary": warc_writer.op4_warc_dictionary,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_toxicity_grades": toxicity.op7_toxicity_grades,
+    "op10_nbsvm_quality": quality.op10_nbsvm_quality,
     "pipeline": corpus_pipeline.run,
 }
 
