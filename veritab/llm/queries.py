@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from veritab.llm import decontaminate, mix_sources, quality, token_planes, toxicity, warc_writer
+from veritab.llm import decontaminate, mix_sources, pii, projected_search, quality, token_planes, toxicity, warc_writer
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
+    "op2_contextual_pii": pii.op2_contextual_pii,
     "op3_pivotal_mix": mix_sources.op3_pivotal_mix,
     "op4_warc_dictionary": warc_writer.op4_warc_dictionary,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_toxicity_grades": toxicity.op7_toxicity_grades,
+    "op9_projected_neighbours": projected_search.op9_projected_neighbours,
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
     "pipeline": corpus_pipeline.run,
 }
