@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from veritab.llm import decontaminate, mix_sources, pii, projected_search, quality, token_planes, toxicity, warc_writer
+from veritab.llm import decontaminate, jaccard_join, mix_sources, pii, projected_search, quality, token_planes, toxicity, warc_writer
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_pivotal_mix": mix_sources.op3_pivotal_mix,
     "op4_warc_dictionary": warc_writer.op4_warc_dictionary,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity_grades": toxicity.op7_toxicity_grades,
     "op9_projected_neighbours": projected_search.op9_projected_neighbours,
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
