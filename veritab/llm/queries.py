@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from veritab.llm import decontaminate, jaccard_join, mix_sources, pii, projected_search, quality, token_planes, toxicity, warc_writer
+from veritab.llm import decontaminate, jaccard_join, mix_sources, pii, projected_search, quality, substring_dedup, token_planes, toxicity, warc_writer
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_toxicity_grades": toxicity.op7_toxicity_grades,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_projected_neighbours": projected_search.op9_projected_neighbours,
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
     "pipeline": corpus_pipeline.run,
