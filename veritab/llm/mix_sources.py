@@ -123,13 +123,18 @@ def _settled(rows: DataFrame, seed: int) -> DataFrame:
     return ordered.mapInArrow(run, _ROW_SQL)
 
 
+def document_key() -> Column:
+    """Names a document by its id, source and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed: int = 20240613, bucket_rows: int = 20_000, fan_in: int = 64) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken words of every document.
 
     bucket_rows: documents of all sources that are paired in a row at first, about.
     """
-    text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "source", text).alias("key"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), document_key().alias("key"))
     d = written(d, "mix-sizes")
     sums = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weight, limit), "mix-targets")
     buckets = max(1, -(-d.count() // bucket_rows))

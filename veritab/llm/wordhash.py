@@ -47,6 +47,24 @@ def _not_alnum() -> np.ndarray:
     return out
 
 
+_CHUNK = 1 << 18
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each, kept up to the size of a chunk."""
+    if _TABLES and n <= len(_TABLES[0]):
+        return _TABLES
+    made = []
+    for x in (_BASE, _INV_BASE):
+        p = np.full(max(n, _CHUNK), x, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= _CHUNK:
+        _TABLES[:] = made
+    return made
+
+
 SPACES, NOT_ALNUM = _is_space(), _not_alnum()
 
 
@@ -63,16 +81,17 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        n = len(self.data)
-        powers = np.full(n, _BASE, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        inverse = np.full(n, _INV_BASE, np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_codes(lower)[self.data] * powers, out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
+        h = np.empty(len(self.starts), np.uint64)
+        codes, a = _byte_codes(lower), 0
+        while a < len(h):
+            # as many words as fit in a chunk, or one longer word
+            at = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, at + _CHUNK, "right")))
+            powers, inverse = _powers(int(self.ends[b - 1] - at))
+            total = np.zeros(self.ends[b - 1] - at + 1, np.uint64)
+            np.cumsum(codes[self.data[at : self.ends[b - 1]]] * powers[: len(total) - 1], out=total[1:])
+            h[a:b] = (total[self.ends[a:b] - at] - total[self.starts[a:b] - at]) * inverse[self.starts[a:b] - at]
+            a = b
         return mix(h + (self.ends - self.starts).astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
 
 
