@@ -1,8 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents to token ids, in five stages.
 
-STAGES = []
+Each stage takes all rows that the one before it kept and returns the columns of documents; the last returns
+a row per written document. Stages are written as Parquet and read again in between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veritab.llm.common import shared_dir, table
+from veritab.llm.decontaminate import decontaminate
+from veritab.llm.jaccard_join import jaccard_components
+from veritab.llm.mix_sources import document_key, mix
+from veritab.llm.token_planes import token_planes
+from veritab.llm.toxicity import fit_toxicity, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model rejects go. Null and empty texts stay."""
+    return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays.
+
+    Repeated rows count once. Null and empty texts link with nothing and stay, as do rows without doc_id.
+    """
+    groups = jaccard_components(docs, size=5, percent=80)
+    stay = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of ten words or more from benchmark items are cut out; a document of which they are more than half goes."""
+    cut = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them (0 to 3 times)."""
+    taken = mix(docs).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    keyed = docs.withColumn("mix_key", document_key()).join(taken.withColumnRenamed("key", "mix_key"), "mix_key")
+    # rows that are alike share what they are taken together
+    number = F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key"))
+    times = F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int")
+    return keyed.withColumn("mix_times", times.cast("int")).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token ids as byte planes and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    return token_planes(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_ids", token_ids),
+]
+
+#: SQL can't express the model of the first stage, nor the tokenizer of the last: tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
