@@ -1,4 +1,512 @@
-"""Queries over the driver's tables, each with the same query in SQL."""
+"""Queries over the driver's tables, one or more for each kind of operator, each with the same query in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veritab.functions import logic, text
+from veritab.operators import checks, mining, predicates, prepare, profile, rules, windows
+from veritab.operators.predicates import Field
+from veritab.operators.rules import Rule
+from veritab.streaming import events as stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- preparation
+
+
+@query("SELECT o_orderkey AS k, o_custkey, CAST(trunc(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderstatus IS NOT NULL")
+def preprocess_rename_drop_cast(spark, sf):
+    d = prepare.keep_present(table(spark, sf, "orders"), ["o_orderstatus"])
+    d = prepare.drop(prepare.rename(d, {"o_orderkey": "k"}), ["o_orderpriority", "o_orderstatus", "o_orderdate", "absent"])
+    return prepare.rename(prepare.cast(d, {"o_totalprice": "bigint"}), {"o_totalprice": "price"})
+
+
+@query("SELECT event_id, event_id AS parsed, CASE WHEN user_id % 2 = 0 THEN user_id END AS plain FROM events")
+def preprocess_parse_hex(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("0x"), F.hex("event_id")).alias("h"), F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise("nan").alias("p"))
+    return e.select("event_id", prepare.hex_number(F.col("h")).alias("parsed"), prepare.hex_number(F.col("p")).alias("plain"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE coalesce(c_mktsegment, 'none') END AS segment, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.0) AS balance FROM customer")
+def preprocess_fill_map_values(spark, sf):
+    c = table(spark, sf, "customer").withColumn("balance", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    c = prepare.fill(c, {"c_mktsegment": "none", "balance": 0.0})
+    return c.select("c_custkey", prepare.mapped(F.col("c_mktsegment"), {"BUILDING": "B", "MACHINERY": "M"}).alias("segment"), "balance")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 1 THEN 'one' WHEN p_size IN (2, 3) THEN 'few' WHEN p_size >= 4 AND p_size < 25 THEN 'mid' ELSE 'large' END AS size_class FROM part")
+def map_rules_range(spark, sf):
+    r = [{"equals": 1, "value": "one"}, {"in": [2, 3], "value": "few"}, {"range": (4, 25), "open_high": True, "value": "mid"}, {"default": True, "value": "large"}]
+    return table(spark, sf, "part").select("p_partkey", prepare.by_rules(F.col("p_size"), T.LongType(), r).alias("size_class"))
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(p_type, 'STANDARD') THEN 'std' WHEN regexp_matches(p_type, 'BRASS|STEEL') THEN 'metal' ELSE p_type END AS class FROM part")
+def map_rules_prefix_regex(spark, sf):
+    r = [{"equals": 5, "value": "never"}, {"prefix": "STANDARD", "value": "std"}, {"regex": "BRASS|STEEL", "value": "metal"}]
+    return table(spark, sf, "part").select("p_partkey", prepare.by_rules(F.col("p_type"), T.StringType(), r).alias("class"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND trim(o_orderpriority) <> ''")
+def filter_equals_in_present(spark, sf):
+    o = prepare.keep_equal(table(spark, sf, "orders"), {"o_orderstatus": "F", "absent": 1})
+    o = prepare.keep_in(o, {"o_orderpriority": ["1-URGENT", "2-HIGH"]})
+    return prepare.keep_present(o, ["o_orderpriority"]).select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT * FROM (VALUES ('c_custkey'), ('c_acctbal'), ('segment'), ('name')) v("column") JOIN (
+ SELECT 'c_custkey' AS "column", count_if(c_custkey IS NULL)::BIGINT AS n_missing, 0::BIGINT AS n_blank FROM customer
+ UNION ALL SELECT 'c_acctbal', count_if(c_acctbal IS NULL)::BIGINT, 0 FROM customer
+ UNION ALL SELECT 'segment', count_if(c_custkey % 7 = 0)::BIGINT, 0 FROM customer
+ UNION ALL SELECT 'name', 0, count_if(c_custkey % 5 = 0)::BIGINT FROM customer) USING ("column")""")
+def incomplete_columns(spark, sf):
+    c = table(spark, sf, "customer")
+    c = c.select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name")).alias("name"))
+    return prepare.incomplete_columns(c)
+
+
+@query("""SELECT 'p_partkey' AS "column", 'integer' AS value_type UNION ALL SELECT 'p_size', 'integer' UNION ALL SELECT 'p_retailprice', 'real'
+ UNION ALL SELECT 'p_name', CASE WHEN count(DISTINCT p_name) <= 32 THEN 'categorical' ELSE 'string' END FROM part
+ UNION ALL SELECT 'p_brand', CASE WHEN count(DISTINCT p_brand) <= 32 THEN 'categorical' ELSE 'string' END FROM part
+ UNION ALL SELECT 'p_type', CASE WHEN count(DISTINCT p_type) <= 32 THEN 'categorical' ELSE 'string' END FROM part""")
+def infer_value_types(spark, sf):
+    return prepare.value_types(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_name", "p_brand", "p_type"))
+
+
+# ---- context windows and derived columns
+
+
+def _event_windows(spark, sf, size=3, stride=1):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("us"))
+    return windows.context_windows(e, ["user_id"], ["us", "event_id"], size, stride)
+
+
+_WINDOWS = "WITH w AS (SELECT user_id, event_id AS e0, lead(event_id) OVER k AS e1, lead(event_id, 2) OVER k AS e2, event_type AS t0, lead(event_type, 2) OVER k AS t2, epoch_us(ts) AS u0, lead(epoch_us(ts)) OVER k AS u1, lead(epoch_us(ts), 2) OVER k AS u2, row_number() OVER k AS rn FROM events WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+
+
+@query(_WINDOWS + "SELECT user_id, e0, e1, e2, t0, t2 FROM w WHERE e2 IS NOT NULL")
+def context_window_events(spark, sf):
+    w = _event_windows(spark, sf)
+    return w.select(F.col("user_id_ctx0").alias("user_id"), F.col("event_id_ctx0").alias("e0"), F.col("event_id_ctx1").alias("e1"), F.col("event_id_ctx2").alias("e2"), F.col("event_type_ctx0").alias("t0"), F.col("event_type_ctx2").alias("t2"))
+
+
+@query(_WINDOWS + "SELECT user_id, e0, e2 FROM w WHERE e2 IS NOT NULL AND (rn - 1) % 2 = 0")
+def context_window_stride(spark, sf):
+    w = _event_windows(spark, sf, stride=2)
+    return w.select(F.col("user_id_ctx0").alias("user_id"), F.col("event_id_ctx0").alias("e0"), F.col("event_id_ctx2").alias("e2"))
+
+
+@query(_WINDOWS + "SELECT e0, u1 - u0 AS gap0, u2 - u1 AS gap1, round(abs((u1 - u0) - (u2 - u1)) / 2.0, 3) AS spread FROM w WHERE e2 IS NOT NULL")
+def interarrival_derived(spark, sf):
+    w = _event_windows(spark, sf).withColumns({"gap0": F.col("us_ctx1") - F.col("us_ctx0"), "gap1": F.col("us_ctx2") - F.col("us_ctx1")})
+    return w.select(F.col("event_id_ctx0").alias("e0"), "gap0", "gap1", F.round(logic.row_std(F.col("gap0"), F.col("gap1")), 3).alias("spread"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS total, least(l_quantity, l_discount * 100) AS low, greatest(l_quantity, l_discount * 100) AS high,
+ round((l_quantity + l_tax) / 2, 6) AS mean, l_extendedprice - l_quantity AS diff, round(l_quantity / nullif(l_discount, 0), 6) AS per_discount,
+ (CASE WHEN l_discount <> 0 THEN 1 ELSE 0 END + CASE WHEN l_tax <> 0 THEN 1 ELSE 0 END) AS n_set, l_discount <> 0 OR l_tax <> 0 AS any_set, l_discount <> 0 AND l_tax <> 0 AS all_set FROM lineitem""")
+def derived_row_aggregates(spark, sf):
+    q, d, t, p = (F.col(c) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice"))
+    n = logic.count_nonzero(d, t)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", logic.row_sum(q, t).alias("total"), logic.row_min(q, d * 100).alias("low"), logic.row_max(q, d * 100).alias("high"), F.round(logic.row_avg(q, t), 6).alias("mean"), (p - q).alias("diff"), F.round(logic.ratio(q, d), 6).alias("per_discount"), n.alias("n_set"), (n > 0).alias("any_set"), (n == 2).alias("all_set"))
+
+
+@query(_WINDOWS + "SELECT e0 AS value FROM w WHERE e2 IS NOT NULL UNION ALL SELECT e1 FROM w WHERE e2 IS NOT NULL UNION ALL SELECT e2 FROM w WHERE e2 IS NOT NULL")
+def union_all_family(spark, sf):
+    w = _event_windows(spark, sf)
+    return windows.family_values(w, windows.families(w.columns)["event_id"])
+
+
+# ---- profiles
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_quantity, [0.25, 0.5, 0.9]) AS a, quantile_cont(l_extendedprice, [0.25, 0.5, 0.9]) AS b FROM lineitem)
+ SELECT c AS "column", l AS label, round(v, 6) AS "value" FROM (SELECT 'l_quantity' AS c, unnest(['p25', 'p50', 'p90']) AS l, unnest(a) AS v FROM q UNION ALL SELECT 'l_extendedprice', unnest(['p25', 'p50', 'p90']), unnest(b) FROM q)""")
+def profile_quantiles(spark, sf):
+    return profile.quantiles(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], [0.25, 0.5, 0.9]).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+def profile_topk(spark, sf):
+    return profile.top_values(table(spark, sf, "part"), "p_brand", 5)
+
+
+@query("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL")
+def profile_domain(spark, sf):
+    return profile.domain(table(spark, sf, "orders"), "o_orderpriority")
+
+
+@query("""SELECT 'c_acctbal' AS "column", bool_or(c_acctbal < 0) AS negative, max(length(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR)))::INTEGER AS digits, min(c_acctbal) AS least, max(c_acctbal) AS greatest FROM customer""")
+def number_widths(spark, sf):
+    return profile.number_widths(table(spark, sf, "customer"), ["c_acctbal"])
+
+
+# ---- predicates and rules
+
+LINE = [
+    Field("l_quantity", "real", ("count",), constants=(10.0, 25.0, 50.0), scalars=(2000.0,), additions=(1.0,)),
+    Field("l_extendedprice", "real", ("size",), constants=(1000.0,), additions=(100.0,)),
+    Field("l_discount", "real", ("measurement", "size"), constants=(0.05,)),
+    Field("l_tax", "real", ("size",), constants=(0.04,)),
+    Field("l_returnflag", "categorical", (), constants=("R", "N")),
+    Field("l_linestatus", "categorical", (), constants=("F",)),
+]
+
+
+def _line_predicates():
+    return predicates.distinct(predicates.field_constant(LINE, ["<=", "="]))
+
+
+def _support_sql(parts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name.replace(chr(39), chr(39) * 2)}' AS text, round(avg(CASE WHEN {sql} THEN 1.0 ELSE 0.0 END), 6) AS support FROM lineitem" for name, sql in parts.items())
+
+
+def _supports(spark, sf, ps):
+    d = table(spark, sf, "lineitem")
+    sigs = mining.signatures(d, ps, keep_empty=True)
+    return mining.supports(sigs, ps, d.count()).select("text", F.round("support", 6).alias("support"))
+
+
+@query(_support_sql({p.text: " ".join(p.parts) for p in _line_predicates()}))
+def predicate_support(spark, sf):
+    return _supports(spark, sf, _line_predicates())
+
+
+@query(_support_sql({p.text: p.text for p in predicates.distinct(predicates.field_field(LINE, ["<=", ">="]))}))
+def field_field_predicates(spark, sf):
+    return _supports(spark, sf, predicates.distinct(predicates.field_field(LINE, ["<=", ">="])))
+
+
+@query(_support_sql({p.text: p.text for p in predicates.distinct(predicates.scaled_field(LINE, [">="]) + predicates.summed_fields(LINE, ["<="]))}))
+def scalar_addition_predicates(spark, sf):
+    return _supports(spark, sf, predicates.distinct(predicates.scaled_field(LINE, [">="]) + predicates.summed_fields(LINE, ["<="])))
+
+
+@query(_WINDOWS + "SELECT count(*)::BIGINT AS n, count_if(least(e0, e1, e2) >= 100)::BIGINT AS every, count_if(greatest(e0, e1, e2) >= 100)::BIGINT AS some, count_if(e0 <> 100 AND e1 <> 100 AND e2 <> 100)::BIGINT AS none_is FROM w WHERE e2 IS NOT NULL")
+def quantifier_forall_exists(spark, sf):
+    w = _event_windows(spark, sf)
+    family = windows.families(w.columns)["event_id"]
+    every, some, differ = (predicates.quantified(family, "event_id", [op], [100], e)[0].column for op, e in ((">=", True), (">=", False), ("!=", True)))
+    return w.agg(F.count("*").alias("n"), F.count_if(every).alias("every"), F.count_if(some).alias("some"), F.count_if(differ).alias("none_is"))
+
+
+@query("SELECT concat_ws(',', " + ", ".join(f"CASE WHEN {' '.join(p.parts)} THEN {i} END" for i, p in enumerate(_line_predicates())) + ") AS sig, count(*) AS w FROM lineitem GROUP BY 1 HAVING sig <> ''")
+def evidence_signatures(spark, sf):
+    sigs = mining.signatures(table(spark, sf, "lineitem"), _line_predicates())
+    return sigs.select(F.array_join(F.transform("sig", lambda i: i.cast("string")), ",").alias("sig"), "w")
+
+
+def _cover_sql() -> str:
+    """All clauses of up to two predicates that hold on every row with evidence, without those that have a smaller one inside."""
+    ps = _line_predicates()
+    flags = ", ".join(f"({' '.join(p.parts)})::INT AS f{i}" for i, p in enumerate(ps))
+    sigs = f"WITH s AS (SELECT DISTINCT * FROM (SELECT {flags} FROM lineitem) WHERE {' + '.join(f'f{i}' for i in range(len(ps)))} > 0), "
+    one = " UNION ALL ".join(f"SELECT {i} AS i, bool_and(f{i} = 1) AS ok FROM s" for i in range(len(ps)))
+    two = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, bool_and(f{i} = 1 OR f{j} = 1) AS ok FROM s" for i in range(len(ps)) for j in range(i + 1, len(ps)))
+    names = "(VALUES " + ", ".join(f"({i}, '{p.text.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(ps)) + ")"
+    return sigs + f"o AS ({one}), t AS ({two}), n(i, name) AS {names} SELECT name AS rule FROM o JOIN n USING (i) WHERE ok UNION ALL SELECT a.name || ' or ' || b.name FROM t JOIN n a ON a.i = t.i JOIN n b ON b.i = t.j WHERE ok AND t.i NOT IN (SELECT i FROM o WHERE ok) AND t.j NOT IN (SELECT i FROM o WHERE ok)"
+
+
+@query(_cover_sql())
+def hitting_set_rules(spark, sf):
+    ps = _line_predicates()
+    clauses = mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 2)
+    return mining.clause_text(clauses, ps).select("rule")
+
+
+@query()
+def tree_rules(spark, sf):
+    ps = _line_predicates()
+    target = next(i for i, p in enumerate(ps) if p.text == "l_linestatus = 'F'")
+    leaves = mining.entropy_tree(mining.signatures(table(spark, sf, "lineitem"), ps, keep_empty=True), target, 3)
+    return leaves.select(F.array_join(F.transform("path", lambda i: i.cast("string")), ",").alias("path"), "w", "share")
+
+
+def _line_rules() -> list[Rule]:
+    q, p, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return [
+        Rule("A1", logic.le(d, 0.05), "l_discount <= 0.05", ("l_discount",)),
+        Rule("A2", logic.ge(p, q), "l_extendedprice >= l_quantity", ("l_extendedprice", "l_quantity")),
+        Rule("A3", logic.le(t, 0.08), "l_tax <= 0.08", ("l_tax",)),
+        Rule("A4", logic.implies(logic.eq(F.col("l_returnflag"), "R"), logic.eq(F.col("l_linestatus"), "F")), "l_returnflag = 'R' -> l_linestatus = 'F'", ("l_returnflag", "l_linestatus")),
+        Rule("A5", logic.holds("l_quantity * 2000 >= l_extendedprice"), "l_quantity * 2000 >= l_extendedprice", ("l_quantity", "l_extendedprice")),
+        Rule("A6", logic.eq(d, 99.0), "off", ("l_discount",), enabled=False),
+    ]
+
+
+_LINE_RULES = {"A1": "l_discount <= 0.05", "A2": "l_extendedprice >= l_quantity", "A3": "l_tax <= 0.08", "A4": "(l_returnflag <> 'R' OR l_linestatus = 'F')", "A5": "l_quantity * 2000 >= l_extendedprice"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS rule_id, round(avg(CASE WHEN {s} THEN 1.0 ELSE 0.0 END), 6) AS satisfaction FROM lineitem" for k, s in _LINE_RULES.items()))
+def rule_validation(spark, sf):
+    return rules.satisfaction(table(spark, sf, "lineitem"), _line_rules()).withColumn("satisfaction", F.round("satisfaction", 6))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS rule_id, count_if(NOT ({s}))::BIGINT AS n FROM lineitem" for k, s in _LINE_RULES.items()))
+def violations_by_rule(spark, sf):
+    return rules.violations_by_rule(table(spark, sf, "lineitem"), _line_rules())
+
+
+@query(f"SELECT count(*) AS n_rows, count_if(NOT ({' AND '.join(_LINE_RULES.values())}))::BIGINT AS n_bad, round(1 - count_if(NOT ({' AND '.join(_LINE_RULES.values())})) / count(*), 6) AS satisfaction FROM lineitem")
+def satisfaction_rate_rows(spark, sf):
+    return rules.row_satisfaction(table(spark, sf, "lineitem"), _line_rules()).withColumn("satisfaction", F.round("satisfaction", 6))
+
+
+@query("""WITH v AS (SELECT o_orderkey, 'B1' AS rule_id FROM orders WHERE NOT (o_totalprice <= 200000) UNION ALL SELECT o_orderkey, 'B2' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT')
+ SELECT o_orderkey, rule_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY o_orderkey) AS place FROM v) WHERE place <= 50""")
+def rule_violations_capped(spark, sf):
+    rs = [Rule("B1", logic.le(F.col("o_totalprice"), 200000), fields=("o_totalprice",)), Rule("B2", logic.implies(logic.eq(F.col("o_orderstatus"), "P"), logic.eq(F.col("o_orderpriority"), "1-URGENT")), fields=("o_orderstatus",))]
+    return rules.violations_capped(table(spark, sf, "orders"), rs, ["o_orderkey"], ["o_orderkey"]).select("o_orderkey", "rule_id", "place")
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_discount <= 0.05 AND l_tax <= 0.04 AND NOT (l_discount + l_tax <= 0.08)")
+def entailment_counterexamples(spark, sf):
+    rs = [Rule("C1", logic.holds("l_discount <= 0.05")), Rule("C2", logic.holds("l_tax <= 0.04"))]
+    return rules.counterexamples(table(spark, sf, "lineitem"), rs, logic.holds("l_discount + l_tax <= 0.08")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, coalesce(x <> 1, true) AS ne, NOT coalesce(x = 1, false) AS not_eq, coalesce(x > 0, false) AS gt, NOT coalesce(x > 0, false) OR coalesce(x < 5, false) AS implied
+ FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END AS x FROM customer)""")
+def implication_negation_nulls(spark, sf):
+    x = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 7)
+    return table(spark, sf, "customer").select("c_custkey", logic.ne(x, 1).alias("ne"), (~logic.eq(x, 1)).alias("not_eq"), logic.gt(x, 0).alias("gt"), logic.implies(logic.gt(x, 0), logic.lt(x, 5)).alias("implied"))
+
+
+@query("SELECT event_id, ((event_id - 50) % 4 + 4) % 4 AS m, CAST(NULL AS BIGINT) AS zero, CASE WHEN (event_id - 50) % 4 = 0 THEN 0 ELSE ((event_id - 50) % 4 + 4) % 4 - 4 END AS negative FROM events")
+def mod_rule(spark, sf):
+    x = F.col("event_id") - 50
+    return table(spark, sf, "events").select("event_id", logic.floor_mod(x, F.lit(4)).alias("m"), logic.floor_mod(x, F.lit(0)).alias("zero"), logic.floor_mod(x, F.lit(-4)).alias("negative"))
+
+
+# ---- checks over periods, bands and identities; repair
+
+
+def _months(spark, sf):
+    o = table(spark, sf, "orders")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return o.groupBy("o_custkey", month.alias("m")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+_MONTHS = "WITH c AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS m, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders GROUP BY ALL) "
+
+
+@query(_MONTHS + "SELECT o_custkey, m, cents, CASE WHEN m - lag(m) OVER w = 1 THEN lag(cents) OVER w END AS before FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY m)")
+def cross_period_lag_check(spark, sf):
+    return _months(spark, sf).withColumn("before", windows.previous("cents", ["o_custkey"], "m"))
+
+
+@query(_MONTHS + "SELECT c.o_custkey, c.m, c.cents, b.cents AS cents_before FROM c JOIN c b ON b.o_custkey = c.o_custkey AND b.m = c.m - 4 WHERE c.cents >= 2 * b.cents")
+def yoy_divergence(spark, sf):
+    d = windows.at_offset(_months(spark, sf), ["o_custkey"], "m", ["cents"], 4)
+    return d.where(F.col("cents") >= 2 * F.col("cents_before"))
+
+
+@query("WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS low, quantile_cont(p_retailprice, 0.9) AS high FROM part GROUP BY 1) SELECT p_partkey FROM part JOIN b USING (p_brand) WHERE NOT (p_retailprice BETWEEN low AND high)")
+def band_check(spark, sf):
+    p = table(spark, sf, "part")
+    bands = p.groupBy("p_brand").agg(F.percentile("p_retailprice", 0.1).alias("low"), F.percentile("p_retailprice", 0.9).alias("high"))
+    return p.join(bands, "p_brand").where(~(logic.ge(F.col("p_retailprice"), F.col("low")) & logic.le(F.col("p_retailprice"), F.col("high")))).select("p_partkey")
+
+
+def _books(spark, sf):
+    """Orders as small accounts, some of them with a wrong total."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice")).cast("long").alias("Revenue"))
+    o = o.withColumn("COGS", F.floor(F.col("Revenue") / 3)).withColumn("GrossProfit", F.col("Revenue") - F.col("COGS") + F.when(F.col("id") % 11 == 0, 7).otherwise(0))
+    return o.withColumn("TotalAssets", F.col("Revenue") * 2).withColumn("TotalEquity", F.col("Revenue")).withColumn("TotalLiabilities", F.col("Revenue") + F.when(F.col("id") % 13 == 0, 5).otherwise(0))
+
+
+_BOOKS = "WITH o AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS r FROM orders) "
+
+
+@query(_BOOKS + "SELECT id, 'R05' AS rule_id FROM o WHERE id % 11 = 0 UNION ALL SELECT id, 'R02' FROM o WHERE id % 13 = 0")
+def identity_check(spark, sf):
+    rs = [r for r in checks.identity_rules() if r.rule_id != "R01"]
+    return rules.violations(_books(spark, sf), rs, ["id"]).select("id", "rule_id")
+
+
+@query(_BOOKS + "SELECT id, 'GrossProfit' AS \"column\", CAST(r - r // 3 + 7 AS VARCHAR) AS old, CAST(r - r // 3 AS VARCHAR) AS new FROM o WHERE id % 11 = 0 UNION ALL SELECT id, 'TotalLiabilities', CAST(r + 5 AS VARCHAR), CAST(r AS VARCHAR) FROM o WHERE id % 13 = 0")
+def repair_identity(spark, sf):
+    b = _books(spark, sf).withColumns({"CompanyId": F.col("id"), "PeriodIndex": F.lit(1), "Purchases": F.col("COGS"), **{c: F.lit(0).cast("long") for c in ("Inventory_Begin", "Inventory_End", "Cash_Begin", "Cash_End", "AccountsReceivable")}})
+    return checks.cell_changes(b, checks.repaired(b), ["id"], ["COGS", "GrossProfit", "TotalLiabilities", "Inventory_Begin", "Cash_Begin"])
+
+
+@query("SELECT o_orderkey, c AS \"column\", old, new FROM (SELECT o_orderkey, 'o_orderstatus' AS c, o_orderstatus AS old, 'X' AS new FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'X' UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR) FROM orders WHERE o_orderkey % 15 = 0)")
+def fault_injection_truth_diff(spark, sf):
+    o = table(spark, sf, "orders")
+    bad = o.withColumns({"o_orderstatus": F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")), "o_custkey": F.when(F.col("o_orderkey") % 15 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))})
+    return checks.cell_changes(o, bad, ["o_orderkey"], ["o_orderstatus", "o_custkey", "o_orderpriority"])
+
+
+def _flows(spark, sf):
+    i = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", F.when(i % 3 == 0, "UDP").otherwise("TCP").alias("Proto"), F.when(i % 17 != 0, F.concat(F.lit("10.0.0."), i % 250)).alias("SrcIpAddr"), (i % 100).cast("string").alias("SrcPt"), F.when(i % 5 == 0, "DNS").otherwise("10.1.1.1").alias("DstIpAddr"), F.when(i % 4 == 0, "53").when(i % 23 == 0, "x").otherwise("80").alias("DstPt"), (i % 7).alias("Packets"), (i % 900).alias("Bytes"), F.when(i % 2 == 0, "......").otherwise(".A..S.").alias("Flags"))
+
+
+@query("""WITH f AS (SELECT event_id AS i, event_id % 17 = 0 AS gone, event_id % 4 <> 0 AND event_id % 23 = 0 AS bad FROM events)
+ SELECT i AS event_id, 'N04' AS rule_id FROM f WHERE gone
+ UNION ALL SELECT i, 'N01' FROM f WHERE NOT gone AND i % 3 = 0 AND i % 2 <> 0
+ UNION ALL SELECT i, 'N02' FROM f WHERE NOT gone AND NOT bad AND i % 7 > 0 AND (i % 900 < 42 * (i % 7) OR i % 900 > 65535 * (i % 7))
+ UNION ALL SELECT i, 'N03' FROM f WHERE NOT gone AND NOT bad AND CASE WHEN i % 4 = 0 THEN i % 5 <> 0 WHEN i % 100 = 53 THEN true ELSE false END""")
+def netflow_checks(spark, sf):
+    return rules.violations(_flows(spark, sf), checks.flow_rules(), ["event_id"]).select("event_id", "rule_id")
+
+
+@query("SELECT count_if(NOT b)::BIGINT AS valid, count_if(b)::BIGINT AS rejected FROM (SELECT event_id % 17 = 0 OR (event_id % 3 = 0 AND event_id % 2 <> 0) AS b FROM events)")
+def netflow_valid_split(spark, sf):
+    good, bad = rules.split_valid(_flows(spark, sf), [r for r in checks.flow_rules() if r.rule_id in ("N01", "N04")])
+    both = good.select(F.lit(1).alias("g")).unionByName(bad.select(F.lit(0).alias("g")))
+    return both.agg(F.count_if(F.col("g") == 1).alias("valid"), F.count_if(F.col("g") == 0).alias("rejected"))
+
+
+# ---- rule sets
+
+
+def _rule_list(spark, sf):
+    return table(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("rule_id"), (F.col("p_size") / 50).alias("support"), F.array((F.col("p_size") * 1.0)).alias("constants"), F.col("p_name").alias("text"))
+
+
+@query("SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_partkey % 10 = 0 THEN 'manual' ELSE 'learned' END AS origin FROM part UNION ALL SELECT 'M' || p_partkey, 'manual' FROM part WHERE p_partkey % 100 = 0")
+def manual_override_merge(spark, sf):
+    r = _rule_list(spark, sf).select("rule_id")
+    n = F.substring("rule_id", 2, 20).cast("long")
+    manual = r.where(n % 10 == 0).unionByName(r.where(n % 100 == 0).select(F.concat(F.lit("M"), n).alias("rule_id")))
+    return rules.override(r, manual)
+
+
+@query("SELECT 'P' || p_partkey AS rule_id, p_size / 50 < 0.5 OR (p_size NOT IN (20, 40) AND p_size > 10 AND p_size / 50 < 0.98) AS coincidence FROM part")
+def coincidence_flag(spark, sf):
+    return rules.coincidences(_rule_list(spark, sf).withColumn("origin", F.lit("learned")), [20.0, 40.0]).select("rule_id", "coincidence")
+
+
+@query("SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'P' || p_partkey END AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS explanation, greatest(0.0, least(1.0, p_size / 25)) AS support FROM part")
+def card_rule_left_join(spark, sf):
+    explained = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("rule_id"), F.col("p_brand").alias("title"), F.col("p_type").alias("explanation"))
+    return rules.cards(_rule_list(spark, sf).withColumn("support", F.col("support") * 2), explained)
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'implication' WHEN 1 THEN 'identity' WHEN 2 THEN 'exclusion' WHEN 3 THEN 'bound' WHEN 4 THEN 'quantified' ELSE 'composite' END AS kind FROM events")
+def classify_rule_kind(spark, sf):
+    kinds = F.array(*(F.lit(x) for x in ('{"kind": "implies"}', '{"kind": "compare", "op": "="}', '{"kind": "compare", "op": "!="}', '{"kind": "compare", "op": "<="}', '{"kind": "forall"}', '{"kind": "or"}')))
+    return table(spark, sf, "events").select("event_id", rules.kind_of(F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int"))).alias("kind"))
+
+
+# ---- text
+
+
+@query()
+def number_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.number_tokens(F.col("text")), "|").alias("numbers"))
+
+
+@query()
+def foreign_number_check(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.array_join(text.foreign_numbers(F.col("text"), F.array(F.lit("1"), F.lit("2"))), "|").alias("foreign"))
+
+
+@query("SELECT doc_id, 3 * ((length(source) - length(replace(source, 'src1', ''))) // 4) + ((length(l) - length(replace(l, 'the', ''))) // 3) + ((length(l) - length(replace(l, 'of', ''))) // 2) + 3 * ((length(source) - length(replace(source, 'the', ''))) // 3) + 3 * ((length(source) - length(replace(source, 'of', ''))) // 2) + ((length(l) - length(replace(l, 'src1', ''))) // 4) AS score FROM (SELECT *, lower(text) AS l FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def keyword_score_topk(spark, sf):
+    return text.best_sections(table(spark, sf, "documents"), ["src1", "the", "of"], {"source": 3, "text": 1}, "doc_id", 20).select("doc_id", "score")
+
+
+@query("""WITH c AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents),
+ k AS (SELECT doc_id, source, CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END AS clipped FROM c)
+ SELECT doc_id, clipped, used::BIGINT AS used FROM (SELECT *, sum(length(clipped)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM k) WHERE used <= 600""")
+def text_clip_budget(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", text.clip(F.col("text"), 60).alias("clipped"))
+    return text.within_budget(d, "clipped", "source", "doc_id", 600).select("doc_id", "clipped", "used")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(text), 'there') AND contains(lower(text), 'with')")
+def text_search_filter(spark, sf):
+    return table(spark, sf, "documents").where((F.col("lang") == "en") & text.contains_all(F.col("text"), "There WITH")).select("doc_id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || lpad(CAST(CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS VARCHAR), 8, '0') AS code, round(c_acctbal, 2) AS back FROM customer")
+def fixed_width_codec(spark, sf):
+    code = text.fixed_width(F.col("c_acctbal"), 6, 2)
+    return table(spark, sf, "customer").select("c_custkey", code.alias("code"), F.round(text.from_fixed_width(code, 2), 2).alias("back"))
+
+
+@query("SELECT o_orderkey, CAST(rpad(substr(CAST(o_orderkey AS VARCHAR), 1, 2), 6, '0') AS BIGINT) AS low, CAST(rpad(substr(CAST(o_orderkey AS VARCHAR), 1, 2), 6, '9') AS BIGINT) AS high FROM orders")
+def prefix_interval(spark, sf):
+    low, high = text.prefix_interval(F.substring(F.col("o_orderkey").cast("string"), 1, 2), 6)
+    return table(spark, sf, "orders").select("o_orderkey", low.alias("low"), high.alias("high"))
+
+
+@query("SELECT c_custkey, 'Customer ' || c_name || ' has {{unknown}}' AS filled, 1 AS open_slots FROM customer")
+def slot_fill(spark, sf):
+    filled = text.fill_slots(F.lit("Customer {{name}} has {{unknown}}"), {"name": F.col("c_name")})
+    return table(spark, sf, "customer").select("c_custkey", filled.alias("filled"), F.size(text.open_slots(filled)).alias("open_slots"))
+
+
+# ---- generation, packets, events
+
+
+@query("""SELECT 0 AS step, CAST(NULL AS VARCHAR) AS before, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL
+ UNION ALL SELECT 1, o_orderstatus, o_orderpriority, count(*) FROM orders GROUP BY ALL""")
+def token_ngram_counts(spark, sf):
+    from veritab.operators.generate import transitions
+
+    return transitions(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT 100::BIGINT AS n, 0::BIGINT AS broken")
+def constrained_rows(spark, sf):
+    from veritab.operators.generate import generated_under_rules
+
+    rule = Rule("G1", logic.implies(logic.eq(F.col("l_returnflag"), "N"), logic.le(F.col("l_linenumber"), 5)))
+    made = generated_under_rules(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [rule], 100)
+    return made.agg(F.count("*").alias("n"), F.count_if(~rule.condition).alias("broken"))
+
+
+@query("SELECT count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents, (SELECT count(DISTINCT x) FROM (SELECT CAST(user_id AS VARCHAR) AS x FROM events UNION ALL SELECT event_type FROM events)) AS endpoints, max(epoch_us(ts)) - min(epoch_us(ts)) AS span_us FROM events")
+def packet_stats(spark, sf):
+    e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = e.select(F.explode(F.array(F.col("user_id").cast("string"), "event_type")).alias("x")).agg(F.count_distinct("x").alias("endpoints"))
+    one = e.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), (F.max("us") - F.min("us")).alias("span_us"))
+    return one.withColumn("endpoints", ends.scalar())
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def event_dedupe_latest(spark, sf):
+    e = table(spark, sf, "events")
+    return checks.latest(stream.once_each(e.unionByName(e), "event_id"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_type, CASE event_type WHEN 'click' THEN 'ui' WHEN 'purchase' THEN 'shop' ELSE 'other' END AS agent, count(*) AS n FROM events GROUP BY ALL")
+def stage_agent_map(spark, sf):
+    return stream.staged(table(spark, sf, "events"), {"click": "ui", "purchase": "shop"}).groupBy("event_type", "agent").agg(F.count("*").alias("n"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, 'E1' AS rule_id, count(*) AS n FROM events WHERE NOT (value <= 50) GROUP BY 1")
+def windowed_rule_violations(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.windowed_violations(e, [Rule("E1", logic.le(F.col("value"), 50.0))], "ts", "1 day")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "rule_id", "n")
+
+
+@query("SELECT user_id, count(DISTINCT CASE WHEN event_type NOT IN ('click', 'view') THEN event_type END)::INTEGER AS others, list_has_any(list(event_type), ['purchase']) AS bought FROM events GROUP BY 1")
+def except_roles(spark, sf):
+    kinds = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    return kinds.select("user_id", F.size(F.array_except("k", F.array(F.lit("click"), F.lit("view")))).alias("others"), F.arrays_overlap("k", F.array(F.lit("purchase"))).alias("bought"))
