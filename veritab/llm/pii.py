@@ -111,7 +111,7 @@ def _base(batches):
         for doc_id, h, t in zip(*(c.to_pylist() for c in b.columns)):
             spans = base_spans(t)
             n = Counter(k for _, k, _ in spans)
-            rows.append((doc_id, h, n[0], n[1], n[2], n[3], joined(spans), [{"kind": k, "pattern": context(t, s), "instance": normal(t[s:e]) if k == 0 else t[s:e]} for s, k, e in spans]))
+            rows.append((doc_id, h, n[0], n[1], n[2], n[3], joined(spans), [{"kind": k, "pattern": context(t, s), "instance": t[s:e].lower()} for s, k, e in spans]))
         yield batch(_BASE, [list(c) for c in zip(*rows)])
 
 
@@ -160,9 +160,9 @@ def _matches(docs: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
                     for k in known[p]:
                         same = next((s for s in over if s[1] == k), None)
                         if same:
-                            counts[k, p, normal(t[same[0] : same[2]]) if k == 0 else t[same[0] : same[2]], True] += 1
+                            counts[k, p, t[same[0] : same[2]].lower(), True] += 1
                         elif not over and of_shape(k, t[a:e]):
-                            rows.append((k, p, normal(t[a:e]) if k == 0 else t[a:e], False, doc_id, h, a, e, 1))
+                            rows.append((k, p, t[a:e].lower(), False, doc_id, h, a, e, 1))
                         else:
                             counts[k, p, "", False] += 1
             if rows:
