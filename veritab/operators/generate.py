@@ -25,15 +25,15 @@ def generated(counts: DataFrame, cols: Sequence[str], rows: int, seed: int) -> D
 
     Each column is a join on the value before, so rows and chains are both spread.
     """
-    choices = counts.groupBy("step", "before").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("c"), F.sum("n").alias("total"))
+    choices = counts.groupBy("step", F.col("before").alias("_before")).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_choices"), F.sum("n").alias("_total"))
     out = counts.sparkSession.range(rows).withColumnRenamed("id", "row")
     for k, c in enumerate(cols):
-        step = choices.where(F.col("step") == k).select("before", "c", "total")
-        on = F.lit(None).cast("string") if k == 0 else F.col(cols[k - 1])
-        out = out.join(step, on.eqNullSafe(F.col("before")))
-        target = _unit(F.lit(seed), F.lit(k), "row") * F.col("total")
-        walked = F.aggregate("c", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"], a).otherwise(F.struct((a["sum"] + x["n"]).alias("sum"), x["value"].alias("value"), ((a["sum"] + x["n"]) > target).alias("done"))))
-        out = out.withColumn(c, walked["value"]).drop("before", "c", "total")
+        step = choices.where(F.col("step") == k).drop("step")
+        on = F.lit(None).cast("string") if k == 0 else out[cols[k - 1]]
+        out = out.join(step, on.eqNullSafe(step["_before"]))
+        target = _unit(F.lit(seed), F.lit(k), "row") * F.col("_total")
+        walked = F.aggregate("_choices", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"], a).otherwise(F.struct((a["sum"] + x["n"]).alias("sum"), x["value"].alias("value"), ((a["sum"] + x["n"]) > target).alias("done"))))
+        out = out.withColumn(c, walked["value"]).drop("_before", "_choices", "_total")
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions import logic, text
-from veritab.operators import checks, mining, predicates, prepare, profile, rules, windows
+from veritab.operators import checks, flows, mining, predicates, prepare, profile, report, rules, windows
 from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
 from veritab.streaming import events as stream
@@ -510,3 +510,57 @@ def windowed_rule_violations(spark, sf):
 def except_roles(spark, sf):
     kinds = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     return kinds.select("user_id", F.size(F.array_except("k", F.array(F.lit("click"), F.lit("view")))).alias("others"), F.arrays_overlap("k", F.array(F.lit("purchase"))).alias("bought"))
+
+
+@query("""WITH f AS (SELECT event_id AS i, event_id % 3 AS k, CASE event_id % 3 WHEN 0 THEN 80 WHEN 1 THEN 53 END AS made FROM events)
+ SELECT i AS event_id, coalesce(made, NULL)::INTEGER AS "SrcPt", CASE WHEN made = 53 THEN 'DNS' WHEN i % 4 = 0 THEN '9.9.9.9' WHEN i % 2 = 0 THEN '10.0.0.' || (i % 254 + 1) ELSE '192.168.1.' || (i % 254 + 1) END AS "SrcIpAddr", 443 AS "DstPt", '10.0.0.' || (i % 254 + 1) AS "DstIpAddr" FROM f""")
+def flow_backfill(spark, sf):
+    i = F.col("event_id")
+    e = table(spark, sf, "events").select(i, F.lit(None).cast("string").alias("SrcPt"), F.lit("443").alias("DstPt"), F.when(i % 4 == 0, "9.9.9.9").otherwise(" ").alias("SrcIpAddr"), F.lit(None).cast("string").alias("DstIpAddr"), (i % 3).alias("SrcPortClass"), F.lit(0).alias("DstPortClass"), (i % 2).alias("SrcSubnet"), F.lit(0).alias("DstSubnet"))
+    return flows.backfilled(e, {0: 80, 1: 53}, {0: "10.0.0", 1: "192.168.1"}, "event_id").select("event_id", "SrcPt", "SrcIpAddr", "DstPt", "DstIpAddr")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id * 1000)::DOUBLE END AS amount, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) / 1e6 WHEN 1 THEN event_id / 2.0 ELSE event_id::DOUBLE END AS at FROM events")
+def clean_numbers_times(spark, sf):
+    i = F.col("event_id")
+    e = table(spark, sf, "events").select(i, F.when(i % 3 == 0, "none").otherwise(F.concat(i.cast("string"), F.lit(",000 B"))).alias("a"), F.when(i % 3 == 0, F.col("ts").cast("string")).when(i % 3 == 1, (i / 2).cast("string")).otherwise("soon").alias("t"))
+    return e.select("event_id", flows.to_number(F.col("a")).alias("amount"), flows.to_epoch(F.col("t"), i).alias("at"))
+
+
+@query("SELECT event_id, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS relative, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS of_user FROM events")
+def relative_time(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    both = flows.since_first(flows.since_first(e, "us", "user_id").withColumnRenamed("relative", "of_user"), "us")
+    return both.select("event_id", "relative", "of_user")
+
+
+@query(_MONTHS + ", t AS (SELECT m, sum(cents)::BIGINT AS c, min(cents)::BIGINT AS p FROM c GROUP BY 1) SELECT sum(c)::BIGINT AS total, round(avg(p / c), 6) AS mean_ratio, arg_min(c, m) AS first, arg_max(c, m) AS last, round(pow(arg_max(c, m) / arg_min(c, m), 1.0 / (max(m) - min(m))) - 1, 6) AS growth FROM t")
+def report_slots(spark, sf):
+    months = _months(spark, sf).groupBy("m").agg(F.sum("cents").alias("c"), F.min("cents").alias("p"))
+    out = report.slots(months, "m", "c", "p")
+    return out.withColumns({"mean_ratio": F.round("mean_ratio", 6), "growth": F.round("growth", 6)})
+
+
+@query("SELECT count_if(o_totalprice > 1000)::BIGINT AS hits, count(*) AS total FROM orders WHERE o_orderkey % 10 = 0")
+def truth_table_hits(spark, sf):
+    o = table(spark, sf, "orders")
+    return report.truth_hits(o.where("o_orderkey % 10 = 0").select("o_orderkey"), o.where("o_totalprice > 1000"), ["o_orderkey"])
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages")
+def host_of_url(spark, sf):
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    return table(spark, sf, "pages").select("page_id", flows.host_part(F.concat(host, F.lit(":443"))).alias("host"))
+
+
+@query("SELECT 960::BIGINT AS n, 120::BIGINT AS companies, 0::BIGINT AS violations, 120::BIGINT AS with_fault")
+def company_identities(spark, sf):
+    """Synthetic companies obey identities and continuity; a fault in one period is found in each."""
+    from veritab.sources.companies import company_rows, with_faults
+
+    d = company_rows(spark, ["retail", "steel", "software"])
+    bands = spark.createDataFrame([("retail", 0, 10000), ("steel", 0, 10000)], "Industry string, low_bp int, high_bp int")
+    keys = ["CompanyId", "PeriodIndex"]
+    bad = checks.finance_violations(d, bands, keys).agg(F.count("*"))
+    faulty = checks.finance_violations(with_faults(d, {3: ("TotalAssets", 300)}), bands, keys).where("rule_id = 'R02' and PeriodIndex = 3").agg(F.count("*"))
+    return d.agg(F.count("*").alias("n"), F.count_distinct("CompanyId").alias("companies")).withColumns({"violations": bad.scalar(), "with_fault": faulty.scalar()})

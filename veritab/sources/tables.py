@@ -70,7 +70,9 @@ def knowledge_sections(spark: SparkSession, path: str) -> DataFrame:
     """source, place, heading, body of Markdown files cut at second-level headings."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), "value")
     parts = texts.select("source", F.posexplode(F.split("value", r"(?m)^## ")).alias("place", "part")).where("place > 0")
-    return parts.select("source", "place", F.trim(F.element_at(F.split("part", "\n", 2), 1)).alias("heading"), F.trim(F.coalesce(F.try_element_at(F.split("part", "\n", 2), F.lit(2)), F.lit(""))).alias("body"))
+    lines = F.split("part", "\n", 2)
+    bare = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return parts.select("source", "place", bare(lines[0]).alias("heading"), bare(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("body"))
 
 
 def write_csv(df: DataFrame, path: str, names: Mapping[str, str] | None = None) -> None:
