@@ -48,7 +48,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - s, -35, 35)))
 
 
-def cumulative_link_fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n: int, penalty: float = 1e-5, rounds: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def cumulative_link_fit(rows: list[tuple[list[int], list[float]]], grade: np.ndarray, n: int, penalty: float = 3e-5, rounds: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts that minimise the mean negative log likelihood plus an L2 penalty (Adam over all rows)."""
     owner = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at = np.array([k for a, _ in rows for k in a], np.int64)
@@ -85,13 +85,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, least:
     if not n0 or not n1:
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
     counts = feature_counts(one_each, item_words, least, 500_000)
-    # words far commoner in toxic texts than in others, by the signed log-likelihood gain
-    marks = []
+    # words of toxic texts beyond chance: the gain in log likelihood over the common rate exceeds the log of the words tried
+    marks, rate = [], n1 / (n0 + n1)
     for f, a, b in counts:
-        p, q = (b + 0.5) / (n1 + 1), (a + 0.5) / (n0 + 1)
-        if p > 4 * q and b >= least:
-            marks.append((b * math.log(p / q), f))
-    marks = [f for gain, f in sorted(marks, reverse=True)[:features] if gain >= 6]
+        if b > rate * (a + b):
+            gain = b * math.log(b / (a + b) / rate) + (a * math.log(a / (a + b) / (1 - rate)) if a else 0.0)
+            if gain >= math.log(len(counts)) - 2 and b >= 2 * a:
+                marks.append((gain, f))
+    marks = [f for _, f in sorted(marks, reverse=True)[:features]]
     if not marks:
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
     model = OrdinalModel({f: k for k, f in enumerate(marks)}, np.zeros(len(marks)), np.zeros(GRADES - 1))
