@@ -147,7 +147,7 @@ class PieceEncoder:
     tokens' strings) are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

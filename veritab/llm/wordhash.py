@@ -6,6 +6,7 @@ word sequences spend no Python step per word.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,8 +153,11 @@ def shingles(w: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out_h), np.concatenate(out_d).astype(np.int64)
 
 
-def bounded(batches, column: str = "text", most: int = 8 << 20):
-    """Slices of Arrow batches with at most `most` bytes of text, but at least one row."""
+def bounded(batches, column: str = "text", most: int = 4 << 20):
+    """Slices of Arrow batches with at most `most` bytes of text, but at least one row.
+
+    At the end of a task its worker gives free memory back, as it stays for other tasks.
+    """
     for b in batches:
         if not b.num_rows:
             continue
@@ -163,3 +167,13 @@ def bounded(batches, column: str = "text", most: int = 8 << 20):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+        del b
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
