@@ -10,7 +10,8 @@ Two nodes link when their sets' Jaccard similarity reaches the threshold, tested
    shingles hold all links between them.
 3. Each candidate component has inverted lists. A node's short lists are merged; nodes that occur often enough, and that
    aren't linked to it already through others, are probed by binary search in the long lists. Found links
-   that join two parts are kept, at most one a node. Components of more than `block` nodes are searched in pairs of blocks.
+   that join two parts are kept, at most one a node. Components of more than `block` nodes lose those that a leader
+   settles, and the rest is searched in pairs of blocks.
 4. Components of the links.
 
 Null and empty texts have empty sets and link with nothing. Fewer words than a shingle: all of them are one shingle. Null doc_id
@@ -32,9 +33,14 @@ from veritab.llm.wordhash import bounded, mix, shingles, words
 _COMMON = 16  # more nodes of a slice than these share a shingle: only its count goes to its bucket
 _PACK = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _PACK_SQL = "bucket long, hashes binary, places binary, nodes binary, sizes binary"
-#: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: a common shingle's node (hash, node, n); 3: its count (hash, count)
-_OUT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("count", pa.int64())])
-_OUT_SQL = "kind int, doc_id long, hash long, node long, n long, count long"
+#: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: a common shingle's nodes in a slice (hash, nodes, sizes); 3: its count (hash, count)
+_OUT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("count", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_OUT_SQL = "kind int, doc_id long, hash long, node long, n long, count long, nodes binary, sizes binary"
+_SHARED = pa.schema([("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("count", pa.int64())])
+
+
+def _out(kind: int, rows: int, **columns) -> pa.RecordBatch:
+    return batch(_OUT, [np.full(rows, kind), *(columns.get(f.name, pa.nulls(rows, f.type)) for f in list(_OUT)[1:])])
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -84,7 +90,7 @@ def _packed(sets: dict[int, np.ndarray], buckets: int):
         # six bytes for a gap, but eight for the first
         wide = gaps.view(np.uint8).reshape(-1, 8)
         raw = wide[0].tobytes() + (b"\1" + wide[1:, :6].tobytes() if not wide[1:, 6:].any() else b"\0" + wide[1:].tobytes())
-        rows.append((k, raw, local.tobytes() if local.max() >= 65536 else local.astype("<u2").tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
+        rows.append((k, raw, local.tobytes() if local.max() >= 65536 else local.astype("<u2").tobytes(), nodes[used].tobytes(), sizes[used].astype("<u2" if sizes[used].max() < 65536 else "<i8").tobytes()))
     return rows, hot
 
 
@@ -97,7 +103,8 @@ def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     wide[1:, : 6 if raw[8] else 8] = rest.reshape(len(wide) - 1, -1)
     h = np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
     place = np.frombuffer(r["places"], "<u2" if len(r["places"]) == 2 * len(h) else "<u4").astype(np.int64)
-    nodes, sizes = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["sizes"], np.int64)
+    nodes = np.frombuffer(r["nodes"], np.int64)
+    sizes = np.frombuffer(r["sizes"], "<u2" if len(r["sizes"]) == 2 * len(nodes) else "<i8").astype(np.int64)
     count = np.where(place >= 1 << 24, place - (1 << 24), 0)
     place = np.where(count > 0, 0, place)
     return h, nodes[place], sizes[place], count
@@ -122,7 +129,8 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             turn += 1
             rows.append((-1 - (turn % buckets), ids.tobytes(), known.tobytes(), np.array([v or 0 for v in nodes], "<i8").tobytes(), np.array([len(s) for s in sets], "<i8").tobytes()))
             if len(hot[0]):
-                rows.append((-1 - buckets - (turn % buckets), hot[0].tobytes(), b"", hot[1].tobytes(), hot[2].tobytes()))
+                each, times = np.unique(hot[0], return_counts=True)
+                rows.append((-1 - buckets - (turn % buckets), each.tobytes(), times.astype("<i8").tobytes(), hot[1].tobytes(), hot[2].tobytes()))
             yield batch(_PACK, [list(c) for c in zip(*rows)])
 
     def count(key, t):
@@ -130,14 +138,15 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         rows = t.to_pylist()
         if k < -buckets:
             for r in rows:
-                h, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "nodes", "sizes"))
-                yield batch(_OUT, [np.full(len(h), 2), pa.nulls(len(h), pa.int64()), h, v, n, pa.nulls(len(h), pa.int64())])
+                h, times, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "places", "nodes", "sizes"))
+                at = [0, *np.cumsum(times).tolist()]
+                yield _out(2, len(h), hash=h, nodes=[v[x:y].tobytes() for x, y in zip(at, at[1:])], sizes=[n[x:y].tobytes() for x, y in zip(at, at[1:])])
             return
         if k < 0:
             for r in rows:
                 ids, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "nodes", "sizes"))
                 missing = np.frombuffer(r["places"], np.uint8) == 0
-                yield batch(_OUT, [np.zeros(len(v)), pa.array(ids, mask=missing), pa.nulls(len(v), pa.int64()), v, n, pa.nulls(len(v), pa.int64())])
+                yield _out(0, len(v), doc_id=pa.array(ids, mask=missing), node=v, n=n)
             return
         h, v, n, c = (np.concatenate(x) for x in zip(*map(_unpacked, rows)))
         del rows
@@ -153,10 +162,10 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         plain = (c == 0) & (total[run] >= 2)
         for a in range(0, int(plain.sum()), 200_000):
             i = np.flatnonzero(plain)[a : a + 200_000]
-            yield batch(_OUT, [np.ones(len(i)), pa.nulls(len(i), pa.int64()), h[i].view(np.int64), v[i], n[i], total[run[i]].astype(np.int64)])
+            yield _out(1, len(i), hash=h[i].view(np.int64), node=v[i], n=n[i], count=total[run[i]].astype(np.int64))
         i = np.flatnonzero(~same_h)[some_common]
         if len(i):
-            yield batch(_OUT, [np.full(len(i), 3), pa.nulls(len(i), pa.int64()), h[i].view(np.int64), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64()), total[some_common].astype(np.int64)])
+            yield _out(3, len(i), hash=h[i].view(np.int64), count=total[some_common].astype(np.int64))
 
     packs = d.mapInArrow(send, _PACK_SQL)
     counted = packs.groupBy("bucket").applyInArrow(lambda key, t: pa.Table.from_batches(list(count(key, t)), _OUT), _OUT_SQL)
@@ -228,32 +237,73 @@ def occurrence_links(h: np.ndarray, v: np.ndarray, size: np.ndarray, percent: in
     return links
 
 
+def _common(rows: DataFrame) -> DataFrame:
+    """The common shingles' nodes with their counts. A row per slice and shingle meets the count; nodes come out of it after that, evenly dealt."""
+    met = rows.where("kind = 2").select("hash", "nodes", "sizes").join(rows.where("kind = 3").select("hash", "count"), "hash")
+
+    def expand(batches):
+        for b in batches:
+            if b.num_rows:
+                h, nodes, sizes, count = (c.to_pylist() for c in b.columns)
+                v, n = (np.frombuffer(b"".join(x), np.int64) for x in (nodes, sizes))
+                times = [len(x) // 8 for x in nodes]
+                yield batch(_SHARED, [np.repeat(h, times), v, n, np.repeat(count, times)])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts).mapInArrow(expand, "hash long, node long, n long, count long").distinct()
+
+
+def _around_leaders(kept: DataFrame, candidates: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to search of candidates (node, root), and links (a, b) of large components to their leaders.
+
+    A component of more than `block` nodes is compared with its smallest node first. Nodes that link to it are one part, so they needn't meet each
+    other. As 1 - similarity is a metric, one of them can link to a node outside only if it is nearly as far from the leader: the
+    others are done.
+    """
+    large = candidates.groupBy("root").agg(F.count("*").alias("nodes"), F.min("node").alias("leader")).where(F.col("nodes") > block).select("root", "leader")
+    members = written(candidates.join(large, "root", "left"), "jaccard-members")
+    rows = kept.join(members.where("leader is not null"), "node")
+    lead = rows.where("node = leader").select("root", "hash", F.col("n").alias("n_leader"))
+    # every member has at least a row: what it shares with the leader is counted before the exchange
+    shared = rows.join(lead, ["root", "hash"], "left").groupBy("node", "root", "leader", "n").agg(F.count("n_leader").alias("both"))
+    sizes = lead.select("root", "n_leader").distinct()
+    far = shared.join(sizes, "root").withColumn("union", F.col("n") + F.col("n_leader") - F.col("both"))
+    far = far.withColumn("linked", 100 * F.col("both") >= percent * F.col("union")).withColumn("distance", 1 - F.col("both") / F.col("union"))
+    far = written(far.select("node", "root", "leader", "linked", "distance"), "jaccard-leaders")
+    outside = far.where("not linked").groupBy("root").agg(F.min("distance").alias("nearest"))
+    left = far.join(outside, "root").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
+    star = far.where("linked and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return members.where("leader is null").select("node", "root").unionByName(left.select("node", "root")), star
+
+
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, buckets: int | None = None, block: int = 5_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = shared_shingles(docs, size, buckets)
     documents = rows.where("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
-    common = rows.where("kind = 2").select("hash", "node", "n").distinct().join(rows.where("kind = 3").select("hash", "count"), "hash")
-    shared = rows.where("kind = 1").select("hash", "node", "n", "count").unionByName(common)
+    shared = rows.where("kind = 1").select(_SHARED.names).unionByName(_common(rows))
     # sets rarest first: shingles of one node alone come before all shared ones
     own = Window.partitionBy("node")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("count", "hash")))
-    ranked = ranked.where(F.col("rank") <= prefix - F.col("alone")).select("hash", "node")
-    ranked = written(ranked, "jaccard-prefixes")
+    kept = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("count", "hash")))
+    # a set whose prefix has no shared shingle links with nothing: all its rows go
+    kept = kept.where(F.col("alone") < prefix).select("hash", "node", "n", (F.col("rank") <= prefix - F.col("alone")).alias("early"))
+    kept = written(kept, "jaccard-kept")
+    ranked = kept.where("early").select("hash", "node")
     first = ranked.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("times")).where("times > 1").select("hash", "b")
     edges = ranked.join(first, "hash").select(F.col("node").alias("a"), "b")
     candidates = components(edges)
+    candidates, star = _around_leaders(kept, candidates, percent, block)
     # blocks of large components meet in pairs
     many = candidates.groupBy("root").agg(F.count("*").alias("nodes")).withColumn("blocks", F.ceil(F.col("nodes") / block).cast("int"))
     candidates = candidates.join(many, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     candidates = candidates.select("node", "root", F.explode(pair).alias("pair")).select("node", "root", "pair.i", "pair.j")
-    tasks = shared.select("hash", "node", "n").join(candidates, "node").select("root", "i", "j", "hash", "node", "n")
+    tasks = kept.join(candidates, "node").select("root", "i", "j", "hash", "node", "n")
     tasks = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def search(batches):
@@ -286,7 +336,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, bucket
         if held and (out := links([np.concatenate(p) for p in zip(*held)])):
             yield out
 
-    found = written(tasks.mapInArrow(search, "a long, b long"), "jaccard-links")
+    found = written(tasks.mapInArrow(search, "a long, b long").unionByName(star), "jaccard-links")
     roots = components(found)
     classes = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = roots.join(classes, "node")
@@ -299,3 +349,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, bucket
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 85 * (u.n + v.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""

@@ -87,8 +87,8 @@ _ROW_SQL = "bucket long, source string, key long, doc_id long, size long, source
 _SIZE, _PART, _STATE = _ROW.names.index("size"), _ROW.names.index("part"), _ROW.names.index("state")
 
 
-def _settled(rows: DataFrame, seed: int) -> DataFrame:
-    """Settles the rows of each bucket and source; at most one of them stays open (state -1)."""
+def _settled(rows: DataFrame, seed: int, deal: list[str]) -> DataFrame:
+    """Settles the rows of each bucket and source, dealt to tasks by some of the two; at most one of them stays open (state -1)."""
 
     def finish(run: list[list]) -> list[list]:
         part = [r[_PART] for r in run]
@@ -119,7 +119,7 @@ def _settled(rows: DataFrame, seed: int) -> DataFrame:
         if held:
             yield batch(_ROW, [list(x) for x in zip(*held)])
 
-    ordered = rows.select(_ROW.names).repartition("bucket", "source").sortWithinPartitions("bucket", "source", "key", "doc_id", "size")
+    ordered = rows.select(_ROW.names).repartition(*deal).sortWithinPartitions("bucket", "source", "key", "doc_id", "size")
     return ordered.mapInArrow(run, _ROW_SQL)
 
 
@@ -128,7 +128,7 @@ def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed: int = 20240613, bucket_rows: int = 20_000, fan_in: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed: int = 20240613, bucket_rows: int = 5_000, fan_in: int = 64) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken words of every document.
 
     bucket_rows: documents of all sources that are paired in a row at first, about.
@@ -145,7 +145,8 @@ def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed:
     rows = d.withColumn("bucket", F.pmod("key", F.lit(buckets))).withColumn("state", F.lit(-1))
     done = None
     while True:
-        level = written(_settled(rows, seed + buckets), "mix-level")
+        # at first by bucket alone, as sources differ in size; open rows are alike in number, and few buckets are left for them
+        level = written(_settled(rows, seed + buckets, ["bucket"] if done is None else ["bucket", "source"]), "mix-level")
         if buckets == 1:
             last = F.xxhash64(F.lit(seed), "key") / F.lit(2.0**64) + 0.5
             level = level.withColumn("state", F.when(F.col("state") < 0, (last < F.col("part")).cast("int")).otherwise(F.col("state")))

@@ -19,4 +19,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op4_warc_dictionary": warc_writer.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_warc_dictionary": warc_writer.ORACLE_SQL,
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+}
