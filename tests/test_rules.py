@@ -79,14 +79,14 @@ def test_covers_against_brute_force(spark, seed):
 
 def test_mined_rule_holds(spark):
     d = spark.createDataFrame([(10, 1, 5), (11, 2, 6), (20, 3, 7), (21, 4, 8)], "Bytes int, Packets int, Mtu int")
-    ps = [Predicate("Bytes > Mtu", logic.gt(F.col("Bytes"), F.col("Mtu"))), Predicate("Packets > Mtu", logic.gt(F.col("Packets"), F.col("Mtu")))]
+    ps = [Predicate("Bytes > Mtu", lambda: logic.gt(F.col("Bytes"), F.col("Mtu"))), Predicate("Packets > Mtu", lambda: logic.gt(F.col("Packets"), F.col("Mtu")))]
     clauses = mining.clause_text(mining.minimal_covers(mining.signatures(d, ps), 2), ps)
     assert [r.rule for r in clauses.collect()] == ["Bytes > Mtu"]
     assert rules.counterexamples(d, [], ps[0].column).count() == 0
 
 
 def test_tautologies_go(spark):
-    ps = [Predicate("a > 1", F.lit(True), ("a", ">", "1")), Predicate("a <= 1", F.lit(True), ("a", "<=", "1"))]
+    ps = [Predicate("a > 1", lambda: F.lit(True), ("a", ">", "1")), Predicate("a <= 1", lambda: F.lit(True), ("a", "<=", "1"))]
     d = spark.createDataFrame([([0, 1],), ([0],)], "clause array<int>")
     assert [r[0] for r in mining.without_tautologies(d, ps).collect()] == [[0]]
 

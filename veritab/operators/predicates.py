@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -33,7 +33,6 @@ class Field:
     def group(self) -> str | None:
         return next((g for g in GROUPS if g in self.roles), None)
 
-    @property
     def column(self) -> Column:
         return F.col(f"`{self.name}`")
 
@@ -41,18 +40,23 @@ class Field:
 @dataclass(frozen=True)
 class Predicate:
     text: str
-    column: Column = field(compare=False)
+    #: makes the column when it is asked for, so that predicates can be listed without a session
+    make: Callable[[], Column] = field(compare=False)
     #: (left text, operator, right text), where the predicate is one comparison
     parts: tuple[str, str, str] | None = None
 
+    @property
+    def column(self) -> Column:
+        return self.make()
+
 
-def compare(left: str, a: Column, op: str, right: str, b) -> Predicate:
-    return Predicate(f"{left} {op} {right}", OPERATORS[op](a, b), (left, op, right))
+def compare(left: str, a: Callable[[], Column], op: str, right: str, b: Callable) -> Predicate:
+    return Predicate(f"{left} {op} {right}", lambda: OPERATORS[op](a(), b()), (left, op, right))
 
 
 def field_constant(fields: Iterable[Field], ops: Sequence[str]) -> list[Predicate]:
     """Each field against its constants; order only for ordered fields."""
-    return [compare(f.name, f.column, op, repr(k) if isinstance(k, str) else str(k), k) for f in fields for k in f.constants for op in ops if f.ordered or op not in ORDERING]
+    return [compare(f.name, f.column, op, repr(k) if isinstance(k, str) else str(k), lambda k=k: k) for f in fields for k in f.constants for op in ops if f.ordered or op not in ORDERING]
 
 
 def _comparable(a: Field, b: Field, ops: Sequence[str]) -> bool:
@@ -68,7 +72,7 @@ def field_field(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate]:
 
 def scaled_field(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate]:
     """a * k against b, for a's scalars; groups don't matter, as a scalar changes the unit."""
-    return [compare(f"({a.name} * {k})", a.column * F.lit(k), op, b.name, b.column) for a in fields for k in a.scalars for b in fields if a.name != b.name and a.ordered and b.ordered for op in ops]
+    return [compare(f"({a.name} * {k})", lambda a=a, k=k: a.column() * F.lit(k), op, b.name, b.column) for a in fields for k in a.scalars for b in fields if a.name != b.name and a.ordered and b.ordered for op in ops]
 
 
 def summed_fields(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate]:
@@ -81,27 +85,24 @@ def summed_fields(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate
                 continue
             for c in fields:
                 if c.name not in (a.name, b.name) and c.ordered and c.group == group:
-                    out += [compare(f"({a.name} + {b.name})", a.column + b.column, op, c.name, c.column) for op in ops]
+                    out += [compare(f"({a.name} + {b.name})", lambda a=a, b=b: a.column() + b.column(), op, c.name, c.column) for op in ops]
         for k in a.additions:
             for c in fields:
                 if c.name != a.name and a.ordered and c.ordered and a.group and a.group == c.group:
-                    out += [compare(f"({a.name} + {k})", a.column + F.lit(k), op, c.name, c.column) for op in ops]
+                    out += [compare(f"({a.name} + {k})", lambda a=a, k=k: a.column() + F.lit(k), op, c.name, c.column) for op in ops]
     return out
 
 
 def quantified(family: Sequence[str], name: str, ops: Sequence[str], constants: Sequence, every: bool = True) -> list[Predicate]:
     """All (or any) columns of a family against constants; ordering comparisons need only the least or greatest column."""
-    cols = [F.col(f"`{c}`") for c in family]
-    out = []
-    for op in ops:
-        for k in constants:
-            label = f"{'forall' if every else 'exists'} {name} {op} {k}"
-            if op in ORDERING:
-                edge = logic.row_min(*cols) if (op[0] == ">") == every else logic.row_max(*cols)
-                out.append(Predicate(label, OPERATORS[op](edge, k)))
-            else:
-                out.append(Predicate(label, (logic.all_of if every else logic.any_of)([OPERATORS[op](c, k) for c in cols])))
-    return out
+
+    def holds(op, k) -> Column:
+        cols = [F.col(f"`{c}`") for c in family]
+        if op in ORDERING:
+            return OPERATORS[op](logic.row_min(*cols) if (op[0] == ">") == every else logic.row_max(*cols), k)
+        return (logic.all_of if every else logic.any_of)([OPERATORS[op](c, k) for c in cols])
+
+    return [Predicate(f"{'forall' if every else 'exists'} {name} {op} {k}", lambda op=op, k=k: holds(op, k)) for op in ops for k in constants]
 
 
 def distinct(predicates: Iterable[Predicate]) -> list[Predicate]:
