@@ -68,6 +68,20 @@ def test_large_group_with_a_common_line(spark, seed):
         assert sorted(map(tuple, got)) == sorted(brute(docs, size, percent))
 
 
+def test_copies_of_a_passage_common_in_one_slice_only(spark):
+    rng = random.Random(3)
+    passage = " " + text(rng, 48)
+    docs = [(i, text(rng, 55) + passage) for i in range(20)]
+    copies = [(20 + i, docs[i][1]) for i in range(3)] + [(23 + i, text(rng, 40)) for i in range(17)]
+    both = spark.createDataFrame(spark.sparkContext.parallelize(docs + copies, 2), "doc_id long, text string")
+    assert [len(p) for p in both.rdd.glom().collect()] == [20, 20] and 3 <= jj._COMMON < 20
+    rows = jj.shared_shingles(both, 4, 4)
+    shared = rows.where("kind = 1").select("hash", "node").unionByName(jj._common(rows).select("hash", "node"))
+    assert shared.count() == shared.distinct().count() == sum(len(shingle_set(t, 4) & shingle_set(passage, 4)) for _, t in docs)
+    got = jj.jaccard_components(both).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(docs + copies))
+
+
 def test_links_of_random_sets():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -5,7 +5,9 @@ Two nodes link when their sets' Jaccard similarity reaches the threshold, tested
 
 1. Every (shingle, node) goes, packed, to a bucket of the hash space, which counts the nodes of each shingle. Only shingles
    of two nodes or more go on: no other counts in an intersection. A shingle that is common within a slice of texts sends
-   one count there, while its nodes stay spread and get the total by a join: no task gathers a common shingle.
+   one count there, while its nodes stay spread and get the total by a join: no task gathers a common shingle. If it isn't
+   common in all slices, its other nodes take that way too, where equal (shingle, node) of several slices become one.
+   A common shingle's count is that of its slices together, copies included; it only orders shingles.
 2. Of each set, rarest first, a prefix is kept such that linked sets share a shingle of their prefixes. Components over shared prefix
    shingles hold all links between them.
 3. Each candidate component has inverted lists. A node's short lists are merged; nodes that occur often enough, and that
@@ -33,7 +35,7 @@ from veritab.llm.wordhash import bounded, mix, shingles, words
 _COMMON = 16  # more nodes of a slice than these share a shingle: only its count goes to its bucket
 _PACK = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _PACK_SQL = "bucket long, hashes binary, places binary, nodes binary, sizes binary"
-#: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: a common shingle's nodes in a slice (hash, nodes, sizes); 3: its count (hash, count)
+#: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: nodes of a shingle that is common in some slice (hash, nodes, sizes); 3: its count (hash, count)
 _OUT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("count", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _OUT_SQL = "kind int, doc_id long, hash long, node long, n long, count long, nodes binary, sizes binary"
 _SHARED = pa.schema([("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("count", pa.int64())])
@@ -150,7 +152,7 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             return
         h, v, n, c = (np.concatenate(x) for x in zip(*map(_unpacked, rows)))
         del rows
-        order = np.lexsort((v, h))
+        order = np.lexsort((v, c > 0, h))
         h, v, n, c = h[order], v[order], n[order], c[order]
         same_h = np.concatenate([[False], h[1:] == h[:-1]])
         # a node that several slices have counts once
@@ -159,10 +161,17 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         run = np.cumsum(~same_h) - 1
         total = np.bincount(run, np.where(c > 0, c, 1))
         some_common = np.bincount(run, c > 0) > 0
-        plain = (c == 0) & (total[run] >= 2)
+        plain = (c == 0) & (total[run] >= 2) & ~some_common[run]
         for a in range(0, int(plain.sum()), 200_000):
             i = np.flatnonzero(plain)[a : a + 200_000]
             yield _out(1, len(i), hash=h[i].view(np.int64), node=v[i], n=n[i], count=total[run[i]].astype(np.int64))
+        # a node can be plain in one slice and in the list of another
+        i = np.flatnonzero((c == 0) & some_common[run])
+        at = np.union1d(np.flatnonzero(np.diff(run[i], prepend=-1)), np.arange(0, len(i), 4096))
+        if len(i):
+            ends = [*at[1:].tolist(), len(i)]
+            vs, ns = v[i], n[i]
+            yield _out(2, len(at), hash=h[i[at]].view(np.int64), nodes=[vs[x:y].tobytes() for x, y in zip(at, ends)], sizes=[ns[x:y].tobytes() for x, y in zip(at, ends)])
         i = np.flatnonzero(~same_h)[some_common]
         if len(i):
             yield _out(3, len(i), hash=h[i].view(np.int64), count=total[some_common].astype(np.int64))
