@@ -47,3 +47,26 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[101].spans == "" and got[3].spans == got[3].base != ""
     few = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"), support=5, confident=0.7, block_patterns=1)
     assert {r.doc_id: r.spans for r in few.collect()} == {k: r.spans for k, r in got.items()}
+
+
+def test_patterns_find_written_forms_and_glued_identifiers(spark):
+    docs = [(i, f"please contact me at user{i}@mail{i}.org today or call me on +1 (706) 555-31{i:02} and my mail:u{i}@h{i}.net too") for i in range(12)]
+    forms = {100: "(743) 555-3824", 101: "743 555 3824", 102: "john at example dot com", 103: "john [at] example [dot] com", 104: "j.doe at example.com", 105: "743.555.3824"}
+    for i, f in forms.items():
+        docs.append((i, f"you can {'contact me at' if ' at' in f or '[at' in f else 'call me on'} {f}, thanks"))
+    docs += [(200, "write to my mail:jane(at)place, thanks"), (201, "my mail:none was sent")]
+    # the forms before count for their patterns, not against them
+    found = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"), support=5, confident=0.8)
+    got = {r.doc_id: r for r in found.collect()}
+    for i, f in forms.items():
+        t = dict(docs)[i]
+        assert got[i].base == "" and got[i].spans == f"{'email' if 'j' in f else 'phone'}:{t.index(f)}:{t.index(f) + len(f)}"
+    assert got[200].spans == "email:17:30" and got[201].spans == ""
+    assert all(got[i].spans == got[i].base for i in range(12))
+
+
+def test_forms():
+    card = "4111 1111 1111 1112"
+    assert pii.form(2, f"card {card} ok", 5, 27) == (5, 24) and pii.form(3, f"({card})", 0, 21) == (1, 20)
+    assert pii.form(3, "(555 123 4567)", 0, 14) == (1, 13)
+    assert pii.form(0, "look at home. Then go", 0, 21) is None and pii.form(0, "people at work", 0, 14) is None

@@ -1,10 +1,10 @@
 """Operator 2: personal data by patterns, and by bootstrapped contextual extraction.
 
 Base entities (email, ip, card, phone) come from fixed patterns with checks. They are the seeds: the two
-words before each make a lexical pattern for its kind. Patterns with enough different seeds are looked up in
-all texts; the words that follow them are instances: seeds, other tokens of the kind's shape, or ordinary
-words, which count against the pattern. Spark scores this graph in rounds: a pattern is as
-good as the share of its matches that are good instances, an instance as good as its patterns together. Tokens after
+words before each, the last one perhaps glued to it, make a lexical pattern for its kind. Patterns with enough different seeds are looked up in
+all texts; what follows them is an instance: a seed, another identifier of the kind's form (numbers and obfuscated addresses
+over several tokens, or a token of the kind's shape), or an ordinary word, which counts against the pattern. Spark scores this graph in rounds: a pattern is as
+good as the share of its matches that are good instances, an instance as good as its patterns together. Identifiers after
 a pattern of at least `confident` are found too, under the pattern's kind. Base spans stay as they are.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows get the same spans each. Null
@@ -101,6 +101,34 @@ def of_shape(kind: int, token: str) -> bool:
     return digits >= 8 and 10 * digits >= 7 * len(token)
 
 
+_SEP = r"[\x20.()\[\]\u2010-\u2015-]{0,3}"
+#: Digits as they are usually grouped: the most, up to 19, after which the number can end.
+_RUN = re.compile(rf"\+?[0-9](?:{_SEP}[0-9]){{7,18}}(?![0-9A-Za-z])")
+_B, _DOT = r"[\x20\t]{0,3}", r"(?:\.|[\x20\t]{1,3}(?:dot|\.)[\x20\t]{1,3}|[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:dot|\.)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
+_MARK = rf"{_B}(?:[\[({{<]{_B}(?:at|@){_B}[\])}}>]|@){_B}"
+_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"
+#: With a marked at, the host can be one name.
+_ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:(?:{_MARK}|[\x20\t]{{1,3}}at[\x20\t]{{1,3}}){_HOST}|{_MARK}[A-Za-z0-9-]{{1,63}}(?![A-Za-z0-9-]))", re.IGNORECASE)
+_BEFORE = re.compile(r"[^\w+]{0,6}")
+
+
+def form(kind: int, text: str, at: int, end: int) -> tuple[int, int] | None:
+    """Where an identifier in one of the kind's usual written forms begins and ends, if one starts at a place or after its punctuation."""
+    m = kind != 1 and (_ADDRESS if kind == 0 else _RUN).match(text, _BEFORE.match(text, at, end).end(), end)
+    if not m:
+        return None
+    a, e = m.span()
+    if kind and a and text[a - 1] in "([" and m[0].count(")") + m[0].count("]") > m[0].count("(") + m[0].count("["):
+        a -= 1
+    return a, e
+
+
+def _splits(token: str) -> list[int]:
+    """Places inside a token where an identifier can start: not between two letters or two digits."""
+    t = token[:201]
+    return [j for j in range(1, len(t)) if not (t[j - 1].isalpha() and t[j].isalpha() or t[j - 1].isdigit() and t[j].isdigit())]
+
+
 _BASE = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("seeds", pa.list_(pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())])))])
 _BASE_SQL = "doc_id long, hash long, n_email long, n_ip long, n_card long, n_phone long, base string, seeds array<struct<kind: int, pattern: string, instance: string>>"
 
@@ -126,6 +154,7 @@ def _matches(docs: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
 
     def run(batches):
         known = shared.value
+        firsts = {p.split(" ")[0] for p in known}
         counts: Counter = Counter()
 
         def flush():
@@ -137,32 +166,43 @@ def _matches(docs: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
             rows = []
             for doc_id, h, t in zip(*(c.to_pylist() for c in b.columns)):
                 ws = ["^", "^", *normal(t).split()]
-                found = [(i, p) for i, p in enumerate(map(" ".join, zip(ws, ws[1:]))) if p in known]
-                if not found or found[-1][0] + 2 >= len(ws) and len(found) == 1:
-                    continue
                 places = spans = None
-                for i, p in found:
-                    if i + 2 >= len(ws):
-                        continue
-                    w = ws[i + 2]
-                    if "0" not in w and "@" not in w and "at" not in w:
+                # (pattern, token after it or that it is glued in, where in the token)
+                found = [(p, i, 0) for i, p in enumerate(map(" ".join, zip(ws, ws[1:]))) if p in known and i + 2 < len(ws)]
+                for i, (first, w) in enumerate(zip(ws[1:], ws[2:])):
+                    if first in firsts and not w.isalpha():
+                        if places is None:
+                            places = [m.span() for m in _WORD.finditer(t)]
+                        a, e = places[i]
+                        found += ((p, i, j) for j in _splits(t[a:e]) if (p := f"{first} {normal(t[a : a + j])}") in known)
+                for p, i, j in found:
+                    near = " ".join(ws[i + 2 : i + (12 if 0 in known[p] else 4)])
+                    if "0" not in near and "@" not in near and "at" not in near:
                         for k in known[p]:
                             counts[k, p, "", False] += 1
                         continue
                     if places is None:
-                        places, spans = [m.span() for m in _WORD.finditer(t)], base_spans(t)
-                    a, e = places[i]
+                        places = [m.span() for m in _WORD.finditer(t)]
+                    if spans is None:
+                        spans = base_spans(t)
+                    start, e = places[i]
+                    a = start = start + j
                     while a < e and t[a] in _EDGES:
                         a += 1
                     while e > a and t[e - 1] in _EDGES:
                         e -= 1
                     over = [s for s in spans if s[0] < e and s[2] > a]
+                    until = min((s[0] for s in spans if s[0] >= e), default=len(t))
                     for k in known[p]:
                         same = next((s for s in over if s[1] == k), None)
                         if same:
                             counts[k, p, t[same[0] : same[2]].lower(), True] += 1
-                        elif not over and of_shape(k, t[a:e]):
-                            rows.append((k, p, t[a:e].lower(), False, doc_id, h, a, e, 1))
+                            continue
+                        place = None if over else form(k, t, start, until)
+                        if not over and of_shape(k, t[a:e]) and (place is None or place[1] < e):
+                            place = a, e
+                        if place:
+                            rows.append((k, p, t[place[0] : place[1]].lower(), False, doc_id, h, *place, 1))
                         else:
                             counts[k, p, "", False] += 1
             if rows:
