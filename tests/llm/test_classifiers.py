@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -73,9 +74,52 @@ def test_odd_tables(spark, labelled):
     assert sorted(r.label for r in sample_labelled(docs, odd, "quality", 100).collect()) == [0, 1]
 
 
-def test_dual_coordinate_descent():
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Rows of any length; the dual gap bounds the distance to the optimum."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((200, 3))
-    y = np.sign(x @ np.array([1.0, -2.0, 0.5]))
-    w = quality.dual_coordinate_descent([(np.arange(3), r) for r in x], y, 3, np.ones(200), 50, 1)
-    assert np.mean(np.sign(x @ w) == y) > 0.97
+    x = rng.standard_normal((200, 3)) * rng.uniform(0.2, 5, (200, 1))
+    x[7] = 0
+    y = np.where(x @ np.array([1.0, -2.0, 0.5]) >= 0, 1.0, -1.0)
+    cost = rng.uniform(0.5, 2, 200)
+    w = quality.dual_coordinate_descent([(np.arange(3), r) for r in x], y, 3, cost, 3000, 1, tolerance=1e-10)
+    assert np.mean(np.where(x @ w >= 0, 1, -1) == y) > 0.97
+
+    def loss(w):
+        return w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w))
+
+    # plain subgradient steps, which know nothing of the dual, find nothing better
+    best, v = loss(w), w.copy()
+    for t in range(1, 20_001):
+        active = y * (x @ v) < 1
+        v = v - (v - (cost * y * active) @ x) / (50 + t)
+        assert loss(v) >= best - 1e-6
+    assert loss(v) < best * 1.05
+    for _ in range(300):
+        assert loss(w + rng.standard_normal(3) * 10.0 ** rng.uniform(-6, 0)) >= best - 1e-9
+
+
+def likelihood(rows, grade, w, cuts, penalty):
+    out = 0.0
+    for (at, v), g in zip(rows, grade):
+        s = sum(w[k] * x for k, x in zip(at, v))
+        below = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+        out -= math.log(below[g + 1] - below[g]) / len(rows)
+    return out + penalty * sum(x * x for x in w) / 2
+
+
+def test_cumulative_link_fit_reaches_the_optimum():
+    """Against the likelihood in plain Python: no small change of a weight or of a cut makes it better."""
+    rng = np.random.default_rng(3)
+    x, true = rng.standard_normal((150, 4)), np.array([1.5, -1.0, 0.5, 0.0])
+    noisy = x @ true + rng.logistic(size=150)
+    grade = np.searchsorted([-0.5, 0.7, 1.9], noisy)
+    rows = [(list(range(4)), r.tolist()) for r in x]
+    w, cuts = toxicity.cumulative_link_fit(rows, grade, 4, penalty=1e-3, rounds=4000)
+    best = likelihood(rows, grade, w, cuts, 1e-3)
+    for k in range(7):
+        for step in (0.05, -0.05, 0.3, -0.3):
+            p = np.concatenate([w, cuts])
+            p[k] += step
+            if (np.diff(p[4:]) > 0).all():
+                assert likelihood(rows, grade, p[:4], p[4:], 1e-3) >= best - 1e-7
+    assert (np.sign(w[:3]) == np.sign(true[:3])).all() and best < likelihood(rows, grade, np.zeros(4), cuts, 1e-3)

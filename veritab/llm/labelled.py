@@ -14,9 +14,10 @@ from veritab.llm.wordhash import bounded, shingles, words
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: Column | None = None) -> DataFrame:
-    """(label, text, cluster) of at most about `most` labelled documents, those with the smallest hash of doc_id.
+    """(label, text, cluster) of at most `most` labelled documents, those with the smallest hash of doc_id.
 
-    Of several labels of one document the smallest counts; labels other than 0 and 1 don't. The sampled
+    Of several labels of one document the smallest counts; labels other than 0 and 1 don't. Of several rows of one
+    sampled doc_id one text counts, that with the smallest hash. The sampled
     ids are at most `most` rows, so they are broadcast to the texts, which then needn't be shuffled.
     cluster: equal for copies and most near copies (smallest hash among the runs of three words).
     """
@@ -26,7 +27,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, w
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(known), "doc_id").select("label", "text")
+    picked = texts.join(F.broadcast(known), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text")
     schema = pa.schema([("label", pa.int32()), ("text", pa.string()), ("cluster", pa.int64())])
 
     def cluster(batches):

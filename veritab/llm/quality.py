@@ -12,6 +12,7 @@ without labels. Null doc_id: not held out. Repeated rows are scored each. An emp
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -30,27 +31,34 @@ _REPEAT = re.compile(rb"([aA0])\1+")
 
 def shape_ngrams(text: bytes) -> set[bytes]:
     tokens, shapes = text.split(), _REPEAT.sub(rb"\1", text.translate(_CLASSES)).split()
-    shapes = [b"=" if t == before else s[:12] for t, before, s in zip(tokens, [None, *tokens], shapes)]
+    # a long shape goes by its digest, which stands for all of it
+    shapes = [b"=" if t == before else s if len(s) <= 16 else hashlib.blake2b(s, digest_size=8).digest() for t, before, s in zip(tokens, [None, *tokens], shapes)]
     out = set(shapes)
     out.update(map(b" ".join, zip(shapes, shapes[1:])))
     out.update(map(b" ".join, zip(shapes, shapes[1:], shapes[2:])))
     return out
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, cost: np.ndarray, epochs: int, seed: int) -> np.ndarray:
-    """Weights of a linear model with hinge loss and an L2 penalty; rows: (feature numbers, values) of length 1, y: 1 or -1."""
+def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, cost: np.ndarray, epochs: int, seed: int, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights of a linear model with hinge loss and an L2 penalty; rows: (feature numbers, values), y: 1 or -1.
+
+    Minimises |w|^2 / 2 + sum of cost * max(0, 1 - y * w.x). Rows of zeros don't change the weights.
+    """
     w, alpha, rng = np.zeros(n), np.zeros(len(rows)), np.random.default_rng(seed)
+    square = [float(v @ v) for _, v in rows]
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
+            if not square[i]:
+                continue
             at, v = rows[i]
             g = y[i] * (w[at] @ v) - 1
-            a = min(max(alpha[i] - g, 0.0), cost[i])
+            a = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             if a != alpha[i]:
                 w[at] += (a - alpha[i]) * y[i] * v
                 most = max(most, abs(a - alpha[i]))
                 alpha[i] = a
-        if most < 1e-3:
+        if most < tolerance:
             break
     return w
 

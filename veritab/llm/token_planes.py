@@ -17,7 +17,6 @@ An empty table gives no shard and no row. Other columns of the input don't matte
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.common import batch, open_fs, shared_dir, table, typed, write_atomically
-from veritab.llm.wordhash import bounded
+from veritab.llm.wordhash import Words, bounded, utf8
 
 MAGIC = b"VTPLANE1"
 BLOCK = 1 << 16
@@ -133,25 +132,66 @@ class PlaneReader:
             start += n
 
 
-_FAR_FROM_PLAIN = re.compile(r"\s\s|\A\s|\s\Z")
 _ENCODERS: dict = {}
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+
+
+def led_pieces(column: pa.Array) -> Words:
+    """Cuts texts, none of them empty, at each single space that has no white space beside it.
+
+    First bytes that white space beyond ASCII shares with other characters count as white space: that only leaves a text uncut there.
+    """
+    data, offsets = utf8(column)
+    n = len(data)
+    white = np.ones(n + 6, bool)
+    white[3:-3] = _WHITE[data]
+    cut = data == 0x20
+    cut &= ~(white[2 : n + 2] | white[4 : n + 4])
+    if n > 3 and data.max() >= 0x80:
+        lead = np.zeros(n + 6, bool)  # a character from here on may be white space of two or three bytes
+        pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
+        lead[3 : n + 2] = np.isin(pair, np.array([0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380], np.uint16))
+        cut &= ~(lead[4 : n + 4] | lead[:n] | lead[1 : n + 1])
+    cut[offsets[:-1]] = cut[offsets[1:] - 1] = False
+    at = np.flatnonzero(cut)
+    starts = np.sort(np.concatenate([offsets[:-1], at + 1]))
+    first = np.searchsorted(starts, offsets)
+    ends = np.append(starts[1:] - 1, n)
+    ends[first[1:] - 1] = offsets[1:]
+    return Words(data, starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first)
+
+
+def same_bytes(w: Words, like: np.ndarray, at_once: int = 1 << 18) -> bool:
+    """Has every piece the bytes of piece like[...]?"""
+    size = w.ends - w.starts
+    if not np.array_equal(size, size[like]):
+        return False
+    total = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
+        n = size[a:b]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(w.data[np.repeat(w.starts[a:b], n) + step], w.data[np.repeat(w.starts[like[a:b]], n) + step]):
+            return False
+        a = b
+    return True
 
 
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer always begins a new piece at a single space between two characters that aren't
-    white space, so the ids of such a text are those of its space-led pieces in a row. Pieces met
-    before come from a bounded cache; new ones are encoded many at a time, joined to one text, which
-    the ids that begin with a space cut again. Other texts (white space in a row or at an end, special
-    tokens' strings) are encoded whole.
+    white space, so the ids of such a text are those of its space-led pieces in a row. Equal pieces of a slice are found
+    by hash and checked byte by byte; pieces met before come from a table of bounded size; new ones are encoded many at a time,
+    joined to one text, which the ids that begin with a space cut again. Texts with special tokens' strings are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
@@ -159,49 +199,108 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.led = np.zeros(max(vocab.values()) + 1, bool)
         self.led[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        """The table: hashes ascending; of each piece its place and size in keys, and the place and number of its ids in flat."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.where = np.zeros((0, 4), np.int32)
+        self.keys, self.flat = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _led_pieces(self, pieces: list[str], at_once: int = 2000) -> None:
+    def _led_ids(self, pieces: list[bytes], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each with a space before it, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(pieces), at_once):
-            some = pieces[k : k + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.led[ids]) * 4
-            if len(cuts) != len(some):
-                self.young.update(zip(some, self._raw([" " + p for p in some])))
-                continue
-            raw, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
-            self.young.update((p, raw[i:j]) for p, i, j in zip(some, cuts, cuts[1:]))
+            some = b" " + b" ".join(pieces[k : k + at_once])
+            n = min(at_once, len(pieces) - k)
+            if some.count(b" ") == n:
+                ids.append(self._raw([some.decode()])[0])
+                cuts = np.flatnonzero(self.led[ids[-1]])
+                if len(cuts) == n:
+                    sizes.append(np.diff(cuts, append=len(ids[-1])))
+                    continue
+                ids.pop()
+            each = self._raw([" " + p.decode() for p in pieces[k : k + at_once]])
+            ids += each
+            sizes.append(np.fromiter(map(len, each), np.int64, n))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _known(self, w: Words, h: np.ndarray, first: np.ndarray) -> np.ndarray | None:
+        """Rows of the table for the pieces first[...] with ascending hashes h; learns new ones. None if a hash stands for two pieces."""
+        at = np.searchsorted(self.hashes, h)
+        met = np.zeros(len(h), bool)
+        met[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == h[at < len(self.hashes)]
+        rows = self.where[at[met]]
+        both = Words(np.concatenate([w.data, self.keys]), np.concatenate([w.starts[first[met]], len(w.data) + rows[:, 0]]), np.concatenate([w.ends[first[met]], len(w.data) + rows[:, 0] + rows[:, 1]]), w.doc, w.first)
+        if not same_bytes(both, np.tile(np.arange(len(rows), 2 * len(rows)), 2)):
+            return None
+        del both
+        fresh = first[~met]
+        if len(fresh):
+            if len(self.hashes) + len(fresh) > self.most or len(self.keys) > 32 * self.most or len(self.flat) > 32 * self.most:
+                # start again with what this slice has
+                self._forget()
+                met[:] = False
+                fresh = first
+            starts, size = w.starts[fresh], w.ends[fresh] - w.starts[fresh]
+            raw = w.data.tobytes()
+            ids, count = self._led_ids([raw[i:j] for i, j in zip(starts.tolist(), (starts + size).tolist())])
+            del raw
+            places = np.stack([len(self.keys) + np.cumsum(size) - size, size, len(self.flat) + np.cumsum(count) - count, count], 1).astype(np.int32)
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self.keys = np.concatenate([self.keys, w.data[np.repeat(starts, size) + step]])
+            self.flat = np.concatenate([self.flat, ids])
+            merged = np.concatenate([self.hashes, h[~met]])
+            order = np.argsort(merged, kind="stable")
+            self.hashes, self.where = merged[order], np.concatenate([self.where, places])[order]
+        return self.where[np.searchsorted(self.hashes, h)]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray] | None:
+        """Ids of texts without special tokens' strings; none if a hash stands for two pieces."""
+        w = led_pieces(pa.array(texts, pa.large_string()))
+        h, first, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if not same_bytes(w, first[place]):
+            return None
+        led = np.ones(len(w.starts), bool)
+        led[w.first[:-1]] = False
+        used = np.zeros(len(h), bool)
+        used[place[led]] = True
+        rows = np.zeros((len(h), 4), np.int32)
+        known = self._known(w, h[used], first[used])
+        if known is None:
+            return None
+        rows[used] = known
+        heads = self._raw([w.data[i:j].tobytes().decode() for i, j in zip(w.starts[w.first[:-1]].tolist(), w.ends[w.first[:-1]].tolist())])
+        # ids of the table, then of the texts' first pieces, which have no space before them
+        head_size = np.fromiter(map(len, heads), np.int64, len(heads))
+        start, count = np.empty(len(led), np.int64), np.empty(len(led), np.int64)
+        start[led], count[led] = rows[place[led], 2], rows[place[led], 3]
+        start[~led], count[~led] = len(self.flat) + np.cumsum(head_size) - head_size, head_size
+        ends = np.cumsum(count)
+        ids = np.concatenate([self.flat, *heads])[np.repeat(start - ends + count, count) + np.arange(int(ends[-1]))]
+        cuts = ends[w.first[1:] - 1].tolist()
+        return [ids[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [b""] * len(texts)
-        led: dict[int, list[str]] = {}
-        whole = []
+        out: list = [np.zeros(0, "<u4")] * len(texts)
+        plain, whole = [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.by_piece or _FAR_FROM_PLAIN.search(t) or any(s in t for s in self.special):
-                whole.append(i)
+            if t:
+                (plain if self.by_piece and not any(s in t for s in self.special) else whole).append(i)
+        if plain:
+            found = self._plain([texts[i] for i in plain])
+            if found is None:
+                whole += plain
             else:
-                led[i] = t.split(" ")
-        if len(self.young) > self.most // 2:
-            self.old, self.young = self.young, {}
-        new = set().union(*(p[1:] for p in led.values())).difference(self.young)
-        if self.old:
-            for p in [p for p in new if p in self.old]:
-                self.young[p] = self.old[p]
-                new.discard(p)
-        self._led_pieces(list(new))
-        get = self.young.__getitem__
-        for (i, p), head in zip(led.items(), self._raw([p[0] for p in led.values()])):
-            out[i] = head + b"".join(map(get, p[1:]))
-        for i, raw in zip(whole, self._raw([texts[i] for i in whole])):
-            out[i] = raw
-        return [np.frombuffer(b, "<u4") for b in out]
+                for i, ids in zip(plain, found):
+                    out[i] = ids
+        for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
