@@ -60,7 +60,7 @@ def test_stages(spark, sf_dir):
     assert sum(d in toxic for d in ids) <= 0.03 * len(toxic) and sum(r[0] not in toxic and r[0] not in ids for r in raw) <= 0.01 * len(raw)
 
     groups = linked([r[:2] for r in kept], 5, 80)
-    stay = {r for r, (d, _, c) in zip(kept, groups) if d is None or d == c}
+    stay = [r for r, (d, n, c) in zip(kept, groups) if not n or d is None or d == c]
     assert sorted(map(key, out["near_duplicates"])) == sorted(map(key, stay))
 
     hit = {r: contaminated(r[1], items) for r in out["near_duplicates"]}
@@ -84,5 +84,33 @@ def test_stages(spark, sf_dir):
     assert sorted((str(r[0]), r[3]) for r in out["token_ids"]) == want
 
 
+CLASH = [*COLUMNS, "row", "ROW_", "mix_key", "mix_times", "mix_copy", "mix_copies", "group", "stays", "key"]
+CLASH_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH[5:])
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir):
+    """Null, empty and very long texts, repeats, ids that repeat or are missing; columns with the stages' own names come back as they were."""
+    base, *_ = sf_dir
+    rng = random.Random(5)
+    long, near = text(rng, 30_000), text(rng, 60)
+    rows = [(1, None), (1, None), (2, ""), (3, long), (4, long + " end"), (5, near), (5, near + " tail"), (5, text(rng, 40)), (None, near), (None, text(rng, 40)), (6, text(rng, 50)), (6, None)]
+    extra = [f"x{k}" for k in range(len(CLASH) - 5)]
+    full = [(d, t, "en", "a", None if t is None else len(t), *extra) for d, t in rows]
+    docs = spark.createDataFrame(full, CLASH_SCHEMA)
+    none = spark.createDataFrame([], CLASH_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [tuple(r) for r in stage(spark, docs, base).collect()]
+        assert all(r[5:] == tuple(extra) and r[2:4] == ("en", "a") for r in got)
+        assert stage(spark, none, base).columns == CLASH and stage(spark, none, base).count() == 0
+        if name == "near_duplicates":
+            # long and its near copy: one row; near three times: the one with an id, the smaller hash of two
+            assert sorted(str(r[0]) for r in got) == sorted(map(str, [1, 1, 2, 3, 5, 5, None, 6, 6]))
+            assert sum((r[1] or "").startswith(near) for r in got) == 1
+        if name in ("toxicity", "decontamination"):
+            assert sorted(map(str, got)) == sorted(map(str, full))
+    assert corpus_pipeline.token_ids(spark, docs, base).count() == len(rows)
+    assert corpus_pipeline.token_ids(spark, none, base).count() == 0
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir[0]).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

@@ -3,17 +3,19 @@
 A document's set is that of its distinct word shingles, as 64-bit hashes. Documents with one set are one node.
 Two nodes link when their sets' Jaccard similarity reaches the threshold, tested in whole numbers.
 
-1. Every (shingle, node) goes, packed, to a bucket of the hash space, which counts the nodes of each shingle. Only shingles
+1. Every (shingle, node) goes, packed, to a bucket of the hash space, which counts the nodes of each shingle. There are as many
+   buckets as the texts' bytes ask for, so a bucket's size doesn't grow with the table. Only shingles
    of two nodes or more go on: no other counts in an intersection. A shingle that is common within a slice of texts sends
    one count there, while its nodes stay spread and get the total by a join: no task gathers a common shingle. If it isn't
    common in all slices, its other nodes take that way too, where equal (shingle, node) of several slices become one.
    A common shingle's count is that of its slices together, copies included; it only orders shingles.
 2. Of each set, rarest first, a prefix is kept such that linked sets share a shingle of their prefixes. Components over shared prefix
    shingles hold all links between them.
-3. Each candidate component has inverted lists. A node's short lists are merged; nodes that occur often enough, and that
-   aren't linked to it already through others, are probed by binary search in the long lists. Found links
-   that join two parts are kept, at most one a node. Components of more than `block` nodes lose those that a leader
-   settles, and the rest is searched in pairs of blocks.
+3. Each candidate component has inverted lists. A node's short lists are merged on a heap, which skips what can't occur often
+   enough (MergeSkip); nodes that do, and that aren't linked to it already through others, are probed by binary search in
+   the long lists. Found links that join two parts are kept, at most one a node. Components with more than `block` rows
+   (shingles of nodes) lose those nodes that a leader settles; the rest is cut to bands of set size, as linked sets
+   stand in one band or two beside each other, and to blocks in a band, and only blocks of such bands meet.
 4. Components of the links.
 
 Null and empty texts have empty sets and link with nothing. Fewer words than a shingle: all of them are one shingle. Null doc_id
@@ -22,6 +24,11 @@ takes part, but never gives a component its id. Rows that repeat a doc_id are do
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +37,10 @@ from pyspark.sql import Window
 
 from veritab.llm.common import batch, table, typed, written
 from veritab.llm.components import components
-from veritab.llm.wordhash import bounded, mix, shingles, words
+from veritab.llm.wordhash import bounded, give_back, mix, shingles, words
 
 _COMMON = 16  # more nodes of a slice than these share a shingle: only its count goes to its bucket
+_BUCKET_BYTES = 8 << 20  # text bytes a bucket of shingles
 _PACK = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _PACK_SQL = "bucket long, hashes binary, places binary, nodes binary, sizes binary"
 #: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: nodes of a shingle that is common in some slice (hash, nodes, sizes); 3: its count (hash, count)
@@ -135,22 +143,22 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 rows.append((-1 - buckets - (turn % buckets), each.tobytes(), times.astype("<i8").tobytes(), hot[1].tobytes(), hot[2].tobytes()))
             yield batch(_PACK, [list(c) for c in zip(*rows)])
 
-    def count(key, t):
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = key[0].as_py()
-        rows = t.to_pylist()
         if k < -buckets:
-            for r in rows:
+            for r in (r for t in batches for r in t.to_pylist()):
                 h, times, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "places", "nodes", "sizes"))
                 at = [0, *np.cumsum(times).tolist()]
                 yield _out(2, len(h), hash=h, nodes=[v[x:y].tobytes() for x, y in zip(at, at[1:])], sizes=[n[x:y].tobytes() for x, y in zip(at, at[1:])])
             return
         if k < 0:
-            for r in rows:
+            for r in (r for t in batches for r in t.to_pylist()):
                 ids, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "nodes", "sizes"))
                 missing = np.frombuffer(r["places"], np.uint8) == 0
                 yield _out(0, len(v), doc_id=pa.array(ids, mask=missing), node=v, n=n)
             return
-        h, v, n, c = (np.concatenate(x) for x in zip(*map(_unpacked, rows)))
+        rows = [_unpacked(r) for t in batches for r in t.to_pylist()]
+        h, v, n, c = (np.concatenate(x) for x in zip(*rows))
         del rows
         order = np.lexsort((v, c > 0, h))
         h, v, n, c = h[order], v[order], n[order], c[order]
@@ -175,9 +183,11 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         i = np.flatnonzero(~same_h)[some_common]
         if len(i):
             yield _out(3, len(i), hash=h[i].view(np.int64), count=total[some_common].astype(np.int64))
+        del h, v, n, c, order, same_h, keep, run, total, plain, i
+        give_back()
 
     packs = d.mapInArrow(send, _PACK_SQL)
-    counted = packs.groupBy("bucket").applyInArrow(lambda key, t: pa.Table.from_batches(list(count(key, t)), _OUT), _OUT_SQL)
+    counted = packs.groupBy("bucket").applyInArrow(count, _OUT_SQL)
     return written(counted, "jaccard-shingles")
 
 
@@ -193,56 +203,61 @@ def occurrence_links(h: np.ndarray, v: np.ndarray, size: np.ndarray, percent: in
     order = np.lexsort((v, h))
     h, v = h[order], v[order]
     head = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-    stop = np.append(head[1:], len(h))
-    lists = np.repeat(np.arange(len(head)), stop - head)
-    order = np.argsort(v, kind="stable")
-    lists_of, cut = lists[order], np.searchsorted(v[order], np.arange(len(size) + 1))
-    place = np.empty(len(v), np.int64)
-    place[:] = np.arange(len(v))
-    own_place = place[order]  # where a node stands in each of its lists
+    lists = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    own = np.argsort(v, kind="stable")  # where each node stands in its lists
+    heads, own, cut = head[lists[own]].tolist(), own.tolist(), np.searchsorted(v[own], np.arange(len(size) + 1)).tolist()
+    nodes, sizes = v.tolist(), size.tolist()
     part = np.arange(len(size))  # smallest label wins; relabelled as parts join
     links = []
     for q in range(1, len(size)):
-        need = -(-percent * size[q] // 100)
-        mine = slice(cut[q], cut[q + 1])
+        need = -(-percent * sizes[q] // 100)
         if cut[q + 1] - cut[q] < need:
             continue
-        low = np.searchsorted(size[:q], need)
+        low = int(np.searchsorted(size[:q], need))
         if low == q or (part[low:q] == part[q]).all():
             continue
-        a, b = head[lists_of[mine]], own_place[mine]  # entries before the node's own
-        length = b - a
-        by_length = np.argsort(length, kind="stable")
-        longest = max(2, int(length.max()))
-        n_long = int(min(need - 1, need / (0.01 * np.log2(longest) + 1)))
-        short, long_ones = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
-        total = int(length[short].sum())
-        if not total:
-            continue
-        starts, sizes = a[short], length[short]
-        merged = v[np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total)]
-        count = np.bincount(merged[merged >= low] - low, minlength=q - low)
-        found = np.flatnonzero(count >= max(1, need - n_long))
-        found = found[part[found + low] != part[q]]
-        if not len(found):
+        # of each list the entries before the node's own, from the smallest set that can link
+        mine = [(bisect_left(nodes, low, heads[i], own[i]), own[i]) for i in range(cut[q], cut[q + 1])]
+        mine = sorted((x for x in mine if x[0] < x[1]), key=lambda x: x[1] - x[0])
+        if len(mine) < need:
             continue
-        count, found = count[found], found + low
-        target = -(-percent * (size[q] + size[found]) // (100 + percent))
-        for k, i in enumerate(long_ones):
-            alive = count + (len(long_ones) - k) >= target
-            if not alive.all():
-                found, count, target = found[alive], count[alive], target[alive]
-                if not len(found):
+        longest = max(2, mine[-1][1] - mine[-1][0])
+        n_long = int(min(need - 1, need / (0.01 * math.log2(longest) + 1)))
+        short, long_ones = mine[: len(mine) - n_long], mine[len(mine) - n_long :]
+        times = need - n_long  # so often at least a node stands in the short lists
+        heap = [(nodes[a], a, b) for a, b in short]
+        heapq.heapify(heap)
+        while len(heap) >= times:
+            c, popped = heap[0][0], []
+            while heap and heap[0][0] == c:
+                popped.append(heapq.heappop(heap))
+            if len(popped) < times:
+                # skip to what the last list needed for enough occurrences has
+                while len(popped) < times - 1:
+                    popped.append(heapq.heappop(heap))
+                until = heap[0][0]
+                for _, a, b in popped:
+                    a = bisect_left(nodes, until, a, b)
+                    if a < b:
+                        heapq.heappush(heap, (nodes[a], a, b))
+                continue
+            for _, a, b in popped:
+                if a + 1 < b:
+                    heapq.heappush(heap, (nodes[a + 1], a + 1, b))
+            if part[c] == part[q]:
+                continue
+            n, target = len(popped), -(-percent * (sizes[q] + sizes[c]) // (100 + percent))
+            for k, (a, b) in enumerate(long_ones):
+                if n + n_long - k < target:
                     break
-            entries = v[a[i] : b[i]]
-            if len(entries):
-                p = np.searchsorted(entries, found)
-                count = count + ((p < len(entries)) & (entries[np.minimum(p, len(entries) - 1)] == found))
-        for c, n in zip(found.tolist(), count.tolist()):
-            if 100 * n >= percent * (size[q] + size[c] - n) and part[c] != part[q]:
+                a = bisect_left(nodes, c, a, b)
+                n += a < b and nodes[a] == c
+            if 100 * n >= percent * (sizes[q] + sizes[c] - n):
                 links.append((int(rank[q]), int(rank[c])))
                 keep, gone = min(part[c], part[q]), max(part[c], part[q])
                 part[part == gone] = keep
+                if (part[low:q] == part[q]).all():
+                    break
     return links
 
 
@@ -263,57 +278,82 @@ def _common(rows: DataFrame) -> DataFrame:
 
 
 def _around_leaders(kept: DataFrame, candidates: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """What is left to search of candidates (node, root), and links (a, b) of large components to their leaders.
+    """What is left to search of candidates (node, root, n, m), and links (a, b) of large components to their leaders.
 
-    A component of more than `block` nodes is compared with its smallest node first. Nodes that link to it are one part, so they needn't meet each
+    A component of more than `block` rows is compared with one of its nodes first. Nodes that link to it are one part, so they needn't meet each
     other. As 1 - similarity is a metric, one of them can link to a node outside only if it is nearly as far from the leader: the
     others are done.
     """
-    large = candidates.groupBy("root").agg(F.count("*").alias("nodes"), F.min("node").alias("leader")).where(F.col("nodes") > block).select("root", "leader")
+    large = candidates.groupBy("root").agg(F.sum("m").alias("rows"), F.min("node").alias("leader")).where(F.col("rows") > block).select("root", "leader")
     members = written(candidates.join(large, "root", "left"), "jaccard-members")
-    rows = kept.join(members.where("leader is not null"), "node")
+    rows = kept.join(members.where("leader is not null").drop("n"), "node")
     lead = rows.where("node = leader").select("root", "hash", F.col("n").alias("n_leader"))
     # every member has at least a row: what it shares with the leader is counted before the exchange
-    shared = rows.join(lead, ["root", "hash"], "left").groupBy("node", "root", "leader", "n").agg(F.count("n_leader").alias("both"))
+    shared = rows.join(lead, ["root", "hash"], "left").groupBy("node", "root", "leader", "n", "m").agg(F.count("n_leader").alias("both"))
     sizes = lead.select("root", "n_leader").distinct()
     far = shared.join(sizes, "root").withColumn("union", F.col("n") + F.col("n_leader") - F.col("both"))
     far = far.withColumn("linked", 100 * F.col("both") >= percent * F.col("union")).withColumn("distance", 1 - F.col("both") / F.col("union"))
-    far = written(far.select("node", "root", "leader", "linked", "distance"), "jaccard-leaders")
+    far = written(far.select("node", "root", "n", "m", "leader", "linked", "distance"), "jaccard-leaders")
     outside = far.where("not linked").groupBy("root").agg(F.min("distance").alias("nearest"))
     left = far.join(outside, "root").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
     star = far.where("linked and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    return members.where("leader is null").select("node", "root").unionByName(left.select("node", "root")), star
+    columns = ["node", "root", "n", "m"]
+    return members.where("leader is null").select(columns).unionByName(left.select(columns)), star
+
+
+def _meetings(candidates: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, root, i_band, i, j_band, j): which pair of blocks of its component a node takes part in; all -1 and 0 for components of one block."""
+    width = max(math.log(100 / percent) * (1 + 1e-9), 1e-9)
+    banded = candidates.withColumn("band", F.floor(F.log("n") / width))
+    bands = banded.groupBy("root", "band").agg(F.sum("m").alias("rows")).groupBy("root")
+    bands = bands.agg(F.sum("rows").alias("rows"), F.collect_list(F.struct("band", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))).alias("bands"))
+    met = banded.join(bands.where(F.col("rows") > block).select("root", "bands"), "root", "left")
+    own = F.filter("bands", lambda x: x["band"] == F.col("band"))[0]["blocks"]
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int"))
+
+    def pairs(x):
+        def pair(k):
+            before = (x["band"] < F.col("band")) | ((x["band"] == F.col("band")) & (k < F.col("own")))
+            here, there = (F.col("band"), F.col("own")), (x["band"], k)
+            names = ("i_band", "i", "j_band", "j")
+            return F.when(before, F.struct(*(c.alias(m) for c, m in zip((*there, *here), names)))).otherwise(F.struct(*(c.alias(m) for c, m in zip((*here, *there), names))))
+
+        return F.transform(F.sequence(F.lit(0), x["blocks"] - 1), pair)
+
+    beside = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("i_band"), F.lit(0).alias("i"), F.lit(-1).cast("long").alias("j_band"), F.lit(0).alias("j")))
+    return met.select("node", "root", F.explode(F.when(F.col("bands").isNull(), alone).otherwise(F.flatten(F.transform(beside, pairs)))).alias("pair")).select("node", "root", "pair.*")
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, buckets: int | None = None, block: int = 5_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, buckets: int | None = None, block: int = 40_000) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document. A search task holds two blocks of about `block` rows."""
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        most = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // _BUCKET_BYTES))
     rows = shared_shingles(docs, size, buckets)
     documents = rows.where("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
     shared = rows.where("kind = 1").select(_SHARED.names).unionByName(_common(rows))
     # sets rarest first: shingles of one node alone come before all shared ones
     own = Window.partitionBy("node")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("count", "hash")))
+    kept = shared.withColumn("m", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("count", "hash")))
     # a set whose prefix has no shared shingle links with nothing: all its rows go
-    kept = kept.where(F.col("alone") < prefix).select("hash", "node", "n", (F.col("rank") <= prefix - F.col("alone")).alias("early"))
+    alone = F.col("n") - F.col("m")
+    kept = kept.where(alone < prefix).select("hash", "node", "n", "m", (F.col("rank") <= prefix - alone).alias("early"), (F.col("rank") == 1).alias("head"))
     kept = written(kept, "jaccard-kept")
     ranked = kept.where("early").select("hash", "node")
     first = ranked.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("times")).where("times > 1").select("hash", "b")
     edges = ranked.join(first, "hash").select(F.col("node").alias("a"), "b")
-    candidates = components(edges)
+    candidates = components(edges).join(kept.where("head").select("node", "n", "m"), "node")
+    kept = kept.select("hash", "node", "n")
     candidates, star = _around_leaders(kept, candidates, percent, block)
-    # blocks of large components meet in pairs
-    many = candidates.groupBy("root").agg(F.count("*").alias("nodes")).withColumn("blocks", F.ceil(F.col("nodes") / block).cast("int"))
-    candidates = candidates.join(many, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    candidates = candidates.select("node", "root", F.explode(pair).alias("pair")).select("node", "root", "pair.i", "pair.j")
-    tasks = kept.join(candidates, "node").select("root", "i", "j", "hash", "node", "n")
-    tasks = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    keys = ["root", "i_band", "i", "j_band", "j"]
+    tasks = kept.join(_meetings(candidates, percent, block), "node").select(*keys, "hash", "node", "n")
+    tasks = tasks.repartition(*keys).sortWithinPartitions(*keys)
 
     def search(batches):
         held: list[np.ndarray] = []
@@ -328,8 +368,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, bucket
 
         last = None
         for b in batches:
-            c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            key = np.stack(c[:3], 1)
+            c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            key = np.stack(c[:5], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
@@ -341,9 +381,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, bucket
                     if out:
                         yield out
                 last = this
-                held.append([p[x:y] for p in c[3:]])
+                held.append([p[x:y] for p in c[5:]])
         if held and (out := links([np.concatenate(p) for p in zip(*held)])):
             yield out
+        give_back()
 
     found = written(tasks.mapInArrow(search, "a long, b long").unionByName(star), "jaccard-links")
     roots = components(found)

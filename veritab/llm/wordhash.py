@@ -168,10 +168,11 @@ def bounded(batches, column: str = "text", most: int = 4 << 20):
             yield b.slice(i, j - i)
             i = j
         del b
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
