@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import shared_dir, table
+from veritab.llm.common import fresh, shared_dir, table, written
 from veritab.llm.decontaminate import decontaminate
 from veritab.llm.jaccard_join import jaccard_components
 from veritab.llm.mix_sources import document_key, mix
@@ -18,39 +18,64 @@ from veritab.llm.toxicity import fit_toxicity, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model rejects go. Null and empty texts stay."""
+    """Documents that the severity model rejects go.
+
+    Null and empty texts stay; very long texts are scored whole; repeated rows fare alike; an empty table gives no rows; other columns are kept.
+    """
     return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays.
+    """Of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, one row stays: that with the smallest doc_id.
 
-    Repeated rows count once. Null and empty texts link with nothing and stay, as do rows without doc_id.
+    Ties of doc_id go to the smaller hash of the text, then to the row read first; a null doc_id counts as the largest. Repeated rows are linked,
+    so one of them stays. Null and empty texts link with nothing and all stay. Very long texts are compared whole. An empty table gives no rows. Other
+    columns are kept, whatever their names.
     """
-    groups = jaccard_components(docs, size=5, percent=80)
-    stay = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    row = fresh(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")
+    text = F.col("text").cast("string")
+    groups = jaccard_components(numbered.select(F.col(row).alias("doc_id"), text.alias("text")), size=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash")).join(groups, "row")
+    stay = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row"))["row"].alias(row)).select(row)
+    return numbered.join(stay, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten words or more from benchmark items are cut out; a document of which they are more than half goes."""
+    """Passages of ten words or more from benchmark items are cut out; a document of which they are more than half goes.
+
+    Null and empty texts have no words and stay as they are; very long texts are streamed whole; repeated rows fare alike; an empty
+    table gives no rows; other columns are kept, but that n_chars counts what is left of the text.
+    """
     cut = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (0 to 3 times)."""
-    taken = mix(docs).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("mix_key", document_key()).join(taken.withColumnRenamed("key", "mix_key"), "mix_key")
+    """Documents as often as the mix of sources takes them (0 to 3 times).
+
+    Null and empty texts have no words and are taken 0 times; a very long text weighs as all its words. Rows with one doc_id, source
+    and text share what they are taken together, however their other columns differ. Null source is a source. An empty table gives no rows.
+    Other columns are kept, whatever their names.
+    """
+    key, times, copy = fresh(docs, "mix_key"), fresh(docs, "mix_times"), fresh(docs, "mix_copy")
+    copies, rows = fresh(docs, "mix_copies"), fresh(docs, "mix_rows")
+    taken = mix(docs).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    keyed = docs.withColumn(key, document_key()).join(taken, key)
     # rows that are alike share what they are taken together
-    number = F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key"))
-    times = F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int")
-    return keyed.withColumn("mix_times", times.cast("int")).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(docs.columns)
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    share = F.floor(F.col(copies) / F.col(rows)) + (number <= F.col(copies) % F.col(rows)).cast("int")
+    keyed = keyed.withColumn(times, share.cast("int")).where(F.col(times) > 0)
+    return keyed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids as byte planes and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the token ids as byte planes and reads them back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts give the end id alone; very long texts are encoded whole; repeated rows are documents each; null doc_id comes last;
+    an empty table gives no rows; other columns don't matter.
+    """
     return token_planes(docs)
 
 
