@@ -1,11 +1,15 @@
 """Operator 2: personal data by patterns, and by bootstrapped contextual extraction.
 
-Base entities (email, ip, card, phone) come from fixed patterns with checks. They are the seeds: the two
-words before each, the last one perhaps glued to it, make a lexical pattern for its kind. Patterns with enough different seeds are looked up in
-all texts; what follows them is an instance: a seed, another identifier of the kind's form (numbers and obfuscated addresses
-over several tokens, or a token of the kind's shape), or an ordinary word, which counts against the pattern. Spark scores this graph in rounds: a pattern is as
-good as the share of its matches that are good instances, an instance as good as its patterns together. Identifiers after
-a pattern of at least `confident` are found too, under the pattern's kind. Base spans stay as they are.
+Base entities (email, ip, card, phone) come from fixed patterns with checks; they are the seeds. Candidates are what is written
+in a usual form of an identifier (grouped digits, obfuscated addresses, IPv6) and isn't a seed. Every occurrence of a seed or a candidate has
+lexical patterns: the one, two and three tokens before it, the one and two after it (tokens are runs of letters and digits, or
+one other character, so that glued text makes no difference), its form (digits as 0, letters as a), and two tokens with the form.
+
+Patterns that at least `support` different instances have make, with the instances, a graph, which Spark scores in rounds. A pattern is as good as
+the share of all places it stands in that hold good instances; all texts are counted for that, so an ordinary word is no
+pattern. A seed is good; a candidate is as good as its patterns together, where the pattern in question doesn't speak for
+itself. A pattern counts when at least `support` good instances have it: seeds, or candidates accepted in a round before.
+Candidates with a counting pattern of at least `confident` are found, under the pattern's kind; of overlapping ones the surest, then the longest. Base spans stay as they are.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows get the same spans each. Null
 doc_id is kept. An empty table gives no rows. Other columns don't matter. Texts of any length take linear time.
@@ -15,14 +19,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import batch, table, written
-from veritab.llm.wordhash import bounded
+from veritab.llm.wordhash import Words, bounded, mix, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -75,193 +82,265 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_ZEROS = str.maketrans("123456789", "000000000")
-
-
-def normal(text: str) -> str:
-    return text.lower().translate(_ZEROS)
-
-
-def context(text: str, start: int) -> str:
-    """The two words before a place."""
-    ws = normal(text[max(0, start - 200) : start]).split()[-2:]
-    return " ".join(["^"] * (2 - len(ws)) + ws)
-
-
-_EDGES = "\"'`([{<>}]),.;:!?*#$%&=|"
-
-
-def of_shape(kind: int, token: str) -> bool:
-    """Could the token be an identifier of the kind, though no base pattern takes it?"""
-    digits = sum("0" <= c <= "9" for c in token)
-    if kind == 0:
-        return len(token) >= 6 and ("@" in token or "(at)" in token or "[at]" in token)
-    if kind == 1:
-        return digits >= 4 and (token.count(".") >= 3 or token.count(":") >= 3)
-    return digits >= 8 and 10 * digits >= 7 * len(token)
-
-
-_SEP = r"[\x20.()\[\]\u2010-\u2015-]{0,3}"
-#: Digits as they are usually grouped: the most, up to 19, after which the number can end.
-_RUN = re.compile(rf"\+?[0-9](?:{_SEP}[0-9]){{7,18}}(?![0-9A-Za-z])")
-_B, _DOT = r"[\x20\t]{0,3}", r"(?:\.|[\x20\t]{1,3}(?:dot|\.)[\x20\t]{1,3}|[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:dot|\.)[\x20\t]{0,3}[\])}>][\x20\t]{0,3})"
-_MARK = rf"{_B}(?:[\[({{<]{_B}(?:at|@){_B}[\])}}>]|@){_B}"
-_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"
-#: With a marked at, the host can be one name.
-_ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:(?:{_MARK}|[\x20\t]{{1,3}}at[\x20\t]{{1,3}}){_HOST}|{_MARK}[A-Za-z0-9-]{{1,63}}(?![A-Za-z0-9-]))", re.IGNORECASE)
-_BEFORE = re.compile(r"[^\w+]{0,6}")
-
-
-def form(kind: int, text: str, at: int, end: int) -> tuple[int, int] | None:
-    """Where an identifier in one of the kind's usual written forms begins and ends, if one starts at a place or after its punctuation."""
-    m = kind != 1 and (_ADDRESS if kind == 0 else _RUN).match(text, _BEFORE.match(text, at, end).end(), end)
-    if not m:
-        return None
-    a, e = m.span()
-    if kind and a and text[a - 1] in "([" and m[0].count(")") + m[0].count("]") > m[0].count("(") + m[0].count("["):
-        a -= 1
-    return a, e
-
-
-def _splits(token: str) -> list[int]:
-    """Places inside a token where an identifier can start: not between two letters or two digits."""
-    t = token[:201]
-    return [j for j in range(1, len(t)) if not (t[j - 1].isalpha() and t[j].isalpha() or t[j - 1].isdigit() and t[j].isdigit())]
-
-
-_BASE = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("seeds", pa.list_(pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())])))])
-_BASE_SQL = "doc_id long, hash long, n_email long, n_ip long, n_card long, n_phone long, base string, seeds array<struct<kind: int, pattern: string, instance: string>>"
+# --- candidates -------------------------------------------------------------------------------------------------
+
+_STRETCH = re.compile(r"\+?[(\[]?[0-9](?:[\x20.()\[\]/\u2010-\u2015-]{0,3}[0-9])+")
+_TOKEN = re.compile(r"[^\x20]+")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])")
+_B = r"[\x20\t]{0,3}"
+_AT = re.compile(rf"{_B}(?:[\[({{<]{_B}(?:at|@){_B}[\])}}>]|@){_B}|[\x20\t]{{1,3}}at[\x20\t]{{1,3}}", re.IGNORECASE)
+_DOT = rf"(?:\.|[\x20\t]{{1,3}}(?:dot|\.)[\x20\t]{{1,3}}|{_B}[\[({{<]{_B}(?:dot|\.){_B}[\])}}>]{_B})"
+_HOST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.IGNORECASE)
+_LONE = re.compile(r"[A-Za-z0-9-]{1,63}(?![A-Za-z0-9-])")  # after a marked at, the host can be one name
+_NAME = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}\Z", re.IGNORECASE)
+_MOST_GROUPS = 5  # of digits in a number as it is usually written
+
+
+def _numbers(text: str):
+    """(start, end, digits) of runs of up to five groups that have 8 to 19 digits together."""
+    for m in _STRETCH.finditer(text):
+        if m.end() - m.start() < 8:
+            continue
+        groups = [(t.start() + m.start(), t.end() + m.start(), sum("0" <= c <= "9" for c in t[0])) for t in _TOKEN.finditer(m[0])]
+        for i, (a, _, _) in enumerate(groups):
+            digits = 0
+            for _, e, n in groups[i : i + _MOST_GROUPS]:
+                digits += n
+                if digits > 19:
+                    break
+                if digits >= 8:
+                    s = a
+                    while text[s] in "([" and text.count(")", s, e) + text.count("]", s, e) < text.count("(", s, e) + text.count("[", s, e):
+                        s += 1
+                    while text[e - 1] in ")].-/" or "\u2010" <= text[e - 1] <= "\u2015":
+                        e -= 1
+                    if not (s and (text[s - 1].isalnum() or text[s - 1] in "+.") or text[e : e + 1].isalnum()):
+                        yield s, e, digits
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, number of the kind, end) of what looks like an identifier and touches no base span."""
+    out = []
+    if "@" in text or " at " in text or "(at)" in text.lower() or "[at]" in text.lower():
+        for m in _AT.finditer(text):
+            host = _HOST.match(text, m.end()) or (_LONE.match(text, m.end()) if m[0].strip().lower() != "at" else None)
+            name = host and _NAME.search(text[max(0, m.start() - 325) : m.start()])
+            if name:
+                out.append((m.start() - len(name[0]), 0, host.end()))
+    if text.count(":") >= 3:
+        out += ((m.start(), 1, m.end()) for m in _IPV6.finditer(text) if m[0].count(":") == 7 or "::" in m[0])
+    if _DIGIT.search(text):
+        for a, e, digits in _numbers(text):
+            if digits >= 12:
+                out.append((a, 2, e))
+            if digits <= 15:
+                out.append((a, 3, e))
+    if out and spans:
+        starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+        out = [c for c in out if not (k := bisect_left(starts, c[2])) or ends[k - 1] <= c[0]]
+    return sorted(set(out))
+
+
+def form(kind: int, found: str) -> str:
+    """Digits as 0 (in an address: runs of them), runs of letters as a."""
+    if kind < 2:
+        return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9A-Fa-f]+" if kind else r"[0-9]+", "0", found))
+    return re.sub(r"[0-9]", "0", found)
+
+
+# --- lexical patterns --------------------------------------------------------------------------------------------
+
+_CLASS = np.array([0 if i in (0x20, *range(0x09, 0x0E)) else 1 if i >= 128 or chr(i).isalnum() else 2 for i in range(256)], np.uint8)
+_PLAIN = np.array([i + 32 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256)], np.uint8)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+GRAMS = 5  # slots: 1, 2, 3 tokens before, 1, 2 after; then the form, and two tokens with the form
+_BITS = 26  # of the hash, that stand for it in the bitmap of patterns
+
+
+def tokens(column: pa.Array) -> Words:
+    """Runs of letters and digits, or one other character; in lower case, with all digits alike."""
+    data, offsets = utf8(column)
+    c = np.zeros(len(data) + 2, np.uint8)
+    c[1:-1] = _CLASS[data]
+    here = c[1:-1]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero((here > 0) & ((here == 2) | (c[:-2] != 1) | edge[:-1]))
+    ends = np.flatnonzero((here > 0) & ((here == 2) | (c[2:] != 1) | edge[1:])) + 1
+    first = np.searchsorted(starts, offsets)
+    return Words(_PLAIN[data], starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first)
+
+
+def grams(w: Words) -> list[np.ndarray]:
+    """Hashes of each token, and of it with the one and the two after it; whether these are in its text is for the caller to see."""
+    h = np.concatenate([w.hashes(), np.zeros(2, np.uint64)])
+    two = mix(h[:-2] * _STEP + h[1:-1])
+    return [mix(h[:-2]), two, mix(two * _STEP + h[2:])]
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+
+
+def patterns(texts: list[str], found: list[tuple[int, int, int, int]]) -> list[list[dict]]:
+    """Patterns of each (text, start, kind, end); found is ascending by text."""
+    w = tokens(pa.array(texts, pa.large_string()))
+    _, offsets = utf8(pa.array(texts, pa.large_string()))
+    start, end, last = np.empty(len(found), np.int64), np.empty(len(found), np.int64), -1
+    for k, (t, s, _, e) in enumerate(found):
+        if t != last:
+            last, at = t, None
+            if offsets[t + 1] - offsets[t] != len(texts[t]):
+                raw = np.frombuffer(texts[t].encode(), np.uint8)
+                at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        start[k], end[k] = offsets[t] + (s if at is None else at[s]), offsets[t] + (e if at is None else at[e])
+    text = np.array([f[0] for f in found], np.int64)
+    low, high = w.first[text], w.first[text + 1]
+    i, j = np.searchsorted(w.ends, start, "right") - 1, np.searchsorted(w.starts, end)
+    g = grams(w)
+    forms = np.array([_hash(form(k, texts[t][s:e])) for t, s, k, e in found], np.uint64)
+    none = np.uint64(0)
+    pick = lambda k, at, fine: np.where(fine, g[k][np.clip(at, 0, max(0, len(g[k]) - 1))], none)
+    slots = [pick(k, i - k, i - k >= low) for k in range(3)] + [pick(k, j, j + k < high) for k in range(2)] + [mix(forms)]
+    slots.append(np.where(slots[1] != none, mix(slots[1] * _STEP + forms), none))
+    columns = [s.view(np.int64).tolist() for s in slots]
+    return [[{"slot": n, "pattern": c[k]} for n, c in enumerate(columns) if c[k]] for k in range(len(found))]
+
+
+_BASE = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()),
+                   ("places", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.struct([("slot", pa.int32()), ("pattern", pa.int64())])))])))])
+_BASE_SQL = "doc_id long, hash long, n_email long, n_ip long, n_card long, n_phone long, base string, places array<struct<kind: int, start: long, end: long, seed: boolean, instance: string, patterns: array<struct<slot: int, pattern: long>>>>"
 
 
 def _base(batches):
     for b in bounded(batches):
-        rows = []
+        rows, texts, found = [], [], []
         for doc_id, h, t in zip(*(c.to_pylist() for c in b.columns)):
             spans = base_spans(t)
+            more = candidates(t, spans)
             n = Counter(k for _, k, _ in spans)
-            rows.append((doc_id, h, n[0], n[1], n[2], n[3], joined(spans), [{"kind": k, "pattern": context(t, s), "instance": t[s:e].lower()} for s, k, e in spans]))
+            places = [{"kind": k, "start": s, "end": e, "seed": seed, "instance": t[s:e].lower()} for seed, some in ((True, spans), (False, more)) for s, k, e in some]
+            rows.append((doc_id, h, n[0], n[1], n[2], n[3], joined(spans), places))
+            if places:
+                found += ((len(texts), p["start"], p["kind"], p["end"], p) for p in places)
+                texts.append(t)
+        if found:
+            for f, p in zip(found, patterns(texts, [f[:4] for f in found])):
+                f[4]["patterns"] = p
         yield batch(_BASE, [list(c) for c in zip(*rows)])
 
 
-_MATCH = pa.schema([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
-_MATCH_SQL = "kind int, pattern string, instance string, seed boolean, doc_id long, hash long, start long, end long, n long"
-_WORD = re.compile(r"\S+")
+def _bitmap(edges: DataFrame) -> np.ndarray:
+    """A bit for each value that the low bits of a token pattern's hash take: 8 MB, however many patterns there are."""
+    place = F.col("pattern").bitwiseAND(F.lit((1 << _BITS) - 1)) + 1
+    parts = edges.where(F.col("slot") < GRAMS).groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((1 << (_BITS - 15), 4096), np.uint8)
+    for r in parts.collect():  # at most 2,048 rows of 4 KB
+        out[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
 
+_COUNT = pa.schema([("pattern", pa.int64()), ("total", pa.int64())])
 
-def _matches(docs: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
-    """What follows the patterns in all texts: seeds and ordinary words as counts, other instances each with its place."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+
+def gram_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(pattern, total): how often the token runs that the bitmap lets pass stand in all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        known = shared.value
-        firsts = {p.split(" ")[0] for p in known}
-        counts: Counter = Counter()
+        bits, held = shared.value, []
 
-        def flush():
-            rows = [(k, p, i, seed, None, None, None, None, n) for (k, p, i, seed), n in counts.items()]
-            counts.clear()
-            return batch(_MATCH, [list(c) for c in zip(*rows)])
+        def summed():
+            h, n = (np.concatenate(c) for c in zip(*held))
+            h, place = np.unique(h, return_inverse=True)
+            return h, np.bincount(place, n, len(h)).astype(np.int64)
 
         for b in bounded(batches):
-            rows = []
-            for doc_id, h, t in zip(*(c.to_pylist() for c in b.columns)):
-                ws = ["^", "^", *normal(t).split()]
-                places = spans = None
-                # (pattern, token after it or that it is glued in, where in the token)
-                found = [(p, i, 0) for i, p in enumerate(map(" ".join, zip(ws, ws[1:]))) if p in known and i + 2 < len(ws)]
-                for i, (first, w) in enumerate(zip(ws[1:], ws[2:])):
-                    if first in firsts and not w.isalpha():
-                        if places is None:
-                            places = [m.span() for m in _WORD.finditer(t)]
-                        a, e = places[i]
-                        found += ((p, i, j) for j in _splits(t[a:e]) if (p := f"{first} {normal(t[a : a + j])}") in known)
-                for p, i, j in found:
-                    near = " ".join(ws[i + 2 : i + (12 if 0 in known[p] else 4)])
-                    if "0" not in near and "@" not in near and "at" not in near:
-                        for k in known[p]:
-                            counts[k, p, "", False] += 1
-                        continue
-                    if places is None:
-                        places = [m.span() for m in _WORD.finditer(t)]
-                    if spans is None:
-                        spans = base_spans(t)
-                    start, e = places[i]
-                    a = start = start + j
-                    while a < e and t[a] in _EDGES:
-                        a += 1
-                    while e > a and t[e - 1] in _EDGES:
-                        e -= 1
-                    over = [s for s in spans if s[0] < e and s[2] > a]
-                    until = min((s[0] for s in spans if s[0] >= e), default=len(t))
-                    for k in known[p]:
-                        same = next((s for s in over if s[1] == k), None)
-                        if same:
-                            counts[k, p, t[same[0] : same[2]].lower(), True] += 1
-                            continue
-                        place = None if over else form(k, t, start, until)
-                        if not over and of_shape(k, t[a:e]) and (place is None or place[1] < e):
-                            place = a, e
-                        if place:
-                            rows.append((k, p, t[place[0] : place[1]].lower(), False, doc_id, h, *place, 1))
-                        else:
-                            counts[k, p, "", False] += 1
-            if rows:
-                yield batch(_MATCH, [list(c) for c in zip(*rows)])
-            if len(counts) > 200_000:
-                yield flush()
-        if counts:
-            yield flush()
-
-    return docs.mapInArrow(run, _MATCH_SQL)
-
-
-def score_graph(matches: DataFrame, rounds: int = 3) -> DataFrame:
-    """(kind, pattern, confidence) after some rounds over the graph of patterns and instances."""
-    edges = written(matches.groupBy("kind", "pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-edges")
-    nodes = edges.where("instance != ''").groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("score"))
+            w = tokens(b.column(b.schema.get_field_index("text")))
+            room = w.first[w.doc + 1] - np.arange(len(w.doc))
+            for k, g in enumerate(grams(w)):
+                low = (g & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+                g = g[(room > k) & ((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)]
+                if len(g):
+                    h, n = np.unique(g, return_counts=True)
+                    held.append((h.view(np.int64), n))
+            if sum(len(h) for h, _ in held) > 1_000_000:
+                held[:] = [summed()]
+                if len(held[0][0]) > 500_000:
+                    yield batch(_COUNT, held.pop())
+        if held:
+            yield batch(_COUNT, summed())
+
+    return docs.mapInArrow(run, "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+
+
+def score_graph(edges: DataFrame, totals: DataFrame, support: int, confident: float, rounds: int) -> DataFrame:
+    """(kind, slot, pattern, confidence) of the patterns that count after some rounds.
+
+    edges: kind, slot, pattern, instance, n, seed; totals: pattern, total, of the patterns that are tokens.
+    """
+    key = ["kind", "slot", "pattern"]
+    places = edges.groupBy(*key).agg(F.sum("n").alias("inside")).join(totals, "pattern", "left")
+    places = places.select(*key, F.when(F.col("slot") < GRAMS, F.greatest("inside", F.coalesce("total", F.lit(0)))).otherwise(F.col("inside")).alias("total"))
+    places = written(places, "pii-places")
+    scored = edges.select("*", F.col("seed").cast("double").alias("score"), F.col("seed").alias("good"))
     for k in range(rounds):
-        scored = edges.join(nodes, ["kind", "instance"], "left")
-        patterns = scored.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n")).alias("confidence"))
-        patterns = written(patterns, "pii-patterns")
-        if k + 1 < rounds:
-            # an instance that isn't a seed is wrong only if all its patterns are
-            wrong = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence"))))
-            nodes = edges.where("instance != ''").join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(wrong)).alias("score"))
-    return patterns
-
-
-def find_pii(docs: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3, block_patterns: int = 200_000) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (spans), spans (base and contextual). Patterns are broadcast block_patterns at a time."""
-    spark = docs.sparkSession
+        found = scored.groupBy(*key).agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count(F.when(F.col("good"), 1)).alias("held")).where(F.col("held") >= support)
+        found = written(found.join(places, key).select(*key, (F.col("mass") / F.col("total")).alias("confidence")), "pii-patterns")
+        if k + 1 == rounds:
+            break
+        against = F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))
+        met = edges.join(found, key, "left").withColumn("against", against)
+        instances = met.groupBy("kind", "instance").agg(F.sum("against").alias("all_against"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
+        scored = met.join(instances, ["kind", "instance"])
+        # a pattern doesn't speak for itself
+        others = 1 - F.exp(F.col("all_against") - F.col("against"))
+        scored = scored.select(*key, "instance", "n", F.when(F.col("seed"), 1.0).otherwise(others).alias("score"), (F.col("seed") | (F.col("best") >= confident)).alias("good"))
+    return found
+
+
+_DONE = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
+_DONE_SQL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long"
+
+
+def _finish(batches):
+    """Base spans, and of the found ones that overlap the surest, then the longest."""
+    for b in batches:
+        rows = []
+        for doc_id, *n, base, more in zip(*(c.to_pylist() for c in b.columns)):
+            spans = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+            taken, starts = {}, []
+            for m in sorted(more or (), key=lambda m: (-m["confidence"], m["start"] - m["end"], m["start"], m["kind"])):
+                k = bisect_left(starts, m["start"])
+                before = k and taken[starts[k - 1]][2] > m["start"]
+                if not before and (k == len(starts) or starts[k] >= m["end"]):
+                    starts.insert(k, m["start"])
+                    taken[m["start"]] = (m["start"], m["kind"], m["end"])
+            every = sorted(spans + list(taken.values()))
+            rows.append((doc_id, *n, base, joined(every), len(every)))
+        if rows:
+            yield batch(_DONE, [list(c) for c in zip(*rows)])
+
+
+def find_pii(docs: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base (spans), spans (base and contextual) and n_spans (how many)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     base = written(d.mapInArrow(_base, _BASE_SQL), "pii-base")
-    seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
-    patterns = seeds.where("pattern not like '^%^%'").groupBy("kind", "pattern").count().where(F.col("count") >= support).select("kind", "pattern")
-    matches, block, held = None, {}, 0
-    ordered = written(patterns.groupBy("pattern").agg(F.sort_array(F.collect_set("kind")).alias("kinds")), "pii-induced")
-    for r in ordered.toLocalIterator():
-        block[r.pattern] = list(r.kinds)
-        held += 1
-        if held % block_patterns == 0:
-            m = _matches(d, block)
-            matches, block = (m if matches is None else matches.unionByName(m)), {}
-    if block:
-        m = _matches(d, block)
-        matches = m if matches is None else matches.unionByName(m)
-    if matches is None:
-        return base.select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.col("base").alias("spans"))
-    matches = written(matches, "pii-matches")
-    good = score_graph(matches, rounds).where(F.col("confidence") >= confident)
-    found = matches.where("start is not null").join(good.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
-    found = found.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
-    key = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["hash"] == found["hash"])
-    both = base.join(found, key, "left").select(base["doc_id"], *(f"n_{k}" for k in KINDS), "base", "more")
-    names = F.array(*map(F.lit, KINDS))
-    parts = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("start"), (F.array_position(names, F.split(s, ":")[0]) - 1).cast("int").alias("kind"), F.split(s, ":")[2].cast("long").alias("end")))
-    every = F.array_sort(F.concat(parts, "more"))
-    text_of = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(text_of).alias("spans"))
+    # equal rows are one
+    places = base.where(F.size("places") > 0).dropDuplicates(["doc_id", "hash", "base"]).select("doc_id", "hash", F.explode("places").alias("p")).select("doc_id", "hash", "p.*")
+    each = places.withColumn("p", F.explode("patterns")).select("doc_id", "hash", "kind", "start", "end", "seed", F.xxhash64("instance").alias("instance"), "p.slot", "p.pattern")
+    key = ["kind", "slot", "pattern"]
+    edges = each.groupBy(*key, "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = written(edges, "pii-instances")
+    held = edges.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") >= support)
+    edges = written(edges.join(held.select(key), key, "left_semi"), "pii-edges")
+    good = score_graph(edges, gram_counts(d, _bitmap(edges)), support, confident, rounds).where(F.col("confidence") >= confident)
+    found = each.where(~F.col("seed")).join(good, key).groupBy("doc_id", "hash", "kind", "start", "end").agg(F.max("confidence").alias("confidence"))
+    found = found.groupBy(F.col("doc_id").alias("found_id"), F.col("hash").alias("found_hash")).agg(F.collect_list(F.struct("start", "kind", "end", "confidence")).alias("more"))
+    both = base.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("hash") == F.col("found_hash")), "left")
+    both = both.select("doc_id", *(f"n_{k}" for k in KINDS), "base", "more")
+    return both.mapInArrow(_finish, _DONE_SQL)
 
 
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
