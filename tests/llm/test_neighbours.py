@@ -41,6 +41,29 @@ def test_recall_order_and_ties(spark, blocks):
     assert hit / sum(map(len, want.values())) >= 0.95
 
 
+def test_copies_that_no_cell_can_split(spark):
+    """A third of the rows are one vector: its cell is dealt to blocks, and every copy is a candidate."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 16))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(500 + i, x[20].tolist()) for i in range(100)]
+    got = {}
+    found = ps.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=25, leaf=8, first_cells=2)
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    want = dict(brute(rows, 20))
+    assert got.keys() == want.keys() and sorted(i for _, i in got[20]) == list(range(500, 520))
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in got) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_cells():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1000, 3))
+    c = ps.Cells(x, 7)
+    n = np.bincount(c.assign(x))
+    assert c.count == len(n) == 7 and n.min() >= 100 and n.max() <= 200
+    assert ps.Cells(np.ones((50, 3)), 7).count == ps.Cells(np.zeros((0, 3)), 7).count == 1
+
+
 def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ps.nearest(few).collect()) == [(0, 1, 1, 4.0), (0, 2, 20, 3.0), (20, 1, 0, 3.0), (20, 2, 1, 3.0)]
