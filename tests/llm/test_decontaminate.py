@@ -43,7 +43,7 @@ def test_documents(spark):
     items += [(10 + i, " ".join(t.split()[10:25])) for i, t in enumerate(texts[5:9])]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, row string")
     want = sorted((str(r[0]), *brute(r[1], items)) for r in rows())
-    for block in (500_000, 20):
+    for block in (500_000, 20, 5):
         got = dc.contamination(documents(spark), bench, block_words=block).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
     assert {r.n_hit for r in dc.contamination(documents(spark), bench.where("false")).collect()} == {0}

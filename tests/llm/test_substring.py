@@ -44,11 +44,25 @@ def test_shared_passages_and_repeating_texts(spark):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("window", [10, 64, 100])
+def test_windows_of_other_sizes(spark, window):
+    rng = random.Random(window)
+    parts = [text(rng, window + rng.randint(0, 30)) for _ in range(4)] + ["la " * (2 * window)]
+    docs = [(i, " ".join(rng.choice(parts) if rng.random() < 0.6 else text(rng, 15) for _ in range(4))) for i in range(30)]
+    got = sd.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window=window).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute(docs, window)))
+
+
+def test_seeds_beyond_the_window(spark):
+    with pytest.raises(ValueError):
+        sd.without_repeats(none(spark), window=5, seed=8)
+
+
 def test_index_ranges():
     rng = np.random.default_rng(1)
     for _ in range(20):
         text_ = np.append(rng.integers(1, 5, 40), 0)
-        index = sd.FmIndex(text_)
+        index = sd.FmIndex(text_, 5)
         for n in (1, 2, 3, 5):
             i = int(rng.integers(0, 35))
             low, high = np.array([0]), np.array([len(text_)])

@@ -5,8 +5,9 @@ beyond ASCII. The automaton of all items gives, at each word of a streamed docum
 of words ending there that some item holds. A run of at least `window` words makes the last `window`
 words of it a hit; an item with fewer words hits where it occurs whole.
 
-The items are cut to blocks of `block_words` words, so that an automaton has a bounded size and is
-broadcast; a document streams against one block after the other, and its hits are the union.
+Items are dealt to blocks of about `block_words` words, longer ones in overlapping pieces that keep every window. A task builds a block's automaton
+and writes it to the shared folder; the driver only learns where it is. A document streams against one block after the
+other, which tasks read one at a time, and its hits are the union.
 
 Null or empty text: no words, no hit. Null item ids take part under the text "null". Items without
 words take no part. Repeated items and item ids count once in the list of ids. Empty tables: an empty
@@ -16,13 +17,14 @@ benchmark hits nothing; no documents, no rows. Other columns don't matter.
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm.common import batch, table, typed, written
+from veritab.llm.common import batch, open_fs, shared_dir, table, typed, write_atomically, written
 from veritab.llm.wordhash import NOT_ALNUM, bounded, utf8
 
 _TABLE = bytes(0x20 if NOT_ALNUM[i] else (i + 32 if 65 <= i <= 90 else i) for i in range(256))
@@ -141,29 +143,55 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], items
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Blocks of items, streamed to the driver partition by partition; each block has about block_words words."""
-    blocks, held = [[]], 0
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    for r in rows.where("text is not null").toLocalIterator():
-        ws = item_words(r.text.encode())
-        if ws:
-            if held and held + len(ws) > block_words:
-                blocks.append([])
-                held = 0
-            blocks[-1].append((r.item_id, ws))
-            held += len(ws)
-    return blocks
+_PIECE = pa.schema([("item_id", pa.string()), ("piece", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+_FILE = pa.schema([("block", pa.int64()), ("file", pa.string())])
 
 
-_HITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+def item_blocks(items: DataFrame, window: int, block_words: int) -> list[str]:
+    """Files that hold the pickled automaton of each block of items."""
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = max(block_words, window)
+
+    def pieces(batches):
+        for b in bounded(batches):
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = item_words(t.encode())
+                for k in range(0, max(1, len(ws) - window + 1) if ws else 0, size):
+                    part = ws[k : k + size + window - 1]
+                    out.append((i, k, b" ".join(part), len(part)))
+            if out:
+                yield batch(_PIECE, [list(c) for c in zip(*out)])
+
+    cut = written(rows.mapInArrow(pieces, "item_id string, piece long, words binary, n long").distinct(), "item-pieces")
+    blocks = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // block_words))
+    folder = shared_dir(items.sparkSession, "item-automata")
+
+    def build(key, t):
+        n = key[0].as_py()
+        automaton = SuffixAutomaton(sorted((r["item_id"], r["words"].split()) for r in t.to_pylist()), window)
+        write_atomically(f"{folder}/block-{n:07d}", lambda out: pickle.dump(automaton, out, protocol=5))
+        return pa.Table.from_batches([batch(_FILE, [[n], [f"{folder}/block-{n:07d}"]])])
+
+    made = cut.groupBy(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)).alias("block")).applyInArrow(build, "block long, file string")
+    return [r.file for r in made.orderBy("block").collect()]
+
+
+def _automaton(file: str, held: dict) -> SuffixAutomaton:
+    """A block's automaton, read once a task."""
+    if file not in held:
+        fs, path = open_fs(file)
+        with fs.open_input_stream(path) as f:
+            held[file] = pickle.loads(f.read())
+    return held[file]
 
 
-def _stream(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int, only_hits: bool) -> DataFrame:
-    automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+_HITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
 
+def _stream(docs: DataFrame, block: str | None, window: int, only_hits: bool) -> DataFrame:
     def run(batches):
-        a = automaton.value
+        a = _automaton(block, {}) if block else SuffixAutomaton([], window)
         for b in bounded(batches):
             data, offsets = utf8(b.column(2))
             raw, at = data.tobytes(), offsets.tolist()
@@ -192,9 +220,9 @@ def union_of_spans(flat: list[int]) -> list[tuple[int, int]]:
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int64()))])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 100_000) -> DataFrame:
     """Per document: words, hit words, items with occurring windows and the spans of hit words (start, end, start, ...)."""
-    blocks = item_blocks(items, block_words)
+    blocks = item_blocks(items, window, block_words) or [None]
     d = typed(docs, doc_id="long", text="string").select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
     if len(blocks) > 1:
         d = written(d.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
@@ -233,20 +261,18 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage: float = 0.5, block_words: int = 100_000) -> DataFrame:
     """Cuts hit spans out of the texts; a document with more than `coverage` of its words hit goes as a whole.
 
     Returns the input's columns. A text that is null or has no hit stays as it is.
     """
-    blocks = item_blocks(items, block_words)
+    blocks = item_blocks(items, window, block_words) or [None]
     fields = docs.schema
     place = fields.fieldNames().index("text")
     # found spans travel in a column of their own when there are several blocks
     extra = "spans_" + "_".join(fields.fieldNames())
-    automaton = None
-    if len(blocks) == 1:
-        automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(blocks[0], window))
-    else:
+    alone = len(blocks) == 1
+    if not alone:
         row = "row_" + extra
         docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
         d = docs.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -257,12 +283,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, coverage:
         docs = docs.join(found, row, "left").drop(row)
 
     def run(batches):
+        automaton = (_automaton(blocks[0], {}) if blocks[0] else SuffixAutomaton([], window)) if alone else None
         for b in bounded(batches):
             keep, texts = [], []
-            known = [None] * b.num_rows if automaton else b.column(b.num_columns - 1).to_pylist()
+            known = [None] * b.num_rows if alone else b.column(b.num_columns - 1).to_pylist()
             for t, spans in zip(b.column(place).to_pylist(), known):
                 ws = item_words(t.encode()) if t else []
-                spans = automaton.value.hits(ws)[0] if automaton else union_of_spans(spans or [])
+                spans = automaton.hits(ws)[0] if alone else union_of_spans(spans or [])
                 hit = sum(e - s for s, e in spans)
                 keep.append(hit <= coverage * len(ws))
                 texts.append(without_spans(t, spans) if hit and keep[-1] else t)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from veritab.llm import decontaminate, jaccard_join, mix_sources, pii, projected_search, quality, substring_dedup, token_planes, toxicity, warc_writer
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_projected_neighbours": projected_search.op9_projected_neighbours,
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

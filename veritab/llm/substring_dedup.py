@@ -108,18 +108,18 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Of texts of word numbers from 1, each closed by 0; good for patterns of up to 64 words."""
+    """Of texts of word numbers from 1, each closed by 0; good for patterns of up to `longest` words."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, longest: int):
         n = len(text)
         self.ranks = [text.astype(np.int64)]
-        for k in range(6):
+        for k in range(longest.bit_length()):
             r = self.ranks[-1]
             nxt = np.zeros(n, np.int64)
             if n > 1 << k:
                 nxt[: n - (1 << k)] = r[1 << k :] + 1
             self.ranks.append(np.unique(r * (nxt.max() + 1) + nxt, return_inverse=True)[1])
-        self.sa = np.argsort(self.ranks[6], kind="stable")
+        self.sa = np.argsort(self.ranks[-1], kind="stable")
         bwt = text[self.sa - 1].astype(np.int64)
         self.levels = max(1, int(text.max()).bit_length())
         self.wavelet = WaveletMatrix(bwt, self.levels)
@@ -134,10 +134,10 @@ class FmIndex:
         return both[: len(c)], both[len(c) :]
 
     def common(self) -> np.ndarray:
-        """Words, up to 63, that each suffix shares with the one before it in order."""
+        """Words, up to `longest` at least, that each suffix shares with the one before it in order."""
         a, b = self.sa[:-1], self.sa[1:]
         n, out = len(self.sa), np.zeros(len(a), np.int64)
-        for k in range(5, -1, -1):
+        for k in range(len(self.ranks) - 2, -1, -1):
             x, y = a + out, b + out
             same = (x < n) & (y < n)
             same[same] = self.ranks[k][x[same]] == self.ranks[k][y[same]]
@@ -155,7 +155,7 @@ def earlier_windows(contents: list[np.ndarray], docs: np.ndarray, window: int) -
     inside[ends] = False
     text[inside] = codes
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    index = FmIndex(text)
+    index = FmIndex(text, window)
     common = index.common()
     # suffixes that share window - 1 words, and window words, stand side by side: a group's bounds and smallest document
     group = np.cumsum(common < window - 1) - 1
@@ -232,6 +232,8 @@ def _found_by_window(parts: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8, most: int = 5_000, shard_contents: int = 4_000) -> DataFrame:
     """(uid, spans): removed word intervals (start, end, start, ...) by row; uid is the hash of doc_id and text. docs: uid, doc_id, text."""
+    if not 1 <= seed <= window:
+        raise ValueError("a window has at least as many words as a seed, and that at least one")
     numbered = docs.select("uid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
 
     def runs_of(batches):
