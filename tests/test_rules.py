@@ -1,8 +1,10 @@
 """Small fixtures for preparation, predicates, mining, checks, repair and generation."""
 
+import collections
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,11 +131,67 @@ def test_flow_rules(spark):
 
 def test_numbers_and_slots(spark):
     d = spark.createDataFrame([("grew 12.5% to 1,234 in Q3, {{who}}",), (None,)], "t string")
-    assert [r[0] for r in d.select(text.number_tokens(F.col("t"))).collect()] == [["12.5%", "1,234"], []]
+    assert [r[0] for r in d.select(text.number_tokens(F.col("t"))).collect()] == [["12.5", "1,234"], []]
     assert d.select(text.fill_slots(F.col("t"), {"who": F.lit("we")})).first()[0].endswith("we")
     assert d.select(text.open_slots(F.col("t"))).first()[0] == ["who"]
 
 
+def test_number_tokens_against_python(spark):
+    """Signs and percent signs aren't taken; letters of any script beside a number make it no number."""
+    pattern = re.compile(r"(?<![\w.,])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?![\w])")
+    rng = random.Random(2)
+    texts = ["12.5% up", "第3季 3", "é5 5é 5 é", "-7 +8 x9 9x _1 1_", "1,234,567.89 12,34 1.2.3 .5 5.", "v1.0 (2) 3% 4,000", "٣ ٤x", ""]
+    texts += ["".join(rng.choice("0123,.% -ax第é_") for _ in range(14)) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", text.number_tokens(F.col("t")).alias("n")).collect():
+        assert r.n == list(dict.fromkeys(m[0] for m in pattern.finditer(r.t))), r.t
+
+
+def test_windows_without_keys(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(40)]), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "t int, i int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for size, stride, block in ((2, 1, 1_000_000), (3, 2, 50), (7, 3, 10), (5, 1, 2)):
+        got = sorted(tuple(r) for r in windows.context_windows(d, [], ["t", "i"], size, stride, ["i"], block_rows=block).collect())
+        assert got == sorted(tuple(r[1] for r in ordered[k : k + size]) for k in range(0, len(ordered) - size + 1, stride))
+    three = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "t int, x int")
+    assert sorted(map(tuple, windows.context_windows(three, [], [], 2).collect())) == [(1, 2, 10, 20), (2, 3, 20, 30)]
+    assert windows.context_windows(three.limit(0), [], ["t"], 2).count() == 0
+
+
+def test_fields_from_a_table(spark):
+    d = spark.createDataFrame([(10, "TCP"), (20, "TCP"), (30, "UDP")], "Bytes int, Proto string")
+    fields = [predicates.Field("Bytes", "integer", ("size",)), predicates.Field("Proto", "categorical"), predicates.Field("Late", "boolean")]
+    assert [f.name for f in predicates.select_fields(fields, pattern="B|P", kinds=["integer", "categorical"])] == ["Bytes", "Proto"]
+    assert [f.name for f in predicates.select_fields(fields, roles=["size", "time"])] == ["Bytes"] and predicates.select_fields(fields, names=["x"]) == []
+    made = predicates.profiled(d, fields[:2], (0.5, 0.9))
+    assert made[0].constants == (20.0, 28.0) and made[0].labels == ("p50", "p90") and made[1].constants == ("TCP",) and made[1].labels == ("top1",)
+    assert [p.text for p in predicates.field_constant(made, ["<="])] == ["Bytes <= p50", "Bytes <= p90"]
+    assert [r[0] for r in d.select(predicates.field_constant(made[1:], ["="])[0].column).collect()] == [True, True, False]
+    assert predicates.profiled(d, fields[1:2], whole_domain=True)[0].constants == ("TCP", "UDP")
+    # equality: one kind, or a category with a string; a truth value meets no number
+    assert predicates.field_field(fields, ["="]) == []
+    known = [Rule("a", logic.le(F.col("Bytes"), 1), "Bytes <= 1", ("Bytes",)), Rule("b", logic.le(F.col("Gone"), 1), "Gone <= Bytes", ("Gone", "Bytes"))]
+    assert predicates.unknown_fields(known, d.columns) == {"Gone <= Bytes": ["Gone"]}
+
+
+def test_clause_support_and_three_literals(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(6), rng.randint(0, 4))) for _ in range(60)]
+    sigs = spark.createDataFrame([(s, n) for s, n in collections.Counter(map(tuple, sets)).items()], "sig array<int>, w long")
+    found = mining.minimal_covers(sigs.where(F.size("sig") > 0), 3)
+    brute, with_evidence = [], [set(s) for s in sets if s]
+    for size in (1, 2, 3):
+        for c in itertools.combinations(range(6), size):
+            if all(s & set(c) for s in with_evidence) and not any(set(b) < set(c) for b in brute):
+                brute.append(c)
+    assert sorted(tuple(r.clause) for r in found.collect()) == sorted(brute)
+    clauses = spark.createDataFrame([(list(c),) for size in (1, 2, 3) for c in itertools.combinations(range(6), size)], "clause array<int>")
+    for r in mining.clause_support(clauses, sigs, len(sets)).collect():
+        assert abs(r.support - sum(bool(set(s) & set(r.clause)) for s in sets) / len(sets)) < 1e-12
+
+
 def test_generated_rows_obey(spark):
     d = spark.createDataFrame([("alpha", 1, 1), ("beta", 2, 2)], "c string, x int, y int")
     r = [Rule("a", logic.implies(logic.eq(F.col("c"), "alpha"), logic.eq(F.col("x"), 1))), Rule("b", logic.le(F.col("x"), F.col("y")))]

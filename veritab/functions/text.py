@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A number that doesn't stand inside a word or a longer number: sign, thousands, fraction, percent.
-NUMBER = r"(?<![A-Za-z0-9_.,])[-+]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?(?![A-Za-z0-9_])"
+#: Fixed value: grouped thousands or a plain number, with an optional fraction, that letters, digits, "_", "." or "," of no script touch before, nor letters,
+#: digits or "_" after. No sign and no percent.
+NUMBER = r"(?<![\p{L}\p{N}\p{M}_.,])(?:\p{Nd}{1,3}(?:,\p{Nd}{3})+|\p{Nd}+)(?:\.\p{Nd}+)?(?![\p{L}\p{N}\p{M}_])"
 
 
 def number_tokens(text: Column) -> Column:

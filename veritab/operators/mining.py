@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.predicates import Predicate
+from veritab.sources.staging import staged
 
 
 def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool = False, width: int = 400) -> DataFrame:
@@ -38,26 +39,35 @@ def minimal_covers(sigs: DataFrame, most_literals: int, most_signatures: int = 2
     Breadth first: a clause that doesn't cover yet branches on the predicates of the smallest signature it misses. All
     clauses of a size are one DataFrame. The signatures, at most `most_signatures` of them, ride along as one array; more are an error.
     """
-    n = sigs.limit(most_signatures + 1).count()
+    sigs = staged(sigs.select("sig").limit(most_signatures + 1))
+    n = sigs.count()
     if n > most_signatures:
         raise ValueError(f"more than {most_signatures} different signatures: use fewer or coarser predicates")
     spark = sigs.sparkSession
     every = sigs.agg(F.sort_array(F.collect_list(F.struct(F.size("sig").alias("n"), "sig"))).alias("every")).select(F.transform("every", lambda s: s["sig"]).alias("every"))
     level = spark.createDataFrame([([],)], "clause array<int>")
     covers = None
-    for _ in range(most_literals + 1):
+    for size in range(most_literals + 1):
         tested = level.withColumn("every", every.scalar()).select("clause", F.filter("every", lambda s: ~F.arrays_overlap(s, "clause")).alias("missed"))
-        tested = tested.select("clause", F.try_element_at("missed", F.lit(1)).alias("pivot")).persist()
+        tested = staged(tested.select("clause", F.try_element_at("missed", F.lit(1)).alias("pivot")))
         done = tested.where("pivot is null").select("clause")
         covers = done if covers is None else covers.unionByName(done)
-        level = tested.where("pivot is not null").select("clause", F.explode("pivot").alias("p")).select(F.array_sort(F.array_union("clause", F.array("p"))).alias("clause")).distinct()
-        if level.isEmpty():
+        if size == most_literals:
             break
+        level = tested.where("pivot is not null").select("clause", F.explode("pivot").alias("p")).select(F.array_sort(F.array_union("clause", F.array("p"))).alias("clause")).distinct()
     # a cover is minimal if none of its literals can go
     alone = F.forall("clause", lambda p: F.exists("every", lambda s: F.array_contains(s, p) & (F.size(F.array_intersect(s, "clause")) == 1)))
     return covers.withColumn("every", every.scalar()).where((F.size("clause") <= most_literals) & alone).select("clause")
 
 
+def clause_support(clauses: DataFrame, sigs: DataFrame, rows: int) -> DataFrame:
+    """clause, support: the share of all rows on which it holds. sigs may lack the rows with none."""
+    held = sigs.select("sig", "w", F.explode("sig").alias("p"))
+    met = clauses.select("clause", F.explode("clause").alias("p")).join(held, "p").select("clause", "sig", "w").distinct()
+    found = met.groupBy("clause").agg(F.sum("w").alias("held"))
+    return clauses.join(found, "clause", "left").select("clause", (F.coalesce("held", F.lit(0)) / F.lit(max(rows, 1))).alias("support"))
+
+
 def clause_text(clauses: DataFrame, predicates: Sequence[Predicate]) -> DataFrame:
     names = F.array(*(F.lit(p.text) for p in predicates))
     return clauses.withColumn("rule", F.array_join(F.transform("clause", lambda i: F.element_at(names, i + 1)), " or "))
@@ -86,7 +96,8 @@ def entropy_tree(sigs: DataFrame, target: int, depth: int = 3, exclude: Sequence
         return n * (one(p) + one(1 - p))
 
     skip = [target, *exclude]
-    rows = sigs.select("sig", "w", F.array_contains("sig", target).cast("long").alias("y"), F.array().cast("array<int>").alias("path")).persist()
+    rows = sigs.select("sig", "w", F.array_contains("sig", target).cast("long").alias("y"), F.array().cast("array<int>").alias("path"))
+    rows = staged(rows)
     leaves = None
     for level in range(depth + 1):
         nodes = rows.groupBy("path").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"))
@@ -98,11 +109,13 @@ def entropy_tree(sigs: DataFrame, target: int, depth: int = 3, exclude: Sequence
             after = entropy(F.col("n1"), F.col("k1")) + entropy(F.col("n") - F.col("n1"), F.col("k") - F.col("k1"))
             gains = both.withColumn("after", F.round(after, 9)).where(F.col("after") < entropy(F.col("n"), F.col("k")) - 1e-9)
             best = gains.groupBy("path").agg(F.min(F.struct("after", "p"))["p"].alias("p"))
-            splits = nodes.select("path").join(best, "path", "left").persist()
+            splits = staged(nodes.select("path").join(best, "path", "left"))
         kept = nodes.join(splits.where("p is null").select("path"), "path", "left_semi").select("path", F.col("n").alias("w"), F.round(F.col("k") / F.col("n"), 6).alias("share"))
         leaves = kept if leaves is None else leaves.unionByName(kept)
         side = F.when(F.array_contains("sig", F.col("p")), F.col("p")).otherwise(-F.col("p") - 1)
-        rows = rows.join(splits.where("p is not null"), "path").select("sig", "w", "y", F.concat("path", F.array(side)).alias("path")).persist()
+        rows = rows.join(splits.where("p is not null"), "path").select("sig", "w", "y", F.concat("path", F.array(side)).alias("path"))
+        if level < depth:
+            rows = staged(rows)
     return leaves
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import logic
+from veritab.operators import profile
 
 OPERATORS = {"=": logic.eq, "!=": logic.ne, ">": logic.gt, ">=": logic.ge, "<": logic.lt, "<=": logic.le}
 ORDERING = (">", ">=", "<", "<=")
@@ -24,6 +26,8 @@ class Field:
     constants: tuple = ()
     scalars: tuple = ()
     additions: tuple = ()
+    #: names of the constants in the predicates' texts, where they have any (p50, top1)
+    labels: tuple[str, ...] = ()
 
     @property
     def ordered(self) -> bool:
@@ -56,13 +60,51 @@ def compare(left: str, a: Callable[[], Column], op: str, right: str, b: Callable
 
 def field_constant(fields: Iterable[Field], ops: Sequence[str]) -> list[Predicate]:
     """Each field against its constants; order only for ordered fields."""
-    return [compare(f.name, f.column, op, repr(k) if isinstance(k, str) else str(k), lambda k=k: k) for f in fields for k in f.constants for op in ops if f.ordered or op not in ORDERING]
+    out = []
+    for f in fields:
+        for i, k in enumerate(f.constants):
+            text = f.labels[i] if i < len(f.labels) and f.labels[i] else repr(k) if isinstance(k, str) else str(k)
+            out += [compare(f.name, f.column, op, text, lambda k=k: k) for op in ops if f.ordered or op not in ORDERING]
+    return out
+
+
+def select_fields(fields: Iterable[Field], names: Iterable[str] = (), pattern: str | None = None, kinds: Iterable[str] = (), roles: Iterable[str] = ()) -> list[Field]:
+    """Fields that meet every condition given: one of the names, a name that the pattern matches from its start, one of the kinds, one of the roles."""
+    names, kinds, roles = set(names), set(kinds), set(roles)
+    return [
+        f for f in fields
+        if (not names or f.name in names) and (pattern is None or re.match(pattern, f.name)) and (not kinds or f.kind in kinds) and (not roles or roles & set(f.roles))
+    ]
+
+
+def profiled(df: DataFrame, fields: Sequence[Field], quantiles: Sequence[float] = (0.5,), top: int = 1, whole_domain: bool = False) -> list[Field]:
+    """The fields with constants from the table: quantiles of ordered ones (p50), the commonest values (top1) or the domain of the others.
+
+    What reaches the driver are the constants: as many as are asked for; of a domain, one for each value of a categorical field.
+    """
+    ordered = [f.name for f in fields if f.ordered]
+    found: dict[str, list] = {f.name: [] for f in fields}
+    if ordered:
+        for r in profile.quantiles(df, ordered, quantiles).collect():
+            found[r["column"]].append((int(r["label"][1:]), r["label"], r["value"]))
+    for f in fields:
+        if not f.ordered:
+            rows = profile.domain(df, f.name).orderBy("value") if whole_domain else profile.top_values(df, f.name, top)
+            found[f.name] = [(i, "" if whole_domain else f"top{i}", r["value"]) for i, r in enumerate(rows.collect(), 1)]
+    return [replace(f, constants=tuple(v for *_, v in sorted(found[f.name], key=lambda x: x[0])), labels=tuple(n for _, n, _ in sorted(found[f.name], key=lambda x: x[0]))) for f in fields]
+
+
+def unknown_fields(predicates: Iterable[Predicate], columns: Iterable[str], uses: Callable[[Predicate], Iterable[str]] | None = None) -> dict[str, list[str]]:
+    """Texts of predicates or rules that name columns a table lacks, each with those names in order. uses: the names in one, its `fields` by default."""
+    have = set(columns)
+    missing = {p.text: [c for c in (uses(p) if uses else p.fields) if c not in have] for p in predicates}
+    return {t: m for t, m in missing.items() if m}
 
 
 def _comparable(a: Field, b: Field, ops: Sequence[str]) -> bool:
     if any(op in ORDERING for op in ops):
         return a.ordered and b.ordered and a.group is not None and a.group == b.group
-    return a.ordered == b.ordered
+    return a.kind == b.kind or {a.kind, b.kind} == {"categorical", "string"}
 
 
 def field_field(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate]:

@@ -8,18 +8,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.sources.staging import staged
 
-def context_windows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int, stride: int = 1, cols: Sequence[str] | None = None) -> DataFrame:
+
+def context_windows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int, stride: int = 1, cols: Sequence[str] | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Columns {name}_ctx{i} for i < size. Windows begin every `stride` rows; partitions with fewer rows than `size` give none.
 
-    One exchange by partition serves all columns. Without partition keys the order's first key is one.
+    One exchange by partition serves all columns. Without partition keys the table is one run of rows (see positioned). Without an
+    order the partition keys are it, and without those the first column.
     """
     cols = list(cols or df.columns)
-    w = Window.partitionBy(*(partition or order[:1])).orderBy(*order)
+    order = list(order or partition or df.columns[:1])
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        place, own = F.row_number().over(w) - 1, F.lit(True)
+    else:
+        df = positioned(df, order, size, block_rows)
+        w = Window.partitionBy("_block").orderBy("_position")
+        place, own = F.col("_position"), F.col("_own")
     shifted = [F.lead(c, i).over(w).alias(f"{c}_ctx{i}") if i else F.col(c).alias(f"{c}_ctx0") for c in cols for i in range(size)]
     whole = F.lead(F.lit(1), size - 1).over(w) if size > 1 else F.lit(1)
-    out = df.select(*shifted, F.row_number().over(w).alias("_row"), whole.alias("_whole"))
-    return out.where(F.col("_whole").isNotNull() & ((F.col("_row") - 1) % stride == 0)).drop("_row", "_whole")
+    out = df.select(*shifted, place.alias("_place"), own.alias("_begins"), whole.alias("_whole"))
+    return out.where(F.col("_whole").isNotNull() & F.col("_begins") & (F.col("_place") % stride == 0)).drop("_place", "_begins", "_whole")
+
+
+def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int) -> DataFrame:
+    """Adds _position (0.. in the order of all rows, nulls last), _block and _own.
+
+    Rows are cut to ranges of the order, numbered there, and dealt to blocks of block_rows positions. A block also gets copies (_own false) of the
+    size - 1 rows after it, so windows that begin in it find all their rows, and no task holds the whole table.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    n = df.count()
+    if n <= block_rows:
+        w = Window.partitionBy("_block").orderBy(*keys)
+        return df.withColumn("_block", F.lit(0).cast("long")).withColumn("_position", F.row_number().over(w) - 1).withColumn("_own", F.lit(True))
+    ties = [F.col(c).asc_nulls_last() for c in df.columns if c not in order]
+    ranged = staged(df.repartitionByRange(min(10_000, -(-n // block_rows)), *keys, *ties).withColumn("_range", F.spark_partition_id()))
+    # a row per range, 10,000 at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys, *ties))
+    rows = ranged.join(counts, "_range").withColumn("_position", F.col("_before") + number - 1).drop("_range", "_before")
+    length = max(block_rows, size)
+    block = F.floor(F.col("_position") / length)
+    here, carried = F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))
+    edge = (block > 0) & (F.col("_position") % length < size - 1)
+    return rows.withColumn("_to", F.explode(F.when(edge, F.array(here, carried)).otherwise(F.array(here)))).select("*", F.col("_to.block").alias("_block"), F.col("_to.own").alias("_own")).drop("_to")
 
 
 def families(cols: Sequence[str]) -> dict[str, list[str]]:

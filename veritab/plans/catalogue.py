@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from veritab.functions import logic, text
 from veritab.operators import checks, flows, mining, predicates, prepare, profile, report, rules, windows
 from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
+from veritab.sources.staging import staged
 from veritab.streaming import events as stream
 
 QUERIES: dict = {}
@@ -197,11 +200,50 @@ def field_field_predicates(spark, sf):
     return _supports(spark, sf, predicates.distinct(predicates.field_field(LINE, ["<=", ">="])))
 
 
+MIXED = [*LINE, Field("l_linenumber", "integer", ("count",)), Field("l_comment_class", "string"), Field("l_late", "boolean")]
+_SAME_KIND = [("l_extendedprice", "l_discount"), ("l_quantity", "l_tax"), ("l_returnflag", "l_linestatus"), ("l_returnflag", "l_comment_class")]
+
+
+def _equalities():
+    return predicates.distinct(p for p in predicates.field_field(MIXED, ["=", "!="]) if p.parts[::2] in _SAME_KIND or not {"l_late", "l_linenumber"}.isdisjoint(p.parts))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a} {op} {b}' AS text, round(avg(CASE WHEN {a} {sql} {b} THEN 1.0 ELSE 0.0 END), 6) AS support FROM (SELECT *, l_linestatus AS l_comment_class FROM lineitem)"
+                          for a, b in _SAME_KIND for op, sql in ((o, o) for o in ("=", "!="))))
+def field_field_equality(spark, sf):
+    """Equality only between fields of one kind, or a category and a string: whole numbers and truth values meet no other field here."""
+    d = table(spark, sf, "lineitem").withColumn("l_comment_class", F.col("l_linestatus")).withColumn("l_late", F.lit(True))
+    sigs = mining.signatures(d, _equalities(), keep_empty=True)
+    return mining.supports(sigs, _equalities(), d.count()).select("text", F.round("support", 6).alias("support"))
+
+
+_PROFILED = """SELECT 'l_quantity <= p50' AS text, round(avg(CASE WHEN l_quantity <= (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem) THEN 1.0 ELSE 0.0 END), 6) AS support FROM lineitem
+ UNION ALL SELECT 'l_quantity <= p90', round(avg(CASE WHEN l_quantity <= (SELECT quantile_cont(l_quantity, 0.9) FROM lineitem) THEN 1.0 ELSE 0.0 END), 6) FROM lineitem
+ UNION ALL SELECT 'l_returnflag = top1', round(avg(CASE WHEN l_returnflag = (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) THEN 1.0 ELSE 0.0 END), 6) FROM lineitem"""
+
+
+@query(_PROFILED)
+def profiled_predicates(spark, sf):
+    """Fields chosen by pattern and role, their constants taken from the table."""
+    d = table(spark, sf, "lineitem")
+    chosen = predicates.select_fields(LINE, pattern="l_q", roles=["count"]) + predicates.select_fields(LINE, names=["l_returnflag"])
+    chosen = predicates.profiled(d, chosen, (0.5, 0.9))
+    ps = predicates.distinct(predicates.field_constant(chosen[:1], ["<="]) + predicates.field_constant(chosen[1:], ["="]))
+    return mining.supports(mining.signatures(d, ps, keep_empty=True), ps, d.count()).select("text", F.round("support", 6).alias("support"))
+
+
 @query(_support_sql({p.text: p.text for p in predicates.distinct(predicates.scaled_field(LINE, [">="]) + predicates.summed_fields(LINE, ["<="]))}))
 def scalar_addition_predicates(spark, sf):
     return _supports(spark, sf, predicates.distinct(predicates.scaled_field(LINE, [">="]) + predicates.summed_fields(LINE, ["<="])))
 
 
+@query("""WITH w AS (SELECT p_partkey AS k0, lead(p_partkey) OVER o AS k1, lead(p_partkey, 2) OVER o AS k2, row_number() OVER o AS r FROM part WINDOW o AS (ORDER BY p_size, p_partkey))
+ SELECT k0 AS p_partkey_ctx0, k1 AS p_partkey_ctx1, k2 AS p_partkey_ctx2 FROM w WHERE k2 IS NOT NULL AND (r - 1) % 2 = 0""")
+def context_window_unkeyed(spark, sf):
+    """The table as one run of rows, cut to blocks of 64 positions."""
+    return windows.context_windows(table(spark, sf, "part"), [], ["p_size", "p_partkey"], 3, 2, ["p_partkey"], block_rows=64)
+
+
 @query(_WINDOWS + "SELECT count(*)::BIGINT AS n, count_if(least(e0, e1, e2) >= 100)::BIGINT AS every, count_if(greatest(e0, e1, e2) >= 100)::BIGINT AS some, count_if(e0 <> 100 AND e1 <> 100 AND e2 <> 100)::BIGINT AS none_is FROM w WHERE e2 IS NOT NULL")
 def quantifier_forall_exists(spark, sf):
     w = _event_windows(spark, sf)
@@ -216,24 +258,39 @@ def evidence_signatures(spark, sf):
     return sigs.select(F.array_join(F.transform("sig", lambda i: i.cast("string")), ",").alias("sig"), "w")
 
 
-def _cover_sql() -> str:
-    """All clauses of up to two predicates that hold on every row with evidence, without those that have a smaller one inside."""
+def _cover_sql(columns: str) -> str:
+    """All clauses of up to three predicates that hold on every row with evidence, without those that have a smaller one inside."""
     ps = _line_predicates()
-    flags = ", ".join(f"({' '.join(p.parts)})::INT AS f{i}" for i, p in enumerate(ps))
-    sigs = f"WITH s AS (SELECT DISTINCT * FROM (SELECT {flags} FROM lineitem) WHERE {' + '.join(f'f{i}' for i in range(len(ps)))} > 0), "
-    one = " UNION ALL ".join(f"SELECT {i} AS i, bool_and(f{i} = 1) AS ok FROM s" for i in range(len(ps)))
-    two = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, bool_and(f{i} = 1 OR f{j} = 1) AS ok FROM s" for i in range(len(ps)) for j in range(i + 1, len(ps)))
-    names = "(VALUES " + ", ".join(f"({i}, '{p.text.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(ps)) + ")"
-    return sigs + f"o AS ({one}), t AS ({two}), n(i, name) AS {names} SELECT name AS rule FROM o JOIN n USING (i) WHERE ok UNION ALL SELECT a.name || ' or ' || b.name FROM t JOIN n a ON a.i = t.i JOIN n b ON b.i = t.j WHERE ok AND t.i NOT IN (SELECT i FROM o WHERE ok) AND t.j NOT IN (SELECT i FROM o WHERE ok)"
-
-
-@query(_cover_sql())
+    n, name = len(ps), lambda c: " or ".join(ps[i].text.replace("'", "''") for i in c)
+    flags = ", ".join(f"coalesce({' '.join(p.parts)}, false) AS f{i}" for i, p in enumerate(ps))
+    clauses = [c for size in (1, 2, 3) for c in itertools.combinations(range(n), size)]
+    holds = lambda c: "(" + " OR ".join(f"f{i}" for i in c) + ")"
+    tried = ", ".join(f"bool_and({holds(c)}) FILTER (WHERE e) AS c{k}, avg({holds(c)}::INT) AS s{k}" for k, c in enumerate(clauses))
+    # a clause counts if it covers and none of the clauses inside it does
+    inside = {k: [clauses.index(x) for size in range(1, len(c)) for x in itertools.combinations(c, size)] for k, c in enumerate(clauses)}
+    rows = ", ".join(f"('{name(c)}', c{k}{''.join(f' AND NOT c{x}' for x in inside[k])}, round(s{k}, 6))" for k, c in enumerate(clauses))
+    return f"""WITH f AS (SELECT {flags} FROM lineitem), g AS (SELECT *, {' OR '.join(f'f{i}' for i in range(n))} AS e FROM f), t AS (SELECT {tried} FROM g)
+ SELECT {columns} FROM t, LATERAL (VALUES {rows}) r(rule, ok, support) WHERE ok"""
+
+
+@query(_cover_sql("rule"))
 def hitting_set_rules(spark, sf):
     ps = _line_predicates()
-    clauses = mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 2)
+    clauses = mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 3)
     return mining.clause_text(clauses, ps).select("rule")
 
 
+@query(_cover_sql("rule, support"))
+def rule_support(spark, sf):
+    """Covers with their support counted again over all rows, those without evidence included."""
+    ps = _line_predicates()
+    sigs = staged(mining.signatures(table(spark, sf, "lineitem"), ps, keep_empty=True))
+    clauses = mining.without_tautologies(mining.minimal_covers(sigs.where(F.size("sig") > 0), 3), ps)
+    rows = sigs.agg(F.sum("w")).first()[0] or 0
+    found = mining.clause_support(clauses, sigs, rows)
+    return mining.clause_text(found, ps).select("rule", F.round("support", 6).alias("support"))
+
+
 @query()
 def tree_rules(spark, sf):
     ps = _line_predicates()
