@@ -3,12 +3,11 @@
 A word is removed if a window of `window` words over it also starts in a document with a smaller doc_id.
 
 1. A window's key is the smallest hash of its runs of `seed` words, so equal windows have equal keys. Neighbouring windows of
-   one key make a stretch, and a stretch's content is its words. The first document of each content is found by an
-   aggregation; later documents lose all windows of that stretch, as whole equal stretches do.
-2. What is left to ask is whether windows of a content, as it stands in its first document, also start in another content of the same key
-   with a smaller first document. Contents of keys that have several are dealt to shards by key. A shard has an FM-index
+   one key make a stretch, and a stretch's content is its words. Each content is gathered with its first and its last document.
+2. Contents of keys that have several, and contents of several documents, are dealt to shards by key. A shard has an FM-index
    (suffix array order, BWT in a wavelet matrix of packed bits with counts, sampled nowhere as no text place is asked for); its contents stream
-   through backward search, all side by side, and the matching range, held at `window` words, tells the smallest document.
+   through backward search, all side by side, and the matching range, held at `window` words, tells the smallest document: for each window of a content, whether it
+   stands in a document before the content's first one, and whether before its later ones.
 3. Keys with more than `most` contents (an edge of a passage that very many documents share) would make a shard too large.
    Their windows are spread by hash and aggregated one by one instead.
 4. Removed intervals are gathered per document and cut out.
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import batch, table, written
-from veritab.llm.wordhash import bounded, mix, utf8, words
+from veritab.llm.wordhash import bounded, give_back, mix, utf8, words
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _STRETCH = 64  # windows in a stretch at most
@@ -145,8 +144,8 @@ class FmIndex:
         return np.concatenate([[0], out])
 
 
-def earlier_windows(contents: list[np.ndarray], docs: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each content (word codes) the window places whose words also stand in a content with a smaller document."""
+def earlier_windows(contents: list[np.ndarray], docs: np.ndarray, last: np.ndarray, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each content (word codes) the window places whose words also stand in a content with a smaller document than docs, and how many do with a smaller than last."""
     sizes = np.array([len(c) for c in contents])
     codes = np.unique(np.concatenate(contents), return_inverse=True)[1] + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -168,12 +167,15 @@ def earlier_windows(contents: list[np.ndarray], docs: np.ndarray, window: int) -
     low, high = np.zeros(len(contents), np.int64), np.full(len(contents), len(text))
     length, lane, start = np.zeros(len(contents), np.int64), np.arange(len(contents)), ends - sizes
     found: list[list[np.ndarray]] = [[], []]
+    later = np.zeros(len(contents), np.int64)
     while len(lane):
         low, high = index.extend(text[at], low, high)
         length = length + 1
         full = np.flatnonzero(length == window)
         if len(full):
-            hit = full[smallest[window_group[low[full]]] < docs[lane[full]]]
+            first = smallest[window_group[low[full]]]
+            later[lane[full]] += first < last[lane[full]]
+            hit = full[first < docs[lane[full]]]
             found[0].append(lane[hit])
             found[1].append(at[hit] - start[hit])
             # let go of the last word
@@ -186,14 +188,16 @@ def earlier_windows(contents: list[np.ndarray], docs: np.ndarray, window: int) -
     lanes = np.concatenate([*found[0], np.zeros(0, np.int64)]).astype(np.int64)
     places = np.concatenate([*found[1], np.zeros(0, np.int64)]).astype(np.int64)
     order = np.lexsort((places, lanes))
-    return np.split(places[order], np.searchsorted(lanes[order], np.arange(1, len(contents))))
+    return np.split(places[order], np.searchsorted(lanes[order], np.arange(1, len(contents)))), later
 
 
 _RUN = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
 _RUN_SQL = "uid long, doc long, key long, content long, place int, n int"
-_PART = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary())])
-_PART_SQL = "key long, content long, doc long, hot boolean, words binary"
-_PLACES = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("places", pa.list_(pa.int32()))])
+_PART = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary())])
+_PART_SQL = "key long, content long, doc long, last long, hot boolean, words binary"
+#: places: of the first document's windows that go; whole: whether all windows of later documents go
+_PLACES = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("whole", pa.bool_()), ("places", pa.list_(pa.int32()))])
+_PLACES_SQL = "key long, content long, first long, whole boolean, places array<int>"
 _WINDOW = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int32()))])
 
@@ -202,12 +206,15 @@ def _found_in_shards(parts: DataFrame, window: int, shards: int) -> DataFrame:
     def run(_key, t):
         contents = [np.frombuffer(w, "<u4") for w in t["words"].to_pylist()]
         key, docs = t["key"].to_numpy(), t["doc"].to_numpy()
-        found = earlier_windows(contents, docs, window)
-        keep = [i for i, f in enumerate(found) if len(f)]
-        return pa.Table.from_batches([batch(_PLACES, [key[keep], t["content"].to_numpy()[keep], [found[i].tolist() for i in keep]])])
+        found, later = earlier_windows(contents, docs, t["last"].to_numpy(), window)
+        whole = later == np.array([len(c) for c in contents]) - window + 1
+        keep = [i for i, f in enumerate(found) if len(f) or whole[i]]
+        columns = [key[keep], t["content"].to_numpy()[keep], docs[keep], whole[keep], [found[i].tolist() for i in keep]]
+        give_back()
+        return pa.Table.from_batches([batch(_PLACES, columns)])
 
     dealt = parts.where("not hot").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, "key long, content long, places array<int>")
+    return dealt.groupBy("shard").applyInArrow(run, _PLACES_SQL)
 
 
 def _found_by_window(parts: DataFrame, window: int) -> DataFrame:
@@ -215,7 +222,7 @@ def _found_by_window(parts: DataFrame, window: int) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            for key, content, doc, _, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for key, content, doc, _, _, raw in zip(*(c.to_pylist() for c in b.columns)):
                 c = np.frombuffer(raw, "<u4").astype(np.uint64)
                 n = len(c) - window + 1
                 h1 = h2 = np.zeros(n, np.uint64)
@@ -224,10 +231,14 @@ def _found_by_window(parts: DataFrame, window: int) -> DataFrame:
                     h2 = h2 * np.uint64(0x9E3779B97F4A7C15) + mix(c[k : k + n] + np.uint64(1 << 40))
                 yield batch(_WINDOW, [np.full(n, key), np.full(n, content), np.full(n, doc), np.arange(n), mix(h1).view(np.int64), mix(h2).view(np.int64)])
 
-    rows = parts.where("hot").mapInArrow(cut, "key long, content long, doc long, place int, h1 long, h2 long")
+    hot = parts.where("hot")
+    rows = hot.mapInArrow(cut, "key long, content long, doc long, place int, h1 long, h2 long")
     first = rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
     found = rows.join(first, ["h1", "h2"]).where("first < doc")
-    return found.groupBy("key", "content").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    places = found.groupBy("key", "content").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    # later documents of a content have all its windows in its first one
+    every = hot.select("key", "content", F.col("doc").alias("first"), (F.col("last") > F.col("doc")).alias("whole"))
+    return every.join(places, ["key", "content"], "left").where("whole or places is not null")
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8, most: int = 5_000, shard_contents: int = 4_000) -> DataFrame:
@@ -249,12 +260,14 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8, most: int =
     contents = written(contents, "substring-contents")
     keys = contents.groupBy("key").agg(F.count("*").alias("contents"), F.min("first.doc").alias("least"), F.max("first.doc").alias("greatest"))
     keys = keys.where("contents > 1 and least < greatest").select("key", (F.col("contents") > most).alias("hot"))
-    asked = written(contents.join(keys, "key").select("key", "content", "hot", "first"), "substring-asked")
+    several = F.col("last") > F.col("first.doc")
+    asked = contents.join(keys, "key", "left").where(F.col("hot").isNotNull() | several).select("key", "content", F.coalesce("hot", F.lit(False)).alias("hot"), "first", "last")
+    asked = written(asked, "substring-asked")
     n_asked = asked.count()
-    later = contents.where("last > first.doc").select("key", "content", F.col("first.doc").alias("first"))
-    verdicts = later.withColumn("places", F.lit(None).cast("array<int>"))
-    if n_asked:
-        by_doc = asked.groupBy(F.col("first.uid").alias("uid"), F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("key", "content", "hot", F.col("first.place").alias("place"), F.col("first.n").alias("n"))).alias("asked"))
+    if not n_asked:
+        found = docs.sparkSession.createDataFrame([], _PLACES_SQL)
+    else:
+        by_doc = asked.groupBy(F.col("first.uid").alias("uid"), F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("key", "content", "hot", "last", F.col("first.place").alias("place"), F.col("first.n").alias("n"))).alias("asked"))
         # equal rows are one text
         texts = docs.select("uid", "text").join(by_doc, "uid")
 
@@ -271,18 +284,17 @@ def repeated_spans(docs: DataFrame, window: int = 50, seed: int = 8, most: int =
                     seen.add(uid)
                     for s in some:
                         a = w.first[i] + s["place"]
-                        rows.append((s["key"], s["content"], doc, s["hot"], h[a : a + s["n"] + window - 1].tobytes()))
+                        rows.append((s["key"], s["content"], doc, s["last"], s["hot"], h[a : a + s["n"] + window - 1].tobytes()))
                 if rows:
                     yield batch(_PART, [list(x) for x in zip(*rows)])
 
         parts = written(texts.mapInArrow(words_of, _PART_SQL), "substring-parts")
         found = _found_in_shards(parts, window, max(1, -(-n_asked // shard_contents)))
         found = written(found.unionByName(_found_by_window(parts, window)), "substring-found")
-        verdicts = later.join(found, ["key", "content"], "full").select("key", "content", "first", "places")
-    # a row's stretch goes as a whole if the content has an earlier document; else by what the index found
-    whole = F.col("first").isNotNull() & (F.col("doc") > F.col("first"))
-    hit = runs.join(verdicts, ["key", "content"]).where(whole | F.col("places").isNotNull())
-    spans = F.when(whole, F.array(F.struct(F.col("place").alias("s"), (F.col("place") + F.col("n") + window - 1).alias("e")))).otherwise(F.transform("places", lambda p: F.struct((F.col("place") + p).alias("s"), (F.col("place") + p + window).alias("e"))))
+    # a later document's stretch goes as a whole, of a first one what the index found
+    hit = runs.join(found, ["key", "content"])
+    after = F.col("whole") & (F.col("doc") > F.col("first"))
+    spans = F.when(after, F.array(F.struct(F.col("place").alias("s"), (F.col("place") + F.col("n") + window - 1).alias("e")))).otherwise(F.transform("places", lambda p: F.struct((F.col("place") + p).alias("s"), (F.col("place") + p + window).alias("e"))))
     return hit.select("uid", F.explode(spans).alias("x")).select("uid", "x.s", "x.e").distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
