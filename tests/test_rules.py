@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions import logic, text
-from veritab.operators import checks, generate, mining, predicates, prepare, profile, rules, windows
+from veritab.operators import checks, generate, mining, predicates, prepare, profile, report, rules, windows
 from veritab.operators.predicates import Field, Predicate
 from veritab.operators.rules import Rule
 
@@ -192,6 +192,16 @@ def test_clause_support_and_three_literals(spark):
         assert abs(r.support - sum(bool(set(s) & set(r.clause)) for s in sets) / len(sets)) < 1e-12
 
 
+def test_words_of_rules(spark):
+    d = spark.createDataFrame([("a2 * 2.5 <= 10 or kind = 'v3 7'", "x, y；z　w", "info"), (None, None, "error")], "rule string, tags string, level string")
+    one, none = d.select(text.constants(F.col("rule")).alias("c"), text.tags(F.col("tags")).alias("t"), text.keywords(F.col("rule"), {"KIND": "sort"}).alias("k")).collect()
+    assert one.c == [2.5, 10.0] and one.t == ["x", "y", "z", "w"] and one.k == ["a2", "10", "or", "kind", "v3", "sort"]
+    assert none.c == none.t == none.k == []
+    assert report.of_level(d, "all").count() == 2 and [r.level for r in report.of_level(d, "error").collect()] == ["error"]
+    made = windows.window_fields([predicates.Field("x", "integer", ("size",))], 2)
+    assert [(f.name, f.roles) for f in made] == [("x_ctx0", ("size", "window")), ("x_ctx1", ("size", "window"))]
+
+
 def test_generated_rows_obey(spark):
     d = spark.createDataFrame([("alpha", 1, 1), ("beta", 2, 2)], "c string, x int, y int")
     r = [Rule("a", logic.implies(logic.eq(F.col("c"), "alpha"), logic.eq(F.col("x"), 1))), Rule("b", logic.le(F.col("x"), F.col("y")))]

@@ -61,6 +61,25 @@ def within_budget(df: DataFrame, text: str, group: str, order: str, most: int) -
     return df.withColumn("used", F.sum(F.length(text)).over(w)).where(F.col("used") <= most)
 
 
+def tags(text: Column) -> Column:
+    """The parts between commas and semicolons (of either width) and white space; none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[,;，；\s\p{Z}]+"), lambda t: t != "")
+
+
+def keywords(text: Column, aliases: Mapping[str, str] | None = None) -> Column:
+    """Runs of two or more letters, digits, "_" or Chinese characters, in order; then the aliases of the words that occur anywhere, whatever the case."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.filter(F.split(text, r"[^0-9A-Za-z_\u4e00-\u9fff]+"), lambda t: F.length(t) >= 2)
+    named = [F.when(F.contains(F.lower(text), F.lit(word.lower())), F.lit(alias)) for word, alias in (aliases or {}).items()]
+    return F.concat(found, F.array_compact(F.array(*named))) if named else found
+
+
+def constants(condition: Column) -> Column:
+    """The numbers in a rule's text that aren't part of a name or a quoted string, in order."""
+    bare = F.regexp_replace(F.coalesce(condition, F.lit("")), r"'[^']*'", " ")
+    return F.transform(F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9_.])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])"), F.lit(0)), lambda n: n.cast("double"))
+
+
 def contains_all(text: Column, query: str) -> Column:
     """Every word of the query is somewhere in the text, whatever the case."""
     low = F.lower(F.coalesce(text, F.lit("")))

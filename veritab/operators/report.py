@@ -21,6 +21,17 @@ def truth_hits(faults: DataFrame, found: DataFrame, keys: Sequence[str]) -> Data
     return faults.join(seen, list(keys), "left").agg(F.count("_hit").alias("hits"), F.count("*").alias("total"))
 
 
+def rule_counts(rules: DataFrame, enabled: str = "enabled", source: str = "source") -> DataFrame:
+    """One row: total, enabled, learned, and manual, which is every source but "learned"."""
+    learned = F.coalesce(F.col(source) == "learned", F.lit(False))
+    return rules.agg(F.count("*").alias("total"), F.count_if(F.col(enabled)).alias("enabled"), F.count_if(learned).alias("learned"), F.count_if(~learned).alias("manual"))
+
+
+def of_level(log: DataFrame, level: str, column: str = "level") -> DataFrame:
+    """Entries of one level; "all" keeps every entry."""
+    return log if level == "all" else log.where(F.col(column) == level)
+
+
 def content_key(*cols: str) -> Column:
     """SHA-256 of the columns as JSON: a name for cached results."""
     return F.sha2(F.to_json(F.struct(*cols)).cast("binary"), 256)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.operators.predicates import Field
 from veritab.sources.staging import staged
 
 
@@ -57,6 +59,11 @@ def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int)
     return rows.withColumn("_to", F.explode(F.when(edge, F.array(here, carried)).otherwise(F.array(here)))).select("*", F.col("_to.block").alias("_block"), F.col("_to.own").alias("_own")).drop("_to")
 
 
+def window_fields(fields: Sequence[Field], size: int) -> list[Field]:
+    """Descriptions of the columns that context_windows makes: each field once for each place, with the role "window" besides its own."""
+    return [replace(f, name=f"{f.name}_ctx{i}", roles=tuple(dict.fromkeys((*f.roles, "window")))) for f in fields for i in range(size)]
+
+
 def families(cols: Sequence[str]) -> dict[str, list[str]]:
     """Column families by name: x_ctx0, x_ctx1, ... or xCtx0, xCtx1, ..."""
     found: dict[str, list[tuple[int, str]]] = {}

@@ -621,3 +621,26 @@ def company_identities(spark, sf):
     bad = checks.finance_violations(d, bands, keys).agg(F.count("*"))
     faulty = checks.finance_violations(with_faults(d, {3: ("TotalAssets", 300)}), bands, keys).where("rule_id = 'R02' and PeriodIndex = 3").agg(F.count("*"))
     return d.agg(F.count("*").alias("n"), F.count_distinct("CompanyId").alias("companies")).withColumns({"violations": bad.scalar(), "with_fault": faulty.scalar()})
+
+
+# ---- words of rules and their counts
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(p_type || '，' || p_brand || '; x,', '[^,;，；\\s\\p{Z}]+'), '|') AS tags FROM part")
+def tag_split(spark, sf):
+    tagged = F.concat("p_type", F.lit("，"), "p_brand", F.lit("; x,"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.tags(tagged), "|").alias("tags"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_concat(regexp_extract_all(p_type || '-a-' || p_brand, '[0-9A-Za-z_一-鿿]{2,}'),
+ CASE WHEN contains(lower(p_type || '-a-' || p_brand), 'brass') THEN ['黄铜'] ELSE [] END), '|') AS words FROM part""")
+def keyword_extraction(spark, sf):
+    blob = F.concat("p_type", F.lit("-a-"), "p_brand")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.keywords(blob, {"Brass": "黄铜"}), "|").alias("words"))
+
+
+@query("SELECT count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS enabled, count_if(o_orderpriority = '1-URGENT')::BIGINT AS learned, count_if(o_orderpriority <> '1-URGENT')::BIGINT AS manual FROM orders")
+def rule_counts(spark, sf):
+    o = table(spark, sf, "orders")
+    made = o.select((F.col("o_orderstatus") == "F").alias("enabled"), F.when(F.col("o_orderpriority") == "1-URGENT", "learned").otherwise("manual").alias("source"))
+    return report.rule_counts(made)
