@@ -1,7 +1,8 @@
 """Operator 4: WARC archives, each record a Zstandard frame with a dictionary trained on the archive.
 
 An archive (`*.warc.zst`) begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary,
-then a frame for each record. Equal payloads of at least `least` bytes are stored once, by the row
+then a frame for each record. The dictionary is trained on the first 64 KiB of each sampled record (the trainer's samples; every record is
+written whole). Equal payloads of at least `least` bytes are stored once, by the row
 with the smallest page_id; the others become revisit records that refer to it.
 
 Null or empty html: an empty payload, always a response. Null page_id: last in order, and no page
