@@ -43,6 +43,25 @@ def test_capture(spark, tmp_path, raw):
         assert (r.ip_src, r.ip_dst, r.src_port, r.dst_port, r.tcp_seq, r.tcp_hdr_len, r.tcp_flag_names, r.protocol) == ("10.0.0.1", "10.0.0.2", 1234, 80, 4000000000, 24, "SYN,ACK", "TCP")
 
 
+def test_other_protocols(spark):
+    import ipaddress
+
+    a, b = (ipaddress.ip_address(x) for x in ("fe80::1:2a", "2001:db8:1:2:3:4:5:6"))
+    eth = lambda kind: b"\0" * 12 + struct.pack(">H", kind)
+    ip6 = lambda proto, src, dst, body: eth(0x86DD) + struct.pack(">IHBB", 6 << 28, len(body), proto, 64) + src.packed + dst.packed + body
+    none = ipaddress.ip_address("::")
+    ip4 = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 28, 1, 0, 64, 1, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2]))
+    arp = struct.pack(">HHBBH6s4s6s4s", 1, 0x0800, 6, 4, 1, b"\0" * 6, bytes([10, 0, 0, 1]), b"\0" * 6, bytes([10, 0, 0, 9]))
+    made = [ip6(17, a, b, struct.pack(">HHHH", 5000, 53, 8, 0)), ip6(58, none, a, b"\x87\0"), eth(0x0800) + ip4 + b"\x08\0", eth(0x0806) + arp, ip6(17, a, b, b"")[:40], eth(0x0806)]
+    d = spark.createDataFrame([(k, 1, bytearray(x)) for k, x in enumerate(made)], "number long, link int, data binary")
+    got = capture.decode(d).orderBy("number").collect()
+    assert [r.protocol for r in got] == ["DNS", "ICMPv6", "ICMP", "ARP", "UDP", "ARP"]
+    assert [(r.ip_src, r.ip_dst) for r in got] == [(str(a), str(b)), ("::", str(a)), ("10.0.0.1", "10.0.0.2"), (None, None), (str(a), None), (None, None)]
+    assert [(r.src_port, r.dst_port, r.udp_len) for r in got if r.ip_proto == 17] == [(5000, 53, 8), (None, None, None)]
+    assert [(r.icmp_type, r.icmp_code) for r in got] == [(None, None), (135, 0), (8, 0), (None, None), (None, None), (None, None)]
+    assert [(r.arp_opcode, r.arp_src, r.arp_dst) for r in got if r.protocol == "ARP"] == [(1, "10.0.0.1", "10.0.0.9"), (None, None, None)]
+
+
 def test_cut_capture_and_other_files():
     raw = pcap([(1.0, tcp_frame()), (2.0, tcp_frame())])
     assert len(list(capture.frames(raw[:-3]))) == 1

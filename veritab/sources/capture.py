@@ -81,26 +81,42 @@ def _number(data: Column, at, size: int) -> Column:
 
 
 def _address(data: Column, at: int | Column) -> Column:
-    return F.concat_ws(".", *(_number(data, F.lit(at) + k, 1).cast("string") for k in range(4)))
+    """Four numbers; null beyond the end."""
+    parts = [_number(data, F.lit(at) + k, 1).cast("string") for k in range(4)]
+    return F.when(parts[3].isNotNull(), F.concat_ws(".", *parts))
+
+
+def _address6(data: Column, at: Column) -> Column:
+    """Eight groups in hex; the leftmost run of zero groups is cut to two colons. Null beyond the end."""
+    groups = [F.lower(F.conv(F.hex(F.substring(data, at + 2 * k + 1, F.lit(2))), 16, 16)) for k in range(8)]
+    whole = F.regexp_replace(F.concat_ws(":", *groups), r"\A(.*?)(?:\A|:)0(?::0)+(?::|\z)", "$1::")
+    return F.when(F.octet_length(F.substring(data, at + 1, F.lit(16))) == 16, whole)
 
 
 def decode(frames_: DataFrame) -> DataFrame:
-    """Adds Ethernet, IPv4, TCP and UDP fields; null where a frame has none."""
+    """Adds Ethernet, ARP, IPv4, IPv6, ICMP, TCP and UDP fields; null where a frame has none. IPv6 extension headers aren't followed."""
     d = F.col("data")
     tag = F.when(_number(d, F.lit(12), 2) == 0x8100, 4).otherwise(0)
     f = frames_.withColumn("ip_at", F.lit(14) + tag).withColumn("eth_type", _number(d, F.lit(12) + tag, 2))
     is_ip = (F.col("link") == 1) & (F.col("eth_type") == 0x0800)
-    f = f.withColumn("ip_proto", F.when(is_ip, _number(d, F.col("ip_at") + 9, 1)))
+    is_ip6 = (F.col("link") == 1) & (F.col("eth_type") == 0x86DD)
+    f = f.withColumn("ip_proto", F.when(is_ip, _number(d, F.col("ip_at") + 9, 1)).when(is_ip6, _number(d, F.col("ip_at") + 6, 1)))
     f = f.withColumn("ip_len", F.when(is_ip, _number(d, F.col("ip_at") + 2, 2))).withColumn("ip_ttl", F.when(is_ip, _number(d, F.col("ip_at") + 8, 1)))
-    f = f.withColumn("ip_src", F.when(is_ip, _address(d, F.col("ip_at") + 12))).withColumn("ip_dst", F.when(is_ip, _address(d, F.col("ip_at") + 16)))
-    f = f.withColumn("l4_at", F.when(is_ip, F.col("ip_at") + (_number(d, F.col("ip_at"), 1).bitwiseAND(15)) * 4))
+    f = f
+    for name, at, at6 in (("ip_src", 12, 8), ("ip_dst", 16, 24)):
+        f = f.withColumn(name, F.when(is_ip, _address(d, F.col("ip_at") + at)).when(is_ip6, _address6(d, F.col("ip_at") + at6)))
+    f = f.withColumn("l4_at", F.when(is_ip, F.col("ip_at") + (_number(d, F.col("ip_at"), 1).bitwiseAND(15)) * 4).when(is_ip6, F.col("ip_at") + 40))
     tcp, ports = F.col("ip_proto") == 6, F.col("ip_proto").isin(6, 17)
     f = f.withColumn("src_port", F.when(ports, _number(d, F.col("l4_at"), 2))).withColumn("dst_port", F.when(ports, _number(d, F.col("l4_at") + 2, 2)))
     f = f.withColumns({"tcp_seq": F.when(tcp, _number(d, F.col("l4_at") + 4, 4)), "tcp_ack": F.when(tcp, _number(d, F.col("l4_at") + 8, 4)), "tcp_hdr_len": F.when(tcp, F.shiftright(_number(d, F.col("l4_at") + 12, 1), 4) * 4), "tcp_flags": F.when(tcp, _number(d, F.col("l4_at") + 13, 1)), "tcp_window": F.when(tcp, _number(d, F.col("l4_at") + 14, 2))})
     names = [(1, "FIN"), (2, "SYN"), (4, "RST"), (8, "PSH"), (16, "ACK"), (32, "URG")]
     f = f.withColumn("tcp_flag_names", F.when(tcp, F.array_join(F.array_compact(F.array(*(F.when(F.col("tcp_flags").bitwiseAND(b) > 0, n) for b, n in names))), ",")))
-    arp = (F.col("link") == 1) & (F.col("eth_type") == 0x0806)
-    f = f.withColumn("protocol", F.when(tcp, "TCP").when(F.col("ip_proto") == 17, F.when((F.col("src_port") == 53) | (F.col("dst_port") == 53), "DNS").otherwise("UDP")).when(F.col("ip_proto") == 1, "ICMP").when(is_ip, "IPv4").when(arp, "ARP").when(F.col("eth_type") == 0x86DD, "IPv6").otherwise("other"))
+    arp, icmp = (F.col("link") == 1) & (F.col("eth_type") == 0x0806), F.col("ip_proto").isin(1, 58)
+    f = f.withColumns({"icmp_type": F.when(icmp, _number(d, F.col("l4_at"), 1)), "icmp_code": F.when(icmp, _number(d, F.col("l4_at") + 1, 1))})
+    f = f.withColumn("udp_len", F.when(F.col("ip_proto") == 17, _number(d, F.col("l4_at") + 4, 2)))
+    f = f.withColumn("arp_opcode", F.when(arp, _number(d, F.col("ip_at") + 6, 2)))
+    f = f.withColumns({"arp_src": F.when(arp, _address(d, F.col("ip_at") + 14)), "arp_dst": F.when(arp, _address(d, F.col("ip_at") + 24))})
+    f = f.withColumn("protocol", F.when(tcp, "TCP").when(F.col("ip_proto") == 17, F.when((F.col("src_port") == 53) | (F.col("dst_port") == 53), "DNS").otherwise("UDP")).when(F.col("ip_proto") == 1, "ICMP").when(F.col("ip_proto") == 58, "ICMPv6").when(is_ip, "IPv4").when(arp, "ARP").when(F.col("eth_type") == 0x86DD, "IPv6").otherwise("other"))
     return f.drop("ip_at", "l4_at")
 
 
