@@ -8,20 +8,40 @@ trees are counted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.operators.predicates import Predicate
 from veritab.sources.staging import staged
 
 
-def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool = False, width: int = 400) -> DataFrame:
-    """sig (ascending predicate numbers), w (rows with exactly those). Chunks of `width` predicates keep generated code small."""
-    chunks = [F.array_compact(F.array(*(F.when(p.column, F.lit(i + k)) for k, p in enumerate(predicates[i : i + width])))) for i in range(0, len(predicates), width)]
-    sig = F.concat(*chunks) if len(chunks) > 1 else chunks[0]
-    out = df.select(sig.alias("sig")).groupBy("sig").agg(F.count("*").alias("w"))
-    return out if keep_empty else out.where(F.size("sig") > 0)
+#: predicates in one number of a grouping key
+_BITS = 62
+
+
+def _set_bits(key: str, start: int, bits: int) -> Column:
+    """start plus each place of a key's set bits, ascending."""
+    return F.filter(F.sequence(F.lit(start), F.lit(start + bits - 1)), lambda j: F.getbit(key, j - start) == 1)
+
+
+def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool = False) -> DataFrame:
+    """sig (ascending predicate numbers), w (rows with exactly those).
+
+    Rows are grouped by whole numbers with a bit for each predicate that holds, which partial aggregation keeps in a hash table; only
+    the groups are turned to arrays.
+    """
+    held = [F.when(p.column, F.lit(1 << i % _BITS)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(predicates)]
+    keys = {f"_bits{k}": reduce(Column.bitwiseOR, held[i : i + _BITS]) for k, i in enumerate(range(0, len(held), _BITS))}
+    # copies of the keys: what is asked of the groups isn't then pushed down to the rows
+    copies = [F.max(k).alias(f"{k}_of_group") for k in keys]
+    groups = df.select(*(c.alias(n) for n, c in keys.items())).groupBy(*keys).agg(F.count("*").alias("w"), *copies)
+    keys = [f"{k}_of_group" for k in keys]
+    if not keep_empty:
+        groups = groups.where(reduce(Column.__or__, [F.col(k) != 0 for k in keys], F.lit(False)))
+    arrays = [_set_bits(k, i, min(_BITS, len(held) - i)) for k, i in zip(keys, range(0, len(held), _BITS))]
+    return groups.select((F.concat(*arrays) if arrays else F.array().cast("array<int>")).alias("sig"), "w")
 
 
 def supports(sigs: DataFrame, predicates: Sequence[Predicate], rows: int) -> DataFrame:
@@ -33,31 +53,35 @@ def supports(sigs: DataFrame, predicates: Sequence[Predicate], rows: int) -> Dat
     return joined.select("predicate", F.element_at(names, F.col("predicate") + 1).alias("text"), (F.coalesce("held", F.lit(0)) / F.lit(max(rows, 1))).alias("support"))
 
 
-def minimal_covers(sigs: DataFrame, most_literals: int, most_signatures: int = 20_000) -> DataFrame:
+def minimal_covers(sigs: DataFrame, most_literals: int, most_signatures: int = 20_000, most_rules: int | None = None) -> DataFrame:
     """clause: minimal sets of predicates of which every signature holds at least one (so their disjunction holds on every row).
 
-    Breadth first: a clause that doesn't cover yet branches on the predicates of the smallest signature it misses. All
-    clauses of a size are one DataFrame. The signatures, at most `most_signatures` of them, ride along as one array; more are an error.
+    Breadth first: a clause that doesn't cover yet branches on the predicates of the smallest signature it misses. A literal without a
+    signature that it alone meets never gets one as the clause grows, so such branches end at once and covers that are left are minimal.
+    All clauses of a size are one DataFrame. The signatures, at most `most_signatures` of them, ride along as one array; more are an error.
+    most_rules ends the search after the first clause size with which that many are found (whole sizes: none of a size is left out).
     """
     sigs = staged(sigs.select("sig").limit(most_signatures + 1))
     n = sigs.count()
     if n > most_signatures:
         raise ValueError(f"more than {most_signatures} different signatures: use fewer or coarser predicates")
     spark = sigs.sparkSession
-    every = sigs.agg(F.sort_array(F.collect_list(F.struct(F.size("sig").alias("n"), "sig"))).alias("every")).select(F.transform("every", lambda s: s["sig"]).alias("every"))
+    every = staged(sigs.agg(F.sort_array(F.collect_list(F.struct(F.size("sig").alias("n"), "sig"))).alias("every")).select(F.transform("every", lambda s: s["sig"]).alias("every")))
+    tasks = spark.sparkContext.defaultParallelism
+    alone = F.forall("clause", lambda p: F.exists("every", lambda s: F.array_contains(s, p) & (F.size(F.array_intersect(s, "clause")) == 1)))
+    first = F.filter("every", lambda s: ~F.arrays_overlap(s, "clause"))
     level = spark.createDataFrame([([],)], "clause array<int>")
     covers = None
     for size in range(most_literals + 1):
-        tested = level.withColumn("every", every.scalar()).select("clause", F.filter("every", lambda s: ~F.arrays_overlap(s, "clause")).alias("missed"))
-        tested = staged(tested.select("clause", F.try_element_at("missed", F.lit(1)).alias("pivot")))
+        tested = level.withColumn("every", every.scalar()).where(alone).select("clause", F.try_element_at(first, F.lit(1)).alias("pivot"))
+        tested = staged(tested)
         done = tested.where("pivot is null").select("clause")
         covers = done if covers is None else covers.unionByName(done)
-        if size == most_literals:
+        if size == most_literals or (most_rules is not None and covers.count() >= most_rules):
             break
-        level = tested.where("pivot is not null").select("clause", F.explode("pivot").alias("p")).select(F.array_sort(F.array_union("clause", F.array("p"))).alias("clause")).distinct()
-    # a cover is minimal if none of its literals can go
-    alone = F.forall("clause", lambda p: F.exists("every", lambda s: F.array_contains(s, p) & (F.size(F.array_intersect(s, "clause")) == 1)))
-    return covers.withColumn("every", every.scalar()).where((F.size("clause") <= most_literals) & alone).select("clause")
+        grown = tested.where("pivot is not null").select("clause", F.explode("pivot").alias("p"))
+        level = grown.select(F.array_sort(F.array_union("clause", F.array("p"))).alias("clause")).distinct().repartition(tasks)
+    return covers
 
 
 def clause_support(clauses: DataFrame, sigs: DataFrame, rows: int) -> DataFrame:

@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritab.sources.staging import staged
 
-def quantiles(df: DataFrame, cols: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """column, label (p25), value: exact, with linear interpolation; whole-number columns are rounded half to even."""
-    one = df.agg(*(F.percentile(F.col(f"`{c}`").cast("double"), list(points)).alias(c) for c in cols))
-
-    def value(c: str, k: int):
-        v = F.col(f"`{c}`")[k]
-        return F.bround(v) if isinstance(df.schema[c].dataType, T.IntegralType) else v
 
-    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(f"p{round(p * 100):g}").alias("label"), value(c, k).cast("double").alias("value")) for c in cols for k, p in enumerate(points)))))
+def quantiles(df: DataFrame, cols: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """column, label (p25), value: exact, with linear interpolation; whole-number columns are rounded half to even, a column without values gives nulls.
+
+    Values are counted, dealt to ranges of (column, value) and ranked by the counts of the ranges before, so no task holds all of a column.
+    Two rows a point and column are joined at the end.
+    """
+    spark = df.sparkSession
+    name = lambda i: F.struct(F.lit(i).alias("c"), F.col(f"`{cols[i]}`").cast("double").alias("v"))
+    counted = df.select(F.inline(F.array(*map(name, range(len(cols)))))).where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(counted.repartitionByRange(parts, "c", "v").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("c", "part").agg(F.sum("n").alias("in_part"))
+    # a row per range and column
+    before = totals.withColumn("before", F.sum("in_part").over(Window.partitionBy("c").orderBy("part")) - F.col("in_part")).withColumn("all", F.sum("in_part").over(Window.partitionBy("c")))
+    upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
+    placed = ranged.withColumn("upto", upto).join(F.broadcast(before.drop("in_part")), ["c", "part"]).withColumn("upto", F.col("before") + F.col("upto"))
+    wanted = lambda k: F.lit(float(points[k])) * (F.col("all") - 1)
+    ends = [(k, side, F.floor(wanted(k)) if side == 0 else F.ceil(wanted(k))) for k in range(len(points)) for side in (0, 1)]
+    here = F.array_compact(F.array(*(F.when((r >= F.col("upto") - F.col("n")) & (r < F.col("upto")), F.struct(F.lit(k).alias("k"), F.lit(s).alias("side"), (wanted(k) - F.floor(wanted(k))).alias("share"))) for k, s, r in ends)))
+    found = placed.select("c", "v", F.explode(here).alias("e")).groupBy("c", F.col("e.k").alias("k")).agg(
+        F.max(F.when(F.col("e.side") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("e.side") == 1, F.col("v"))).alias("high"), F.max("e.share").alias("share")
+    )
+    labels = [(i, k, c, f"p{round(p * 100):g}", isinstance(df.schema[c].dataType, T.IntegralType)) for i, c in enumerate(cols) for k, p in enumerate(points)]
+    value = F.when(F.col("high") == F.col("low"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("share"))
+    rows = spark.createDataFrame(labels, "c int, k int, column string, label string, whole boolean").join(F.broadcast(found), ["c", "k"], "left")
+    return rows.select("column", "label", F.when(F.col("whole"), F.bround(value)).otherwise(value).alias("value"))
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
