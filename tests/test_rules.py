@@ -214,3 +214,95 @@ def test_overrides(spark):
     a = spark.createDataFrame([("N1", "x"), ("N2", "y")], "rule_id string, text string")
     b = spark.createDataFrame([("N1", "z"), ("M1", "w")], "rule_id string, text string")
     assert rows(rules.override(a, b), "rule_id", "text", "origin") == [("M1", "w", "manual"), ("N1", "z", "manual"), ("N2", "y", "learned")]
+
+
+def test_shapes_of_choices(spark):
+    from veritab.operators.generate import shaped
+
+    choices = [("a", 10), ("b", 40), ("c", 10), ("d", 40)]
+    d = spark.createDataFrame([(choices,)], "x array<struct<value: string, n: long>>")
+    of = lambda **kw: [(r.value, round(r.weight, 6)) for r in d.select(shaped(F.col("x"), **kw)).first()[0]]
+    assert of() == [("b", 40), ("d", 40), ("a", 10), ("c", 10)]
+    assert of(temperature=0.5) == [("b", 1600), ("d", 1600), ("a", 100), ("c", 100)]
+    assert of(top_k=3) == [("b", 40), ("d", 40), ("a", 10)] and of(sample=False) == [("b", 40)]
+    assert of(top_p=0.3) == [("b", 40)] and of(top_p=0.5) == [("b", 40), ("d", 40)] and of(top_p=0.99) == of()
+    assert len(of(top_k=2, top_p=0.9)) == 2
+
+
+def test_completion(spark):
+    from veritab.operators.generate import completed, transitions
+
+    d = spark.createDataFrame([("a", 1, "x")] * 3 + [("a", 2, "y"), ("b", 3, None)], "k string, n int, t string")
+    counts, cols = transitions(d, ["k", "n", "t"]), ["k", "n", "t"]
+    given = spark.createDataFrame([("a",), ("b",), ("z",)], "k string")
+    made = completed(given, counts, cols, samples=50)
+    rows = [tuple(r) for r in made.select(*cols).collect()]
+    assert len(rows) == 100 and set(rows) == {("a", "1", "x"), ("a", "2", "y"), ("b", "3", None)}
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in completed(given, counts, cols, samples=50).select(*cols).collect())
+    assert {tuple(r) for r in completed(given, counts, cols, sample=False).select(*cols).collect()} == {("a", "1", "x"), ("b", "3", None)}
+    with pytest.raises(ValueError):
+        completed(d.select("n"), counts, cols)
+
+
+def test_vocabulary_and_missing_columns(spark):
+    from veritab.operators.generate import from_row_tokens, row_tokens, vocabulary
+
+    d = spark.createDataFrame([("a", -12), ("b", 7)], "k string, n int").withColumn("t", row_tokens(["n"], ["k"], ["k", "n"], 2))
+    back = from_row_tokens(F.col("t"), ["n"], ["k", "n", "other"])
+    assert [tuple(r) for r in d.select(back["k"], back["n"].cast("int"), back["other"]).collect()] == [("a", -12, None), ("b", 7, None)]
+    assert [r.token for r in vocabulary(d, "t").orderBy("token_id").collect()] == sorted(["<BOS>", "<EOS>", "<END_FIELD>", "<FIELD::k>", "<FIELD::n>", "k=a", "k=b", "+", "-", "0", "1", "2", "7"])
+
+
+def test_templates_and_labels():
+    fields = [predicates.Field("x_ctx0", "integer", ("size",), constants=(1, 2), labels=("p50", "")), predicates.Field("x_ctx1", "integer", ("size",)), predicates.Field("y_ctx0", "string")]
+    assert windows.select_families(fields) == {"x": ["x_ctx0", "x_ctx1"], "y": ["y_ctx0"]}
+    assert windows.select_families(fields, kinds=["integer"], roles=["size", "time"]) == {"x": ["x_ctx0", "x_ctx1"]} and windows.select_families(fields, name="y", kinds=["integer"]) == {}
+    assert predicates.labelled_constants(fields, [predicates.Field("x", "integer", constants=(5, 6), labels=("top1", "top1"))]) == {"fields": {"x_ctx0": {"p50": 1}}, "families": {"x": {"top1": 5}}}
+    predicates.check_shape([], constant=[])
+    for wrong in ((None, []), ([],), ([], [], [])):
+        with pytest.raises(ValueError):
+            predicates.check_shape(*wrong)
+
+
+def test_terms():
+    a, b = predicates.Field("a", "integer", ("size",), scalars=(2,), additions=(1,)), predicates.Field("b", "integer", ("size",))
+    c = predicates.Field("c", "integer", ("time",))
+    left = predicates.scaled_terms([a, b]) + predicates.sum_terms([a, b, c])
+    right = predicates.field_terms([a, b, c]) + predicates.constant_terms([3, "s"])
+    assert {p.text for p in predicates.term_term(left, right, ["<="])} == {"(a * 2) <= b", "(a * 2) <= c", "(a + 1) <= b", "(a * 2) <= 3", "(a + 1) <= 3", "(a + b) <= 3"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 61, 62, 63, 125])
+def test_signatures_of_many_predicates(spark, n):
+    d = spark.createDataFrame([(0,), (3,), (3,), (None,)], "v int")
+    ps = [predicates.Predicate(str(k), lambda k=k: F.coalesce(F.col("v") % (k + 2) == 1, F.lit(None))) for k in range(n)]
+    want = {}
+    for v in (0, 3, 3, None):
+        sig = tuple(k for k in range(n) if v is not None and v % (k + 2) == 1)
+        want[sig] = want.get(sig, 0) + 1
+    assert {tuple(r.sig): r.w for r in mining.signatures(d, ps, keep_empty=True).collect()} == want
+    assert {tuple(r.sig): r.w for r in mining.signatures(d, ps).collect()} == {k: v for k, v in want.items() if k}
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    xs = [float(x) for x in rng.integers(0, 40, 501)]
+    rows = [(x, None, int(x) * 7) for x in xs] + [(None, None, None)]
+    d = spark.createDataFrame(rows, "x double, none double, k int")
+    points = [0.0, 0.1, 0.25, 0.333, 0.5, 0.9, 1.0]
+    got = {(r.column, r.label): r.value for r in profile.quantiles(d, ["x", "none", "k"], points).collect()}
+    assert len(got) == 21
+    for p in points:
+        label = f"p{round(p * 100):g}"
+        assert abs(got["x", label] - np.quantile(xs, p)) < 1e-9 and got["none", label] is None
+        assert got["k", label] == float(np.rint(np.quantile([x * 7 for x in xs], p)))
+
+
+def test_cover_search_ends_after_a_size(spark):
+    sigs = spark.createDataFrame([([0, 1],), ([0, 2],), ([1, 2, 3],)], "sig array<int>")
+    all_ = {tuple(r.clause) for r in mining.minimal_covers(sigs, 3).collect()}
+    assert all_ == {(0, 1), (0, 2), (0, 3), (1, 2)}
+    assert {tuple(r.clause) for r in mining.minimal_covers(sigs, 3, most_rules=1).collect()} == all_
+    assert mining.minimal_covers(sigs, 1, most_rules=1).isEmpty()

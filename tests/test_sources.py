@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.functions import logic
+from veritab.operators.checks import cell_changes
 from veritab.operators.rules import Rule
-from veritab.sources import capture, tables
+from veritab.sources import capture, demo, sinks, tables
 from veritab.streaming import events
 
 
@@ -136,3 +137,66 @@ def test_loose_rows_and_addresses(spark):
     assert sorted(tuple(r) for r in sinks.loose_rows(d, "Proto string, Packets int, Bytes int").collect()) == [("TCP", 1, 60), ("UDP", 2, 80)]
     m = spark.createDataFrame([(bytes([1, 2, 255]), "a:1"), (None, "::1")], "b binary, h string")
     assert [tuple(r) for r in m.select(flows.mac_text(F.col("b")), flows.host_part(F.col("h"))).collect()] == [("01:02:ff", "a"), (None, "::1")]
+
+
+def test_application_lines(spark):
+    eth = b"\0" * 12 + b"\x08\0"
+
+    def frame(proto, src, dst, body):
+        ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20, 1, 0, 64, proto, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2]))
+        l4 = struct.pack(">HHHH", src, dst, 8 + len(body), 0) if proto == 17 else struct.pack(">HHIIBBHHH", src, dst, 1, 1, 0x50, 0x18, 512, 0, 0)
+        return eth + ip + l4 + body
+
+    dns = lambda flags, names: struct.pack(">6H", 0xAB, flags, 1, 0, 0, 0) + names
+    made = [
+        frame(17, 5000, 53, dns(0x100, b"\3www\7example\3com\0\0\1\0\1")), frame(17, 53, 5000, dns(0x8180, b"\1a\xc0\x10\1b\1c\0")), frame(17, 5000, 53, dns(0, b"\0")),
+        frame(17, 5000, 53, dns(0, b"\xc0\x0c")), frame(17, 5000, 53, b"\0\1"), frame(6, 5000, 443, b"\x17\3\3\0\1\0"), frame(6, 443, 5000, b"\x16\3\3\0\1\2"), frame(6, 443, 5000, b"GET / HTTP/1.1"),
+        frame(6, 80, 5000, b"HTTP/1.1 200 OK\r\nA: b\r\n"), frame(6, 5000, 8080, b"POST /" + b"x" * 400 + b" HTTP/1.1"), frame(6, 5000, 80, b""), frame(6, 5000, 80, b"get / HTTP/1.1"),
+    ]
+    d = spark.createDataFrame([(k, 1, bytearray(x)) for k, x in enumerate(made)], "number long, link int, data binary")
+    got = [(r.protocol, r.app_line) for r in capture.decode(d).orderBy("number").collect()]
+    assert got == [
+        ("DNS", "Standard query 0x00ab www.example.com"), ("DNS", "Standard query response 0x00ab a.b.c"), ("DNS", "Standard query 0x00ab <root>"),
+        ("DNS", "Standard query 0x00ab <root>"), ("DNS", None), ("TLS", "TLS Application Data"), ("TLS", "TLS Server Hello"), ("TCP", None),
+        ("HTTP", "HTTP/1.1 200 OK"), ("HTTP", "POST /" + "x" * 114), ("TCP", None), ("TCP", None),
+    ]
+
+
+def test_json_sections(spark, tmp_path):
+    files = {
+        "a_b.json": {"title": "Doc", "tags": "x, y", "sections": [{"heading": "H", "body": " text "}, "no object", {"name": "N", "content": ["p", " q ", ""], "tags": ["t u"], "url": "there"}, {"title": "without body"}]},
+        "list.json": [{"text": "one"}],
+        "one.json": {"summary": "whole", "topic": "T", "source": "s"},
+        "none.json": {"other": 1},
+        "bad.json": "[not json",
+    }
+    for name, v in files.items():
+        (tmp_path / name).write_text(v if name == "bad.json" else json.dumps(v))
+    got = {tuple(r) if not isinstance(r.tags, list) else (*tuple(r)[:5], tuple(r.tags)) for r in tables.json_sections(spark, f"file://{tmp_path}").collect()}
+    assert got == {
+        ("a_b.json", 1, "Doc", "H", "text", ("x", "y", "a", "b")), ("there", 3, "Doc", "N", "p\nq", ("x", "y", "a", "b", "t u")),
+        ("list.json", 1, "list", "section-1", "one", ("list",)), ("s", 1, "one", "T", "whole", ("one",)),
+    }
+
+
+def test_marked_csv_and_run(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a")], "n int, s string")
+    tables.write_csv(d.coalesce(1), f"file://{tmp_path}/csv", {"n": "数"}, mark=True)
+    assert next((tmp_path / "csv").glob("*.csv")).read_bytes() == "\ufeff数,s\n1,a\n".encode()
+    path = sinks.write_run(spark, f"file://{tmp_path}/runs", "flows", "basic", {"fields": {"n": "integer"}}, {"predicates": d, "rules": d.where("n > 1")})
+    assert path.endswith("_flows_basic")
+    read = lambda name: json.loads("".join(r.value for r in spark.read.text(f"{path}/{name}").collect()))
+    assert read("fields") == {"n": "integer"} and read("manifest")["rows"] == {"predicates": 1, "rules": 0} and read("predicates") == {"n": 1, "s": "a"}
+
+
+def test_fault_package(spark, tmp_path):
+    clean = demo.clean_package(spark)
+    paths = demo.write_package(clean, f"file://{tmp_path}/package")
+    cells = spark.read.json(paths["truth_table"])
+    faulty = spark.read.csv(paths["faulty"], header=True, schema=clean.schema)
+    # the cells of the single faults are the differences of all together
+    both = cell_changes(clean, faulty, demo.PERIOD, demo.AMOUNTS).select("PeriodIndex", "column", "old", "new").collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, cells.select("PeriodIndex", "column", "old", "new").collect()))
+    assert clean.where("OtherAssets <= 0").isEmpty()
+    with pytest.raises(NotImplementedError):
+        demo.injected("other", clean)

@@ -135,6 +135,66 @@ def summed_fields(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate
     return out
 
 
+@dataclass(frozen=True)
+class Term:
+    """A side of a comparison: a field, a field times a number, a sum of fields, a field plus a number, or a constant."""
+
+    text: str
+    make: Callable[[], Column]
+    fields: tuple[str, ...]
+    ordered: bool
+    group: str | None
+
+
+def field_terms(fields: Sequence[Field]) -> list[Term]:
+    return [Term(f.name, f.column, (f.name,), f.ordered, f.group) for f in fields]
+
+
+def constant_terms(values: Iterable) -> list[Term]:
+    return [Term(repr(v) if isinstance(v, str) else str(v), lambda v=v: F.lit(v), (), not isinstance(v, (str, bool)), None) for v in values]
+
+
+def scaled_terms(fields: Sequence[Field]) -> list[Term]:
+    """Each ordered field times its scalars; a scaled field has no group, as a scalar changes the unit."""
+    return [Term(f"({f.name} * {k})", lambda f=f, k=k: f.column() * F.lit(k), (f.name,), True, None) for f in fields if f.ordered for k in f.scalars]
+
+
+def sum_terms(fields: Sequence[Field]) -> list[Term]:
+    """Sums of two ordered fields of a group, and each ordered field plus its additions."""
+    pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :] if a.ordered and b.ordered and a.group and a.group == b.group]
+    sums = [Term(f"({a.name} + {b.name})", lambda a=a, b=b: a.column() + b.column(), (a.name, b.name), True, a.group) for a, b in pairs]
+    return sums + [Term(f"({f.name} + {k})", lambda f=f, k=k: f.column() + F.lit(k), (f.name,), True, f.group) for f in fields if f.ordered for k in f.additions]
+
+
+def term_term(left: Sequence[Term], right: Sequence[Term], ops: Sequence[str], same_field: bool = False) -> list[Predicate]:
+    """Terms of any kinds against each other: order only between ordered terms, groups equal where both have one; no field on both sides, unless same_field."""
+    return [
+        compare(a.text, a.make, op, b.text, b.make)
+        for a in left for b in right for op in ops
+        if (same_field or not set(a.fields) & set(b.fields)) and (a.fields or b.fields) and a.ordered == b.ordered and (a.ordered or op not in ORDERING)
+        and (a.group is None or b.group is None or a.group == b.group)
+    ]
+
+
+def check_shape(left: Sequence | None, field: Sequence | None = None, constant: Sequence | None = None, term: Sequence | None = None) -> None:
+    """A template of comparisons has a left side and exactly one right side."""
+    if left is None:
+        raise ValueError("a template needs a left side")
+    if sum(x is not None for x in (field, constant, term)) != 1:
+        raise ValueError("a template needs exactly one right side: fields, constants or terms")
+
+
+def labelled_constants(fields: Iterable[Field], of_families: Iterable[Field] = ()) -> dict[str, dict[str, dict]]:
+    """The named constants of fields and of families: {"fields": {name: {label: value}}, "families": ...}; the first value of a label stays."""
+    out: dict[str, dict[str, dict]] = {"fields": {}, "families": {}}
+    for kind, items in (("fields", fields), ("families", of_families)):
+        for f in items:
+            for label, value in zip(f.labels, f.constants):
+                if label:
+                    out[kind].setdefault(f.name, {}).setdefault(label, value)
+    return out
+
+
 def quantified(family: Sequence[str], name: str, ops: Sequence[str], constants: Sequence, every: bool = True) -> list[Predicate]:
     """All (or any) columns of a family against constants; ordering comparisons need only the least or greatest column."""
 

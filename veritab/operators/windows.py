@@ -73,6 +73,17 @@ def families(cols: Sequence[str]) -> dict[str, list[str]]:
     return {k: [c for _, c in sorted(v)] for k, v in found.items()}
 
 
+def select_families(fields: Sequence[Field], name: str | None = None, kinds: Sequence[str] = (), roles: Sequence[str] = ()) -> dict[str, list[str]]:
+    """Column families by name whose first column meets every condition given: the family's name, one of the kinds, one of the roles."""
+    by_name = {f.name: f for f in fields}
+    found = {}
+    for family, cols in families(list(by_name)).items():
+        first = by_name[cols[0]]
+        if (name is None or family == name) and (not kinds or first.kind in kinds) and (not roles or set(roles) & set(first.roles)):
+            found[family] = cols
+    return found
+
+
 def family_values(df: DataFrame, family: Sequence[str]) -> DataFrame:
     """All values of a family's columns, one under the other."""
     return df.select(F.explode(F.array(*family)).alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -644,3 +644,120 @@ def rule_counts(spark, sf):
     o = table(spark, sf, "orders")
     made = o.select((F.col("o_orderstatus") == "F").alias("enabled"), F.when(F.col("o_orderpriority") == "1-URGENT", "learned").otherwise("manual").alias("source"))
     return report.rule_counts(made)
+
+
+# ---- terms, tokens of rows, completion
+
+
+def _terms():
+    left = predicates.scaled_terms(LINE) + predicates.sum_terms(LINE)
+    return predicates.distinct(predicates.term_term(left, predicates.field_terms(LINE) + predicates.constant_terms([30000.0]), ["<="]))
+
+
+@query(_support_sql({p.text: p.text for p in _terms()}))
+def term_predicates(spark, sf):
+    return _supports(spark, sf, _terms())
+
+
+@query("SELECT p_partkey, '<BOS> <FIELD::p_brand> p_brand=' || p_brand || ' <END_FIELD> <FIELD::p_size> + ' || substr(lpad(CAST(p_size AS VARCHAR), 3, '0'), 1, 1) || ' ' || substr(lpad(CAST(p_size AS VARCHAR), 3, '0'), 2, 1) || ' ' || substr(lpad(CAST(p_size AS VARCHAR), 3, '0'), 3, 1) || ' <END_FIELD> <EOS>' AS tokens, p_brand AS brand_back, p_size::DOUBLE AS size_back FROM part")
+def row_tokens(spark, sf):
+    from veritab.operators.generate import from_row_tokens
+    from veritab.operators.generate import row_tokens as tokens_of
+
+    tokens = table(spark, sf, "part").withColumn("tokens", tokens_of(["p_size"], ["p_brand"], ["p_brand", "p_size"], 3))
+    back = from_row_tokens(F.col("tokens"), ["p_size"], ["p_brand", "p_size"])
+    joined = F.array_join("tokens", " ").alias("tokens")
+    return tokens.select("p_partkey", joined, back["p_brand"].alias("brand_back"), back["p_size"].cast("double").alias("size_back"))
+
+
+@query("""WITH c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL),
+ b AS (SELECT s, p FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, p) = 1)
+ SELECT o_orderstatus, p AS o_orderpriority, count(*) AS n FROM orders JOIN b ON s = o_orderstatus WHERE o_orderkey % 10 = 1 GROUP BY ALL""")
+def completed_rows(spark, sf):
+    """Rows with a status alone, completed by the likeliest priority. The tenth of the orders is the set of prefixes."""
+    from veritab.operators.generate import completed, transitions
+
+    o, cols = table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]
+    made = completed(o.where("o_orderkey % 10 = 1").select("o_orderstatus"), transitions(o, cols), cols, sample=False)
+    return made.groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+# ---- faults, periods, frames
+
+
+@query("""SELECT * FROM (VALUES ('F1', 'R01', 3, 'COGS', '2000', '3000'), ('F1', 'R01', 3, 'GrossProfit', '82000', '81000'), ('F1', 'R01', 3, 'InventoryNetInflow', '2000', '1000'),
+ ('F2a', 'R04', 2, 'Cash_Begin', '8000', '8500'),
+ ('F2b', 'R02', 5, 'Cash_End', '10400', '10900'), ('F2b', 'R02', 5, 'TotalAssets', '832000', '832500'), ('F2b', 'R02', 6, 'Cash_Begin', '10400', '10900'),
+ ('F4', 'R07', 7, 'AccountsReceivable', '24150', '84000'), ('F4', 'R07', 7, 'OtherAssets', '800050', '740200'), ('F4', 'R07', 7, 'ReceivableToRevenueBp', '2500', '8696'),
+ ('F3', 'R06', 8, 'Inventory_End', '12400', '299600'), ('F3', 'R06', 8, 'Purchases', '3200', '290400'), ('F3', 'R06', 8, 'InventoryNetInflow', '200', '287400'),
+ ('F3', 'R06', 8, 'InventoryToAssetsBp', '145', '3500'), ('F3', 'R06', 8, 'OtherAssets', '806900', '519700')) t(fault, rule_id, period, "column", old, new)""")
+def named_faults(spark, sf):
+    """The cells that each named fault changes in the clean company."""
+    from veritab.sources import demo
+
+    return demo.truth_table(demo.clean_package(spark)).select("fault", "rule_id", F.col("PeriodIndex").alias("period"), "column", "old", "new")
+
+
+@query("SELECT * FROM (VALUES ('R01', 3), ('R04', 2), ('R02', 5), ('R07', 7), ('R06', 8)) t(rule_id, period)")
+def named_faults_found(spark, sf):
+    """Each named fault is found by its own rule alone, at its own period; the clean company breaks none."""
+    from veritab.sources import demo
+
+    bands = spark.createDataFrame([("consulting", 50, 200)], "Industry string, low_bp int, high_bp int")
+    keys, clean = ["CompanyId", "PeriodIndex"], demo.clean_package(spark)
+    found = checks.finance_violations(demo.injected("finance_v1", clean), bands, keys)
+    return found.unionByName(checks.finance_violations(clean, bands, keys)).select("rule_id", F.col("PeriodIndex").alias("period"))
+
+
+@query("SELECT * FROM (VALUES ('N01', '2017-03-24 10:00:02.300'), ('N02', '2017-03-24 10:00:05.420'), ('N03', '2017-03-24 10:00:08.220')) t(rule_id, first_seen)")
+def sample_flows_checked(spark, sf):
+    from veritab.sources import demo
+
+    return rules.violations(demo.flow_rows(spark), checks.flow_rules(), ["DateFirstSeen"]).select("rule_id", F.col("DateFirstSeen").alias("first_seen"))
+
+
+_PERIODS = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+ e AS (SELECT *, coalesce(lag(r % 1000) OVER w, 100) AS ib, r % 1000 AS ie, coalesce(lag(r % 500) OVER w, 50) AS cb, p > 1 AS later FROM o WINDOW w AS (PARTITION BY c ORDER BY p)) """
+
+
+def _periods(spark, sf):
+    """Orders as a customer's periods: every 11th has a wrong cost, every 7th a wrong opening."""
+    w = Window.partitionBy("CompanyId").orderBy("id")
+    d = table(spark, sf, "orders").select(F.col("o_custkey").alias("CompanyId"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("Revenue"))
+    d = d.withColumns({"PeriodIndex": F.row_number().over(w), "Inventory_End": F.col("Revenue") % 1000, "Cash_End": F.col("Revenue") % 500, "Purchases": F.lit(10).cast("long"), "AccountsReceivable": F.lit(1).cast("long")})
+    d = d.withColumns({"Inventory_Begin": F.coalesce(F.lag("Inventory_End").over(w), F.lit(100)), "Cash_Begin": F.coalesce(F.lag("Cash_End").over(w), F.lit(50)) + F.when(F.col("id") % 7 == 0, 9).otherwise(0)})
+    d = d.withColumn("COGS", F.expr("Inventory_Begin + Purchases - Inventory_End") + F.when(F.col("id") % 11 == 0, 5).otherwise(0))
+    return d.withColumn("GrossProfit", F.expr("Revenue - COGS")).withColumns({"TotalAssets": F.col("Revenue") * 2, "TotalLiabilities": F.col("Revenue"), "TotalEquity": F.col("Revenue")})
+
+
+@query(_PERIODS + "SELECT id, 'R01' AS rule_id FROM e WHERE id % 11 = 0 UNION ALL SELECT id, 'R04' FROM e WHERE id % 7 = 0 AND later")
+def period_rules(spark, sf):
+    rs = [r for r in checks.finance_rules() if r.rule_id in ("R01", "R02", "R03", "R04", "R05")]
+    return rules.violations(checks.with_history(_periods(spark, sf)), rs, ["id"]).select("id", "rule_id")
+
+
+@query(_PERIODS + """SELECT id, 'COGS' AS "column", CAST(ib + 10 - ie + 5 AS VARCHAR) AS old, CAST(ib + 10 - ie AS VARCHAR) AS new FROM e WHERE id % 11 = 0
+ UNION ALL SELECT id, 'GrossProfit', CAST(r - (ib + 10 - ie + 5) AS VARCHAR), CAST(r - (ib + 10 - ie) AS VARCHAR) FROM e WHERE id % 11 = 0
+ UNION ALL SELECT id, 'Cash_Begin', CAST(cb + 9 AS VARCHAR), CAST(cb AS VARCHAR) FROM e WHERE id % 7 = 0 AND later""")
+def repair_periods(spark, sf):
+    """Costs, profits and openings set right over a customer's periods."""
+    d = _periods(spark, sf)
+    return checks.cell_changes(d, checks.repaired(d), ["id"], ["COGS", "GrossProfit", "TotalLiabilities", "Inventory_Begin", "Cash_Begin"])
+
+
+@query("""SELECT event_id, '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip_src, event_id % 60000 AS src_port, CASE event_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 80 ELSE 443 END::BIGINT AS dst_port,
+ CASE event_id % 3 WHEN 0 THEN 'DNS' WHEN 1 THEN 'HTTP' ELSE 'TLS' END AS protocol,
+ CASE event_id % 3 WHEN 0 THEN 'Standard query 0x' || lpad(printf('%x', event_id % 65536), 4, '0') || ' ab.c' WHEN 1 THEN 'GET /' || event_id || ' HTTP/1.1' ELSE 'TLS Client Hello' END AS app_line FROM events WHERE event_id % 60000 NOT IN (53, 80, 443, 8080)""")
+def frame_decode(spark, sf):
+    """A frame for each event, decoded: a DNS question, a request or a handshake. Sources at the services' own ports are left out, as two services would meet."""
+    from veritab.sources.capture import decode
+
+    i, kind = F.col("event_id"), F.col("event_id") % 3
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    port = F.when(kind == 0, 53).when(kind == 1, 80).otherwise(443)
+    body = F.when(kind == 0, F.concat(hexed(i % 65536, 4), F.lit("01000001000000000000" + "02616201630000010001"))).when(kind == 1, F.hex(F.concat(F.lit("GET /"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: x\r\n")).cast("binary"))).otherwise("160301000501")
+    ip = F.concat(F.lit("4500000000010000" + "40"), F.when(kind == 0, "11").otherwise("06"), F.lit("0000" + "0A00"), hexed(F.col("user_id") % 65536, 4), F.lit("0A000001"))
+    l4 = F.concat(hexed(i % 60000, 4), hexed(port, 4), F.when(kind == 0, "00000000").otherwise("0000000100000000" + "5018" + "0200" + "00000000"))
+    data = F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, l4, body))
+    made = table(spark, sf, "events").where("event_id % 60000 NOT IN (53, 80, 443, 8080)").select("event_id", F.lit(1).alias("link"), data.alias("data"))
+    return decode(made).select("event_id", "ip_src", "src_port", "dst_port", "protocol", "app_line")

@@ -93,8 +93,50 @@ def _address6(data: Column, at: Column) -> Column:
     return F.when(F.octet_length(F.substring(data, at + 1, F.lit(16))) == 16, whole)
 
 
+def _text(data: Column, at: Column, size: int | Column) -> Column:
+    """Bytes as text, a character a byte."""
+    return F.decode(F.substring(data, at + 1, size if isinstance(size, Column) else F.lit(size)), "ISO-8859-1")
+
+
+def _dns_name(data: Column, message: Column) -> Column:
+    """The first name asked for in a DNS message, pointers followed, 128 steps at most; "<root>" for the empty name."""
+    byte = lambda at: F.coalesce(_number(data, at, 1), F.lit(0))
+
+    def step(state: Column, _: Column) -> Column:
+        at, size = state["at"], byte(state["at"])
+        label = F.struct((at + size + 1).alias("at"), F.concat(state["labels"], F.array(_text(data, at, size + 1).substr(F.lit(2), size.cast("int")))).alias("labels"), F.lit(False).alias("done"))
+        jump = F.struct((message + (size - 192) * 256 + byte(at + 1)).alias("at"), state["labels"].alias("labels"), F.lit(False).alias("done"))
+        end = F.struct(at.alias("at"), state["labels"].alias("labels"), F.lit(True).alias("done"))
+        return F.when(state["done"], state).when(size == 0, end).when(size >= 192, jump).otherwise(label)
+
+    start = F.struct((message + 12).cast("bigint").alias("at"), F.array().cast("array<string>").alias("labels"), F.lit(False).alias("done"))
+    name = F.array_join(F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, step)["labels"], ".")
+    return F.when(name == "", "<root>").otherwise(name)
+
+
+def application(data: Column, at: Column, tcp: Column) -> tuple[Column, Column]:
+    """(protocol, line) of what begins at a place in a frame: DNS questions, TLS records, first lines of HTTP, each by its ports; else null.
+
+    Uses the columns src_port and dst_port.
+    """
+    on = lambda *ports: F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
+    dns = on(53) & (F.octet_length(data) >= at + 12)
+    answer = F.when(_number(data, at + 2, 2) >= 0x8000, " response").otherwise("")
+    name = F.when(_number(data, at + 4, 2) > 0, _dns_name(data, at)).otherwise("")
+    asked = F.trim(F.concat(F.lit("Standard query"), answer, F.lit(" 0x"), F.lpad(F.lower(F.hex(_number(data, at, 2))), 4, "0"), F.lit(" "), name))
+    kind, first = _number(data, at, 1), _number(data, at + 5, 1)
+    tls = tcp & on(443) & kind.between(20, 24) & (_number(data, at + 1, 1) == 3)
+    # fixed values: names of records and handshakes
+    record = F.when(kind == 22, "Handshake").when(kind == 23, "Application Data").when(kind == 21, "Alert").when(kind == 20, "Change Cipher Spec").otherwise("Record")
+    shake = F.when(first == 1, "Client Hello").when(first == 2, "Server Hello").when(first == 11, "Certificate")
+    hello = F.concat(F.lit("TLS "), F.when(kind == 22, F.coalesce(shake, record)).otherwise(record))
+    line = F.substring_index(_text(data, at, 256), "\r\n", 1)
+    http = tcp & on(80, 8080) & line.rlike(r"^((GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH) |HTTP/[0-9])")
+    return F.when(dns, "DNS").when(tls, "TLS").when(http, "HTTP"), F.when(dns, asked).when(tls, hello).when(http, F.left(line, F.lit(120)))
+
+
 def decode(frames_: DataFrame) -> DataFrame:
-    """Adds Ethernet, ARP, IPv4, IPv6, ICMP, TCP and UDP fields; null where a frame has none. IPv6 extension headers aren't followed."""
+    """Adds Ethernet, ARP, IPv4, IPv6, ICMP, TCP and UDP fields and a line of DNS, TLS and HTTP (app_line); null where a frame has none. IPv6 extension headers aren't followed."""
     d = F.col("data")
     tag = F.when(_number(d, F.lit(12), 2) == 0x8100, 4).otherwise(0)
     f = frames_.withColumn("ip_at", F.lit(14) + tag).withColumn("eth_type", _number(d, F.lit(12) + tag, 2))
@@ -102,7 +144,6 @@ def decode(frames_: DataFrame) -> DataFrame:
     is_ip6 = (F.col("link") == 1) & (F.col("eth_type") == 0x86DD)
     f = f.withColumn("ip_proto", F.when(is_ip, _number(d, F.col("ip_at") + 9, 1)).when(is_ip6, _number(d, F.col("ip_at") + 6, 1)))
     f = f.withColumn("ip_len", F.when(is_ip, _number(d, F.col("ip_at") + 2, 2))).withColumn("ip_ttl", F.when(is_ip, _number(d, F.col("ip_at") + 8, 1)))
-    f = f
     for name, at, at6 in (("ip_src", 12, 8), ("ip_dst", 16, 24)):
         f = f.withColumn(name, F.when(is_ip, _address(d, F.col("ip_at") + at)).when(is_ip6, _address6(d, F.col("ip_at") + at6)))
     f = f.withColumn("l4_at", F.when(is_ip, F.col("ip_at") + (_number(d, F.col("ip_at"), 1).bitwiseAND(15)) * 4).when(is_ip6, F.col("ip_at") + 40))
@@ -117,7 +158,9 @@ def decode(frames_: DataFrame) -> DataFrame:
     f = f.withColumn("arp_opcode", F.when(arp, _number(d, F.col("ip_at") + 6, 2)))
     f = f.withColumns({"arp_src": F.when(arp, _address(d, F.col("ip_at") + 14)), "arp_dst": F.when(arp, _address(d, F.col("ip_at") + 24))})
     f = f.withColumn("protocol", F.when(tcp, "TCP").when(F.col("ip_proto") == 17, F.when((F.col("src_port") == 53) | (F.col("dst_port") == 53), "DNS").otherwise("UDP")).when(F.col("ip_proto") == 1, "ICMP").when(F.col("ip_proto") == 58, "ICMPv6").when(is_ip, "IPv4").when(arp, "ARP").when(F.col("eth_type") == 0x86DD, "IPv6").otherwise("other"))
-    return f.drop("ip_at", "l4_at")
+    app, line = application(d, F.col("app_at"), tcp)
+    f = f.withColumn("app_at", F.when(tcp, F.col("l4_at") + F.col("tcp_hdr_len")).when(F.col("ip_proto") == 17, F.col("l4_at") + 8))
+    return f.withColumn("app_line", line).withColumn("protocol", F.coalesce(app, "protocol")).drop("ip_at", "l4_at", "app_at")
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:

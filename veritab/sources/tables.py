@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions import text
+
 SUFFIXES = {".csv": "csv", ".txt": "csv", ".json": "json", ".parquet": "parquet", ".pcap": "capture", ".pcapng": "capture", ".cap": "capture"}
 
 
@@ -75,5 +77,35 @@ def knowledge_sections(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("source", "place", bare(lines[0]).alias("heading"), bare(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("body"))
 
 
-def write_csv(df: DataFrame, path: str, names: Mapping[str, str] | None = None) -> None:
-    df.withColumnsRenamed(dict(names or {})).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+def json_sections(spark: SparkSession, path: str) -> DataFrame:
+    """source, place, title, heading, body, tags of JSON files: a list of records, an object with a list under sections, items, records or knowledge,
+    or one record. Records that aren't objects or have no body are left out; what a record lacks comes from its file.
+    """
+    first = lambda m, *keys: F.coalesce(*(F.nullif(F.trim(m[k]), F.lit("")) for k in keys))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("value"))
+    files = files.withColumn("root", F.when(F.startswith("value", F.lit("{")), F.from_json("value", "map<string,string>")))
+    root = F.col("root")
+    listed = F.coalesce(*(F.when(F.startswith(root[k], F.lit("[")), root[k]) for k in ("sections", "items", "records", "knowledge")))
+    one = first(root, "body", "content", "text", "summary").isNotNull()
+    records = F.when(root.isNull(), F.from_json("value", "array<string>")).when(listed.isNotNull(), F.from_json(listed, "array<string>")).when(one, F.array("value"))
+    r = files.select("file", "root", F.posexplode(records).alias("at", "record")).withColumn("record", F.from_json("record", "map<string,string>"))
+    m, name = F.col("record"), F.regexp_replace("file", r"\.[^.]*$", "")
+    place = F.col("at") + 1
+    words = lambda t: F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>")).otherwise(text.tags(t))
+    body = first(m, "body", "content", "text", "summary")
+    lines = F.when(F.startswith(body, F.lit("[")), F.array_join(F.filter(F.transform(F.from_json(body, "array<string>"), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
+    return r.select(
+        F.coalesce(first(m, "source", "url"), first(root, "source", "url"), "file").alias("source"), place.alias("place"),
+        F.coalesce(first(m, "doc_title", "document", "doc"), first(root, "doc_title", "document", "title"), name).alias("title"),
+        F.coalesce(first(m, "heading", "title", "name", "topic"), F.concat(F.lit("section-"), place)).alias("heading"),
+        F.coalesce(lines, body).alias("body"),
+        F.concat(words(F.coalesce(root["tags"], F.lit(""))), text.tags(F.replace(name, F.lit("_"), F.lit(" "))), words(F.coalesce(m["tags"], F.lit("")))).alias("tags"),
+    ).where("body <> ''")
+
+
+def write_csv(df: DataFrame, path: str, names: Mapping[str, str] | None = None, mark: bool = False) -> None:
+    """names: other headings; mark: each file begins with a byte order mark, as spreadsheet programs want it."""
+    out = df.withColumnsRenamed(dict(names or {}))
+    if mark:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
