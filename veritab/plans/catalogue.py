@@ -598,10 +598,10 @@ def report_slots(spark, sf):
     return out.withColumns({"mean_ratio": F.round("mean_ratio", 6), "growth": F.round("growth", 6)})
 
 
-@query("SELECT count_if(o_totalprice > 1000)::BIGINT AS hits, count(*) AS total FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT count_if(o_totalprice > 1000)::BIGINT AS hits, count(*) AS total FROM orders WHERE o_orderstatus = 'F'")
 def truth_table_hits(spark, sf):
     o = table(spark, sf, "orders")
-    return report.truth_hits(o.where("o_orderkey % 10 = 0").select("o_orderkey"), o.where("o_totalprice > 1000"), ["o_orderkey"])
+    return report.truth_hits(o.where("o_orderstatus = 'F'").select("o_orderkey"), o.where("o_totalprice > 1000"), ["o_orderkey"])
 
 
 @query("SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages")
@@ -672,13 +672,13 @@ def row_tokens(spark, sf):
 
 @query("""WITH c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL),
  b AS (SELECT s, p FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, p) = 1)
- SELECT o_orderstatus, p AS o_orderpriority, count(*) AS n FROM orders JOIN b ON s = o_orderstatus WHERE o_orderkey % 10 = 1 GROUP BY ALL""")
+ SELECT o_orderstatus, p AS o_orderpriority, count(*) AS n FROM orders JOIN b ON s = o_orderstatus GROUP BY ALL""")
 def completed_rows(spark, sf):
-    """Rows with a status alone, completed by the likeliest priority. The tenth of the orders is the set of prefixes."""
+    """Every order's status, completed by the likeliest priority."""
     from veritab.operators.generate import completed, transitions
 
     o, cols = table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]
-    made = completed(o.where("o_orderkey % 10 = 1").select("o_orderstatus"), transitions(o, cols), cols, sample=False)
+    made = completed(o.select("o_orderstatus"), transitions(o, cols), cols, sample=False)
     return made.groupBy(*cols).agg(F.count("*").alias("n"))
 
 
@@ -745,11 +745,11 @@ def repair_periods(spark, sf):
     return checks.cell_changes(d, checks.repaired(d), ["id"], ["COGS", "GrossProfit", "TotalLiabilities", "Inventory_Begin", "Cash_Begin"])
 
 
-@query("""SELECT event_id, '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip_src, event_id % 60000 AS src_port, CASE event_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 80 ELSE 443 END::BIGINT AS dst_port,
+@query("""SELECT event_id, '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip_src, 10000 + event_id % 50000 AS src_port, CASE event_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 80 ELSE 443 END::BIGINT AS dst_port,
  CASE event_id % 3 WHEN 0 THEN 'DNS' WHEN 1 THEN 'HTTP' ELSE 'TLS' END AS protocol,
- CASE event_id % 3 WHEN 0 THEN 'Standard query 0x' || lpad(printf('%x', event_id % 65536), 4, '0') || ' ab.c' WHEN 1 THEN 'GET /' || event_id || ' HTTP/1.1' ELSE 'TLS Client Hello' END AS app_line FROM events WHERE event_id % 60000 NOT IN (53, 80, 443, 8080)""")
+ CASE event_id % 3 WHEN 0 THEN 'Standard query 0x' || lpad(printf('%x', event_id % 65536), 4, '0') || ' ab.c' WHEN 1 THEN 'GET /' || event_id || ' HTTP/1.1' ELSE 'TLS Client Hello' END AS app_line FROM events""")
 def frame_decode(spark, sf):
-    """A frame for each event, decoded: a DNS question, a request or a handshake. Sources at the services' own ports are left out, as two services would meet."""
+    """A frame for each event, decoded: a DNS question, a request or a handshake."""
     from veritab.sources.capture import decode
 
     i, kind = F.col("event_id"), F.col("event_id") % 3
@@ -757,7 +757,7 @@ def frame_decode(spark, sf):
     port = F.when(kind == 0, 53).when(kind == 1, 80).otherwise(443)
     body = F.when(kind == 0, F.concat(hexed(i % 65536, 4), F.lit("01000001000000000000" + "02616201630000010001"))).when(kind == 1, F.hex(F.concat(F.lit("GET /"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: x\r\n")).cast("binary"))).otherwise("160301000501")
     ip = F.concat(F.lit("4500000000010000" + "40"), F.when(kind == 0, "11").otherwise("06"), F.lit("0000" + "0A00"), hexed(F.col("user_id") % 65536, 4), F.lit("0A000001"))
-    l4 = F.concat(hexed(i % 60000, 4), hexed(port, 4), F.when(kind == 0, "00000000").otherwise("0000000100000000" + "5018" + "0200" + "00000000"))
+    l4 = F.concat(hexed(i % 50000 + 10000, 4), hexed(port, 4), F.when(kind == 0, "00000000").otherwise("0000000100000000" + "5018" + "0200" + "00000000"))
     data = F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, l4, body))
-    made = table(spark, sf, "events").where("event_id % 60000 NOT IN (53, 80, 443, 8080)").select("event_id", F.lit(1).alias("link"), data.alias("data"))
+    made = table(spark, sf, "events").select("event_id", F.lit(1).alias("link"), data.alias("data"))
     return decode(made).select("event_id", "ip_src", "src_port", "dst_port", "protocol", "app_line")
