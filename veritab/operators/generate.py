@@ -70,14 +70,14 @@ def generated(counts: DataFrame, cols: Sequence[str], rows: int, seed: int, **sh
 def completed(prefixes: DataFrame, counts: DataFrame, cols: Sequence[str], samples: int = 1, seed: int = 7, **shape) -> DataFrame:
     """Each row of prefixes `samples` times, completed to all columns; the columns given must be the first of cols, in their order.
 
-    row tells the results apart, those of repeated prefixes too; it is the same for the same files of prefixes. Rows that end in a value no row of the counted table had there give none.
+    row tells the results apart, those of repeated prefixes too; it is the same for prefixes in the same partitions. Rows that end in a value no row of the counted table had there give none.
     """
     given = prefixes.columns
     if given != list(cols[: len(given)]):
         raise ValueError(f"columns given must be the first of {list(cols)}, not {given}")
     rows = prefixes.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in given), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_sample"))
-    # numbered once written, so a task that runs again gives the same ids
-    rows = staged(rows.drop("_sample")).withColumn("row", F.monotonically_increasing_id())
+    # written once numbered, so a task that runs again finds the same ids
+    rows = staged(rows.drop("_sample").withColumn("row", F.monotonically_increasing_id()))
     return drawn(rows, counts, cols, seed, begin=len(given), **shape)
 
 
