@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from veritab.llm import decontaminate, jaccard_join, mix_sources, pii, projected_search, quality, substring_dedup, token_planes, toxicity, warc_writer
+from veritab.llm import (
+    conversation_trie, decontaminate, jaccard_join, line_dedup, mix_sources, pii, projected_search, quality, substring_dedup, token_planes, toxicity,
+    warc_writer,
+)
 
 QUERIES = {
     "op1_token_planes": token_planes.op1_token_planes,
@@ -15,6 +18,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_projected_neighbours": projected_search.op9_projected_neighbours,
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
+    "op11_prefix_trie": conversation_trie.op11_prefix_trie,
+    "op12_line_runs": line_dedup.op12_line_runs,
 }
 
 ORACLE_SQL = {
@@ -22,4 +27,6 @@ ORACLE_SQL = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_prefix_trie": conversation_trie.ORACLE_SQL,
+    "op12_line_runs": line_dedup.ORACLE_SQL,
 }
