@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from veritab.llm import (
-    conversation_trie, decontaminate, jaccard_join, line_dedup, mix_sources, pii, projected_search, quality, substring_dedup, token_planes, toxicity,
-    warc_writer,
+    conversation_trie, decontaminate, jaccard_join, line_dedup, mix_sources, pii, projected_search, quality, substring_dedup, tiered_search,
+    token_planes, toxicity, warc_writer,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_nbsvm_quality": quality.op10_nbsvm_quality,
     "op11_prefix_trie": conversation_trie.op11_prefix_trie,
     "op12_line_runs": line_dedup.op12_line_runs,
+    "op13_tiered_search": tiered_search.op13_tiered_search,
 }
 
 ORACLE_SQL = {
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_prefix_trie": conversation_trie.ORACLE_SQL,
     "op12_line_runs": line_dedup.ORACLE_SQL,
+    "op13_tiered_search": tiered_search.ORACLE_SQL,
 }
