@@ -39,7 +39,8 @@ def numbered(conversations: DataFrame) -> DataFrame:
     hashes = [F.xxhash64(F.lit(salt), "role", "text").alias(f"t{salt}") for salt in (1, 2)]
     turns = turns.select("conv", "turn", "role", "text", F.lit(1).cast("long").alias("place"), F.octet_length("text").cast("long").alias("bytes"), *hashes)
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
-    return running(turns, ["conv"], order, {"place": "add"}, drop=["turn", "role", "text"]).withColumn("place", F.col("place") - 1)
+    places = running(turns, ["conv"], order, {"place": "add"}, drop=["turn", "role", "text"])
+    return written(places.withColumn("place", F.col("place") - 1), "turns")
 
 
 def whole(turns: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
     """
     hashed = [F.when(F.col("depth") == 0, 0).otherwise(F.xxhash64(F.lit(salt), "depth", "t1", "t2")).alias(f"k{salt}") for salt in (1, 2)]
     rows = rows.select("conv", "depth", "bytes", "length", *hashed).withColumns({"x1": F.col("k1"), "x2": F.col("k2")})
-    named = running(rows, ["conv"], [F.col("depth").asc()], {"k1": "xor", "k2": "xor", "length": "last"})
+    named = written(running(rows, ["conv"], [F.col("depth").asc()], {"k1": "xor", "k2": "xor", "length": "last"}), "prefixes")
     nodes = _nodes(named)
     light = ~F.col("heavy") & (F.col("depth") > 0)
     first = light | (F.col("depth") == 0)
@@ -88,7 +89,7 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
         F.when(first, F.col("node")).alias("up_conv"), F.when(first, F.col("depth")).alias("up_depth"), F.col("node").alias("parent"),
     )
     modes = {"level": "add", "path_conv": "last", "path_depth": "last", "up_conv": "before", "up_depth": "before", "parent": "before"}
-    tree = running(tree, ["conv"], [F.col("depth").asc()], modes)
+    tree = written(running(tree, ["conv"], [F.col("depth").asc()], modes), "paths")
     own = tree.where("conv = node").drop("node", "end")
     own = own.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("bytes")}).drop("bytes")
     sums = _summed(own).select("conv", "depth", "parent", "n_convs", "n_children", "n_leaves", "saved")
