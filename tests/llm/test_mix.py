@@ -42,6 +42,29 @@ def test_targets_and_words_taken(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_near_the_targets(spark):
+    """A source with one document of half its words, and the tables: within 1 % of each target."""
+    import random
+
+    rng = random.Random(7)
+    docs = [(i, f"s{i % 3}", "w " * (rng.randint(1, 400) if i > 2 else 15_000)) for i in range(600)]
+    made = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    for df in (made, spark.read.parquet("/root/testdata/sf0.1/documents.parquet")):
+        got = mix_sources.mix(df).groupBy("source").agg({"target": "max", "taken": "sum"}).collect()
+        for r in got:
+            assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.01 * r["max(target)"], r
+
+
+def test_expectations_hold(spark):
+    """Over many seeds each document is taken as often as its source's target asks for, large ones too."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (4000 if i < 2 else 20 + i)) for i in range(300)], "doc_id long, source string, text string")
+    took = defaultdict(list)
+    for seed in range(6):
+        for r in mix_sources.mix(docs, seed=seed).collect():
+            took[r.source, r.size > 1000].append(r.copies - r.target / r.source_size)
+    assert all(abs(sum(v) / len(v)) < (0.5 if large else 0.04) for (_, large), v in took.items())
+
+
 def test_limit_reshares(spark):
     d = spark.createDataFrame([(1, "a", "a a"), (2, "b", "b " * 30), (3, "c", "c"), (4, "d", None)], "doc_id long, source string, text string")
     got = {r.source: r.target for r in mix_sources.mix(d).collect()}

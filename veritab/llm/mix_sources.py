@@ -8,10 +8,15 @@ one of them has a whole number, so expectations hold and the words taken stay th
 the documents of its bucket and leaves one open document for each source; open ones are paired
 again in a reduction tree, `fan_in` at a time, until a source has one, which is rounded on its own.
 
+One document would leave a source off its target by up to its size, and the one that stays open is mostly a large one. So a source's large documents
+are rounded first, those after them share what is then left of its target, and small ones come last (three stages). A stage's documents can
+always take up what the larger ones leave, and in the end a source is off by at most a document of its last stage. As
+what is left is as often too much as too little, expectations still hold.
+
 Random numbers come from the documents and a seed, and buckets from doc_id, so reruns agree whatever the
 layout of the input is. Null or empty texts have size 0 and are taken 0 times. A source of size 0 has target 0
 and its weight goes to the others. Null source is a source of its own, last in order. Rows that repeat
-(same doc_id, source and size) are interchangeable documents. An empty table gives no row. Other columns don't matter.
+(same doc_id, source and size) are interchangeable documents. Very long texts weigh as all their words. An empty table gives no row. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -128,6 +133,24 @@ def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
+_STAGES = 3
+
+
+def _stages(d: DataFrame, sums: DataFrame, limit: float) -> DataFrame:
+    """source, class (of sizes, by powers of two), class_size, stage: the classes up to the first that could take up the largest document come later."""
+    classes = d.where("size > 0").groupBy("source", F.floor(F.log2("size")).alias("class")).agg(F.sum("size").alias("class_size"), F.max("size").alias("largest"))
+    rate = F.col("target") / F.col("source_size")
+    s = classes.alias("c").join(sums.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.*", F.least(rate, limit - rate).alias("room"))
+    of = Window.partitionBy("source")
+    s = s.withColumn("can", F.sum("class_size").over(of.orderBy("class")) * F.col("room")).withColumn("stage", F.lit(0))
+    s = s.withColumn("last", F.max("class").over(of))
+    for k in range(1, _STAGES):
+        left = F.max(F.when(F.col("class") <= F.col("last"), F.col("largest"))).over(of)
+        s = s.withColumn("need", left).withColumn("last", F.coalesce(F.min(F.when(F.col("can") >= F.col("need"), F.col("class"))).over(of), F.col("last")))
+        s = s.withColumn("stage", F.when((F.col("class") <= F.col("last")) & (F.col("last") < F.max("class").over(of)), k).otherwise(F.col("stage")))
+    return s.select("source", "class", "class_size", "stage")
+
+
 def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed: int = 20240613, bucket_rows: int = 5_000, fan_in: int = 64) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken words of every document.
 
@@ -137,9 +160,33 @@ def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), document_key().alias("key"))
     d = written(d, "mix-sizes")
     sums = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weight, limit), "mix-targets")
-    buckets = max(1, -(-d.count() // bucket_rows))
-    d = d.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target")
-    wanted = F.when(F.col("size") > 0, F.least(F.lit(limit), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    classes = written(_stages(d, sums, limit), "mix-classes")
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    numbered = d.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size")))).alias("a").join(classes.alias("b"), same & (F.col("a.class") == F.col("b.class")), "left")
+    d = written(numbered.select("a.*", F.coalesce("stage", F.lit(0)).alias("stage")).drop("class"), "mix-stages")
+    counts = {r["stage"]: r["count"] for r in d.groupBy("stage").count().collect()}  # a row per stage
+    done = None
+    for stage in range(_STAGES):
+        if not counts.get(stage):
+            continue
+        left = classes.where(F.col("stage") >= stage).groupBy("source").agg(F.sum("class_size").alias("left"))
+        rates = sums.alias("a").join(left.alias("b"), same, "left").select("a.*", "left").withColumn("took", F.lit(0))
+        if done is not None:
+            took = done.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") + F.col("state"))).alias("took"))
+            rates = rates.drop("took").alias("a").join(took.alias("b"), same, "left").select("a.*", F.coalesce("took", F.lit(0)).alias("took"))
+        rates = rates.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(limit), (F.col("target") - F.col("took")) / F.col("left"))))
+        here = d.where(F.col("stage") == stage).alias("a").join(written(rates, "mix-rates").alias("b"), same).select("a.*", "source_size", "target", "rate")
+        found = _rounded(here, max(1, -(-counts[stage] // bucket_rows)), fan_in, seed + stage)
+        done = found if done is None else done.unionByName(found)
+    if done is None:
+        done = d.sparkSession.createDataFrame([], _ROW_SQL)
+    copies = (F.col("whole") + F.col("state")).alias("copies")
+    return done.select("doc_id", "source", "key", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))
+
+
+def _rounded(d: DataFrame, buckets: int, fan_in: int, seed: int) -> DataFrame:
+    """Rows of documents with their whole copies and the rounded rest (state), through the reduction tree."""
+    wanted = F.when(F.col("size") > 0, F.col("rate")).otherwise(0.0)
     d = d.withColumn("wanted", wanted).withColumn("whole", F.floor("wanted")).withColumn("part", F.col("wanted") - F.col("whole"))
     # a source's documents are spread over all buckets
     rows = d.withColumn("bucket", F.pmod("key", F.lit(buckets))).withColumn("state", F.lit(-1))
@@ -153,11 +200,9 @@ def mix(docs: DataFrame, weight: Column | None = None, limit: float = 3.0, seed:
         settled = level.where("state >= 0")
         done = settled if done is None else done.unionByName(settled)
         if buckets == 1:
-            break
+            return done
         rows = level.where("state < 0").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
         buckets = -(-buckets // fan_in)
-    copies = (F.col("whole") + F.col("state")).alias("copies")
-    return done.select("doc_id", "source", "key", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
