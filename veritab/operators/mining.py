@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.operators import covers
 from veritab.operators.predicates import Predicate
 from veritab.sources.staging import staged
 
@@ -53,35 +54,20 @@ def supports(sigs: DataFrame, predicates: Sequence[Predicate], rows: int) -> Dat
     return joined.select("predicate", F.element_at(names, F.col("predicate") + 1).alias("text"), (F.coalesce("held", F.lit(0)) / F.lit(max(rows, 1))).alias("support"))
 
 
-def minimal_covers(sigs: DataFrame, most_literals: int, most_signatures: int = 20_000, most_rules: int | None = None) -> DataFrame:
+def minimal_covers(sigs: DataFrame, most_literals: int, most_signatures: int = 20_000, most_rules: int | None = None, first: int | None = None) -> DataFrame:
     """clause: minimal sets of predicates of which every signature holds at least one (so their disjunction holds on every row).
 
-    Breadth first: a clause that doesn't cover yet branches on the predicates of the smallest signature it misses. A literal without a
-    signature that it alone meets never gets one as the clause grows, so such branches end at once and covers that are left are minimal.
-    All clauses of a size are one DataFrame. The signatures, at most `most_signatures` of them, ride along as one array; more are an error.
-    most_rules ends the search after the first clause size with which that many are found (whole sizes: none of a size is left out).
+    Subtrees of the search are dealt to tasks with packed bitmaps of the signatures, at most `most_signatures`; more are an error.
+    first: only so many clauses, the first in the search's order, whatever the number of tasks. most_rules ends the search after the first
+    clause size with which that many are found (whole sizes: none of a size is left out).
     """
-    sigs = staged(sigs.select("sig").limit(most_signatures + 1))
-    n = sigs.count()
-    if n > most_signatures:
-        raise ValueError(f"more than {most_signatures} different signatures: use fewer or coarser predicates")
-    spark = sigs.sparkSession
-    every = staged(sigs.agg(F.sort_array(F.collect_list(F.struct(F.size("sig").alias("n"), "sig"))).alias("every")).select(F.transform("every", lambda s: s["sig"]).alias("every")))
-    tasks = spark.sparkContext.defaultParallelism
-    alone = F.forall("clause", lambda p: F.exists("every", lambda s: F.array_contains(s, p) & (F.size(F.array_intersect(s, "clause")) == 1)))
-    first = F.filter("every", lambda s: ~F.arrays_overlap(s, "clause"))
-    level = spark.createDataFrame([([],)], "clause array<int>")
-    covers = None
+    if most_rules is None:
+        return covers.covers(sigs, most_literals, most_signatures, first)
+    sigs = staged(sigs.select("sig"))
     for size in range(most_literals + 1):
-        tested = level.withColumn("every", every.scalar()).where(alone).select("clause", F.try_element_at(first, F.lit(1)).alias("pivot"))
-        tested = staged(tested)
-        done = tested.where("pivot is null").select("clause")
-        covers = done if covers is None else covers.unionByName(done)
-        if size == most_literals or (most_rules is not None and covers.count() >= most_rules):
-            break
-        grown = tested.where("pivot is not null").select("clause", F.explode("pivot").alias("p"))
-        level = grown.select(F.array_sort(F.array_union("clause", F.array("p"))).alias("clause")).distinct().repartition(tasks)
-    return covers
+        found = covers.covers(sigs, size, most_signatures)
+        if size == most_literals or found.count() >= most_rules:
+            return found
 
 
 def clause_support(clauses: DataFrame, sigs: DataFrame, rows: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -291,6 +292,47 @@ def rule_support(spark, sf):
     return mining.clause_text(found, ps).select("rule", F.round("support", 6).alias("support"))
 
 
+def _wide_predicates():
+    """94 predicates over columns of few values: thousands of signatures at any size of the table."""
+    numbers = Field("l_linenumber", "integer", constants=tuple(range(1, 8)))
+    discount = Field("l_discount", "real", constants=tuple(k / 100 for k in range(11)))
+    tax, quantity = Field("l_tax", "real", constants=tuple(k / 100 for k in range(9))), Field("l_quantity", "real", constants=(15.0, 35.0))
+    kinds = [Field("l_returnflag", "string", constants=("A", "N", "R")), Field("l_linestatus", "string", constants=("F", "O"))]
+    middle = [replace(quantity, constants=(25.0,))]
+    made = predicates.field_constant([numbers], ["=", "!=", "<=", ">"]) + predicates.field_constant([discount], ["=", "<=", ">"])
+    made += predicates.field_constant([tax, quantity], ["<=", ">"]) + predicates.field_constant(kinds, ["=", "!="]) + predicates.field_constant(middle, ["="])
+    return predicates.distinct(made)
+
+
+def _pair_sql() -> str:
+    """Predicates that hold on every row with evidence, and pairs of others of which one does."""
+    ps = _wide_predicates()
+    flags = ", ".join(f"coalesce({' '.join(p.parts)}, false) AS f{i}" for i, p in enumerate(ps))
+    names = ", ".join(f"({i}, '{p.text.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(ps))
+    pairs = [(i, j) for i in range(len(ps)) for j in range(i, len(ps))]
+    tried = ", ".join(f"bool_and(f{i} OR f{j})" for i, j in pairs)
+    places = ", ".join(f"[{i}, {j}]" for i, j in pairs)
+    return f"""WITH f AS (SELECT DISTINCT {flags} FROM lineitem), g AS (SELECT * FROM f WHERE {' OR '.join(f'f{i}' for i in range(len(ps)))}),
+ t AS (SELECT unnest([{tried}]) AS ok, unnest([{places}]) AS pair FROM g), c AS (SELECT pair[1] AS i, pair[2] AS j FROM t WHERE ok), s AS (SELECT i FROM c WHERE i = j),
+ n(k, name) AS (VALUES {names})
+ SELECT CASE WHEN i = j THEN a.name ELSE a.name || ' or ' || b.name END AS rule FROM c JOIN n a ON a.k = i JOIN n b ON b.k = j
+ WHERE i = j OR (i NOT IN (SELECT i FROM s) AND j NOT IN (SELECT i FROM s))"""
+
+
+@query(_pair_sql())
+def wide_pair_rules(spark, sf):
+    """Covers of at most two of 94 predicates."""
+    ps = _wide_predicates()
+    return mining.clause_text(mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 2), ps).select("rule")
+
+
+@query()
+def first_wide_rules(spark, sf):
+    """The first 1,000 covers of at most ten of 94 predicates. Which are first is the search's order, so there is no SQL; each is minimal and holds."""
+    ps = _wide_predicates()
+    return mining.clause_text(mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 10, first=1000), ps).select("clause", "rule")
+
+
 @query()
 def tree_rules(spark, sf):
     ps = _line_predicates()
