@@ -272,6 +272,45 @@ def test_terms():
     assert {p.text for p in predicates.term_term(left, right, ["<="])} == {"(a * 2) <= b", "(a * 2) <= c", "(a + 1) <= b", "(a * 2) <= 3", "(a + 1) <= 3", "(a + b) <= 3"}
 
 
+def test_terms_of_one_kind():
+    """A truth value isn't compared with a string, and a number without a group not with one that has a group."""
+    b, s, x, y = (predicates.Field(*f) for f in (("b", "boolean"), ("s", "string"), ("x", "real"), ("y", "real", ("size",))))
+    k, i = predicates.Field("k", "categorical"), predicates.Field("i", "integer", ("time",))
+    terms = predicates.field_terms([b, s, x, y, k, i])
+    texts = lambda op: {p.text for p in predicates.term_term(terms, terms, [op])}
+    assert texts("=") == {"s = k", "k = s", "x = i", "i = x", "y = i", "i = y"} and texts("<=") == set()
+    assert {p.text for p in predicates.term_term(predicates.field_terms([b, x, s]), predicates.constant_terms([True, 1, 2.5, "v"]), ["=", "<"])} == {
+        "b = True", "x = 1", "x < 1", "x = 2.5", "x < 2.5", "s = 'v'",
+    }
+
+
+def test_selector_and_right_sides():
+    fields = windows.window_fields([predicates.Field("srcBytes", "integer", ("size",)), predicates.Field("Proto", "categorical")], 2)
+    fields += [predicates.Field("rate", "real", ("size", "derived"))]
+    named = lambda **k: [f.name for f in predicates.select_fields(fields, **k)]
+    assert named(pattern="Bytes") == ["srcBytes_ctx0", "srcBytes_ctx1"] and named(pattern="^Bytes") == []
+    assert named(derived=True) == ["rate"] and named(derived=False, window=False) == [] and named(window=False) == ["rate"]
+    assert named(family="Proto", exclude=["Proto_ctx0"]) == ["Proto_ctx1"] and named(names=["rate", "gone", "Proto_ctx1"]) == ["rate", "Proto_ctx1"]
+    left, right = predicates.select_fields(fields, family="srcBytes"), predicates.select_fields(fields, roles=["size"])
+    assert [p.text for p in predicates.field_field(left[:1], ["<"], right)] == ["srcBytes_ctx0 < srcBytes_ctx1", "srcBytes_ctx0 < rate"]
+    assert [p.text for p in predicates.field_field(left[:1], ["="], left[:1], same_field=True)] == ["srcBytes_ctx0 = srcBytes_ctx0"]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 40, 3])
+def test_windows_of_a_hot_key(spark, block):
+    """Nine of ten rows under one key, null keys, ties and null order keys."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1] * 18 + [2, None]), rng.choice([None, *range(30)]), i) for i in range(400)]
+    d = spark.createDataFrame(rows, "k long, t int, i int").repartition(3)
+    for size, stride in ((2, 1), (5, 3)):
+        got = sorted(tuple(r) for r in windows.context_windows(d, ["k"], ["t", "i"], size, stride, ["i"], block_rows=block).collect())
+        want = []
+        for key in (1, 2, None):
+            own = [i for _, _, i in sorted((r[1] is None, r[1] or 0, r[2]) for r in rows if r[0] == key)]
+            want += [tuple(own[j : j + size]) for j in range(0, len(own) - size + 1, stride)]
+        assert got == sorted(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 61, 62, 63, 125])
 def test_signatures_of_many_predicates(spark, n):
     d = spark.createDataFrame([(0,), (3,), (3,), (None,)], "v int")

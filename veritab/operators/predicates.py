@@ -28,6 +28,8 @@ class Field:
     additions: tuple = ()
     #: names of the constants in the predicates' texts, where they have any (p50, top1)
     labels: tuple[str, ...] = ()
+    #: name of the column family, for columns of a context window
+    family: str | None = None
 
     @property
     def ordered(self) -> bool:
@@ -68,12 +70,20 @@ def field_constant(fields: Iterable[Field], ops: Sequence[str]) -> list[Predicat
     return out
 
 
-def select_fields(fields: Iterable[Field], names: Iterable[str] = (), pattern: str | None = None, kinds: Iterable[str] = (), roles: Iterable[str] = ()) -> list[Field]:
-    """Fields that meet every condition given: one of the names, a name that the pattern matches from its start, one of the kinds, one of the roles."""
-    names, kinds, roles = set(names), set(kinds), set(roles)
+def select_fields(
+    fields: Iterable[Field], names: Iterable[str] = (), pattern: str | None = None, kinds: Iterable[str] = (), roles: Iterable[str] = (),
+    exclude: Iterable[str] = (), derived: bool | None = None, family: str | None = None, window: bool | None = None,
+) -> list[Field]:
+    """Fields that meet every condition given, in the order of `names` if there are any: the pattern found in the name, one of the kinds, one of the roles,
+    not excluded, derived or not (role "derived"), of that family, of any window family or of none.
+    """
+    by_name = {f.name: f for f in fields}
+    kinds, roles, exclude = set(kinds), set(roles), set(exclude)
+    chosen = [by_name[n] for n in (list(names) or by_name) if n in by_name and n not in exclude]
     return [
-        f for f in fields
-        if (not names or f.name in names) and (pattern is None or re.match(pattern, f.name)) and (not kinds or f.kind in kinds) and (not roles or roles & set(f.roles))
+        f for f in chosen
+        if (pattern is None or re.search(pattern, f.name)) and (not kinds or f.kind in kinds) and (not roles or roles & set(f.roles))
+        and derived in (None, "derived" in f.roles) and family in (None, f.family) and window in (None, f.family is not None)
     ]
 
 
@@ -107,8 +117,11 @@ def _comparable(a: Field, b: Field, ops: Sequence[str]) -> bool:
     return a.kind == b.kind or {a.kind, b.kind} == {"categorical", "string"}
 
 
-def field_field(fields: Sequence[Field], ops: Sequence[str]) -> list[Predicate]:
-    """Each pair of different comparable fields, in one direction."""
+def field_field(fields: Sequence[Field], ops: Sequence[str], right: Sequence[Field] | None = None, same_field: bool = False) -> list[Predicate]:
+    """Each pair of different comparable fields, in one direction; with a right side of its own, each left field with each right one."""
+    if right is not None:
+        pairs = ((a, b) for a in fields for b in right if same_field or a.name != b.name)
+        return [compare(a.name, a.column, op, b.name, b.column) for a, b in pairs if _comparable(a, b, ops) for op in ops]
     return [compare(a.name, a.column, op, b.name, b.column) for i, a in enumerate(fields) for b in fields[i + 1 :] if _comparable(a, b, ops) for op in ops]
 
 
@@ -142,37 +155,55 @@ class Term:
     text: str
     make: Callable[[], Column]
     fields: tuple[str, ...]
-    ordered: bool
+    #: as of Field; of a constant, that of its value
+    kind: str
     group: str | None
+    #: a scaled field compares with any ordered field, as a scalar changes the unit
+    scaled: bool = False
+
+    @property
+    def ordered(self) -> bool:
+        return self.kind in ("integer", "real")
 
 
 def field_terms(fields: Sequence[Field]) -> list[Term]:
-    return [Term(f.name, f.column, (f.name,), f.ordered, f.group) for f in fields]
+    return [Term(f.name, f.column, (f.name,), f.kind, f.group) for f in fields]
 
 
 def constant_terms(values: Iterable) -> list[Term]:
-    return [Term(repr(v) if isinstance(v, str) else str(v), lambda v=v: F.lit(v), (), not isinstance(v, (str, bool)), None) for v in values]
+    kind = lambda v: "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "real" if isinstance(v, float) else "string"
+    return [Term(repr(v) if isinstance(v, str) else str(v), lambda v=v: F.lit(v), (), kind(v), None) for v in values]
 
 
 def scaled_terms(fields: Sequence[Field]) -> list[Term]:
-    """Each ordered field times its scalars; a scaled field has no group, as a scalar changes the unit."""
-    return [Term(f"({f.name} * {k})", lambda f=f, k=k: f.column() * F.lit(k), (f.name,), True, None) for f in fields if f.ordered for k in f.scalars]
+    """Each ordered field times its scalars."""
+    return [Term(f"({f.name} * {k})", lambda f=f, k=k: f.column() * F.lit(k), (f.name,), "real" if isinstance(k, float) else f.kind, f.group, True) for f in fields if f.ordered for k in f.scalars]
 
 
 def sum_terms(fields: Sequence[Field]) -> list[Term]:
     """Sums of two ordered fields of a group, and each ordered field plus its additions."""
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :] if a.ordered and b.ordered and a.group and a.group == b.group]
-    sums = [Term(f"({a.name} + {b.name})", lambda a=a, b=b: a.column() + b.column(), (a.name, b.name), True, a.group) for a, b in pairs]
-    return sums + [Term(f"({f.name} + {k})", lambda f=f, k=k: f.column() + F.lit(k), (f.name,), True, f.group) for f in fields if f.ordered for k in f.additions]
+    wider = lambda a, b: "real" if "real" in (a, b) else "integer"
+    sums = [Term(f"({a.name} + {b.name})", lambda a=a, b=b: a.column() + b.column(), (a.name, b.name), wider(a.kind, b.kind), a.group) for a, b in pairs]
+    return sums + [Term(f"({f.name} + {k})", lambda f=f, k=k: f.column() + F.lit(k), (f.name,), f.kind, f.group) for f in fields if f.ordered for k in f.additions]
+
+
+def _compatible(a: Term, b: Term, op: str) -> bool:
+    """Order is for numbers. Two numbers with fields need one group on both sides, unless one is scaled or they are only asked to be equal and differ in
+    kind; constants go with any number. Others need one kind, where categories and strings are one."""
+    if not (a.ordered and b.ordered):
+        return op not in ORDERING and (a.kind == b.kind or {a.kind, b.kind} == {"categorical", "string"})
+    if not (a.fields and b.fields) or a.scaled or b.scaled or (op not in ORDERING and a.kind != b.kind):
+        return True
+    return a.group is not None and a.group == b.group
 
 
 def term_term(left: Sequence[Term], right: Sequence[Term], ops: Sequence[str], same_field: bool = False) -> list[Predicate]:
-    """Terms of any kinds against each other: order only between ordered terms, groups equal where both have one; no field on both sides, unless same_field."""
+    """Compatible terms of any kinds against each other; no field on both sides, unless same_field."""
     return [
         compare(a.text, a.make, op, b.text, b.make)
         for a in left for b in right for op in ops
-        if (same_field or not set(a.fields) & set(b.fields)) and (a.fields or b.fields) and a.ordered == b.ordered and (a.ordered or op not in ORDERING)
-        and (a.group is None or b.group is None or a.group == b.group)
+        if (same_field or not set(a.fields) & set(b.fields)) and (a.fields or b.fields) and _compatible(a, b, op)
     ]
 
 

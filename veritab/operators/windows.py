@@ -16,18 +16,18 @@ from veritab.sources.staging import staged
 def context_windows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int, stride: int = 1, cols: Sequence[str] | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """Columns {name}_ctx{i} for i < size. Windows begin every `stride` rows; partitions with fewer rows than `size` give none.
 
-    One exchange by partition serves all columns. Without partition keys the table is one run of rows (see positioned). Without an
-    order the partition keys are it, and without those the first column.
+    Null order keys come last. A partition of more than block_rows rows is spread over blocks with carried edges (see blocked); without partition
+    keys the table is one run of rows (see positioned). Without an order the partition keys are it, and without those the first column.
     """
     cols = list(cols or df.columns)
     order = list(order or partition or df.columns[:1])
     if partition:
-        w = Window.partitionBy(*partition).orderBy(*order)
-        place, own = F.row_number().over(w) - 1, F.lit(True)
+        df = blocked(df, partition, order, size, block_rows)
+        w = Window.partitionBy(*partition, "_block").orderBy("_position")
     else:
         df = positioned(df, order, size, block_rows)
         w = Window.partitionBy("_block").orderBy("_position")
-        place, own = F.col("_position"), F.col("_own")
+    place, own = F.col("_position"), F.col("_own")
     shifted = [F.lead(c, i).over(w).alias(f"{c}_ctx{i}") if i else F.col(c).alias(f"{c}_ctx0") for c in cols for i in range(size)]
     whole = F.lead(F.lit(1), size - 1).over(w) if size > 1 else F.lit(1)
     out = df.select(*shifted, place.alias("_place"), own.alias("_begins"), whole.alias("_whole"))
@@ -51,7 +51,11 @@ def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_range").orderBy(*keys, *ties))
-    rows = ranged.join(counts, "_range").withColumn("_position", F.col("_before") + number - 1).drop("_range", "_before")
+    return _dealt(ranged.join(counts, "_range").withColumn("_position", F.col("_before") + number - 1).drop("_range", "_before"), size, block_rows)
+
+
+def _dealt(rows: DataFrame, size: int, block_rows: int) -> DataFrame:
+    """Deals numbered rows to blocks; the first size - 1 rows of a block go to the block before as well."""
     length = max(block_rows, size)
     block = F.floor(F.col("_position") / length)
     here, carried = F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))
@@ -59,9 +63,37 @@ def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int)
     return rows.withColumn("_to", F.explode(F.when(edge, F.array(here, carried)).otherwise(F.array(here)))).select("*", F.col("_to.block").alias("_block"), F.col("_to.own").alias("_own")).drop("_to")
 
 
+def blocked(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int, block_rows: int) -> DataFrame:
+    """As positioned, within each partition: _position (0.. in the order, nulls last), _block and _own.
+
+    Only if some partition has more than block_rows rows, rows are cut to ranges of (partition, order): a range numbers its own rows, and a table with a
+    row per range and partition that it ends with tells what came before. So no task holds a partition with most of the rows.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    largest = df.groupBy(*partition).agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (largest[0] or 0) <= block_rows:
+        place = F.row_number().over(Window.partitionBy(*partition).orderBy(*keys)) - 1
+        return df.withColumns({"_position": place, "_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    ties = [F.col(c).asc_nulls_last() for c in df.columns if c not in order and c not in partition]
+    by = [F.col(c).asc_nulls_last() for c in partition]
+    ranged = staged(df.repartitionByRange(min(10_000, -(-largest[1] // block_rows)), *by, *keys, *ties).withColumn("_range", F.spark_partition_id()))
+    # of each range only its last partition goes on in later ranges, so the sums below are of a row per range and partition within it
+    counts = ranged.groupBy("_range", *partition).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = counts.select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_key{k}") for k, c in enumerate(partition)), "_before").where("_before > 0")
+    number = F.row_number().over(Window.partitionBy("_range", *partition).orderBy(*keys, *ties)) - 1
+    same = F.col("_range") == F.col("_r")
+    for k, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{k}"))
+    # a range begins with one partition that others have begun: a row per range at most
+    rows = ranged.withColumn("_number", number).join(F.broadcast(counts), same, "left").withColumn("_position", F.coalesce("_before", F.lit(0)) + F.col("_number"))
+    return _dealt(rows.drop("_range", "_number", "_r", "_before", *(f"_key{k}" for k in range(len(partition)))), size, block_rows)
+
+
 def window_fields(fields: Sequence[Field], size: int) -> list[Field]:
     """Descriptions of the columns that context_windows makes: each field once for each place, with the role "window" besides its own."""
-    return [replace(f, name=f"{f.name}_ctx{i}", roles=tuple(dict.fromkeys((*f.roles, "window")))) for f in fields for i in range(size)]
+    return [replace(f, name=f"{f.name}_ctx{i}", family=f.name, roles=tuple(dict.fromkeys((*f.roles, "window")))) for f in fields for i in range(size)]
 
 
 def families(cols: Sequence[str]) -> dict[str, list[str]]:
@@ -95,7 +127,11 @@ def previous(c: str, partition: Sequence[str], period: str, gap: int = 1) -> Col
     return F.when(F.col(period) - F.lag(period).over(w) == gap, F.lag(c).over(w))
 
 
-def at_offset(df: DataFrame, partition: Sequence[str], period: str, cols: Sequence[str], offset: int) -> DataFrame:
-    """Adds {col}_before: the value at period - offset, by the period's value; null where there is none."""
+def at_offset(df: DataFrame, partition: Sequence[str], period: str, cols: Sequence[str], offset: int, last: Sequence[str] = ()) -> DataFrame:
+    """Adds {col}_before: the value at period - offset, by the period's value; null where there is none.
+
+    Where a period repeats, its last row counts: by the columns in `last`, else by all other columns, so that reruns agree.
+    """
     w = Window.partitionBy(*partition).orderBy(period).rangeBetween(-offset, -offset)
-    return df.withColumns({f"{c}_before": F.max(c).over(w) for c in cols})
+    by = F.struct(*(last or [c for c in df.columns if c not in partition and c != period]))
+    return df.withColumns({f"{c}_before": F.max_by(F.struct(F.col(c).alias("v")), by).over(w)["v"] for c in cols})

@@ -245,6 +245,22 @@ def context_window_unkeyed(spark, sf):
     return windows.context_windows(table(spark, sf, "part"), [], ["p_size", "p_partkey"], 3, 2, ["p_partkey"], block_rows=64)
 
 
+@query("""WITH w AS (SELECT p_brand, p_partkey AS k0, lead(p_partkey) OVER o AS k1 FROM (SELECT p_brand, p_partkey, nullif(p_size % 7, 3) AS s FROM part) WINDOW o AS (PARTITION BY p_brand ORDER BY s NULLS LAST, p_partkey))
+ SELECT p_brand, k0 AS p_partkey_ctx0, k1 AS p_partkey_ctx1 FROM w WHERE k1 IS NOT NULL""")
+def context_window_nulls(spark, sf):
+    """Rows without an order key come last in their partition."""
+    d = table(spark, sf, "part").select("p_brand", "p_partkey", F.nullif(F.col("p_size") % 7, F.lit(3)).alias("s"))
+    return windows.context_windows(d, ["p_brand"], ["s", "p_partkey"], 2, cols=["p_partkey", "p_brand"]).select(F.col("p_brand_ctx0").alias("p_brand"), "p_partkey_ctx0", "p_partkey_ctx1")
+
+
+@query("""WITH w AS (SELECT event_type AS kind, event_id AS e0, lead(event_id, 4) OVER o AS e4, row_number() OVER o AS r FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id))
+ SELECT kind, e0, e4 FROM w WHERE e4 IS NOT NULL AND (r - 1) % 3 = 0""")
+def context_window_hot_keys(spark, sf):
+    """Few partition keys with many rows each: every partition is spread over blocks of 500 rows."""
+    d = windows.context_windows(table(spark, sf, "events"), ["event_type"], ["ts", "event_id"], 5, 3, ["event_type", "event_id"], block_rows=500)
+    return d.select(F.col("event_type_ctx0").alias("kind"), F.col("event_id_ctx0").alias("e0"), F.col("event_id_ctx4").alias("e4"))
+
+
 @query(_WINDOWS + "SELECT count(*)::BIGINT AS n, count_if(least(e0, e1, e2) >= 100)::BIGINT AS every, count_if(greatest(e0, e1, e2) >= 100)::BIGINT AS some, count_if(e0 <> 100 AND e1 <> 100 AND e2 <> 100)::BIGINT AS none_is FROM w WHERE e2 IS NOT NULL")
 def quantifier_forall_exists(spark, sf):
     w = _event_windows(spark, sf)
@@ -420,6 +436,15 @@ def yoy_divergence(spark, sf):
     return d.where(F.col("cents") >= 2 * F.col("cents_before"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS m, o_totalprice AS price FROM orders),
+ l AS (SELECT o_custkey, m, arg_max(price, o_orderkey) AS price FROM o GROUP BY 1, 2)
+ SELECT o.o_orderkey, l.price AS price_before FROM o LEFT JOIN l ON l.o_custkey = o.o_custkey AND l.m = o.m - 4""")
+def repeated_period_lookup(spark, sf):
+    """The value four months before; where a customer has several orders in that month, the last one's."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m"), F.col("o_totalprice").alias("price"))
+    return windows.at_offset(o, ["o_custkey"], "m", ["price"], 4, last=["o_orderkey"]).select("o_orderkey", "price_before")
+
+
 @query("WITH b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.1) AS low, quantile_cont(p_retailprice, 0.9) AS high FROM part GROUP BY 1) SELECT p_partkey FROM part JOIN b USING (p_brand) WHERE NOT (p_retailprice BETWEEN low AND high)")
 def band_check(spark, sf):
     p = table(spark, sf, "part")
