@@ -157,9 +157,10 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, postings: int =
                 if asked:
                     if len(known) > 1_000_000:
                         known.clear()
-                    for t in counts.keys() - known.keys():
-                        p = _place(t)
-                        known[t] = asked[p >> 3] >> (p & 7) & 1
+                    for t in counts:
+                        if t not in known:
+                            p = _place(t)
+                            known[t] = asked[p >> 3] >> (p & 7) & 1
                 m = 50 + 50 * counts.total() * documents // words
                 shard.add(doc_id, m, ((t, tf) for t, tf in counts.items() if not asked or known[t]))
                 if len(shard.term) >= postings:
