@@ -93,11 +93,12 @@ def without_tautologies(clauses: DataFrame, predicates: Sequence[Predicate]) ->
     return clauses
 
 
-def entropy_tree(sigs: DataFrame, target: int, depth: int = 3, exclude: Sequence[int] = ()) -> DataFrame:
-    """Leaves of a tree that tells whether predicate `target` holds: path (literals, p or -p-1 for not p), w, share.
+def entropy_trees(sigs: DataFrame, targets: Sequence[int], depth: int = 3, exclude: dict[int, Sequence[int]] | None = None) -> DataFrame:
+    """Leaves of a tree for each target, which tells whether that predicate holds: target, path (literals, p or -p-1 for not p), w, share.
 
-    All nodes of a level are split in one pass: counts by node and predicate, and the split with the least entropy. A node that is
-    pure, at full depth or without a split that gains stays a leaf.
+    All nodes of a level of all trees are split in one pass: counts by target, node and predicate, and the split with the least entropy. A node that is
+    pure, at full depth or without a split that gains stays a leaf. A tree doesn't split by its target nor by what `exclude` names for it. The splits of a
+    level, at most 2 ** depth for each target, are broadcast to the signatures.
     """
 
     def entropy(n, k):
@@ -105,30 +106,36 @@ def entropy_tree(sigs: DataFrame, target: int, depth: int = 3, exclude: Sequence
         one = lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(0.0)
         return n * (one(p) + one(1 - p))
 
-    skip = [target, *exclude]
-    rows = sigs.select("sig", "w", F.array_contains("sig", target).cast("long").alias("y"), F.array().cast("array<int>").alias("path"))
-    rows = staged(rows)
+    tree, sigs = ["target", "path"], staged(sigs)
+    each = F.array(*(F.struct(F.lit(t).alias("target"), F.array(*map(F.lit, [t, *(exclude or {}).get(t, ())])).alias("skip")) for t in targets))
+    rows = sigs.select("sig", "w", F.explode(each).alias("t")).select("sig", "w", "t.target", "t.skip", F.array_contains("sig", F.col("t.target")).cast("long").alias("y"))
+    rows = rows.withColumn("path", F.array().cast("array<int>"))
     leaves = None
     for level in range(depth + 1):
-        nodes = rows.groupBy("path").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"))
+        nodes = rows.groupBy(*tree).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("k"))
         if level == depth:
-            splits = nodes.select("path", F.lit(None).cast("int").alias("p"))
+            splits = nodes.withColumn("p", F.lit(None).cast("int"))
         else:
-            counts = rows.select("path", "w", "y", F.explode(F.array_except("sig", F.array(*map(F.lit, skip)))).alias("p")).groupBy("path", "p").agg(F.sum("w").alias("n1"), F.sum(F.col("w") * F.col("y")).alias("k1"))
-            both = counts.join(nodes, "path").where("n1 < n and k > 0 and k < n")
+            nodes = staged(nodes)
+            counts = rows.select(*tree, "w", "y", F.explode(F.array_except("sig", "skip")).alias("p")).groupBy(*tree, "p").agg(F.sum("w").alias("n1"), F.sum(F.col("w") * F.col("y")).alias("k1"))
+            both = counts.join(nodes, tree).where("n1 < n and k > 0 and k < n")
             after = entropy(F.col("n1"), F.col("k1")) + entropy(F.col("n") - F.col("n1"), F.col("k") - F.col("k1"))
             gains = both.withColumn("after", F.round(after, 9)).where(F.col("after") < entropy(F.col("n"), F.col("k")) - 1e-9)
-            best = gains.groupBy("path").agg(F.min(F.struct("after", "p"))["p"].alias("p"))
-            splits = staged(nodes.select("path").join(best, "path", "left"))
-        kept = nodes.join(splits.where("p is null").select("path"), "path", "left_semi").select("path", F.col("n").alias("w"), F.round(F.col("k") / F.col("n"), 6).alias("share"))
+            best = gains.groupBy(*tree).agg(F.min(F.struct("after", "p"))["p"].alias("p"))
+            splits = staged(nodes.join(best, tree, "left"))
+        kept = splits.where("p is null").select(*tree, F.col("n").alias("w"), F.round(F.col("k") / F.col("n"), 6).alias("share"))
         leaves = kept if leaves is None else leaves.unionByName(kept)
         side = F.when(F.array_contains("sig", F.col("p")), F.col("p")).otherwise(-F.col("p") - 1)
-        rows = rows.join(splits.where("p is not null"), "path").select("sig", "w", "y", F.concat("path", F.array(side)).alias("path"))
-        if level < depth:
-            rows = staged(rows)
+        rows = rows.join(F.broadcast(splits.where("p is not null").select(*tree, "p")), tree)
+        rows = rows.select("sig", "w", "target", "skip", "y", F.concat("path", F.array(side)).alias("path"))
     return leaves
 
 
+def entropy_tree(sigs: DataFrame, target: int, depth: int = 3, exclude: Sequence[int] = ()) -> DataFrame:
+    """The tree of one target: path, w, share."""
+    return entropy_trees(sigs, [target], depth, {target: exclude}).drop("target")
+
+
 def tree_rules(leaves: DataFrame, target: int) -> DataFrame:
     """Pure leaves as implications: path -> target (or not target)."""
     return leaves.where("share = 0 or share = 1").select("path", F.when(F.col("share") == 1, F.lit(target)).otherwise(F.lit(-target - 1)).alias("implies"), "w")

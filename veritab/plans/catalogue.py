@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -309,7 +310,7 @@ def rule_support(spark, sf):
 
 
 def _wide_predicates():
-    """94 predicates over columns of few values: thousands of signatures at any size of the table."""
+    """93 predicates over columns of few values: thousands of signatures at any size of the table."""
     numbers = Field("l_linenumber", "integer", constants=tuple(range(1, 8)))
     discount = Field("l_discount", "real", constants=tuple(k / 100 for k in range(11)))
     tax, quantity = Field("l_tax", "real", constants=tuple(k / 100 for k in range(9))), Field("l_quantity", "real", constants=(15.0, 35.0))
@@ -337,24 +338,62 @@ def _pair_sql() -> str:
 
 @query(_pair_sql())
 def wide_pair_rules(spark, sf):
-    """Covers of at most two of 94 predicates."""
+    """Covers of at most two of 93 predicates."""
     ps = _wide_predicates()
     return mining.clause_text(mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 2), ps).select("rule")
 
 
 @query()
 def first_wide_rules(spark, sf):
-    """The first 1,000 covers of at most ten of 94 predicates. Which are first is the search's order, so there is no SQL; each is minimal and holds."""
+    """The first 100 covers of at most ten of 93 predicates. Which are first is the search's order, so there is no SQL; each is minimal and holds."""
     ps = _wide_predicates()
-    return mining.clause_text(mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 10, first=1000), ps).select("clause", "rule")
+    return mining.clause_text(mining.minimal_covers(mining.signatures(table(spark, sf, "lineitem"), ps), 10, first=100), ps).select("clause", "rule")
 
 
-@query()
+def _tree_sql(targets, depth: int, columns: str) -> str:
+    """Trees level by level over the different rows of flags."""
+    ps = _line_predicates()
+    entropy = lambda n, k: f"{n} * (h({k} / {n}) + h(1 - {k} / {n}))"
+    out = f"""WITH f AS (SELECT {', '.join(f"coalesce({' '.join(p.parts)}, false) AS f{i}" for i, p in enumerate(ps))} FROM lineitem),
+ s AS (SELECT row_number() OVER () AS id, * FROM (SELECT *, count(*) AS w FROM f GROUP BY ALL)),
+ e AS ({' UNION ALL '.join(f'SELECT id, {i} AS p FROM s WHERE f{i}' for i in range(len(ps)))}),
+ r0 AS (SELECT t.target, '' AS path, id, w, ({' OR '.join(f'(t.target = {i} AND f{i})' for i in targets)})::INT AS y FROM s, (VALUES {', '.join(f'({i})' for i in targets)}) t(target))"""
+    one = lambda x: f"(CASE WHEN {x} > 0 THEN -({x}) * log2({x}) ELSE 0.0 END)"
+    for k in range(depth):
+        after = f"{entropy('c.n1', 'c.k1')} + {entropy('(n.n - c.n1)', '(n.k - c.k1)')}"
+        text = f""",
+ n{k} AS (SELECT target, path, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS k FROM r{k} GROUP BY 1, 2),
+ c{k} AS (SELECT target, path, p, sum(w)::DOUBLE AS n1, sum(w * y)::DOUBLE AS k1 FROM r{k} JOIN e USING (id) WHERE p <> target GROUP BY 1, 2, 3),
+ g{k} AS (SELECT target, path, p, n.n, n.k, round({after}, 9) AS after FROM c{k} c JOIN n{k} n USING (target, path) WHERE n1 < n AND k > 0 AND k < n),
+ b{k} AS (SELECT target, path, arg_min(p, (after, p)) AS p FROM g{k} WHERE after < {entropy('n', 'k')} - 1e-9 GROUP BY 1, 2),
+ r{k + 1} AS (SELECT target, path || CASE WHEN path = '' THEN '' ELSE ',' END || CASE WHEN e.id IS NULL THEN -p - 1 ELSE p END AS path, r.id, w, y
+   FROM (SELECT r.*, b.p FROM r{k} r JOIN b{k} b USING (target, path)) r LEFT JOIN e USING (id, p))"""
+        out += re.sub(r"h\(([^()]*(?:\([^()]*\)[^()]*)*)\)", lambda m: one(m[1]), text)
+    ends = [f"SELECT n.* FROM n{k} n ANTI JOIN b{k} b USING (target, path)" for k in range(depth)]
+    ends.append(f"SELECT target, path, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS k FROM r{depth} GROUP BY 1, 2")
+    return f"{out} SELECT {columns} FROM ({' UNION ALL '.join(ends)})"
+
+
+_TREE_TARGET = next(i for i, p in enumerate(_line_predicates()) if p.text == "l_linestatus = 'F'")
+_LEAF = "path, n::BIGINT AS w, round(k / n, 6) AS share"
+
+
+def _leaf(leaves):
+    return leaves.withColumn("path", F.array_join(F.transform("path", lambda i: i.cast("string")), ","))
+
+
+@query(_tree_sql([_TREE_TARGET], 3, _LEAF))
 def tree_rules(spark, sf):
+    leaves = mining.entropy_tree(mining.signatures(table(spark, sf, "lineitem"), _line_predicates(), keep_empty=True), _TREE_TARGET, 3)
+    return _leaf(leaves).select("path", "w", "share")
+
+
+@query(_tree_sql(range(len(_line_predicates())), 2, "target, " + _LEAF))
+def all_tree_rules(spark, sf):
+    """A tree for each predicate, in one pass a level."""
     ps = _line_predicates()
-    target = next(i for i, p in enumerate(ps) if p.text == "l_linestatus = 'F'")
-    leaves = mining.entropy_tree(mining.signatures(table(spark, sf, "lineitem"), ps, keep_empty=True), target, 3)
-    return leaves.select(F.array_join(F.transform("path", lambda i: i.cast("string")), ",").alias("path"), "w", "share")
+    leaves = mining.entropy_trees(mining.signatures(table(spark, sf, "lineitem"), ps, keep_empty=True), range(len(ps)), 2)
+    return _leaf(leaves).select("target", "path", "w", "share")
 
 
 def _line_rules() -> list[Rule]:
