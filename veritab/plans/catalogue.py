@@ -716,13 +716,34 @@ def host_of_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", flows.host_part(F.concat(host, F.lit(":443"))).alias("host"))
 
 
-@query("SELECT 960::BIGINT AS n, 120::BIGINT AS companies, 0::BIGINT AS violations, 120::BIGINT AS with_fault")
+#: orders as the books of companies (customers): a period for each order, whose identities, continuity and growth hold
+_BOOK = """WITH o AS (SELECT o_custkey AS c, CAST(round(o_totalprice) AS BIGINT) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+ b AS (SELECT c, p, r AS Revenue, r * 6 // 10 AS COGS, 100 + r % 900 AS Inventory_End, 500 + r % 700 AS Cash_End, r * 18 // 100 AS AccountsReceivable, r * 3 + 10000 AS TotalAssets, (r * 3 + 10000) * 45 // 100 AS TotalEquity FROM o),
+ book AS (SELECT *, coalesce(lag(Inventory_End) OVER w, 100) AS Inventory_Begin, coalesce(lag(Cash_End) OVER w, 50) AS Cash_Begin, COGS + Inventory_End - coalesce(lag(Inventory_End) OVER w, 100) AS Purchases,
+  Revenue - COGS AS GrossProfit, TotalAssets - TotalEquity AS TotalLiabilities, lag(AccountsReceivable, 4) OVER w AS ar4, lag(Revenue, 4) OVER w AS revenue4 FROM b WINDOW w AS (PARTITION BY c ORDER BY p)) """
+
+
+def _book(spark, sf):
+    from veritab.sources import demo
+
+    w = Window.partitionBy("CompanyId").orderBy("id")
+    r = F.round("o_totalprice").cast("long")
+    d = table(spark, sf, "orders").select(F.col("o_custkey").alias("CompanyId"), F.lit("trade").alias("Industry"), F.col("o_orderkey").alias("id"), r.alias("Revenue"))
+    d = d.withColumns({"PeriodIndex": F.row_number().over(w), "COGS": F.expr("Revenue * 6 div 10"), "NetProfit": F.expr("Revenue div 10"), "Inventory_End": F.col("Revenue") % 900 + 100, "Cash_End": F.col("Revenue") % 700 + 500})
+    d = d.withColumns({"AccountsReceivable": F.expr("Revenue * 18 div 100"), "TotalAssets": F.expr("Revenue * 3 + 10000"), "TotalEquity": F.expr("(Revenue * 3 + 10000) * 45 div 100")})
+    d = d.withColumns({"Inventory_Begin": F.coalesce(F.lag("Inventory_End").over(w), F.lit(100)), "Cash_Begin": F.coalesce(F.lag("Cash_End").over(w), F.lit(50))})
+    d = d.withColumn("Purchases", F.expr("COGS + Inventory_End - Inventory_Begin")).withColumns({c: make() for c, make in demo.DERIVED.items()})
+    return d.select("CompanyId", "Industry", "PeriodIndex", *demo.AMOUNTS)
+
+
+@query(_BOOK + """SELECT count(*) AS n, count(DISTINCT c) AS companies, (count_if(Inventory_End <> Inventory_Begin + Purchases - COGS) + count_if(TotalAssets <> TotalLiabilities + TotalEquity) + count_if(GrossProfit <> Revenue - COGS)
+ + count_if((AccountsReceivable - ar4) / ar4 >= 1 AND (AccountsReceivable - ar4) / ar4 - (Revenue - revenue4) / revenue4 >= 1))::BIGINT AS violations, count_if(p = 3) AS with_fault FROM book""")
 def company_identities(spark, sf):
-    """Synthetic companies obey identities and continuity; a fault in one period is found in each."""
-    from veritab.sources.companies import company_rows, with_faults
+    """Companies made of orders obey identities, continuity and growth; a fault in the third period is found in each that has one."""
+    from veritab.sources.companies import with_faults
 
-    d = company_rows(spark, ["retail", "steel", "software"])
-    bands = spark.createDataFrame([("retail", 0, 10000), ("steel", 0, 10000)], "Industry string, low_bp int, high_bp int")
+    d = _book(spark, sf)
+    bands = spark.createDataFrame([("other", 0, 10000)], "Industry string, low_bp int, high_bp int")
     keys = ["CompanyId", "PeriodIndex"]
     bad = checks.finance_violations(d, bands, keys).agg(F.count("*"))
     faulty = checks.finance_violations(with_faults(d, {3: ("TotalAssets", 300)}), bands, keys).where("rule_id = 'R02' and PeriodIndex = 3").agg(F.count("*"))
@@ -791,35 +812,60 @@ def completed_rows(spark, sf):
 # ---- faults, periods, frames
 
 
-@query("""SELECT * FROM (VALUES ('F1', 'R01', 3, 'COGS', '2000', '3000'), ('F1', 'R01', 3, 'GrossProfit', '82000', '81000'), ('F1', 'R01', 3, 'InventoryNetInflow', '2000', '1000'),
- ('F2a', 'R04', 2, 'Cash_Begin', '8000', '8500'),
- ('F2b', 'R02', 5, 'Cash_End', '10400', '10900'), ('F2b', 'R02', 5, 'TotalAssets', '832000', '832500'), ('F2b', 'R02', 6, 'Cash_Begin', '10400', '10900'),
- ('F4', 'R07', 7, 'AccountsReceivable', '24150', '84000'), ('F4', 'R07', 7, 'OtherAssets', '800050', '740200'), ('F4', 'R07', 7, 'ReceivableToRevenueBp', '2500', '8696'),
- ('F3', 'R06', 8, 'Inventory_End', '12400', '299600'), ('F3', 'R06', 8, 'Purchases', '3200', '290400'), ('F3', 'R06', 8, 'InventoryNetInflow', '200', '287400'),
- ('F3', 'R06', 8, 'InventoryToAssetsBp', '145', '3500'), ('F3', 'R06', 8, 'OtherAssets', '806900', '519700')) t(fault, rule_id, period, "column", old, new)""")
+def _share(part: str, whole: str) -> str:
+    return f"CAST(round_even({part} / {whole} * 10000, 0) AS BIGINT)"
+
+
+_OTHER = "TotalAssets - {} - {} - {}"
+#: fault, rule, period, column, clean and wrong value
+_FAULTY = [
+    ("F1", "R01", 3, "COGS", "COGS", "COGS + 1000"), ("F1", "R01", 3, "GrossProfit", "GrossProfit", "Revenue - COGS - 1000"),
+    ("F1", "R01", 3, "InventoryNetInflow", "Purchases - COGS", "Purchases - COGS - 1000"), ("F2a", "R04", 2, "Cash_Begin", "Cash_Begin", "Cash_Begin + 500"),
+    ("F2b", "R02", 5, "Cash_End", "Cash_End", "Cash_End + 500"), ("F2b", "R02", 5, "TotalAssets", "TotalAssets", "TotalAssets + 500"),
+    ("F2b", "R02", 5, "InventoryToAssetsBp", _share("Inventory_End", "TotalAssets"), _share("Inventory_End", "(TotalAssets + 500)")),
+    ("F2b", "R02", 6, "Cash_Begin", "Cash_Begin", "Cash_Begin + 500"), ("F4", "R07", 7, "AccountsReceivable", "AccountsReceivable", "ar4 * 4"),
+    ("F4", "R07", 7, "OtherAssets", _OTHER.format("Cash_End", "Inventory_End", "AccountsReceivable"), _OTHER.format("Cash_End", "Inventory_End", "ar4 * 4")),
+    ("F4", "R07", 7, "ReceivableToRevenueBp", _share("AccountsReceivable", "Revenue"), _share("(ar4 * 4)", "Revenue")),
+    ("F3", "R06", 8, "Inventory_End", "Inventory_End", "ie"), ("F3", "R06", 8, "Purchases", "Purchases", "ie - Inventory_Begin + COGS"),
+    ("F3", "R06", 8, "OtherAssets", _OTHER.format("Cash_End", "Inventory_End", "AccountsReceivable"), _OTHER.format("Cash_End", "ie", "AccountsReceivable")),
+    ("F3", "R06", 8, "InventoryNetInflow", "Purchases - COGS", "ie - Inventory_Begin"), ("F3", "R06", 8, "InventoryToAssetsBp", _share("Inventory_End", "TotalAssets"), _share("ie", "TotalAssets")),
+]
+
+
+@query(_BOOK + ", f AS (SELECT *, CAST(round_even(TotalAssets * 0.35::DOUBLE, 0) AS BIGINT) AS ie FROM book) " + " UNION ALL ".join(
+    f"""SELECT '{f}' AS fault, '{r}' AS rule_id, c AS company, p AS period, '{k}' AS "column", CAST({old} AS VARCHAR) AS old, CAST({new} AS VARCHAR) AS new FROM f WHERE p = {p} AND {old} <> {new}""" for f, r, p, k, old, new in _FAULTY))
 def named_faults(spark, sf):
-    """The cells that each named fault changes in the clean company."""
+    """The cells that each named fault changes in companies made of orders."""
     from veritab.sources import demo
 
-    return demo.truth_table(demo.clean_package(spark)).select("fault", "rule_id", F.col("PeriodIndex").alias("period"), "column", "old", "new")
+    return demo.truth_table(_book(spark, sf)).select("fault", "rule_id", F.col("CompanyId").alias("company"), F.col("PeriodIndex").cast("long").alias("period"), "column", "old", "new")
 
 
-@query("SELECT * FROM (VALUES ('R01', 3), ('R04', 2), ('R02', 5), ('R07', 7), ('R06', 8)) t(rule_id, period)")
+@query(_BOOK + """SELECT c AS company, p AS period, CASE p WHEN 3 THEN 'R01' WHEN 2 THEN 'R04' WHEN 5 THEN 'R02' WHEN 7 THEN 'R07' END AS rule_id FROM book
+ WHERE p IN (2, 3, 5) OR (p = 7 AND 3 - (Revenue - revenue4) / revenue4 >= 1)
+ UNION ALL SELECT c, p, 'R06' FROM book WHERE round_even(Inventory_End / TotalAssets * 10000, 0) NOT BETWEEN 0 AND 2000 AND p <> 8
+ UNION ALL SELECT c, p, 'R06' FROM book WHERE p = 8
+ UNION ALL SELECT c, p, 'R07' FROM (SELECT *, (AccountsReceivable - CASE p WHEN 11 THEN 4 * lag(AccountsReceivable, 8) OVER w ELSE ar4 END) AS d, CASE p WHEN 11 THEN 4 * lag(AccountsReceivable, 8) OVER w ELSE ar4 END AS base FROM book WINDOW w AS (PARTITION BY c ORDER BY p))
+ WHERE p <> 7 AND d / base >= 1 AND d / base - (Revenue - revenue4) / revenue4 >= 1
+ UNION ALL SELECT c, p, 'R03' FROM book WHERE p = 9""")
 def named_faults_found(spark, sf):
-    """Each named fault is found by its own rule alone, at its own period; the clean company breaks none."""
+    """Each named fault is found in companies made of orders, and what it does to the next period or to the growth four periods later."""
     from veritab.sources import demo
 
-    bands = spark.createDataFrame([("consulting", 50, 200)], "Industry string, low_bp int, high_bp int")
-    keys, clean = ["CompanyId", "PeriodIndex"], demo.clean_package(spark)
-    found = checks.finance_violations(demo.injected("finance_v1", clean), bands, keys)
-    return found.unionByName(checks.finance_violations(clean, bands, keys)).select("rule_id", F.col("PeriodIndex").alias("period"))
+    bands = spark.createDataFrame([("trade", 0, 2000)], "Industry string, low_bp int, high_bp int")
+    found = checks.finance_violations(demo.injected("finance_v1", _book(spark, sf)), bands, ["CompanyId", "PeriodIndex"])
+    return found.select(F.col("CompanyId").alias("company"), F.col("PeriodIndex").cast("long").alias("period"), "rule_id")
 
 
-@query("SELECT * FROM (VALUES ('N01', '2017-03-24 10:00:02.300'), ('N02', '2017-03-24 10:00:05.420'), ('N03', '2017-03-24 10:00:08.220')) t(rule_id, first_seen)")
+@query("""WITH f AS (SELECT event_id AS i, event_id % 17 = 0 AS gone, event_id % 4 <> 0 AND event_id % 23 = 0 AS bad, CASE WHEN event_id % 3 = 0 THEN 'UDP' ELSE 'TCP' END AS proto FROM events),
+ v AS (SELECT proto, 'N04' AS rule_id FROM f WHERE gone UNION ALL SELECT proto, 'N01' FROM f WHERE NOT gone AND i % 3 = 0 AND i % 2 <> 0
+ UNION ALL SELECT proto, 'N02' FROM f WHERE NOT gone AND NOT bad AND i % 7 > 0 AND (i % 900 < 42 * (i % 7) OR i % 900 > 65535 * (i % 7))
+ UNION ALL SELECT proto, 'N03' FROM f WHERE NOT gone AND NOT bad AND CASE WHEN i % 4 = 0 THEN i % 5 <> 0 ELSE i % 100 = 53 END)
+ SELECT proto, rule_id, count(*) AS n FROM v GROUP BY ALL""")
 def sample_flows_checked(spark, sf):
-    from veritab.sources import demo
-
-    return rules.violations(demo.flow_rows(spark), checks.flow_rules(), ["DateFirstSeen"]).select("rule_id", F.col("DateFirstSeen").alias("first_seen"))
+    """How many flows break which rule, by protocol."""
+    found = rules.violations(_flows(spark, sf), checks.flow_rules(), ["event_id", "Proto"])
+    return found.groupBy(F.col("Proto").alias("proto"), "rule_id").agg(F.count("*").alias("n"))
 
 
 _PERIODS = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
