@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from veritab.llm.common import batch, open_fs, shared_dir, table, typed, write_atomically, written
 from veritab.llm.decontaminate import item_words
 from veritab.llm.running import running
-from veritab.llm.wordhash import NOT_ALNUM, utf8
+from veritab.llm.wordhash import NOT_ALNUM, bounded, utf8
 
 TIERS = 3
 _BITS = 26
@@ -76,15 +76,15 @@ def bitmap(places: DataFrame) -> bytes:
 
 def _count_words(batches):
     schema = pa.schema([("documents", pa.int64()), ("words", pa.int64())])
-    for rb in batches:
+    for rb in bounded(batches):
         data, offsets = utf8(rb.column(0))
         word = ~NOT_ALNUM[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         edges = offsets[:-1][offsets[:-1] < len(data)]
         begins[edges] = word[edges]
-        n = np.concatenate([[0], np.cumsum(begins)])[offsets]
-        yield batch(schema, [[int((np.diff(n) > 0).sum())], [int(n[-1] - n[0])]])
+        upto = np.searchsorted(np.flatnonzero(begins), offsets)
+        yield batch(schema, [[int((np.diff(upto) > 0).sum())], [int(upto[-1] - upto[0])]])
 
 
 class _Shard:
@@ -149,7 +149,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, postings: int =
 
     def run(batches):
         asked, known, shard, number = bits.value, {}, _Shard(), TaskContext.get().partitionId() << 32
-        for rb in batches:
+        for rb in bounded(batches):
             for doc_id, text in zip(rb.column("doc_id").to_pylist(), rb.column("text")):
                 counts = Counter(item_words(text.as_py() or b""))
                 if not counts:
