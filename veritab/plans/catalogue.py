@@ -16,6 +16,7 @@ from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
 from veritab.sources.staging import staged
 from veritab.streaming import events as stream
+from veritab.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -913,3 +914,35 @@ def frame_decode(spark, sf):
     data = F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, l4, body))
     made = table(spark, sf, "events").select("event_id", F.lit(1).alias("link"), data.alias("data"))
     return decode(made).select("event_id", "ip_src", "src_port", "dst_port", "protocol", "app_line")
+
+
+# ---- state by key
+
+_RANKED = "WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), "
+
+
+@query(_RANKED + """w AS (SELECT key, n, event_id, event_type = 'error' AS ended, us, CASE WHEN event_type <> 'error' THEN us END AS began, false AS reused FROM e WHERE n = 1
+ UNION ALL SELECT e.key, e.n, e.event_id, e.event_type = 'error', e.us, CASE WHEN e.event_type = 'error' THEN NULL WHEN e.us - w.began <= 28800000000 THEN w.began ELSE e.us END,
+ coalesce(e.event_type <> 'error' AND e.us - w.began <= 28800000000, false) FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+ SELECT key, event_id AS event, began AS job_at, reused FROM w WHERE NOT ended""")
+def reused_user_jobs(spark, sf):
+    """A user's events ask for a job, which is reused for eight hours; an error ends it."""
+    e = table(spark, sf, "events").withColumn("ended", F.col("event_type") == "error")
+    return jobs.reused_jobs(e, "user_id", "ts", "event_id", "ended", 8 * 3600)
+
+
+_STATUS = {"click": "pending", "view": "running", "purchase": "done", "error": "failed"}
+_NEXT = {None: frozenset({"pending", "running"}), "pending": frozenset({"running", "failed"}), "running": frozenset({"done", "failed"}), "done": frozenset({"pending"}), "failed": frozenset({"pending"})}
+
+
+@query(_RANKED + f"""s AS (SELECT key, event_id, n, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} ELSE 'other' END AS status FROM e),
+ l(a, b) AS (VALUES {', '.join(f"('{a or '-'}', '{b}')" for a, bs in _NEXT.items() for b in sorted(bs))}),
+ w AS (SELECT key, n, event_id, NULL::VARCHAR AS before, status, EXISTS (FROM l WHERE a = '-' AND b = status) AS legal FROM s WHERE n = 1
+ UNION ALL SELECT s.key, s.n, s.event_id, CASE WHEN w.legal THEN w.status ELSE w.before END, s.status, coalesce(CASE WHEN w.legal THEN w.status ELSE w.before END, '-') || '>' || s.status IN (SELECT a || '>' || b FROM l)
+ FROM w JOIN s ON s.key = w.key AND s.n = w.n + 1)
+ SELECT key, event_id AS event, before, status, legal FROM w""")
+def user_job_statuses(spark, sf):
+    """Events as changes of a user's job, legal or not."""
+    pairs = [F.lit(x) for kv in _STATUS.items() for x in kv]
+    e = table(spark, sf, "events").withColumn("status", F.coalesce(F.create_map(*pairs)[F.col("event_type")], F.lit("other")))
+    return jobs.job_statuses(e, "user_id", "ts", "event_id", "status", _NEXT)
