@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +42,25 @@ def violations(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> Dat
     return df.select(*keys, F.explode(pairs).alias("v")).select(*keys, "v.*")
 
 
+def sql_function(df: DataFrame, name: str, rules: Mapping[str, str], keys: Sequence[str]) -> None:
+    """Makes the session's SQL table function name(rule): keys and rule_id of the rows of df that break the rule; of all rules for null.
+
+    rules: SQL conditions by id; unknown counts as broken. The function is a query that Catalyst puts in its caller's place, so the caller's filters and columns
+    reach the scan. The table stands as the temporary view {name}_rows.
+    """
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    df.createOrReplaceTempView(f"{name}_rows")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    returned = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    broken = ", ".join(f"CASE WHEN NOT coalesce(CAST(({sql}) AS BOOLEAN), false) THEN {quoted(k)} END" for k, sql in rules.items())
+    own = ", ".join(f"`{k}`" for k in keys)
+    df.sparkSession.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(rule STRING) RETURNS TABLE({returned}, rule_id STRING)
+        RETURN SELECT {own}, broken_rule FROM (SELECT {own}, explode(array_compact(array({broken}))) AS broken_rule FROM {name}_rows)
+        WHERE {name}.rule IS NULL OR broken_rule = {name}.rule"""
+    )
+
+
 def violations_capped(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], order: Sequence[str], most: int = 50) -> DataFrame:
     """The first `most` violations of each rule (a report; counts come from violations_by_rule)."""
     w = Window.partitionBy("rule_id").orderBy(*order)

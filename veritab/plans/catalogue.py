@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions import logic, text
-from veritab.operators import checks, flows, mining, predicates, prepare, profile, report, rules, windows
+from veritab.operators import checks, flows, joins, mining, predicates, prepare, profile, report, rules, windows
 from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
 from veritab.sources.staging import staged
@@ -417,6 +417,16 @@ def rule_validation(spark, sf):
     return rules.satisfaction(table(spark, sf, "lineitem"), _line_rules()).withColumn("satisfaction", F.round("satisfaction", 6))
 
 
+@query(f"""SELECT o_orderpriority, 'A1' AS rule_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT ({_LINE_RULES['A1']}) GROUP BY ALL
+ UNION ALL SELECT o_orderpriority, 'A4', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT {_LINE_RULES['A4']} GROUP BY ALL""")
+def sql_rule_function(spark, sf):
+    """Rules called as a table function from SQL, joined and grouped there."""
+    rules.sql_function(table(spark, sf, "lineitem"), "broken_line_rules", _LINE_RULES, ["l_orderkey"])
+    table(spark, sf, "orders").createOrReplaceTempView("orders_of_rules")
+    return spark.sql("""SELECT o_orderpriority, rule_id, count(*) AS n FROM (SELECT * FROM broken_line_rules('A1') UNION ALL SELECT * FROM broken_line_rules(NULL) WHERE rule_id = 'A4')
+ JOIN orders_of_rules ON l_orderkey = o_orderkey GROUP BY o_orderpriority, rule_id""")
+
+
 @query(" UNION ALL ".join(f"SELECT '{k}' AS rule_id, count_if(NOT ({s}))::BIGINT AS n FROM lineitem" for k, s in _LINE_RULES.items()))
 def violations_by_rule(spark, sf):
     return rules.violations_by_rule(table(spark, sf, "lineitem"), _line_rules())
@@ -492,6 +502,16 @@ def band_check(spark, sf):
     return p.join(bands, "p_brand").where(~(logic.ge(F.col("p_retailprice"), F.col("low")) & logic.le(F.col("p_retailprice"), F.col("high")))).select("p_partkey")
 
 
+@query("""WITH b AS (SELECT p_brand, p_size % 5 AS band, min(p_retailprice) + 150 AS low, max(p_retailprice) - 150 AS high FROM part GROUP BY ALL)
+ SELECT p_partkey, band, low <= high AS ok FROM part LEFT JOIN b ON b.p_brand = part.p_brand AND p_retailprice BETWEEN low AND high""")
+def overlapping_bands(spark, sf):
+    """Five bands a brand, which overlap: each part with all that hold its price, or with none; hot bins are split at 50 rows."""
+    p = table(spark, sf, "part")
+    bands = p.groupBy("p_brand", (F.col("p_size") % 5).alias("band")).agg((F.min("p_retailprice") + 150).alias("low"), (F.max("p_retailprice") - 150).alias("high"))
+    found = joins.band_join(p.select("p_partkey", "p_brand", "p_retailprice"), "p_retailprice", bands, "low", "high", ["p_brand"], bins=8, most_rows=50, left=True)
+    return found.select("p_partkey", "band", (F.col("low") <= F.col("high")).alias("ok"))
+
+
 def _books(spark, sf):
     """Orders as small accounts, some of them with a wrong total."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice")).cast("long").alias("Revenue"))
