@@ -311,6 +311,31 @@ def test_windows_of_a_hot_key(spark, block):
         assert got == sorted(want)
 
 
+def test_codes(spark):
+    d = spark.createDataFrame([("", 1), ("-", 2), ("+1", 3), ("-12.3", 4), ("-12.34", 5), ("1", 6), ("+1x", 7), ("+12.345", 8), ("+.1", 9), (None, 10)], "p string, i int")
+    low, high = text.prefix_interval(F.col("p"), 2, 2, True)
+    fits = text.prefix_fits(F.col("p"), 2, 2, True)
+    ok = {r.i: (float(r[1]), float(r[2])) for r in d.where("i < 6").select("i", low, high).collect()}
+    assert ok == {1: (0.0, 99.99), 2: (-99.99, 0.0), 3: (10.0, 19.99), 4: (-12.39, -12.3), 5: (-12.34, -12.34)}
+    assert {r.i for r in d.where(fits).collect()} == {1, 2, 3, 4, 5}
+    whole = d.select("i", text.prefix_fits(F.col("p"), 2).alias("f")).where("f").collect()
+    assert {r.i for r in whole} == {1, 6}
+    n = spark.createDataFrame([(1.25, -12, None), (-999.99996, 7, None), (None, None, None)], "x double, y int, z double")
+    assert [tuple(r) for r in profile.number_codecs(n, ["x", "y", "z"]).collect()] == [("x", True, 4, 2), ("y", True, 2, 0), ("z", False, 1, 0)]
+
+
+def test_evidence_of_added_files(spark, tmp_path):
+    rng = random.Random(2)
+    ps = [Predicate(f"x > {k}", lambda k=k: logic.gt(F.col("x"), k), ("x", ">", str(k))) for k in (2, 5, 7)]
+    rows = lambda df: sorted((tuple(r.sig), r.w) for r in df.collect())
+    for part in range(3):
+        spark.createDataFrame([(rng.randint(0, 9),) for _ in range(50)], "x int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = rows(mining.file_signatures(spark, f"file://{tmp_path}/in/*.parquet", ps, f"file://{tmp_path}/kept"))
+        assert got == rows(mining.signatures(spark.read.parquet(f"{tmp_path}/in"), ps))
+        runs = spark.read.parquet(f"{tmp_path}/kept/*/files").groupBy("run").count().collect()
+        assert [r["count"] for r in runs] == [1] * (part + 1)
+
+
 @pytest.mark.parametrize("n", [0, 1, 61, 62, 63, 125])
 def test_signatures_of_many_predicates(spark, n):
     d = spark.createDataFrame([(0,), (3,), (3,), (None,)], "v int")

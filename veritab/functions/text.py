@@ -97,6 +97,24 @@ def from_fixed_width(code: Column, places: int) -> Column:
     return sign * F.substring(code, 2, 100).cast("long") / F.lit(10**places)
 
 
-def prefix_interval(prefix: Column, digits: int) -> tuple[Column, Column]:
-    """The whole numbers of `digits` digits that begin with a prefix: least and greatest."""
-    return F.rpad(prefix, digits, "0").cast("long"), F.rpad(prefix, digits, "9").cast("long")
+def prefix_interval(prefix: Column, digits: int, places: int = 0, signed: bool = False) -> tuple[Column, Column]:
+    """Least and greatest number whose fixed-width text begins with a prefix: a sign if `signed`, `digits` digits, a point and `places` decimals if there are any.
+
+    Whole numbers are longs, others decimals. After a minus sign larger digits are less. An empty signed prefix goes from minus zero up, as its missing digits are
+    filled as those of a positive number.
+    """
+
+    def filled(sign: str, digit: str) -> Column:
+        whole = (sign if signed else "") + digit * digits + ("." + digit * places if places else "")
+        return F.concat(prefix, F.substring(F.lit(whole), F.length(prefix) + 1, F.lit(len(whole))))
+
+    minus = F.startswith(prefix, F.lit("-")) if signed else F.lit(False)
+    kind = f"decimal({min(38, digits + places)},{places})" if places else "long"
+    low, high = F.when(minus, filled("-", "9")).otherwise(filled("-", "0")), F.when(minus, filled("+", "0")).otherwise(filled("+", "9"))
+    return low.cast(kind), high.cast(kind)
+
+
+def prefix_fits(prefix: Column, digits: int, places: int = 0, signed: bool = False) -> Column:
+    """Whether a text may begin a fixed-width number: a sign first if `signed`, digits, the point in its place, and not too long."""
+    whole = f"[0-9]{{0,{digits - 1}}}|[0-9]{{{digits}}}" + (f"(\\.[0-9]{{0,{places}}})?" if places else "")
+    return F.coalesce(F.rlike(prefix, F.lit(f"\\A(|[+-]({whole}))\\z" if signed else f"\\A({whole})\\z")), F.lit(False))

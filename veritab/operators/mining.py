@@ -7,10 +7,13 @@ trees are counted.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.operators import covers
@@ -27,8 +30,8 @@ def _set_bits(key: str, start: int, bits: int) -> Column:
     return F.filter(F.sequence(F.lit(start), F.lit(start + bits - 1)), lambda j: F.getbit(key, j - start) == 1)
 
 
-def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool = False) -> DataFrame:
-    """sig (ascending predicate numbers), w (rows with exactly those).
+def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """sig (ascending predicate numbers), w (rows with exactly those); for each value of the columns in `by`.
 
     Rows are grouped by whole numbers with a bit for each predicate that holds, which partial aggregation keeps in a hash table; only
     the groups are turned to arrays.
@@ -37,12 +40,44 @@ def signatures(df: DataFrame, predicates: Sequence[Predicate], keep_empty: bool
     keys = {f"_bits{k}": reduce(Column.bitwiseOR, held[i : i + _BITS]) for k, i in enumerate(range(0, len(held), _BITS))}
     # copies of the keys: what is asked of the groups isn't then pushed down to the rows
     copies = [F.max(k).alias(f"{k}_of_group") for k in keys]
-    groups = df.select(*(c.alias(n) for n, c in keys.items())).groupBy(*keys).agg(F.count("*").alias("w"), *copies)
+    groups = df.select(*by, *(c.alias(n) for n, c in keys.items())).groupBy(*by, *keys).agg(F.count("*").alias("w"), *copies)
     keys = [f"{k}_of_group" for k in keys]
     if not keep_empty:
         groups = groups.where(reduce(Column.__or__, [F.col(k) != 0 for k in keys], F.lit(False)))
     arrays = [_set_bits(k, i, min(_BITS, len(held) - i)) for k, i in zip(keys, range(0, len(held), _BITS))]
-    return groups.select((F.concat(*arrays) if arrays else F.array().cast("array<int>")).alias("sig"), "w")
+    return groups.select(*by, (F.concat(*arrays) if arrays else F.array().cast("array<int>")).alias("sig"), "w")
+
+
+def file_signatures(spark: SparkSession, path: str, predicates: Sequence[Predicate], folder: str, kind: str = "parquet") -> DataFrame:
+    """sig, w of the rows of all files under a path, with evidence; the evidence of each file is kept in a folder, and only new or changed files are read.
+
+    What is kept is named by the predicates' texts; a file by its name, length and time of change. A run writes its signatures first and then the files that they
+    are of, so signatures of a run that broke off don't count. Evidence of files that are gone doesn't count either.
+    """
+    texts = json.dumps([p.text for p in predicates])
+    base = f"{folder.rstrip('/')}/evidence-{hashlib.sha256(texts.encode()).hexdigest()[:32]}"
+    name = F.sha2(F.to_json(F.struct("path", "length", "modificationTime")), 256).alias("file")
+    files = staged(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", name))
+    done = _kept(spark, f"{base}/files", "file string, run string")
+    new = files.join(done, "file", "left_anti")
+    paths = [r.path for r in new.select("path").collect()]  # names of files, as any listing has them
+    if paths:
+        run = uuid.uuid4().hex
+        rows = spark.read.format(kind).load(paths).withColumn("_path", F.col("_metadata.file_path"))
+        found = signatures(rows, predicates, by=["_path"]).join(new.withColumnRenamed("path", "_path"), "_path").select("file", "sig", "w")
+        found.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/signatures")
+        new.select("file").withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/files")
+        done = _kept(spark, f"{base}/files", "file string, run string")
+    kept = _kept(spark, f"{base}/signatures", "file string, sig array<int>, w long, run string")
+    # a file that two runs took at once counts once
+    chosen = done.join(files.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.min("run").alias("run"))
+    return kept.join(chosen, ["file", "run"], "left_semi").groupBy("sig").agg(F.sum("w").alias("w"))
+
+
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def supports(sigs: DataFrame, predicates: Sequence[Predicate], rows: int) -> DataFrame:

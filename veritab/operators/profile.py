@@ -112,3 +112,18 @@ def number_widths(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """column, negative, digits, least, greatest: what a fixed-width code needs."""
     one = df.agg(*(x for c in cols for x in (F.bool_or(F.col(c) < 0).alias(f"{c}_neg"), F.max(F.length(F.floor(F.abs(c)).cast("long").cast("string"))).alias(f"{c}_dig"), F.min(c).cast("double").alias(f"{c}_min"), F.max(c).cast("double").alias(f"{c}_max"))))
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}_neg").alias("negative"), F.col(f"{c}_dig").alias("digits"), F.col(f"{c}_min").alias("least"), F.col(f"{c}_max").alias("greatest")) for c in cols))))
+
+
+def number_codecs(df: DataFrame, cols: Sequence[str], precision: int = 4) -> DataFrame:
+    """column, negative, digits, places: the fixed-width code that holds all values, fractions rounded to `precision` decimals; one pass for all columns."""
+    parts = []
+    for c in cols:
+        x = F.col(f"`{c}`")
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)
+        # a double's shortest text, rounded half to even
+        text = F.abs(x).cast("string") if whole else F.bround(F.abs(x).cast("decimal(38,10)"), precision).cast(f"decimal(38,{precision})").cast("string")
+        places = F.lit(0) if whole else F.length(F.rtrim(F.substring_index(text, ".", -1), F.lit("0")))
+        own = (F.bool_or(x < 0), F.max(F.length(F.substring_index(text, ".", 1))), F.max(F.when(x.isNotNull(), places)))
+        parts += [F.coalesce(v, F.lit(d)).alias(f"{c}_{n}") for n, v, d in zip(("negative", "digits", "places"), own, (False, 1, 0))]
+    one = df.agg(*parts)
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{c}_{n}`").alias(n) for n in ("negative", "digits", "places"))) for c in cols))))

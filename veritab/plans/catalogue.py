@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from veritab.functions import logic, text
 from veritab.operators import checks, flows, joins, mining, predicates, prepare, profile, report, rules, windows
 from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
-from veritab.sources.staging import staged
+from veritab.sources.staging import shared_folder, staged
 from veritab.streaming import events as stream
 from veritab.streaming import jobs
 
@@ -162,6 +163,11 @@ def profile_domain(spark, sf):
     return profile.domain(table(spark, sf, "orders"), "o_orderpriority")
 
 
+@query("""SELECT 'c_acctbal' AS "column", bool_or(c_acctbal < 0) AS negative, max(length(split_part(CAST(round_even(abs(c_acctbal), 4) AS DECIMAL(18, 4))::VARCHAR, '.', 1)))::INTEGER AS digits, max(length(rtrim(split_part(CAST(round_even(abs(c_acctbal), 4) AS DECIMAL(18, 4))::VARCHAR, '.', 2), '0')))::INTEGER AS places FROM customer UNION ALL SELECT 'c_nationkey' AS "column", bool_or(c_nationkey < 0) AS negative, max(length(abs(c_nationkey)::VARCHAR))::INTEGER AS digits, 0 AS places FROM customer""")
+def number_codecs(spark, sf):
+    return profile.number_codecs(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
+
+
 @query("""SELECT 'c_acctbal' AS "column", bool_or(c_acctbal < 0) AS negative, max(length(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR)))::INTEGER AS digits, min(c_acctbal) AS least, max(c_acctbal) AS greatest FROM customer""")
 def number_widths(spark, sf):
     return profile.number_widths(table(spark, sf, "customer"), ["c_acctbal"])
@@ -277,6 +283,15 @@ def evidence_signatures(spark, sf):
     return sigs.select(F.array_join(F.transform("sig", lambda i: i.cast("string")), ",").alias("sig"), "w")
 
 
+@query(ORACLE_SQL["evidence_signatures"])
+def additive_signatures(spark, sf):
+    """Evidence kept for each input file and merged: the second call reads no file again."""
+    folder = f"{shared_folder(spark)}/evidence-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sigs = mining.file_signatures(spark, f"{sf}/lineitem.parquet", _line_predicates(), folder)
+    return sigs.select(F.array_join(F.transform("sig", lambda i: i.cast("string")), ",").alias("sig"), "w")
+
+
 def _cover_sql(columns: str) -> str:
     """All clauses of up to three predicates that hold on every row with evidence, without those that have a smaller one inside."""
     ps = _line_predicates()
@@ -936,6 +951,18 @@ def frame_decode(spark, sf):
     return decode(made).select("event_id", "ip_src", "src_port", "dst_port", "protocol", "app_line")
 
 
+@query("""WITH p AS (SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || lpad(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR), 6, '0') || '.')[1:1 + c_custkey % 8] AS p FROM customer),
+ f AS (SELECT c_custkey, p, p || (CASE WHEN p[1] = '-' THEN '-999999.99' ELSE '-000000.00' END)[length(p) + 1:] AS low, p || (CASE WHEN p[1] = '-' THEN '+000000.00' ELSE '+999999.99' END)[length(p) + 1:] AS high FROM p)
+ SELECT c_custkey, CAST(low AS DECIMAL(8, 2))::DOUBLE AS low, CAST(high AS DECIMAL(8, 2))::DOUBLE AS high, c_custkey % 3 <> 0 AS fits FROM f""")
+def signed_prefix_intervals(spark, sf):
+    """Intervals of signed amounts with two decimals, by the first signs of their code; every third text has a letter at its end."""
+    code = text.fixed_width(F.when(F.col("c_acctbal") < 0, -1).otherwise(1) * F.floor(F.abs("c_acctbal")), 6, 0)
+    d = table(spark, sf, "customer").withColumn("p", F.substring(F.concat(code, F.lit(".")), F.lit(1), (F.col("c_custkey") % 8 + 1).cast("int")))
+    low, high = text.prefix_interval(F.col("p"), 6, 2, True)
+    spoilt = F.when(F.col("c_custkey") % 3 == 0, F.concat("p", F.lit("x"))).otherwise(F.col("p"))
+    return d.select("c_custkey", low.cast("double").alias("low"), high.cast("double").alias("high"), text.prefix_fits(spoilt, 6, 2, True).alias("fits"))
+
+
 # ---- state by key
 
 _RANKED = "WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), "

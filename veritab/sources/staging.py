@@ -5,15 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it back: later steps read it once made, and lost executors don't lose it.
-
-    Only in local mode a temporary folder stands in for an absent setting.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only in local mode a temporary one stands in for an absent setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "local")
@@ -21,6 +17,12 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="staged-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet under spark.checkpoint.dir and reads it back: later steps read it once made, and lost executors don't lose it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
