@@ -57,6 +57,13 @@ def repaired(df: DataFrame) -> DataFrame:
     return out.select([c for c in df.columns if not c.endswith(("_expected", "_before"))])
 
 
+def hints(df: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rule_id, column, value: what repair leaves as it is but tells, a row for each column of a share outside its band or of growth that outruns revenue's."""
+    told = [r for r in finance_rules() if r.rule_id in ("R06", "R07")]
+    cells = F.array_compact(F.array(*(F.when(~r.condition, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for r in told for c in r.fields)))
+    return with_history(df).join(bands, "Industry", "left").select(*keys, F.explode(cells).alias("h")).select(*keys, "h.*")
+
+
 def cell_changes(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """keys, column, old, new of every cell that differs (missing and missing are equal)."""
     a = before.select(*keys, *(F.col(c).cast("string").alias(f"o_{c}") for c in cols))

@@ -99,6 +99,21 @@ def override(learned: DataFrame, manual: DataFrame) -> DataFrame:
     return learned.join(manual, "rule_id", "left_anti").withColumn("origin", F.lit("learned")).unionByName(manual.withColumn("origin", F.lit("manual")))
 
 
+def origins(rules: DataFrame, forced: str | None = None) -> DataFrame:
+    """Adds origin: the forced one; else that in `source.origin`, if it is learned or manual; else learned where the source names a learner or predicates, and manual where not.
+
+    source: a struct with any of the fields origin, learner, predicate_ids; null, an empty learner and an empty list count as absent.
+    """
+    have = set(rules.schema["source"].dataType.fieldNames())
+    part = lambda name: F.col(f"source.{name}") if name in have else F.lit(None)
+    named = F.coalesce(F.trim(part("learner").cast("string")) != "", F.lit(False))
+    if "predicate_ids" in have:
+        named = named | F.coalesce(F.size("source.predicate_ids") > 0, F.lit(False))
+    told = part("origin").cast("string")
+    found = F.when(told.isin("learned", "manual"), told).when(named, "learned").otherwise("manual")
+    return rules.withColumn("origin", F.lit(forced) if forced else found)
+
+
 def coincidences(rules: DataFrame, known: Sequence[float], least: float = 0.5, odd: float = 0.98) -> DataFrame:
     """Adds coincidence: little support, or an odd constant (over 10, not known) without nearly full support; manual rules are exempt.
 

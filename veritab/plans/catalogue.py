@@ -670,13 +670,16 @@ def token_ngram_counts(spark, sf):
     return transitions(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT 100::BIGINT AS n, 0::BIGINT AS broken")
+@query("SELECT 100::BIGINT AS n, 0::BIGINT AS broken, count(DISTINCT (l_returnflag, l_linestatus)) AS pairs, count(DISTINCT (l_linestatus, l_linenumber)) AS next_pairs FROM lineitem")
 def constrained_rows(spark, sf):
+    """A hundred rows that obey a rule; neighbours in them are neighbours in the table, so they add no pair to the table's."""
     from veritab.operators.generate import generated_under_rules
 
     rule = Rule("G1", logic.implies(logic.eq(F.col("l_returnflag"), "N"), logic.le(F.col("l_linenumber"), 5)))
     made = generated_under_rules(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [rule], 100)
-    return made.agg(F.count("*").alias("n"), F.count_if(~rule.condition).alias("broken"))
+    every = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").unionByName(made.select("l_returnflag", "l_linestatus", "l_linenumber"))
+    pairs = every.agg(F.count_distinct("l_returnflag", "l_linestatus").alias("pairs"), F.count_distinct("l_linestatus", "l_linenumber").alias("next_pairs"))
+    return made.agg(F.count("*").alias("n"), F.count_if(~rule.condition).alias("broken")).withColumns({c: pairs.select(c).scalar() for c in pairs.columns})
 
 
 @query("SELECT count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents, (SELECT count(DISTINCT x) FROM (SELECT CAST(user_id AS VARCHAR) AS x FROM events UNION ALL SELECT event_type FROM events)) AS endpoints, max(epoch_us(ts)) - min(epoch_us(ts)) AS span_us FROM events")
@@ -963,6 +966,24 @@ def signed_prefix_intervals(spark, sf):
     return d.select("c_custkey", low.cast("double").alias("low"), high.cast("double").alias("high"), text.prefix_fits(spoilt, 6, 2, True).alias("fits"))
 
 
+@query(_BOOK + """, h AS (SELECT c, p, Inventory_End, TotalAssets FROM book WHERE round_even(Inventory_End / TotalAssets * 10000, 0) NOT BETWEEN 0 AND 100)
+ SELECT c AS company, p AS period, 'R06' AS rule_id, 'Inventory_End' AS "column", CAST(Inventory_End AS VARCHAR) AS value FROM h UNION ALL SELECT c, p, 'R06', 'TotalAssets', CAST(TotalAssets AS VARCHAR) FROM h""")
+def repair_hints(spark, sf):
+    """Shares outside of the band are told, not changed."""
+    bands = spark.createDataFrame([("trade", 0, 100)], "Industry string, low_bp int, high_bp int")
+    found = checks.hints(_book(spark, sf), bands, ["CompanyId", "PeriodIndex"])
+    return found.select(F.col("CompanyId").alias("company"), F.col("PeriodIndex").cast("long").alias("period"), "rule_id", "column", "value")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'learned' ELSE CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN 'learned' ELSE 'manual' END END AS origin FROM part""")
+def rule_origins(spark, sf):
+    """Where rules come from: what they say, or else whether a learner or predicates are named."""
+    size = F.col("p_size")
+    told = F.when(size % 4 == 0, "manual").when(size % 4 == 1, "learned").when(size % 4 == 2, "other")
+    source = F.struct(told.alias("origin"), F.when(size % 3 == 0, "trees").otherwise("").alias("learner"), F.when(size % 5 == 0, F.array(F.lit(1))).alias("predicate_ids"))
+    return rules.origins(table(spark, sf, "part").select("p_partkey", source.alias("source"))).select("p_partkey", "origin")
+
+
 # ---- state by key
 
 _RANKED = "WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), "
