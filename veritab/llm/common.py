@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -35,15 +37,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _freed_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LOCK = threading.Lock()
+_WRITING: dict[int, tuple[int, str]] = {}  # by session: writes under way, and the setting before the first of them
+
+
+@contextlib.contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """The setting holds while any thread of the session writes, and goes back to what it was with the last."""
+    with _LOCK:
+        n, before = _WRITING.get(id(spark), (0, ""))
+        if not n:
+            before = spark.conf.get(_FREE_SHUFFLES, "false")
+            spark.conf.set(_FREE_SHUFFLES, "true")
+        _WRITING[id(spark)] = n + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITING.pop(id(spark))
+            if n > 1:
+                _WRITING[id(spark)] = n - 1, before
+            else:
+                spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

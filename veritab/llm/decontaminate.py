@@ -9,7 +9,7 @@ Items are dealt to blocks of about `block_words` words, longer ones in overlappi
 and writes it to the shared folder; the driver only learns where it is. A document streams against one block after the
 other, which tasks read one at a time, and its hits are the union.
 
-Null or empty text: no words, no hit. Null item ids take part under the text "null". Items without
+Very long texts stream whole, and very long items are cut to overlapping pieces. Null or empty text: no words, no hit. Null item ids take part under the text "null". Items without
 words take no part. Repeated items and item ids count once in the list of ids. Empty tables: an empty
 benchmark hits nothing; no documents, no rows. Other columns don't matter.
 """

@@ -18,7 +18,7 @@ Two nodes link when their sets' Jaccard similarity reaches the threshold, tested
    stand in one band or two beside each other, and to blocks in a band, and only blocks of such bands meet.
 4. Components of the links.
 
-Null and empty texts have empty sets and link with nothing. Fewer words than a shingle: all of them are one shingle. Null doc_id
+Very long texts are compared whole. Null and empty texts have empty sets and link with nothing. Fewer words than a shingle: all of them are one shingle. Null doc_id
 takes part, but never gives a component its id. Rows that repeat a doc_id are documents each. An empty table gives no rows. Other columns don't matter.
 """
 

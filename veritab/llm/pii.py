@@ -11,6 +11,9 @@ pattern. A seed is good; a candidate is as good as its patterns together, where
 itself. A pattern counts when at least `support` good instances have it: seeds, or candidates accepted in a round before.
 Candidates with a counting pattern of at least `confident` are found, under the pattern's kind; of overlapping ones the surest, then the longest. Base spans stay as they are.
 
+A candidate has at most five groups of digits with 8 to 19 digits together, or is an address whose host follows a name of at most five parts of 64
+characters (325 with the dots between them). The bitmap of patterns has 2**26 places; what it lets pass wrongly is only counted in vain.
+
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows get the same spans each. Null
 doc_id is kept. An empty table gives no rows. Other columns don't matter. Texts of any length take linear time.
 """

@@ -5,6 +5,9 @@ collapsed; "=" for a token that repeats the one before). An indicator is scaled
 log-count ratio, rows are scaled to length 1, and a linear hinge-loss model is fitted by dual coordinate
 descent; a logistic curve over its margin gives the score.
 
+The model has the `features` (30,000) commonest runs of the sample, which bounds what is broadcast, and dual descent runs over the sample on the driver. Very
+long texts are scored whole; equal texts have equal scores.
+
 The model is fitted on at most `most` labelled rows (a documented bound), never on held-out ones. Null and empty texts
 have only the constant feature. If one of the labels is missing, every score is the share of label 1, or 0.5
 without labels. Null doc_id: not held out. Repeated rows are scored each. An empty table gives no rows. Other columns don't matter.

@@ -12,7 +12,7 @@ A word is removed if a window of `window` words over it also starts in a documen
    Their windows are spread by hash and aggregated one by one instead.
 4. Removed intervals are gathered per document and cut out.
 
-Null and empty texts have no words. Null doc_id counts as larger than all, and doesn't remove from other null ones. Rows of one doc_id don't
+Very long texts are cut whole. Null and empty texts have no words. Null doc_id counts as larger than all, and doesn't remove from other null ones. Rows of one doc_id don't
 remove from each other. An empty table gives no rows. Other columns don't matter.
 """
 

@@ -10,7 +10,8 @@ The footer is JSON: mode, block, the chunks (offset, ids, sizes of the planes),
 (ids and lengths, as binary columns after the JSON). Any chunk can be read without the others.
 
 Shards are cut by range of doc_id, so shard number and place in the shard give ascending order.
-Empty and null texts give only the end id. Null doc_ids come last; equal doc_ids are ordered by text.
+Empty and null texts give only the end id. Null doc_ids come last; equal doc_ids go by a hash of the text. Very long texts
+are encoded whole, in one shard.
 An empty table gives no shard and no row. Other columns of the input don't matter.
 """
 

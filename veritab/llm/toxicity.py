@@ -9,6 +9,9 @@ of the words that mark toxic texts a text has, cut at thirds. The model is fitte
 (a documented bound); of copies and near copies among them only one counts when words are chosen, so that the ordinary words of a text
 that was copied often don't become marks.
 
+Words are counted over the sample, of which the 500,000 commonest are kept; the model has the `features` (5,000) that mark labels most, which bounds what
+is broadcast. Very long texts are scored whole, and texts of one severity tie: no row's score depends on another's.
+
 Null and empty texts have no features: their severity is that of the cuts alone. Without labelled toxic or
 labelled clean texts every severity is 0. Repeated rows are scored each. An empty table gives no rows. Other columns don't matter.
 """

@@ -5,7 +5,7 @@ then a frame for each record. The dictionary is trained on the first 64 KiB of e
 written whole). Equal payloads of at least `least` bytes are stored once, by the row
 with the smallest page_id; the others become revisit records that refer to it.
 
-Null or empty html: an empty payload, always a response. Null page_id: last in order, and no page
+Very long pages are written whole, as one record. Null or empty html: an empty payload, always a response. Null page_id: last in order, and no page
 header. Rows that repeat the smallest page_id of a payload are responses too. Null url: no target
 header. An empty table gives no archive and no row. Other columns don't matter.
 """
