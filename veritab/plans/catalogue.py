@@ -936,6 +936,17 @@ def repair_periods(spark, sf):
     return checks.cell_changes(d, checks.repaired(d), ["id"], ["COGS", "GrossProfit", "TotalLiabilities", "Inventory_Begin", "Cash_Begin"])
 
 
+def _event_frame():
+    """A frame for each event: a DNS question, a request or a handshake."""
+    i, kind = F.col("event_id"), F.col("event_id") % 3
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    port = F.when(kind == 0, 53).when(kind == 1, 80).otherwise(443)
+    body = F.when(kind == 0, F.concat(hexed(i % 65536, 4), F.lit("01000001000000000000" + "02616201630000010001"))).when(kind == 1, F.hex(F.concat(F.lit("GET /"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: x\r\n")).cast("binary"))).otherwise("160301000501")
+    ip = F.concat(F.lit("4500000000010000" + "40"), F.when(kind == 0, "11").otherwise("06"), F.lit("0000" + "0A00"), hexed(F.col("user_id") % 65536, 4), F.lit("0A000001"))
+    l4 = F.concat(hexed(i % 50000 + 10000, 4), hexed(port, 4), F.when(kind == 0, "00000000").otherwise("0000000100000000" + "5018" + "0200" + "00000000"))
+    return F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, l4, body))
+
+
 @query("""SELECT event_id, '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip_src, 10000 + event_id % 50000 AS src_port, CASE event_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 80 ELSE 443 END::BIGINT AS dst_port,
  CASE event_id % 3 WHEN 0 THEN 'DNS' WHEN 1 THEN 'HTTP' ELSE 'TLS' END AS protocol,
  CASE event_id % 3 WHEN 0 THEN 'Standard query 0x' || lpad(printf('%x', event_id % 65536), 4, '0') || ' ab.c' WHEN 1 THEN 'GET /' || event_id || ' HTTP/1.1' ELSE 'TLS Client Hello' END AS app_line FROM events""")
@@ -943,17 +954,23 @@ def frame_decode(spark, sf):
     """A frame for each event, decoded: a DNS question, a request or a handshake."""
     from veritab.sources.capture import decode
 
-    i, kind = F.col("event_id"), F.col("event_id") % 3
-    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
-    port = F.when(kind == 0, 53).when(kind == 1, 80).otherwise(443)
-    body = F.when(kind == 0, F.concat(hexed(i % 65536, 4), F.lit("01000001000000000000" + "02616201630000010001"))).when(kind == 1, F.hex(F.concat(F.lit("GET /"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: x\r\n")).cast("binary"))).otherwise("160301000501")
-    ip = F.concat(F.lit("4500000000010000" + "40"), F.when(kind == 0, "11").otherwise("06"), F.lit("0000" + "0A00"), hexed(F.col("user_id") % 65536, 4), F.lit("0A000001"))
-    l4 = F.concat(hexed(i % 50000 + 10000, 4), hexed(port, 4), F.when(kind == 0, "00000000").otherwise("0000000100000000" + "5018" + "0200" + "00000000"))
-    data = F.unhex(F.concat(F.lit("00" * 12 + "0800"), ip, l4, body))
-    made = table(spark, sf, "events").select("event_id", F.lit(1).alias("link"), data.alias("data"))
+    made = table(spark, sf, "events").select("event_id", F.lit(1).alias("link"), _event_frame().alias("data"))
     return decode(made).select("event_id", "ip_src", "src_port", "dst_port", "protocol", "app_line")
 
 
+@query("""SELECT epoch_us(ts) AS us, '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip_src, 10000 + event_id % 50000 AS src_port, CASE event_id % 3 WHEN 0 THEN 'UDP' ELSE 'TCP' END AS protocol FROM events""")
+def capture_ranges(spark, sf):
+    """Captures written from events, read back in ranges of 16 KB, as named columns."""
+    from veritab.sources import capture
+
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    capture.write_frames(table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), _event_frame().alias("data")), folder)
+    found = capture.capture_columns(capture.read_frames(spark, f"{folder}/*.pcap", range_bytes=16 << 10))
+    port = F.coalesce("`tcp.srcport`", "`udp.srcport`").alias("src_port")
+    return found.select(F.round(F.col("`frame.time_epoch`") * 1_000_000).cast("long").alias("us"), F.col("`ip.src`").alias("ip_src"), port, F.col("`_ws.col.protocol`").alias("protocol"))
+
+
+
 @query("""WITH p AS (SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || lpad(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR), 6, '0') || '.')[1:1 + c_custkey % 8] AS p FROM customer),
  f AS (SELECT c_custkey, p, p || (CASE WHEN p[1] = '-' THEN '-999999.99' ELSE '-000000.00' END)[length(p) + 1:] AS low, p || (CASE WHEN p[1] = '-' THEN '+000000.00' ELSE '+999999.99' END)[length(p) + 1:] AS high FROM p)
  SELECT c_custkey, CAST(low AS DECIMAL(8, 2))::DOUBLE AS low, CAST(high AS DECIMAL(8, 2))::DOUBLE AS high, c_custkey % 3 <> 0 AS fits FROM f""")

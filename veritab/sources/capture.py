@@ -197,6 +197,35 @@ def read_frames(spark: SparkSession, path: str, range_bytes: int = 64 << 20) ->
     return small.unionByName(split_ranges(large, range_bytes).repartition("file", "start").mapInArrow(part, _FRAME_DDL))
 
 
+def write_frames(frames_: DataFrame, folder: str, link: int = 1) -> DataFrame:
+    """Writes (time in microseconds, data) of each partition as one pcap file into a folder that tasks can open; file, n of each.
+
+    A file appears under its name when it is whole, and a repeated task replaces it by the same bytes.
+    """
+    import uuid
+
+    from pyspark import TaskContext
+
+    from veritab.sources.staging import staged
+
+    def put(batches):
+        system, base = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+        system.create_dir(base, recursive=True)
+        name, n = f"part-{TaskContext.get().partitionId():05d}.pcap", 0
+        part = f"{base}/.{name}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, _LONGEST, link))
+            for b in batches:
+                for us, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data)
+                    n += 1
+        system.move(part, f"{base}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n": [n]})
+
+    picked = frames_.select(F.col("time").cast("long").alias("time"), F.col("data").cast("binary").alias("data"))
+    return staged(picked.mapInArrow(put, "file string, n long"))
+
+
 def split_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     """file, start, stop, form, first (number of the first frame) of ranges that begin and end between frames. files: path, length.
 
