@@ -73,3 +73,19 @@ def test_few_and_none(spark):
 def test_chi_square():
     assert ps.chi_square_cdf(np.array([2.0]), 2)[0] == pytest.approx(1 - np.exp(-1))
     assert ps.chi_square_cdf(ps.chi_square_point(0.8, 8), 8) == pytest.approx(0.8)
+
+
+def test_boxes():
+    """Cells by descent against all boxes measured, over levels of any size and queries of any reach."""
+    rng = np.random.default_rng(5)
+    for n in (1, 15, 16, 17, 300, 5000):
+        low = np.sort(rng.standard_normal((n, 4)), 0)
+        high = low + rng.random((n, 4))
+        queries = rng.standard_normal((30, 4)) * 2
+        every = ps.box_distances(low, high, queries)
+        reach = rng.choice([0.0, 0.5, 3.0, np.inf], 30)
+        row, cell = ps.BoxTree(low, high).within(queries, reach)
+        assert sorted(zip(row.tolist(), cell.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(every <= reach[:, None] * (1 + 1e-12)))))
+        row, cell = ps.BoxTree(low, high).nearest(queries, 3, beam=10**6)
+        got = every[row, cell].reshape(30, -1)
+        assert np.allclose(got, np.sort(every, 1)[:, :3])

@@ -164,6 +164,53 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return best_q, best_i, best_s
 
 
+class BoxTree:
+    """Boxes of neighbouring cells gathered by sixteens, level over level, so that a query measures only the boxes that its reach leads to."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, fan: int = 16):
+        self.fan, levels = fan, [(low, high)]
+        while len(levels[-1][0]) > fan:
+            starts = np.arange(0, len(levels[-1][0]), fan)
+            levels.append((np.minimum.reduceat(levels[-1][0], starts), np.maximum.reduceat(levels[-1][1], starts)))
+        self.levels = levels[::-1]
+
+    def _distances(self, level: int, queries: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        low, high = self.levels[level]
+        q = queries[rows]
+        return (np.maximum(np.maximum(low[nodes] - q, q - high[nodes]), 0) ** 2).sum(1)
+
+    def _below(self, level: int, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        below = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
+        rows, there = np.repeat(rows, self.fan), below < len(self.levels[level + 1][0])
+        return rows[there], below[there]
+
+    def _top(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        top = len(self.levels[0][0])
+        return np.repeat(np.arange(n), top), np.tile(np.arange(top), n)
+
+    def within(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of all cells whose box is at most `reach` from the query, squared; ascending."""
+        rows, nodes = self._top(len(queries))
+        for level in range(len(self.levels)):
+            if level:
+                rows, nodes = self._below(level - 1, rows, nodes)
+            near = self._distances(level, queries, rows, nodes) <= reach[rows]
+            rows, nodes = rows[near], nodes[near]
+        return rows, nodes
+
+    def nearest(self, queries: np.ndarray, n: int, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of n near cells of each query: the nearest below the nearest boxes of each level, of which `beam` go on."""
+        rows, nodes = self._top(len(queries))
+        for level in range(len(self.levels)):
+            if level:
+                rows, nodes = self._below(level - 1, rows, nodes)
+            order = np.lexsort((nodes, self._distances(level, queries, rows, nodes), rows))
+            rows, nodes = rows[order], nodes[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < (n if level == len(self.levels) - 1 else max(n, beam))
+            rows, nodes = rows[kept], nodes[kept]
+        return rows, nodes
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -193,20 +240,20 @@ def _route(asked: DataFrame, boxes: tuple[np.ndarray, np.ndarray, np.ndarray], p
 
     def run(batches):
         cells, low, high = shared.value
-        step = max(1, (4 << 20) // (8 * len(cells)))
+        tree = BoxTree(low, high)
+        step = max(1, (1 << 19) // len(cells))  # queries at a time, should they reach every cell
         for b in batches:
             for a in range(0, b.num_rows, step):
                 part = b.slice(a, step)
                 q = _matrix(part.column(1))
-                near = box_distances(low, high, q @ projection[:-1])
-                ranked = np.argsort(near, 1, kind="stable")
-                take = np.zeros(near.shape, bool)
-                np.put_along_axis(take, ranked[:, :first_cells], True, 1)
+                places = q @ projection[:-1]
+                row, cell = tree.nearest(places, first_cells)
                 if again:
+                    done = set(zip(row.tolist(), cell.tolist()))
                     kth = part.column(2).to_numpy(zero_copy_only=False)
-                    true = np.maximum(longest**2 + (q**2).sum(1) - 2 * kth, 0)
-                    take = ~take & (near <= point * true[:, None])
-                row, cell = np.nonzero(take)
+                    row, cell = tree.within(places, point * np.maximum(longest**2 + (q**2).sum(1) - 2 * kth, 0))
+                    new = np.array([x not in done for x in zip(row.tolist(), cell.tolist())], bool)
+                    row, cell = row[new], cell[new]
                 for x in range(0, len(row), 5_000):
                     r = pa.array(row[x : x + 5_000])
                     yield pa.RecordBatch.from_arrays([*(c.take(r) for c in part.columns), pa.array(cells[cell[x : x + 5_000]])], schema=_ROUTED)
@@ -240,7 +287,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
                 yield batch(schema, [projected(_matrix(b.column(0))).tolist()])
 
     share = min(1.0, sample_rows / most.n)
-    some = v.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(sample_rows)
+    some = v.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    some = some.orderBy(F.xxhash64(F.lit(1), "vec_id", "v"), "vec_id").limit(sample_rows).select("v")
     points = some.mapInArrow(project, "p array<double>").toArrow()
     cells = Cells(_matrix(points["p"]) if points.num_rows else np.zeros((0, dimensions)), -(-most.n // block_rows))
 
