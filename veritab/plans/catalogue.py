@@ -984,9 +984,11 @@ def signed_prefix_intervals(spark, sf):
 
 
 @query(_BOOK + """, h AS (SELECT c, p, Inventory_End, TotalAssets FROM book WHERE round_even(Inventory_End / TotalAssets * 10000, 0) NOT BETWEEN 0 AND 100)
- SELECT c AS company, p AS period, 'R06' AS rule_id, 'Inventory_End' AS "column", CAST(Inventory_End AS VARCHAR) AS value FROM h UNION ALL SELECT c, p, 'R06', 'TotalAssets', CAST(TotalAssets AS VARCHAR) FROM h""")
+ SELECT c AS company, p AS period, 'R06' AS rule_id, 'Inventory_End' AS "column", CAST(Inventory_End AS VARCHAR) AS value FROM h UNION ALL SELECT c, p, 'R06', 'TotalAssets', CAST(TotalAssets AS VARCHAR) FROM h
+ UNION ALL SELECT c, p, 'R07', unnest(['AccountsReceivable', 'Revenue']), unnest([CAST(AccountsReceivable AS VARCHAR), CAST(Revenue AS VARCHAR)]) FROM book
+ WHERE (AccountsReceivable - ar4) / nullif(ar4, 0) >= 1 AND (AccountsReceivable - ar4) / nullif(ar4, 0) - (Revenue - revenue4) / nullif(revenue4, 0) >= 1""")
 def repair_hints(spark, sf):
-    """Shares outside of the band are told, not changed."""
+    """Shares outside of the band, and receivables that outgrow revenue, are told, not changed."""
     bands = spark.createDataFrame([("trade", 0, 100)], "Industry string, low_bp int, high_bp int")
     found = checks.hints(_book(spark, sf), bands, ["CompanyId", "PeriodIndex"])
     return found.select(F.col("CompanyId").alias("company"), F.col("PeriodIndex").cast("long").alias("period"), "rule_id", "column", "value")
