@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions import logic, text
-from veritab.operators import checks, flows, joins, mining, predicates, prepare, profile, report, rules, windows
+from veritab.operators import checks, flows, joins, mining, predicates, prepare, profile, report, retrieval, rules, windows
 from veritab.operators.predicates import Field
 from veritab.operators.rules import Rule
 from veritab.sources.staging import shared_folder, staged
@@ -628,6 +628,12 @@ def keyword_score_topk(spark, sf):
     return text.best_sections(table(spark, sf, "documents"), ["src1", "the", "of"], {"source": 3, "text": 1}, "doc_id", 20).select("doc_id", "score")
 
 
+@query(ORACLE_SQL["keyword_score_topk"])
+def indexed_keyword_topk(spark, sf):
+    index = retrieval.section_index(table(spark, sf, "documents"), ["source", "text"], "doc_id", f"{shared_folder(spark)}/sections-{uuid.uuid4().hex}")
+    return index.best(spark, ["src1", "the", "of"], {"source": 3, "text": 1}, 20).select("doc_id", "score")
+
+
 @query("""WITH c AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents),
  k AS (SELECT doc_id, source, CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END AS clipped FROM c)
  SELECT doc_id, clipped, used::BIGINT AS used FROM (SELECT *, sum(length(clipped)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM k) WHERE used <= 600""")
