@@ -53,3 +53,16 @@ def test_empty_table_and_wrong_questions(spark, tmp_path):
         index.best(spark, [""], {"text": 1}, 3)
     with pytest.raises(ValueError):
         index.add(d.withColumn("Index_Id", F.lit(1)))
+
+
+def test_hex_dump(spark):
+    def dump(b, limit):
+        lines = [f"{i:04x}  {b[i : min(i + 16, limit)].hex(' '):<47}  {''.join(chr(x) if 32 <= x < 127 else '.' for x in b[i : min(i + 16, limit)])}" for i in range(0, min(len(b), limit), 16)]
+        return "\n".join([*lines, *([f"… ({len(b) - limit} more bytes)"] if len(b) > limit else [])])
+
+    rng = random.Random(2)
+    data = [b"", b"a", bytes(range(256)), b"\n\r\x00" * 11, "é中".encode() * 9, rng.randbytes(70_000)]
+    d = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(data)] + [(99, None)], "i int, b binary")
+    for limit in (16, 40, 100_000):
+        got = {r.i: r.t for r in d.select("i", text.hex_dump(F.col("b"), limit).alias("t")).collect()}
+        assert got == {i: dump(b, limit) for i, b in enumerate(data)} | {99: None}

@@ -118,3 +118,20 @@ def prefix_fits(prefix: Column, digits: int, places: int = 0, signed: bool = Fal
     """Whether a text may begin a fixed-width number: a sign first if `signed`, digits, the point in its place, and not too long."""
     whole = f"[0-9]{{0,{digits - 1}}}|[0-9]{{{digits}}}" + (f"(\\.[0-9]{{0,{places}}})?" if places else "")
     return F.coalesce(F.rlike(prefix, F.lit(f"\\A(|[+-]({whole}))\\z" if signed else f"\\A({whole})\\z")), F.lit(False))
+
+
+def hex_dump(data: Column, limit: int = 1024) -> Column:
+    """Sixteen bytes a line: place in hex, the bytes, and their printable ASCII; what exceeds the limit is counted in a last line. Null for null."""
+    head = F.substring(data.cast("binary"), 1, limit)
+    hexes = F.regexp_extract_all(F.lower(F.hex(head)), F.lit(".{1,32}"), F.lit(0))
+    shown = F.regexp_extract_all(F.regexp_replace(F.decode(head, "ISO-8859-1"), "[^ -~]", "."), F.lit(".{1,16}"), F.lit(0))
+
+    def line(h: Column, i: Column) -> Column:
+        place = F.lower(F.hex(i * 16))
+        return F.concat(F.lpad(place, F.greatest(F.length(place), F.lit(4)), F.lit("0")), F.lit("  "), F.rpad(F.rtrim(F.regexp_replace(h, "(..)", "$1 ")), 47, " "), F.lit("  "))
+
+    # the printable part joins by place, once for all lines
+    lines = F.zip_with(F.transform(hexes, line), shown, lambda a, b: F.concat(a, b))
+    size = F.octet_length(data.cast("binary"))
+    more = F.when(size > limit, F.array(F.concat(F.lit("… ("), (size - limit).cast("string"), F.lit(" more bytes)")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(lines, more), "\n")

@@ -32,9 +32,14 @@ def of_level(log: DataFrame, level: str, column: str = "level") -> DataFrame:
     return log if level == "all" else log.where(F.col(column) == level)
 
 
+def canonical_key(*cols: str) -> Column:
+    """The columns as JSON, by name and with nulls: the same text in whatever order they are given."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(cols))), {"ignoreNullFields": "false"})
+
+
 def content_key(*cols: str) -> Column:
-    """SHA-256 of the columns as JSON: a name for cached results."""
-    return F.sha2(F.to_json(F.struct(*cols)).cast("binary"), 256)
+    """SHA-256 of the columns' canonical key: a name for cached results."""
+    return F.sha2(canonical_key(*cols).cast("binary"), 256)
 
 
 def safe_name(c: Column) -> Column:

@@ -634,6 +634,23 @@ def indexed_keyword_topk(spark, sf):
     return index.best(spark, ["src1", "the", "of"], {"source": 3, "text": 1}, 20).select("doc_id", "score")
 
 
+@query(r"""WITH p AS (SELECT page_id, lower(hex(encode(html))) AS h FROM pages),
+ l AS (SELECT page_id, length(h) // 2 AS size, regexp_extract_all(substr(h, 1, 2048), '.{1,32}') AS lines FROM p),
+ d AS (SELECT page_id, size, list_transform(lines, lambda x, i: lpad(lower(to_hex((i - 1) * 16)), 4, '0') || '  ' || rpad(rtrim(regexp_replace(x, '(..)', '\1 ', 'g')), 47, ' ') || '  '
+  || list_aggregate(list_transform(regexp_extract_all(x, '..'), lambda y: CASE WHEN y BETWEEN '20' AND '7e' THEN chr(('0x' || y)::INTEGER) ELSE '.' END), 'string_agg', '')) AS lines FROM l)
+ SELECT page_id, array_to_string(list_concat(lines, CASE WHEN size > 1024 THEN ['… (' || (size - 1024) || ' more bytes)'] ELSE [] END), chr(10)) AS dump FROM d""")
+def page_hex_dump(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.hex_dump(F.col("html")).alias("dump"))
+
+
+@query("""SELECT o_orderkey, '{"o_large":' || CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'null' END || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS key,
+ sha256('{"o_large":' || CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'null' END || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS name FROM orders""")
+def canonical_keys(spark, sf):
+    o = table(spark, sf, "orders").withColumn("o_large", F.when(F.col("o_totalprice") > 100000, True))
+    cols = ["o_orderstatus", "o_large", "o_orderkey"]
+    return o.select("o_orderkey", report.canonical_key(*cols).alias("key"), report.content_key(*reversed(cols)).alias("name"))
+
+
 @query("""WITH c AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents),
  k AS (SELECT doc_id, source, CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END AS clipped FROM c)
  SELECT doc_id, clipped, used::BIGINT AS used FROM (SELECT *, sum(length(clipped)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM k) WHERE used <= 600""")
