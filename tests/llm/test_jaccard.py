@@ -97,3 +97,34 @@ def test_links_of_random_sets():
             for j in range(i):
                 if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]):
                     assert part[i] == part[j]
+
+
+def test_blocks_are_kept_once(spark):
+    """A component of many blocks: its rows are exchanged once however many blocks meet, and each pair of blocks that can link meets once."""
+    candidates = spark.createDataFrame([(i, i % 2, 90 + i % 40, 90) for i in range(400)], "node long, root long, n long, m long")
+    blocks = jj._blocks(candidates, 85, 1_000).collect()
+    assert sorted(r.node for r in blocks) == list(range(400))
+    kinds = {(r.root, r.band, r.own) for r in blocks}
+    met = [tuple(r) for r in jj._pairs(spark.createDataFrame(list(kinds), "root long, band long, own int")).select("root", "i_band", "i", "j_band", "j").collect()]
+    wanted = {frozenset([a, b]) for a in kinds for b in kinds if a != b and a[0] == b[0] and abs(a[1] - b[1]) <= 1}
+    assert len(met) == len(wanted) > 100
+    assert {frozenset([(r, a, i), (r, b, j)]) for r, a, i, b, j in met} == wanted
+    docs = near_copies(7)
+    got = jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), block=150).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute(docs)))
+
+
+def test_links_between_sides():
+    rng = random.Random(4)
+    for _ in range(40):
+        base = rng.sample(range(300), 20)
+        sets = [set(rng.sample(base, rng.randint(12, 20))) | {rng.randrange(300)} for _ in range(rng.randint(2, 20))]
+        side = np.array([rng.randint(0, 1) for _ in sets])
+        h, v = np.array([x * 7919 for s in sets for x in s], np.uint64), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        found = jj.occurrence_links(h, v, np.array([len(s) for s in sets]), 60, side)
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if side[a] != side[b] and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+        assert all((max(x), min(x)) in links for x in found)
+        part = list(range(len(sets)))
+        for a, b in found:
+            part = [part[b] if p == part[a] else p for p in part]
+        assert all(part[a] == part[b] for a, b in links)

@@ -15,7 +15,8 @@ Two nodes link when their sets' Jaccard similarity reaches the threshold, tested
    enough (MergeSkip); nodes that do, and that aren't linked to it already through others, are probed by binary search in
    the long lists. Found links that join two parts are kept, at most one a node. Components with more than `block` rows
    (shingles of nodes) lose those nodes that a leader settles; the rest is cut to bands of set size, as linked sets
-   stand in one band or two beside each other, and to blocks in a band, and only blocks of such bands meet.
+   stand in one band or two beside each other, and to blocks in a band. A block is searched in itself and kept once as a file of the
+   shared folder; then the blocks of such bands meet in pairs, and a task reads the two files of each of its pairs.
 4. Components of the links.
 
 Very long texts are compared whole. Null and empty texts have empty sets and link with nothing. Fewer words than a shingle: all of them are one shingle. Null doc_id
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from veritab.llm.common import batch, table, typed, written
+from veritab.llm.common import batch, open_fs, shared_dir, table, typed, write_atomically, written
 from veritab.llm.components import components
 from veritab.llm.wordhash import bounded, give_back, mix, shingles, words
 
@@ -191,21 +192,40 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     return written(counted, "jaccard-shingles")
 
 
-def occurrence_links(h: np.ndarray, v: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def occurrence_links(h: np.ndarray, v: np.ndarray, size: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between nodes 0.. that join parts not joined before. (h, v): each shared shingle of each node; size: of the nodes' sets.
 
     Nodes in ascending order of size ask for earlier ones that share enough shingles (T-occurrence), with DivideSkip's split of lists.
+    Given each node's side (0 or 1), only nodes of different sides are compared.
     """
     rank = np.argsort(size, kind="stable")
     at = np.empty(len(size), np.int64)
     at[rank] = np.arange(len(size))
     size, v = size[rank], at[v]
-    order = np.lexsort((v, h))
-    h, v = h[order], v[order]
-    head = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-    lists = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    if side is None:
+        order = np.lexsort((v, h))
+        h, v = h[order], v[order]
+        head = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        lists = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+        heads, until_own = head[lists], np.arange(len(h))  # a node's list up to the node
+    else:
+        # a shingle's nodes of side 0, then those of side 1, each in their order; shingles of one side alone count for nothing
+        of = side[rank][v]
+        order = np.lexsort((v, of, h))
+        h, v, of = h[order], v[order], of[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        middle = first + np.bincount(run, of == 0, len(first)).astype(np.int64)
+        heads = np.where(of == 0, middle[run], first[run])
+        # the other side's nodes that are before a node, counted along its shingle
+        by_node = np.lexsort((v, run))
+        before = np.empty((2, len(h)), np.int64)
+        for k in (0, 1):
+            n = np.cumsum(of[by_node] == k)
+            before[k, by_node] = n - np.concatenate([[0], n])[first[run[by_node]]]
+        until_own = heads + np.where(of == 0, before[1], before[0])
     own = np.argsort(v, kind="stable")  # where each node stands in its lists
-    heads, own, cut = head[lists[own]].tolist(), own.tolist(), np.searchsorted(v[own], np.arange(len(size) + 1)).tolist()
+    heads, own, cut = heads[own].tolist(), until_own[own].tolist(), np.searchsorted(v[own], np.arange(len(size) + 1)).tolist()
     nodes, sizes = v.tolist(), size.tolist()
     part = np.arange(len(size))  # smallest label wins; relabelled as parts join
     links = []
@@ -301,31 +321,30 @@ def _around_leaders(kept: DataFrame, candidates: DataFrame, percent: int, block:
     return members.where("leader is null").select(columns).unionByName(left.select(columns)), star
 
 
-def _meetings(candidates: DataFrame, percent: int, block: int) -> DataFrame:
-    """(node, root, i_band, i, j_band, j): which pair of blocks of its component a node takes part in; all -1 and 0 for components of one block."""
+def _blocks(candidates: DataFrame, percent: int, block: int) -> DataFrame:
+    """(node, root, band, own): the block of its component that a node belongs to, by bands of set size; -1 and 0 for components of one block."""
     width = max(math.log(100 / percent) * (1 + 1e-9), 1e-9)
     banded = candidates.withColumn("band", F.floor(F.log("n") / width))
-    bands = banded.groupBy("root", "band").agg(F.sum("m").alias("rows")).groupBy("root")
-    bands = bands.agg(F.sum("rows").alias("rows"), F.collect_list(F.struct("band", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))).alias("bands"))
-    met = banded.join(bands.where(F.col("rows") > block).select("root", "bands"), "root", "left")
-    own = F.filter("bands", lambda x: x["band"] == F.col("band"))[0]["blocks"]
-    met = met.withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int"))
+    bands = banded.groupBy("root", "band").agg(F.sum("m").alias("rows"))
+    large = bands.groupBy("root").agg(F.sum("rows").alias("all")).where(F.col("all") > block).select("root")
+    bands = bands.join(large, "root").select("root", "band", F.ceil(F.col("rows") / block).alias("blocks"))
+    met = banded.join(bands, ["root", "band"], "left")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    return met.select("node", "root", F.when(F.col("blocks").isNull(), -1).otherwise(F.col("band")).cast("long").alias("band"), own.alias("own"))
 
-    def pairs(x):
-        def pair(k):
-            before = (x["band"] < F.col("band")) | ((x["band"] == F.col("band")) & (k < F.col("own")))
-            here, there = (F.col("band"), F.col("own")), (x["band"], k)
-            names = ("i_band", "i", "j_band", "j")
-            return F.when(before, F.struct(*(c.alias(m) for c, m in zip((*there, *here), names)))).otherwise(F.struct(*(c.alias(m) for c, m in zip((*here, *there), names))))
 
-        return F.transform(F.sequence(F.lit(0), x["blocks"] - 1), pair)
-
-    beside = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
-    alone = F.array(F.struct(F.lit(-1).cast("long").alias("i_band"), F.lit(0).alias("i"), F.lit(-1).cast("long").alias("j_band"), F.lit(0).alias("j")))
-    return met.select("node", "root", F.explode(F.when(F.col("bands").isNull(), alone).otherwise(F.flatten(F.transform(beside, pairs)))).alias("pair")).select("node", "root", "pair.*")
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs of different blocks (root, band, own) of a component that stand in one band or in bands beside each other."""
+    a = blocks.select("root", F.col("band").alias("i_band"), F.col("own").alias("i"))
+    b = blocks.select("root", F.col("band").alias("j_band"), F.col("own").alias("j"))
+    later = ((F.col("j_band") == F.col("i_band")) & (F.col("j") > F.col("i"))) | (F.col("j_band") == F.col("i_band") + 1)
+    return a.join(b, "root").where(later)
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: a link, or a block that was kept
+_FOUND = pa.schema([*_LINK, ("root", pa.int64()), ("band", pa.int64()), ("own", pa.int32())])
+_BLOCK = pa.schema([("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, buckets: int | None = None, block: int = 40_000) -> DataFrame:
@@ -351,42 +370,77 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, bucket
     candidates = components(edges).join(kept.where("head").select("node", "n", "m"), "node")
     kept = kept.select("hash", "node", "n")
     candidates, star = _around_leaders(kept, candidates, percent, block)
-    keys = ["root", "i_band", "i", "j_band", "j"]
-    tasks = kept.join(_meetings(candidates, percent, block), "node").select(*keys, "hash", "node", "n")
+    keys = ["root", "band", "own"]
+    tasks = kept.join(_blocks(candidates, percent, block), "node").select(*keys, "hash", "node", "n")
     tasks = tasks.repartition(*keys).sortWithinPartitions(*keys)
+    folder = shared_dir(spark, "jaccard-blocks")
+
+    def links(h, v, n, side=None):
+        """Columns a and b; side: of each row."""
+        nodes, place, back = np.unique(v, return_index=True, return_inverse=True)
+        found = np.array(occurrence_links(h.view(np.uint64), back, n[place], percent, None if side is None else side[place]), np.int64).reshape(-1, 2)
+        return nodes[found[:, 0]], nodes[found[:, 1]]
+
+    def name(root, band, own):
+        return f"{folder}/{root}_{band}_{own}.arrow"
+
+    def searched(key, held):
+        h, v, n = (np.concatenate(p) for p in zip(*held))
+        a, b = links(h, v, n)
+        empty = pa.nulls(len(a), pa.int64())
+        yield batch(_FOUND, [a, b, empty, empty, pa.nulls(len(a), pa.int32())])
+        if key[1] >= 0:
+            def fill(out):
+                with pa.ipc.new_stream(out, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+                    w.write_batch(batch(_BLOCK, [h, v, n]))
+
+            write_atomically(name(*key), fill)
+            yield batch(_FOUND, [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *([k] for k in key)])
 
     def search(batches):
-        held: list[np.ndarray] = []
-
-        def links(key_rows):
-            h, v, n = key_rows
-            nodes, place, back = np.unique(v, return_index=True, return_inverse=True)
-            found = occurrence_links(h.view(np.uint64), back, n[place], percent)
-            if found:
-                a, b = np.array(found).T
-                return batch(_LINK, [nodes[a], nodes[b]])
-
+        held: list[list[np.ndarray]] = []
         last = None
         for b in batches:
-            c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-            key = np.stack(c[:5], 1)
+            c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            key = np.stack(c[:3], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
                 this = tuple(key[x].tolist())
-                if last is not None and this != last:
-                    out = links([np.concatenate(p) for p in zip(*held)])
+                if held and this != last:
+                    yield from searched(last, held)
                     held = []
-                    if out:
-                        yield out
                 last = this
-                held.append([p[x:y] for p in c[5:]])
-        if held and (out := links([np.concatenate(p) for p in zip(*held)])):
-            yield out
+                held.append([p[x:y] for p in c[3:]])
+        if held:
+            yield from searched(last, held)
+        give_back()
+
+    def read(key):
+        fs, path = open_fs(name(*key))
+        with fs.open_input_stream(path) as f, pa.ipc.open_stream(f) as r:
+            return [c.to_numpy() for c in r.read_all().columns]
+
+    def meet(batches):
+        # pairs come by their first block, which is read once for them
+        last, one = None, []
+        for b in batches:
+            for root, i_band, i, j_band, j in zip(*(c.to_pylist() for c in b.columns)):
+                if last != (root, i_band, i):
+                    last = root, i_band, i
+                    one = read(last)
+                two = read((root, j_band, j))
+                side = np.repeat([0, 1], [len(one[0]), len(two[0])])
+                yield batch(_LINK, list(links(*(np.concatenate(p) for p in zip(one, two)), side)))
         give_back()
 
-    found = written(tasks.mapInArrow(search, "a long, b long").unionByName(star), "jaccard-links")
+    found = written(tasks.mapInArrow(search, "a long, b long, root long, band long, own int"), "jaccard-searched")
+    pairs = written(_pairs(found.where("root is not null").select(*keys)), "jaccard-pairs")
+    first = ["root", "i_band", "i"]
+    dealt = pairs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *first, "j_band", "j").sortWithinPartitions(*first)
+    met = written(dealt.select(*first, "j_band", "j").mapInArrow(meet, "a long, b long"), "jaccard-met")
+    found = written(found.where("a is not null").select("a", "b").unionByName(met).unionByName(star), "jaccard-links")
     roots = components(found)
     classes = documents.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = roots.join(classes, "node")
