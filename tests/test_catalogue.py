@@ -30,3 +30,14 @@ def test_query(spark, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     assert got == sorted(str([plain(dict(zip(names, r))[c]) for c in cols]) for r in cur.fetchall())
+
+
+def test_amounts_above_minus_one_keep_their_sign(spark, tmp_path):
+    amounts = [-0.01, -0.5, -0.99, -1.0, -1.5, 0.0, 0.5, 1.0, -999.99, 9999.99]
+    d = spark.createDataFrame([(8 * i + k, a) for i, a in enumerate(amounts) for k in range(8)], "c_custkey long, c_acctbal double")
+    d.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    name = "signed_prefix_intervals"
+    got = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select("c_custkey", "low", "high", "fits").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{glob.glob(f'{tmp_path}/customer.parquet/*.parquet')[0]}')")
+    assert got == sorted(con.execute(f"SELECT c_custkey, low, high, fits FROM ({catalogue.ORACLE_SQL[name]})").fetchall())

@@ -999,7 +999,8 @@ def capture_ranges(spark, sf):
  SELECT c_custkey, CAST(low AS DECIMAL(8, 2))::DOUBLE AS low, CAST(high AS DECIMAL(8, 2))::DOUBLE AS high, c_custkey % 3 <> 0 AS fits FROM f""")
 def signed_prefix_intervals(spark, sf):
     """Intervals of signed amounts with two decimals, by the first signs of their code; every third text has a letter at its end."""
-    code = text.fixed_width(F.when(F.col("c_acctbal") < 0, -1).otherwise(1) * F.floor(F.abs("c_acctbal")), 6, 0)
+    # the sign is the amount's own: whole numbers have no minus zero
+    code = F.concat(F.when(F.col("c_acctbal") < 0, F.lit("-")).otherwise(F.lit("+")), F.substring(text.fixed_width(F.floor(F.abs("c_acctbal")), 6, 0), 2, 6))
     d = table(spark, sf, "customer").withColumn("p", F.substring(F.concat(code, F.lit(".")), F.lit(1), (F.col("c_custkey") % 8 + 1).cast("int")))
     low, high = text.prefix_interval(F.col("p"), 6, 2, True)
     spoilt = F.when(F.col("c_custkey") % 3 == 0, F.concat("p", F.lit("x"))).otherwise(F.col("p"))
