@@ -370,3 +370,16 @@ def test_cover_search_ends_after_a_size(spark):
     assert all_ == {(0, 1), (0, 2), (0, 3), (1, 2)}
     assert {tuple(r.clause) for r in mining.minimal_covers(sigs, 3, most_rules=1).collect()} == all_
     assert mining.minimal_covers(sigs, 1, most_rules=1).isEmpty()
+
+
+@pytest.mark.parametrize("partition", [["k"]])
+def test_small_blocks_make_few_ranges(spark, monkeypatch, partition):
+    """The driver's sample and statuses grow with the ranges: these follow the shuffle partitions and the rows, not the blocks."""
+    made, staged = [], windows.staged
+    monkeypatch.setattr(windows, "staged", lambda df: made.append(df.rdd.getNumPartitions()) or staged(df))
+    d = spark.range(600).select((F.col("id") % 2).alias("k"), "id")
+    got = windows.context_windows(d, partition, ["id"], 3, 1, ["id"], block_rows=5)
+    step = 2 if partition else 1
+    assert sorted(map(tuple, got.collect())) == [(i, i + step, i + 2 * step) for i in range(600 - 2 * step)]
+    assert len(made) == 1 and made[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert windows._ranges(d, 36_000_000, 500) == 36 and windows._ranges(d, 36_000_000, 20_000_000) == 2

@@ -54,6 +54,15 @@ def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int)
     return _dealt(ranged.join(counts, "_range").withColumn("_position", F.col("_before") + number - 1).drop("_range", "_before"), size, block_rows)
 
 
+def _ranges(df: DataFrame, n: int, block_rows: int) -> int:
+    """How many ranges n rows are cut to: one a block, but no more than the session's shuffle partitions or one a million rows, whichever is more.
+
+    The driver samples rows for each range and gets a status from each, so small blocks must not mean many ranges.
+    """
+    most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 1_000_000))
+    return min(10_000, most, -(-n // block_rows))
+
+
 def _dealt(rows: DataFrame, size: int, block_rows: int) -> DataFrame:
     """Deals numbered rows to blocks; the first size - 1 rows of a block go to the block before as well."""
     length = max(block_rows, size)
@@ -76,7 +85,7 @@ def blocked(df: DataFrame, partition: Sequence[str], order: Sequence[str], size:
         return df.withColumns({"_position": place, "_block": F.lit(0).cast("long"), "_own": F.lit(True)})
     ties = [F.col(c).asc_nulls_last() for c in df.columns if c not in order and c not in partition]
     by = [F.col(c).asc_nulls_last() for c in partition]
-    ranged = staged(df.repartitionByRange(min(10_000, -(-largest[1] // block_rows)), *by, *keys, *ties).withColumn("_range", F.spark_partition_id()))
+    ranged = staged(df.repartitionByRange(_ranges(df, largest[1], block_rows), *by, *keys, *ties).withColumn("_range", F.spark_partition_id()))
     # of each range only its last partition goes on in later ranges, so the sums below are of a row per range and partition within it
     counts = ranged.groupBy("_range", *partition).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
