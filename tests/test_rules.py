@@ -372,7 +372,7 @@ def test_cover_search_ends_after_a_size(spark):
     assert mining.minimal_covers(sigs, 1, most_rules=1).isEmpty()
 
 
-@pytest.mark.parametrize("partition", [["k"]])
+@pytest.mark.parametrize("partition", [["k"], []])
 def test_small_blocks_make_few_ranges(spark, monkeypatch, partition):
     """The driver's sample and statuses grow with the ranges: these follow the shuffle partitions and the rows, not the blocks."""
     made, staged = [], windows.staged

@@ -46,7 +46,7 @@ def positioned(df: DataFrame, order: Sequence[str], size: int, block_rows: int)
         w = Window.partitionBy("_block").orderBy(*keys)
         return df.withColumn("_block", F.lit(0).cast("long")).withColumn("_position", F.row_number().over(w) - 1).withColumn("_own", F.lit(True))
     ties = [F.col(c).asc_nulls_last() for c in df.columns if c not in order]
-    ranged = staged(df.repartitionByRange(min(10_000, -(-n // block_rows)), *keys, *ties).withColumn("_range", F.spark_partition_id()))
+    ranged = staged(df.repartitionByRange(_ranges(df, n, block_rows), *keys, *ties).withColumn("_range", F.spark_partition_id()))
     # a row per range, 10,000 at most
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
