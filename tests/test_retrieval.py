@@ -66,3 +66,16 @@ def test_hex_dump(spark):
     for limit in (16, 40, 100_000):
         got = {r.i: r.t for r in d.select("i", text.hex_dump(F.col("b"), limit).alias("t")).collect()}
         assert got == {i: dump(b, limit) for i, b in enumerate(data)} | {99: None}
+
+
+def test_postings_hold_many_sections_a_row(spark, tmp_path):
+    texts = ["Aabab", "aabab", "", None, "x😀", "é中文字é中", "ab"] * 20
+    d = spark.createDataFrame(list(enumerate(texts)), "place long, text string").coalesce(1)
+    retrieval.section_index(d, ["text"], "place", f"file://{tmp_path}/index")
+    got = spark.read.parquet(f"{tmp_path}/index/postings")
+    assert {"ids", "ns"} <= set(got.columns)
+    every = got.select("run", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("run", "p.ids", "p.ns").collect()
+    numbered = spark.read.parquet(f"{tmp_path}/index/sections")
+    wanted = numbered.select("index_id", F.explode(retrieval.runs(F.col("text"))).alias("run")).groupBy("run", "index_id").count().collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, wanted))
+    assert got.count() < len(every)

@@ -1,7 +1,8 @@
 """Keyword retrieval by an index: trigram postings prune sections and bound their scores, the texts of those left verify.
 
 An index is a folder of two tables, both by batch: `sections`, numbered in the order they were written, and `postings`, which
-has how often a section's column holds a run of three characters (fewer at its end), lower-cased. Postings are written last, so a batch whose
+has how often a section's column holds a run of three characters (fewer at its end), lower-cased: a row per run, column and slice of
+sections, with the numbers of these and their counts. Tasks count their own sections, so nothing is exchanged. Postings are written last, so a batch whose
 write failed is never a candidate and can be added again. Files of postings are sorted by run and those of sections by number: the
 filters of a search reach the Parquet pages.
 
@@ -14,10 +15,12 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,59 @@ def runs(text: Column) -> Column:
     return F.get(F.transform(F.array(c), lambda x: F.transform(x, lambda _, i: F.concat(*(F.coalesce(F.get(x, i + k), F.lit("")) for k in range(RUN))))), F.lit(0))
 
 
+_SLICE = 2_000_000  # characters that are counted at once, but at least one text
+_POSTINGS = pa.schema([("run", pa.string()), ("column", pa.string()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
+
+
+def _posted(column: str, ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """Postings of one slice of texts, as `runs` has them."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    if not len(points):
+        return
+    alphabet, c = np.unique(points, return_inverse=True)
+    base, docs = len(alphabet) + 1, len(texts)
+    if base**RUN * docs >= 1 << 63:
+        for i in range(docs):
+            yield from _posted(column, ids[i : i + 1], texts[i : i + 1])
+        return
+    doc = np.repeat(np.arange(docs), sizes)
+    end = np.cumsum(sizes)[doc]
+    code, at = np.zeros(len(c), np.int64), np.arange(len(c))
+    for k in range(RUN):
+        here = at + k
+        code = code * base + np.where(here < end, c[np.minimum(here, len(c) - 1)] + 1, 0)
+    key = np.sort(code * docs + doc)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n, code, doc = np.diff(np.append(first, len(key))), key[first] // docs, key[first] % docs
+    head = np.flatnonzero(np.diff(code, prepend=-1))
+    names = ["", *map(chr, alphabet.tolist())]
+    found = ["".join(names[x // base**k % base] for k in reversed(range(RUN))) for x in code[head].tolist()]
+    offsets = pa.array(np.append(head, len(code)), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([column] * len(head)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[doc], n))], schema=_POSTINGS)
+
+
+def _postings(numbered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """run, column, ids, ns of numbered sections."""
+    low = numbered.select(_ID, *(F.lower(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(f"c{k}") for k, c in enumerate(columns)))
+    names = list(columns)
+
+    def count(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for k, name in enumerate(names, 1):
+                texts = b.column(k).to_pylist()
+                x = size = 0
+                for y, t in enumerate(texts):
+                    if y > x and size + len(t) > _SLICE:
+                        yield from _posted(name, ids[x:y], texts[x:y])
+                        x, size = y, 0
+                    size += len(t)
+                yield from _posted(name, ids[x:], texts[x:])
+
+    return low.mapInArrow(count, "run string, column string, ids array<long>, ns array<long>")
+
+
 @dataclass(frozen=True)
 class SectionIndex:
     """Where an index lies, which columns it has postings of, and the column that orders ties."""
@@ -44,15 +100,15 @@ class SectionIndex:
     place: str
 
     def add(self, sections: DataFrame) -> SectionIndex:
-        """Indexes more sections, with one exchange of counts; what is there already isn't read."""
+        """Indexes more sections; what is there already isn't read."""
         if {c.lower() for c in sections.columns} & {_BATCH, _ID}:
             raise ValueError(f"{_BATCH} and {_ID} are the index's own columns")
         spark, name = sections.sparkSession, f"batch-{uuid.uuid4().hex}"
         sections.withColumn(_ID, F.monotonically_increasing_id()).write.parquet(f"{self.path}/sections/{_BATCH}={name}")
         numbered = spark.read.parquet(f"{self.path}/sections/{_BATCH}={name}")
-        parts = [numbered.select(_ID, F.lit(c).alias("column"), F.explode(runs(F.col(f"`{c}`").cast("string"))).alias("run")) for c in self.columns]
-        counts = reduce(DataFrame.unionAll, parts).groupBy("run", "column", _ID).agg(F.count("*").alias("n"))
-        counts.sortWithinPartitions("run", "column", _ID).write.parquet(f"{self.path}/postings/{_BATCH}={name}")
+        if numbered.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            numbered = numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), _ID)
+        _postings(numbered, self.columns).sortWithinPartitions("run", "column").write.parquet(f"{self.path}/postings/{_BATCH}={name}")
         return self
 
     def candidates(self, spark: SparkSession, words: Sequence[str], weights: Mapping[str, int]) -> DataFrame:
@@ -64,6 +120,7 @@ class SectionIndex:
         times = Counter(w.lower() for w in words)
         positive = {c: k for c, k in weights.items() if k > 0}
         postings = spark.read.parquet(f"{self.path}/postings").where(F.col("column").isin(list(positive)))
+        each = lambda rows: rows.select(_BATCH, "run", "column", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select(_BATCH, "run", "column", F.col("p.ids").alias(_ID), F.col("p.ns").alias("n"))
         asked = spark.createDataFrame(list(times.items()), "word string, times long")
         needed = asked.where(F.length("word") >= RUN).select("word", "times", F.explode(F.filter(runs(F.col("word")), lambda r: F.length(r) == RUN)).alias("run"))
         needed = needed.groupBy("word", "times", "run").agg(F.count("*").alias("within")).collect()  # a row for each run of the words
@@ -71,12 +128,12 @@ class SectionIndex:
         if needed:
             kinds = Counter(r.word for r in needed)
             table = spark.createDataFrame([(r.run, r.word, r.within, r.times, kinds[r.word]) for r in needed], "run string, word string, within long, times long, kinds long")
-            met = postings.where(F.col("run").isin(sorted({r.run for r in needed}))).join(F.broadcast(table), "run")
+            met = each(postings.where(F.col("run").isin(sorted({r.run for r in needed})))).join(F.broadcast(table), "run")
             word = met.groupBy(_BATCH, _ID, "column", "word", "times", "kinds").agg(F.count("*").alias("met"), F.min(F.expr("n div within")).alias("most"))
             found.append(word.where("met = kinds").select(_BATCH, _ID, "column", (F.col("most") * F.col("times")).alias("most")))
         # a shorter word stands where a run begins with it
         short = [(w, n) for w, n in times.items() if len(w) < RUN]
-        found += [postings.where(F.startswith("run", F.lit(w))).select(_BATCH, _ID, "column", (F.col("n") * n).alias("most")) for w, n in short]
+        found += [each(postings.where(F.startswith("run", F.lit(w)))).select(_BATCH, _ID, "column", (F.col("n") * n).alias("most")) for w, n in short]
         if not found or not positive:
             return spark.createDataFrame([], f"{_BATCH} string, {_ID} long, bound long")
         weight = F.create_map(*(F.lit(x) for kv in positive.items() for x in kv))
