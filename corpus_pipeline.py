@@ -29,17 +29,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, one row stays: that with the smallest doc_id.
 
     Ties of doc_id go to the smaller hash of the text, then to the row read first; a null doc_id counts as the largest. Repeated rows are linked,
-    so one of them stays. Null and empty texts link with nothing and all stay. Very long texts are compared whole. An empty table gives no rows. Other
+    so one of them stays. Texts go by a 64-bit hash. Null and empty texts link with nothing and all stay. Very long texts are compared whole. An empty table gives no rows. Other
     columns are kept, whatever their names.
     """
-    row = fresh(docs, "row")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")
+    key, id_, again, order = fresh(docs, "near_key"), fresh(docs, "near_id"), fresh(docs, "near_again"), fresh(docs, "near_order")
     text = F.col("text").cast("string")
-    groups = jaccard_components(numbered.select(F.col(row).alias("doc_id"), text.alias("text")), size=5, percent=80)
-    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash")).join(groups, "row")
-    stay = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row"))["row"].alias(row)).select(row)
-    return numbered.join(stay, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    keyed = docs.withColumn(key, F.xxhash64(text)).withColumn(id_, F.col("doc_id").cast("long"))
+    # a text goes by its hash, so that no copy of the texts need be kept to number them; texts without words have no group
+    groups = jaccard_components(keyed.select(F.col(key).alias("doc_id"), text.alias("text")), size=5, percent=80).where("n_shingles > 0")
+    groups = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("group"))
+    ids = keyed.select(F.col(key), F.col(id_)).groupBy(key, id_).agg((F.count("*") > 1).alias(again)).join(groups, key)
+    stay = ids.groupBy("group").agg(F.min(F.struct(F.col(id_).isNull(), F.col(id_), F.col(key), F.col(again))).alias("least"))
+    stay = written(stay.select(*(F.col("least")[c].alias(c) for c in (key, id_, again))), "pipeline-stay")
+    columns = [f"`{c}`" for c in docs.columns]
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+    def kept(rows: DataFrame, of: DataFrame) -> DataFrame:
+        same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & F.col(f"l.{id_}").eqNullSafe(F.col(f"r.{id_}"))
+        return rows.where(~wordless).alias("l").join(of.alias("r"), same, "left_semi")
+
+    once = kept(keyed, stay.where(~F.col(again))).select(*columns)
+    # of rows alike in both, the one read first
+    first = kept(keyed.withColumn(order, F.monotonically_increasing_id()), stay.where(again))
+    first = first.groupBy(key, id_).agg(F.min_by(F.struct(*columns), order).alias(order)).select(f"{order}.*")
+    return docs.where(wordless).unionByName(once).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,22 @@ def test_links_between_sides():
         for a, b in found:
             part = [part[b] if p == part[a] else p for p in part]
         assert all(part[a] == part[b] for a, b in links)
+
+
+def test_many_buckets_name_a_node_seldom(spark):
+    """Rows of a slice don't fill with the names of its nodes as the table, and so the buckets, grow; results are the same."""
+    rng = np.random.default_rng(2)
+    sets = {i: np.unique(rng.integers(0, 1 << 64, 500, dtype=np.uint64)) for i in range(1, 400)}
+    sent = {n: sum(len(x) for r in jj._packed(sets, n)[0] for x in r[1:]) for n in (100, 1_000)}
+    assert sent[1_000] < 1.1 * sent[100]
+    docs = near_copies(9)
+    for buckets in (130, 515, 1_030):
+        got = jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), buckets=buckets).collect()
+        assert sorted(map(key, got)) == sorted(map(key, brute(docs)))
+
+
+def test_a_bucket_with_one_shingle_of_a_slice(spark):
+    """A short slice over many buckets sends rows of one shingle each."""
+    docs = [(0, "a b c d e f g"), (1, "a b c d e f g"), (2, "x y z"), (3, "a b c d e f h")]
+    got = jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), buckets=64).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute(docs)))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -114,3 +115,17 @@ def test_odd_rows_and_clashing_columns(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir[0]).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_near_duplicates_keep_no_texts(spark, sf_dir):
+    """The stage leaves no copy of the texts in the shared folder; of rows alike in doc_id and text the one read first stays."""
+    base, raw, *_ = sf_dir
+    corpus_pipeline.shared_dir(spark, "x")  # sets the folder
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = [(7, "a b c d e f g", "first"), (7, "a b c d e f g", "second"), (7, None, "x"), (7, None, "y"), (8, " \t", "z"), (8, " \t", "z"), (9, "a b c d e f g", "w")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, base).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], *rows[2:6]]))
+    new = [p for p in set(folder.iterdir()) - before if any(p.glob("*.parquet"))]
+    assert new and not any(f.dataType.simpleString() == "string" for p in new for f in spark.read.parquet(str(p)).schema)

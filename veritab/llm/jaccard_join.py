@@ -4,7 +4,8 @@ A document's set is that of its distinct word shingles, as 64-bit hashes. Docume
 Two nodes link when their sets' Jaccard similarity reaches the threshold, tested in whole numbers.
 
 1. Every (shingle, node) goes, packed, to a bucket of the hash space, which counts the nodes of each shingle. There are as many
-   buckets as the texts' bytes ask for, so a bucket's size doesn't grow with the table. Only shingles
+   buckets as the texts' bytes ask for, so a bucket's size doesn't grow with the table. Of many buckets up to `_TOGETHER` beside each other
+   travel as one row a slice, as each row names its nodes, and are counted one after another. Only shingles
    of two nodes or more go on: no other counts in an intersection. A shingle that is common within a slice of texts sends
    one count there, while its nodes stay spread and get the total by a join: no task gathers a common shingle. If it isn't
    common in all slices, its other nodes take that way too, where equal (shingle, node) of several slices become one.
@@ -42,6 +43,8 @@ from veritab.llm.wordhash import bounded, give_back, mix, shingles, words
 
 _COMMON = 16  # more nodes of a slice than these share a shingle: only its count goes to its bucket
 _BUCKET_BYTES = 8 << 20  # text bytes a bucket of shingles
+_FEW = 128  # so many buckets travel alone; of more, groups do
+_TOGETHER = 8  # buckets a group at most, which a task holds packed
 _PACK = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _PACK_SQL = "bucket long, hashes binary, places binary, nodes binary, sizes binary"
 #: kind 0: a document (id, node, n); 1: a shared shingle (hash, node, n, count); 2: nodes of a shingle that is common in some slice (hash, nodes, sizes); 3: its count (hash, count)
@@ -72,8 +75,18 @@ def _node(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def _together(buckets: int) -> int:
+    """How many buckets travel in one row."""
+    return max(1, min(_TOGETHER, buckets // _FEW))
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """Where the buckets of the hash space begin, but for the first."""
+    return (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+
+
 def _packed(sets: dict[int, np.ndarray], buckets: int):
-    """The slice's entries by bucket, and the nodes of shingles that are common in it."""
+    """The slice's entries by group of buckets, and the nodes of shingles that are common in it."""
     nodes = np.array(list(sets), np.int64)
     sizes = np.array([len(s) for s in sets.values()], np.int64)
     h = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.uint64)
@@ -89,8 +102,8 @@ def _packed(sets: dict[int, np.ndarray], buckets: int):
     first[head] = True
     place[head[count > _COMMON]] = count[count > _COMMON] + (1 << 24)
     h, place = h[~common | first], place[~common | first]
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+    together = _together(buckets)
+    cuts = [0, *np.searchsorted(h, _edges(buckets)[together - 1 :: together]).tolist(), len(h)]
     rows = []
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a == b:
@@ -105,25 +118,32 @@ def _packed(sets: dict[int, np.ndarray], buckets: int):
     return rows, hot
 
 
-def _unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, nodes, sizes and counts (0 but for common shingles)."""
-    raw = r["hashes"]
-    rest = np.frombuffer(raw, np.uint8, offset=9)
-    wide = np.zeros((len(rest) // (6 if raw[8] else 8) + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(raw, np.uint8, 8)
-    wide[1:, : 6 if raw[8] else 8] = rest.reshape(len(wide) - 1, -1)
-    h = np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-    place = np.frombuffer(r["places"], "<u2" if len(r["places"]) == 2 * len(h) else "<u4").astype(np.int64)
-    nodes = np.frombuffer(r["nodes"], np.int64)
-    sizes = np.frombuffer(r["sizes"], "<u2" if len(r["sizes"]) == 2 * len(nodes) else "<i8").astype(np.int64)
+def _unpacked(t: pa.RecordBatch, edges: np.ndarray) -> Iterator[tuple]:
+    """Of each row its hashes, and views of the places, nodes and sizes in the batch; and where the row's buckets begin and end."""
+    for raw, places, nodes, sizes in zip(*(t.column(c) for c in ("hashes", "places", "nodes", "sizes"))):
+        raw, places, sizes = (np.frombuffer(x.as_buffer(), np.uint8) for x in (raw, places, sizes))
+        nodes = np.frombuffer(nodes.as_buffer(), np.int64)
+        wide = np.zeros(((len(raw) - 9) // (6 if raw[8] else 8) + 1, 8), np.uint8)
+        wide[0] = raw[:8]
+        wide[1:, : 6 if raw[8] else 8] = raw[9:].reshape(-1, 6 if raw[8] else 8)
+        h = np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+        places = places.view("<u2" if len(places) == 2 * len(h) else "<u4")
+        yield h, places, nodes, sizes.view("<u2" if len(sizes) == 2 * len(nodes) else "<i8"), [0, *np.searchsorted(h, edges).tolist(), len(h)]
+
+
+def _entries(row: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, nodes, sizes and counts (0 but for common shingles) of the row's k-th bucket."""
+    h, places, nodes, sizes, cuts = row
+    place = places[cuts[k] : cuts[k + 1]].astype(np.int64)
     count = np.where(place >= 1 << 24, place - (1 << 24), 0)
     place = np.where(count > 0, 0, place)
-    return h, nodes[place], sizes[place], count
+    return h[cuts[k] : cuts[k + 1]], nodes[place], sizes[place].astype(np.int64), count
 
 
 def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """Rows of the kinds 0 to 3, written."""
     d = typed(docs, doc_id="long", text="string")
+    together = _together(buckets)
 
     def send(batches):
         seen: set[int] = set()
@@ -144,23 +164,11 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 rows.append((-1 - buckets - (turn % buckets), each.tobytes(), times.astype("<i8").tobytes(), hot[1].tobytes(), hot[2].tobytes()))
             yield batch(_PACK, [list(c) for c in zip(*rows)])
 
-    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = key[0].as_py()
-        if k < -buckets:
-            for r in (r for t in batches for r in t.to_pylist()):
-                h, times, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "places", "nodes", "sizes"))
-                at = [0, *np.cumsum(times).tolist()]
-                yield _out(2, len(h), hash=h, nodes=[v[x:y].tobytes() for x, y in zip(at, at[1:])], sizes=[n[x:y].tobytes() for x, y in zip(at, at[1:])])
-            return
-        if k < 0:
-            for r in (r for t in batches for r in t.to_pylist()):
-                ids, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "nodes", "sizes"))
-                missing = np.frombuffer(r["places"], np.uint8) == 0
-                yield _out(0, len(v), doc_id=pa.array(ids, mask=missing), node=v, n=n)
+    def count_bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
             return
-        rows = [_unpacked(r) for t in batches for r in t.to_pylist()]
         h, v, n, c = (np.concatenate(x) for x in zip(*rows))
-        del rows
+        rows.clear()
         order = np.lexsort((v, c > 0, h))
         h, v, n, c = h[order], v[order], n[order], c[order]
         same_h = np.concatenate([[False], h[1:] == h[:-1]])
@@ -185,6 +193,28 @@ def shared_shingles(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         if len(i):
             yield _out(3, len(i), hash=h[i].view(np.int64), count=total[some_common].astype(np.int64))
         del h, v, n, c, order, same_h, keep, run, total, plain, i
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = key[0].as_py()
+        if k < -buckets:
+            for r in (r for t in batches for r in t.to_pylist()):
+                h, times, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "places", "nodes", "sizes"))
+                at = [0, *np.cumsum(times).tolist()]
+                yield _out(2, len(h), hash=h, nodes=[v[x:y].tobytes() for x, y in zip(at, at[1:])], sizes=[n[x:y].tobytes() for x, y in zip(at, at[1:])])
+            return
+        if k < 0:
+            for r in (r for t in batches for r in t.to_pylist()):
+                ids, v, n = (np.frombuffer(r[c], np.int64) for c in ("hashes", "nodes", "sizes"))
+                missing = np.frombuffer(r["places"], np.uint8) == 0
+                yield _out(0, len(v), doc_id=pa.array(ids, mask=missing), node=v, n=n)
+            return
+        edges = _edges(buckets)[k * together : (k + 1) * together - 1]
+        rows = [r for t in batches for r in _unpacked(t, edges)]
+        for j in range(len(edges) + 1):
+            entries = [_entries(r, j) for r in rows if r[-1][j] < r[-1][j + 1]]
+            if j == len(edges):
+                rows.clear()
+            yield from count_bucket(entries)
         give_back()
 
     packs = d.mapInArrow(send, _PACK_SQL)
